@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -196,37 +195,73 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def across(lists: DataFrame, classes: DataFrame, matches: int, least: float) -> DataFrame:
-    """Pairs (a, b) of different components in one list whose signatures collide often enough. A list's largest component is
-    compared with the others only; blocks of ``BLOCK`` classes meet in one task each."""
-    counts = lists.groupBy("key", "root").agg(F.count("*").alias("n"))
-    most = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("all"), F.max("n").alias("n_main")).filter("roots > 1")
-    dealt = lists.join(most.select("key", "main", F.expr(f"cast(ceil(n_main / {BLOCK}) as int)").alias("main_blocks"), F.expr(f"cast(ceil((all - n_main) / {BLOCK}) as int)").alias("blocks")), "key")
+    """Pairs (a, b) of different components in one list whose signatures collide often enough.
+
+    Lists of two are done (their only pair was tried), and of lists with the same classes one is enough. A list's largest
+    component is compared with the others only; blocks of about ``BLOCK`` classes meet in one task each.
+    """
+    open_lists = lists.groupBy("key").agg(F.count("*").alias("all"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("nid").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("nid", F.lit(3))).alias("x"))
+    open_lists = open_lists.filter("all > 2 and low <> high").groupBy("all", "s", "x").agg(F.min("key").alias("key")).select("key", "all")
+    own = stored(lists.join(open_lists, "key"), "open_lists")
+    counts = own.groupBy("key", "root", "all").agg(F.count("*").alias("n"))
+    most = counts.groupBy("key", "all").agg(F.max(F.struct("n", "root")).alias("main"))
+    blocks = most.select("key", F.col("main.root").alias("main"), F.expr(f"cast(ceil(main.n / {BLOCK}) as int)").alias("main_blocks"), F.expr(f"cast(ceil((all - main.n) / {BLOCK}) as int)").alias("blocks"))
+    dealt = own.drop("all").join(blocks, "key")
     outside = F.col("root") != F.col("main")
     block = F.pmod(F.hash("nid"), F.when(outside, F.col("blocks")).otherwise(F.col("main_blocks")))
     dealt = dealt.withColumns({"outside": outside, "block": block})
-    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.lit(True).alias("both"), F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
-    with_main = F.transform(F.sequence(F.lit(0), F.col("main_blocks") - 1), lambda j: F.struct(F.lit(False).alias("both"), F.col("block").alias("i"), j.alias("j")))
-    as_main = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.lit(False).alias("both"), i.alias("i"), F.col("block").alias("j")))
-    meets = dealt.select("key", "nid", "root", "outside", F.explode(F.when(F.col("outside"), F.concat(other, with_main)).otherwise(as_main)).alias("at"))
-    meets = meets.select("key", "nid", "root", "outside", "at.*").join(classes.select("nid", "n", "signature"), "nid")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n", kind="stable")
-        n, nid, root, outside = group["n"].to_numpy(), group["nid"].to_numpy(), group["root"].to_numpy(), group["outside"].to_numpy()
-        sig = np.frombuffer(b"".join(group["signature"]), dtype="<u4").reshape(-1, COORDINATES)
-        upto = np.searchsorted(n, np.floor(n / least + 1e-9), side="right")
-        both = bool(group["both"].iloc[0])
+    meet = lambda both, i, j: F.struct(F.lit(both).alias("both"), i.alias("i"), j.alias("j"))
+    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: meet(True, F.least(j, F.col("block")), F.greatest(j, F.col("block"))))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("main_blocks") - 1), lambda j: meet(False, F.col("block"), j))
+    as_main = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: meet(False, i, F.col("block")))
+    whole = F.array(meet(True, F.lit(0), F.lit(0)))  # small lists meet once, in one block
+    at = F.when((F.col("blocks") == 1) & (F.col("main_blocks") == 1), whole).when(F.col("outside"), F.concat(other, with_main)).otherwise(as_main)
+    meets = dealt.select("key", "nid", "root", "outside", F.explode(at).alias("at")).select("key", "nid", "root", "outside", "at.*")
+    meets = meets.join(classes.select("nid", "n", "signature"), "nid").repartition("key", "both", "i", "j").sortWithinPartitions("key", "both", "i", "j", "n")
+
+    def compare(n: np.ndarray, nid: np.ndarray, root: np.ndarray, outside: np.ndarray, both: bool, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = [], []
-        for x in range(len(n)):
-            y = np.arange(x + 1, upto[x])
-            y = y[(root[y] != root[x]) & (both | (outside[y] != outside[x]))]
-            if len(y):
-                y = y[(sig[y] == sig[x]).sum(axis=1) >= matches]
-                a.extend(np.maximum(nid[y], nid[x]).tolist())
-                b.extend(np.minimum(nid[y], nid[x]).tolist())
-        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
-
-    return meets.groupBy("key", "both", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        upto = np.searchsorted(n, np.floor(n / least + 1e-9), side="right")
+        step = max(1, 400_000 // (len(n) * COORDINATES))
+        for lo in range(0, len(n), step):
+            x, y = np.nonzero(np.arange(len(n))[None, :] < upto[lo : lo + step, None])
+            x += lo
+            free = (x < y) & (root[x] != root[y])
+            if not both:
+                free &= outside[x] != outside[y]
+            x, y = x[free], y[free]
+            good = (sig[x] == sig[y]).sum(axis=1) >= matches
+            a.append(np.maximum(nid[x[good]], nid[y[good]]))
+            b.append(np.minimum(nid[x[good]], nid[y[good]]))
+        return np.concatenate(a), np.concatenate(b)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Meetings arrive sorted; one is held at a time."""
+        rest: pa.Table | None = None
+
+        def pairs(table: pa.Table, last: bool) -> tuple[pa.Table | None, pa.RecordBatch]:
+            marks = np.column_stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "both", "i", "j")])
+            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+            ends = [*cuts.tolist(), *([len(marks)] if last else [])]
+            n, nid, root, outside = (table.column(c).to_numpy() for c in ("n", "nid", "root", "outside"))
+            sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
+            found, at = [], 0
+            for e in ends:
+                if e - at > 1:
+                    found.append(compare(n[at:e], nid[at:e], root[at:e], outside[at:e], bool(marks[at, 1]), sig[at:e]))
+                at = e
+            columns = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, dtype=np.int64)] * 2
+            return (None if last else table.slice(at)), pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+                rest, out = pairs(table.combine_chunks(), False)
+                yield out
+        if rest is not None and rest.num_rows:
+            yield pairs(rest.combine_chunks(), True)[1]
+
+    return meets.mapInArrow(stream, "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
