@@ -8,8 +8,8 @@
    rarest and need no post.
 3. In each list every class is first paired with the most central one only (the one whose coordinates are most shared). Pairs
    whose signatures collide often enough are confirmed on the full sets. That joins a group of thousands by as many pairs.
-4. Lists that still hold several components are then compared in full across components, in blocks of classes, again keeping
-   pairs with enough collisions and confirming them.
+4. Lists that still hold several components are then compared in full across components, in blocks of classes, with their
+   texts at hand: pairs with enough collisions are confirmed where they meet.
 5. Components of the confirmed links come from alternating large and small stars over tables in the shared folder.
 
 Everything is keyed joins; hot lists and hot centres are salted.
@@ -33,7 +33,7 @@ COORDINATES = 48
 #: Sets of similarity 0.8 agree in 38.4 of 48 coordinates on average; fewer than 25 has a chance of about 4 in a million.
 MATCHES = 25
 #: Classes of one block in full comparisons, and members that one task confirms against a centre.
-BLOCK = 1500
+BLOCK = 800
 MEMBERS = 400
 WORDS_KEPT = 1_000_000
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -97,8 +97,7 @@ def features(rows: DataFrame, size: int) -> DataFrame:
             for k in range(0, len(full), 64):
                 some = full[k : k + 64]
                 for i, sig in zip(some, signatures([sets[i] for i in some])):
-                    s = sets[i]
-                    ids[i] = int(s.sum()).to_bytes(8, "big") + int(np.bitwise_xor.reduce(mixed(s + MIX_2))).to_bytes(8, "big")
+                    ids[i] = set_identity(sets[i])
                     sigs[i] = sig.astype("<u4").tobytes()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "set_id", "signature"])
 
@@ -162,17 +161,15 @@ def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
                 if kind and last == (c, part, nid) or not kind and centre == (c, part):
                     continue
                 s = shingle_set(text, size)
-                if not len(s) or int(s.sum()).to_bytes(8, "big") + int(np.bitwise_xor.reduce(mixed(s + MIX_2))).to_bytes(8, "big") != set_id:
+                if not len(s) or set_identity(s) != set_id:
                     continue  # another row of the same id
                 if not kind:
                     centre, held = (c, part), s
                     continue
                 last = (c, part, nid)
-                if centre == (c, part):
-                    common = len(np.intersect1d(held, s, assume_unique=True))
-                    if 100 * common >= percent * (len(held) + len(s) - common):
-                        a.append(nid)
-                        b.append(c)
+                if centre == (c, part) and similar(held, s, percent):
+                    a.append(nid)
+                    b.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return texts.repartition("b", "part").sortWithinPartitions("b", "part", "kind", "nid").mapInArrow(check, "a long, b long")
@@ -194,8 +191,34 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
-def across(lists: DataFrame, classes: DataFrame, matches: int, least: float) -> DataFrame:
-    """Pairs (a, b) of different components in one list whose signatures collide often enough.
+def set_identity(s: np.ndarray) -> bytes:
+    return int(s.sum()).to_bytes(8, "big") + int(np.bitwise_xor.reduce(mixed(s + MIX_2))).to_bytes(8, "big")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+class Roots(dict):
+    """Components within one meeting, joined as links are confirmed."""
+
+    def find(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            x = up
+        return x
+
+
+def across(lists: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int, matches: int) -> DataFrame:
+    """Confirmed links (a, b) between different components of one list.
+
+    Pairs whose signatures collide often enough are confirmed on the full sets right where they meet, the most alike first, and
+    only while their components are still apart and only in the first list that both are in, so a meeting returns fewer links than it has classes.
 
     Lists of two are done (their only pair was tried), and of lists with the same classes one is enough. A list's largest
     component is compared with the others only; blocks of about ``BLOCK`` classes meet in one task each.
@@ -217,10 +240,14 @@ def across(lists: DataFrame, classes: DataFrame, matches: int, least: float) ->
     whole = F.array(meet(True, F.lit(0), F.lit(0)))  # small lists meet once, in one block
     at = F.when((F.col("blocks") == 1) & (F.col("main_blocks") == 1), whole).when(F.col("outside"), F.concat(other, with_main)).otherwise(as_main)
     meets = dealt.select("key", "nid", "root", "outside", F.explode(at).alias("at")).select("key", "nid", "root", "outside", "at.*")
-    meets = meets.join(classes.select("nid", "n", "signature"), "nid").repartition("key", "both", "i", "j").sortWithinPartitions("key", "both", "i", "j", "n")
-
-    def compare(n: np.ndarray, nid: np.ndarray, root: np.ndarray, outside: np.ndarray, both: bool, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = [], []
+    posted = own.groupBy("nid").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most one for each coordinate
+    texts = posted.join(classes, "nid").join(rows, F.col("rep").eqNullSafe(rows["doc_id"])).select("nid", "keys", "n", "signature", "set_id", "text")
+    least = percent / 100
+    meets = meets.join(texts, "nid").repartition("key", "both", "i", "j").sortWithinPartitions("key", "both", "i", "j", "n")
+
+    def compare(n: np.ndarray, nid: np.ndarray, root: np.ndarray, outside: np.ndarray, both: bool, sig: np.ndarray, key: int, keys: list[list[int]], set_ids: list[bytes], texts: list[str]) -> tuple[list[int], list[int]]:
+        found, a, b, roots, sets = [], [], [], Roots(), {}
+        keys = [frozenset(k) for k in keys]
         upto = np.searchsorted(n, np.floor(n / least + 1e-9), side="right")
         step = max(1, 400_000 // (len(n) * COORDINATES))
         for lo in range(0, len(n), step):
@@ -230,10 +257,24 @@ def across(lists: DataFrame, classes: DataFrame, matches: int, least: float) ->
             if not both:
                 free &= outside[x] != outside[y]
             x, y = x[free], y[free]
-            good = (sig[x] == sig[y]).sum(axis=1) >= matches
-            a.append(np.maximum(nid[x[good]], nid[y[good]]))
-            b.append(np.minimum(nid[x[good]], nid[y[good]]))
-        return np.concatenate(a), np.concatenate(b)
+            same = (sig[x] == sig[y]).sum(axis=1)
+            good = same >= matches
+            found.append(np.column_stack([same[good], x[good], y[good]]))
+        alike = np.concatenate(found)
+
+        def own_set(k: int) -> np.ndarray:
+            if k not in sets:
+                s = shingle_set(texts[k], size)
+                sets[k] = s if len(s) and set_identity(s) == set_ids[k] else s[:0]  # another row of the same id has no set here
+            return sets[k]
+
+        for _, x, y in alike[np.argsort(-alike[:, 0], kind="stable")].tolist():
+            u, v = roots.find(root[x]), roots.find(root[y])
+            if u != v and min(keys[x] & keys[y]) == key and similar(own_set(x), own_set(y), percent):
+                roots[u] = v
+                a.append(nid[x])
+                b.append(nid[y])
+        return a, b
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Meetings arrive sorted; one is held at a time."""
@@ -245,13 +286,14 @@ def across(lists: DataFrame, classes: DataFrame, matches: int, least: float) ->
             ends = [*cuts.tolist(), *([len(marks)] if last else [])]
             n, nid, root, outside = (table.column(c).to_numpy() for c in ("n", "nid", "root", "outside"))
             sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
+            set_ids, keys = table.column("set_id").to_pylist(), table.column("keys").to_pylist()
             found, at = [], 0
             for e in ends:
                 if e - at > 1:
-                    found.append(compare(n[at:e], nid[at:e], root[at:e], outside[at:e], bool(marks[at, 1]), sig[at:e]))
+                    found.append(compare(n[at:e], nid[at:e], root[at:e], outside[at:e], bool(marks[at, 1]), sig[at:e], int(marks[at, 0]), keys[at:e], set_ids[at:e], table.column("text").slice(at, e - at).to_pylist()))
                 at = e
-            columns = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, dtype=np.int64)] * 2
-            return (None if last else table.slice(at)), pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b"])
+            columns = [[x for f in found for x in f[k]] for k in (0, 1)]
+            return (None if last else table.slice(at)), pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
@@ -261,7 +303,7 @@ def across(lists: DataFrame, classes: DataFrame, matches: int, least: float) ->
         if rest is not None and rest.num_rows:
             yield pairs(rest.combine_chunks(), True)[1]
 
-    return meets.mapInArrow(stream, "a long, b long").distinct()
+    return meets.mapInArrow(stream, "a long, b long")
 
 
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,9 +326,8 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, matches:
     links = stored(confirmed(tried, classes, rows, size, percent), "links")
     roots = components(links)
     rest = lists.join(roots, "nid", "left").select("key", "nid", F.coalesce("root", "nid").alias("root"))
-    more = stored(across(rest, classes, matches, least).join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        further = stored(confirmed(more, classes, rows, size, percent), "links")
+    further = stored(across(rest, classes, rows, size, percent, matches), "further")
+    if further.limit(1).count():
         roots = components(links.unionByName(further))
     grouped = classes.join(roots, "nid", "left").select("set_id", "rep", F.coalesce("root", "nid").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
