@@ -240,27 +240,38 @@ def across(lists: DataFrame, classes: DataFrame, rows: DataFrame, size: int, per
     whole = F.array(meet(True, F.lit(0), F.lit(0)))  # small lists meet once, in one block
     at = F.when((F.col("blocks") == 1) & (F.col("main_blocks") == 1), whole).when(F.col("outside"), F.concat(other, with_main)).otherwise(as_main)
     meets = dealt.select("key", "nid", "root", "outside", F.explode(at).alias("at")).select("key", "nid", "root", "outside", "at.*")
-    posted = own.groupBy("nid").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most one for each coordinate
-    texts = posted.join(classes, "nid").join(rows, F.col("rep").eqNullSafe(rows["doc_id"])).select("nid", "keys", "n", "signature", "set_id", "text")
     least = percent / 100
-    meets = meets.join(texts, "nid").repartition("key", "both", "i", "j").sortWithinPartitions("key", "both", "i", "j", "n")
+    posted = own.groupBy("nid").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most one for each coordinate
+    known = posted.join(classes, "nid").select("nid", "keys", "n", "signature", "set_id", "rep")
+    sorts = ("key", "both", "i", "j", "n", "nid")
 
-    def compare(n: np.ndarray, nid: np.ndarray, root: np.ndarray, outside: np.ndarray, both: bool, sig: np.ndarray, key: int, keys: list[list[int]], set_ids: list[bytes], texts: list[str]) -> tuple[list[int], list[int]]:
-        found, a, b, roots, sets = [], [], [], Roots(), {}
-        keys = [frozenset(k) for k in keys]
+    def alike(m: Meeting) -> np.ndarray:
+        """(collisions, x, y) of the pairs that may be similar and have this list as the first that both are in."""
+        found, keys = [], [frozenset(k) for k in m.column("keys")]
+        n, root, outside, sig = m.n, m.root, m.outside, m.signatures()
         upto = np.searchsorted(n, np.floor(n / least + 1e-9), side="right")
         step = max(1, 400_000 // (len(n) * COORDINATES))
         for lo in range(0, len(n), step):
             x, y = np.nonzero(np.arange(len(n))[None, :] < upto[lo : lo + step, None])
             x += lo
             free = (x < y) & (root[x] != root[y])
-            if not both:
+            if not m.both:
                 free &= outside[x] != outside[y]
             x, y = x[free], y[free]
             same = (sig[x] == sig[y]).sum(axis=1)
             good = same >= matches
             found.append(np.column_stack([same[good], x[good], y[good]]))
-        alike = np.concatenate(found)
+        pairs = np.concatenate(found)
+        home = [min(keys[x] & keys[y]) == m.key for _, x, y in pairs.tolist()]
+        return pairs[np.array(home, dtype=bool)]
+
+    def involved(m: Meeting) -> pa.Table:
+        pairs = alike(m)
+        return m.table.take(pa.array(np.unique(pairs[:, 1:]))).select(["key", "nid", "root", "outside", "both", "i", "j"])
+
+    def linked(m: Meeting) -> pa.Table:
+        a, b, roots, sets = [], [], Roots(), {}
+        texts, set_ids = m.column("text"), m.column("set_id")
 
         def own_set(k: int) -> np.ndarray:
             if k not in sets:
@@ -268,42 +279,61 @@ def across(lists: DataFrame, classes: DataFrame, rows: DataFrame, size: int, per
                 sets[k] = s if len(s) and set_identity(s) == set_ids[k] else s[:0]  # another row of the same id has no set here
             return sets[k]
 
-        for _, x, y in alike[np.argsort(-alike[:, 0], kind="stable")].tolist():
-            u, v = roots.find(root[x]), roots.find(root[y])
-            if u != v and min(keys[x] & keys[y]) == key and similar(own_set(x), own_set(y), percent):
+        pairs = alike(m)
+        for _, x, y in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
+            u, v = roots.find(m.root[x]), roots.find(m.root[y])
+            if u != v and similar(own_set(x), own_set(y), percent):
                 roots[u] = v
-                a.append(nid[x])
-                b.append(nid[y])
-        return a, b
+                a.append(m.nid[x])
+                b.append(m.nid[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    meets = meets.join(known.drop("set_id", "rep"), "nid").repartition("key", "both", "i", "j").sortWithinPartitions(*sorts)
+    again = meets.mapInArrow(streamed(involved), "key long, nid long, root long, outside boolean, both boolean, i int, j int")
+    again = stored(again, "involved")  # texts go only to the lists where their pairs are decided
+    texts = known.join(again.select("nid").distinct(), "nid").join(rows, F.col("rep").eqNullSafe(rows["doc_id"])).select("nid", "keys", "n", "signature", "set_id", "text")
+    return again.join(texts, "nid").repartition("key", "both", "i", "j").sortWithinPartitions(*sorts).mapInArrow(streamed(linked), "a long, b long")
+
+
+class Meeting:
+    """The classes that meet in one block of one list, by size."""
+
+    def __init__(self, table: pa.Table):
+        self.table, self.key, self.both = table, table.column("key")[0].as_py(), table.column("both")[0].as_py()
+        self.n, self.nid, self.root, self.outside = (table.column(c).to_numpy() for c in ("n", "nid", "root", "outside"))
+
+    def column(self, name: str) -> list:
+        return self.table.column(name).to_pylist()
+
+    def signatures(self) -> np.ndarray:
+        return np.frombuffer(b"".join(self.column("signature")), dtype="<u4").reshape(-1, COORDINATES)
+
+
+def streamed(decide):
+    """Runs ``decide`` over each meeting of a sorted stream; one meeting is held at a time."""
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Meetings arrive sorted; one is held at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
-        def pairs(table: pa.Table, last: bool) -> tuple[pa.Table | None, pa.RecordBatch]:
+        def ready(table: pa.Table, last: bool) -> tuple[pa.Table, list[pa.Table]]:
             marks = np.column_stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "both", "i", "j")])
             cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
-            ends = [*cuts.tolist(), *([len(marks)] if last else [])]
-            n, nid, root, outside = (table.column(c).to_numpy() for c in ("n", "nid", "root", "outside"))
-            sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
-            set_ids, keys = table.column("set_id").to_pylist(), table.column("keys").to_pylist()
-            found, at = [], 0
-            for e in ends:
-                if e - at > 1:
-                    found.append(compare(n[at:e], nid[at:e], root[at:e], outside[at:e], bool(marks[at, 1]), sig[at:e], int(marks[at, 0]), keys[at:e], set_ids[at:e], table.column("text").slice(at, e - at).to_pylist()))
-                at = e
-            columns = [[x for f in found for x in f[k]] for k in (0, 1)]
-            return (None if last else table.slice(at)), pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+            at, out = 0, []
+            for end in [*cuts.tolist(), *([len(marks)] if last else [])]:
+                if end - at > 1:
+                    out.append(decide(Meeting(table.slice(at, end - at))))
+                at = end
+            return table.slice(at), out
 
         for batch in batches:
             if batch.num_rows:
-                table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-                rest, out = pairs(table.combine_chunks(), False)
-                yield out
+                table = pa.Table.from_batches([batch])
+                rest, out = ready((table if rest is None else pa.concat_tables([rest, table])).combine_chunks(), False)
+                yield from (b for t in out for b in t.to_batches())
         if rest is not None and rest.num_rows:
-            yield pairs(rest.combine_chunks(), True)[1]
+            yield from (b for t in ready(rest, True)[1] for b in t.to_batches())
 
-    return meets.mapInArrow(stream, "a long, b long")
+    return run
 
 
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
