@@ -4,7 +4,8 @@ The lexicon is learned from labelled rows: words (and word beginnings shared by
 and others do not. It becomes a trie that is intersected with a Levenshtein automaton of distance one; the product automaton is
 built lazily, state by state, so a word costs a few dictionary steps and most words end in the dead state early. Each hit adds
 its weight to the window of words around it; hits inside quotation marks or after a reporting word count apart, so that the
-final logistic model can tell quotation from abuse. Half of the labelled rows teach the lexicon, the other half the model.
+final logistic model can tell quotation from abuse. The model learns on one half of the labelled
+rows with a lexicon from the other half, so that chance words of the lexicon get no credit.
 """
 
 from __future__ import annotations
@@ -187,6 +188,18 @@ class Model:
         return np.where(x[:, 6] > 0, 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ w[:-1] + w[-1], -30, 30))), 0.001)
 
 
+def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Terms and stems of toxic texts, with their log-odds; at most ``ENTRIES`` of each."""
+    found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(\\p{L}+)"), F.lit(1))))
+    counts = rows.select("toxic", found.alias("word")).groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    terms = counts.filter("length(word) >= 3 and pos >= 4 and pos >= 12 * neg").orderBy(F.desc("pos"), "word").limit(ENTRIES).collect()
+    longer = counts.filter("length(word) >= 5").select("word", "pos", "neg", F.explode(F.sequence(F.lit(4), F.least(F.lit(7), F.length("word") - 1))).alias("k"))
+    stems = longer.groupBy(F.substring("word", F.lit(1), F.col("k")).alias("stem")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum((F.col("pos") >= 1).cast("int")).alias("words"))
+    stems = stems.filter("words >= 4 and pos >= 10 and pos >= 25 * neg").orderBy(F.desc("pos"), "stem").limit(ENTRIES).collect()
+    weight = lambda r: math.log((r["pos"] + 0.5) / (r["neg"] + 0.5))
+    return {r["word"]: weight(r) for r in terms}, {r["stem"]: weight(r) for r in stems}
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """Learns from labelled rows that are not held out, at most about ``fit_rows`` of them. Without both labels among them,
     the model scores every text 0."""
@@ -196,18 +209,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = min(1.0, fit_rows / max(n, 1))
     own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = id_text(docs, id_col, text_col).join(F.broadcast(own), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)))  # at most about fit_rows rows
-    found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(\\p{L}+)"), F.lit(1))))
-    counts = rows.filter("half = 0").select("toxic", found.alias("word")).groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
-    terms = counts.filter("length(word) >= 3 and pos >= 8 and pos >= 12 * neg").orderBy(F.desc("pos"), "word").limit(ENTRIES).collect()
-    longer = counts.filter("length(word) >= 5").select("word", "pos", "neg", F.explode(F.sequence(F.lit(4), F.least(F.lit(7), F.length("word") - 1))).alias("k"))
-    stems = longer.groupBy(F.substring("word", F.lit(1), F.col("k")).alias("stem")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum((F.col("pos") >= 2).cast("int")).alias("words"))
-    stems = stems.filter("words >= 6 and pos >= 25 and pos >= 25 * neg").orderBy(F.desc("pos"), "stem").limit(ENTRIES).collect()
-    weight = lambda r: math.log((r["pos"] + 0.5) / (r["neg"] + 0.5))
-    model = Model({r["word"]: weight(r) for r in terms}, {r["stem"]: weight(r) for r in stems}, None)
+    rows = rows.dropDuplicates(["text", "toxic"])  # copies would make chance words look like evidence
+    model = Model(*lexicon(rows.filter("half = 0")), None)
     half = rows.filter("half = 1").select("doc_id", "text", "toxic")
     table = half.mapInArrow(featured(model), "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toPandas()
     if len(table) and 0 < table["toxic"].sum() < len(table):
         model.weights = logistic(table.drop(columns="toxic").to_numpy(), table["toxic"].to_numpy())
+        model.terms, model.stems = lexicon(rows)  # the weights hold for a lexicon from all of them
     return model
 
 
