@@ -56,6 +56,4 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    if partition_by:
-        return spark.read.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
