@@ -65,3 +65,20 @@ def budget_prefix(items: DataFrame, by: str, order: Column, cost: str, room: int
     """Items in order while their running cost fits; stops at the first that does not."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return items.withColumn("spent", F.sum(cost).over(w)).filter(F.col("spent") <= room)
+
+
+def reduce_file(outputs: DataFrame, pattern: str, budget: int, head: int = 6) -> DataFrame:
+    """The first lines and those of the pattern, in order while they fit the budget of characters; gaps are marked."""
+    w = Window.partitionBy("id").orderBy("pos")
+    r = lines(outputs).filter((F.col("pos") < head) | F.col("line").rlike(pattern)).withColumn("spent", F.sum(F.length("line") + 1).over(w)).filter(F.col("spent") <= budget)
+    gap = F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(-1)) - 1
+    return joined(r.withColumns({"rank": F.col("pos"), "line": F.when(gap > 0, F.concat(F.lit("... "), gap.cast("string"), F.lit(" lines\n"), F.col("line"))).otherwise(F.col("line"))}))
+
+
+def reduce_tests(outputs: DataFrame, failure: str, summary: str, last: int = 3) -> DataFrame:
+    """Failure lines and the last summary lines, each text once; without failures, only the last summary line."""
+    back = F.row_number().over(Window.partitionBy("id", "failed").orderBy(F.desc("pos")))
+    r = lines(outputs).withColumn("failed", F.col("line").rlike(failure)).filter(F.col("failed") | F.col("line").rlike(summary)).withColumn("back", back)
+    any_failed = r.groupBy("id").agg(F.max("failed").alias("any_failed"))
+    r = r.join(any_failed, "id").filter(F.col("failed") | (F.col("back") <= F.when(F.col("any_failed"), last).otherwise(1)))
+    return joined(r.groupBy("id", "line").agg(F.min("pos").alias("rank")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnledger.functions import columns as C
-from turnledger.operators import compaction, graph, labels, ledger, retirement, runs
+from turnledger.operators import compaction, graph, labels, ledger, retirement, runs, usage
 from turnledger.sources import driver_views as V
 
 TTL = 720
@@ -17,6 +17,8 @@ GRID = [(62, 244), (62, 400), (128, 244), (128, 400), (244, 400), (244, 244)]
 #: An ordered price list over the model names of the test tables; ord -1 is the default.
 PRICES = [(0, "purch", 5.0), (1, "c", 3.0), (2, "view", 1.0), (-1, "", 2.0)]
 
+WANTED = ["widget", "Brand#13", "Brand#5.small widget.1", "1"]
+
 
 def breaks(s: SparkSession, d: str) -> DataFrame:
     return ledger.cache_breaks(V.requests(s, d), ttl_minutes=TTL)
@@ -203,6 +205,49 @@ DECISIONS = f"""{W["tool_events"]}, decisions as (select seq, session, tokens, c
 add("policy_decisions", lambda s, d: runs.policy_decisions(V.tool_events(s, d)), f"with {DECISIONS} select * from decisions")
 add("policy_dashboard", lambda s, d: runs.policy_dashboard(runs.policy_decisions(V.tool_events(s, d))), f"""with {DECISIONS} select session, count(*) as calls, {", ".join(f"count(*) filter (decision = '{k}') as n_{k}" for k in ("pass", "recommend", "reduce", "deny"))}, {big("sum(case when decision = 'reduce' then tokens else 0 end)")} as tokens_reducible from decisions group by session""")
 
+EVENT_ROWS = f"""event_rows as (select event_id as id, user_id as session, event_type = 'purchase' as usage, event_type = 'signup' as boundary, case k % 3 when 0 then lag(event_id, 1) over w when 1 then lag(event_id, 2) over w else lag(event_id, 3) over w end as parent
+    from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k from events) window w as (partition by user_id order by event_id))"""
+LINEAGE = f"""recursive {EVENT_ROWS}, up(id, cur, crossed) as (select id, parent, false from event_rows union all select up.id, c.parent, up.crossed or c.boundary from up join event_rows c on up.cur = c.id where not c.usage),
+    lineage as (select up.id, up.cur as ancestor, up.crossed from up left join event_rows c on up.cur = c.id where up.cur is null or c.usage)"""
+add("lineage_parent", lambda s, d: usage.lineage_parent(V.event_rows(s, d)), f"with {LINEAGE} select * from lineage")
+add("forks", lambda s, d: usage.forks(V.event_rows(s, d), usage.lineage_parent(V.event_rows(s, d))), f"""with {LINEAGE}, u as (select session, id, lag(id) over (partition by session order by id) as latest from event_rows where usage) select session, id, ancestor, latest from u join lineage using (id) where ancestor <> latest""")
+add("recache_by_bucket", lambda s, d: usage.recache_by_bucket(V.requests(s, d)), f"""with {W["requests"]}, r as (select *, lag(cache_read + cache_write) over w as held, lag(model) over w as p_model, (epoch_us(ts) - epoch_us(lag(ts) over w)) / 6e7 as gap from requests window w as (partition by session order by turn)),
+    q as (select *, least(cache_write, greatest(0, held - cache_read)) as rebuilt, case when model <> p_model then 'model' when gap < 5 then 'within_5m' when gap < 60 then 'within_1h' else 'expired' end as bucket from r where held is not null)
+    select bucket, count(*) as requests, {big("sum(rebuilt)")} as rebuilt, {big("sum(cache_write)")} as written from q where rebuilt > 0 group by bucket""")
+add("cache_churn", lambda s, d: usage.cache_churn(V.requests(s, d)), f"with {W['requests']} select session, {big('sum(cache_write)')} as written, {big('sum(input + output)')} as fresh, {big('greatest(0, sum(cache_write) - sum(input + output))')} as churn from requests group by session")
+add("reset_boundaries", lambda s, d: usage.reset_boundaries(V.requests(s, d)), f"""with {W["requests"]}, r as (select session, turn, input + cache_read + cache_write as total, lag(input + cache_read + cache_write) over (partition by session order by turn) as before from requests) select session, turn, total, before from r where before > 50000 and total < before * 0.6""")
+add("boundaries_since_previous", lambda s, d: usage.boundaries_since_previous(V.event_rows(s, d)), f"""with {EVENT_ROWS}, r as (select *, count(*) filter (boundary) over (partition by session order by id) as seen from event_rows) select session, id, seen - coalesce(lag(seen) over (partition by session order by id), 0) as boundaries from r where usage""")
+add("next_user_turn", lambda s, d: usage.next_user_turn(V.table(s, d, "conversations")), "select conv_id, turn, (select min(b.turn) from conversations b where b.conv_id = a.conv_id and b.turn > a.turn and b.role = 'user') as next_user from conversations a")
+STALE = """calls as (select source as session, lang as args, row_number() over (partition by source order by doc_id) as turn, sha1(text) as hash, cast(floor(length(text) / 4) as bigint) as tokens from documents), lastt as (select session, max(turn) as last_turn from calls group by session)"""
+add("stale_results", lambda s, d: usage.stale_results(V.calls(s, d)), f"""with {STALE}, n as (select *, lead(hash) over w as next_hash, lead(turn) over w as stale_from from calls window w as (partition by session, args order by turn)) select session, turn, stale_from, tokens * (last_turn - stale_from) as token_turns from n join lastt using (session) where next_hash <> hash""")
+add("opportunity_pools", lambda s, d: usage.opportunity_pools(V.calls(s, d)), f"""with {STALE} select session, count(*) as results, {big("sum(case when tokens >= 500 then tokens else 0 end)")} as large_tokens, {big("sum(case when last_turn - turn > 50 then tokens else 0 end)")} as old_tokens from calls join lastt using (session) group by session""")
+add("corpus_rollup", lambda s, d: usage.corpus_rollup(V.tool_events(s, d)), f"with {W['tool_events']} select kind, representation, count(*) as calls, count(*) filter (success) as succeeded, {big('sum(tokens)')} as tokens from tool_events group by grouping sets ((kind), (representation), ())")
+add("token_shares", lambda s, d: usage.token_shares(read_labels(s, d)), f"""with {LABELS}, g as (select "window", class, {big("sum(tokens)")} as tokens from labels_ group by all) select *, round(100 * tokens / nullif(sum(tokens) over (partition by "window"), 0), 4) as share from g""")
+add("support_paths", lambda s, d: usage.support_paths(V.tool_events(s, d)), f"with {W['tool_events']} select distinct stream, path from tool_events where kind = 'read' and path is not null except select stream, path from tool_events where kind = 'edit'")
+add("attribute_tokens", lambda s, d: usage.attribute_tokens(V.tool_events(s, d)), f"with {W['tool_events']} select batch, count(*) as reads, {big('sum(tokens)')} as tokens, case when count(*) = 1 then 'attributed' else 'ambiguous' end as attribution from tool_events where kind = 'read' and batch is not null group by batch")
+add("call_fingerprints", lambda s, d: V.tool_events(s, d).groupBy(usage.call_fingerprint(F.col("kind"), F.col("representation"), F.col("path"), F.col("version")).alias("fingerprint")).agg(F.count("*").alias("calls")), f"with {W['tool_events']} select sha1(concat_ws('|', kind, representation, path, version)) as fingerprint, count(*) as calls from tool_events group by 1")
+add("rewrite_amplification", lambda s, d: usage.rewrite_amplification(V.file_versions(s, d)), """with v as (select source as session, lang as path, row_number() over (partition by source, lang order by doc_id) - 1 as version, text from documents), l as (select session, path, version, unnest(string_split(text, chr(10))) as line from v),
+    c as (select session, path, version, line, count(*) as n from l group by all), lastv as (select session, path, max(version) as last_version from v group by all), d as (select session, path, version, line, n from c union all select session, path, version + 1, line, -n from c join lastv using (session, path) where version < last_version),
+    g as (select session, path, version, line, sum(n) as n from d where version > 0 group by all) select session, path, version, cast(sum(greatest(n, 0)) as bigint) as added, cast(sum(greatest(-n, 0)) as bigint) as removed from g group by all""")
+add("top_items", lambda s, d: usage.top_items(V.table(s, d, "lineitem"), "l_suppkey", "l_partkey"), """with g as (select l_suppkey, l_partkey, count(*) as n from lineitem group by all), r as (select *, row_number() over (partition by l_suppkey order by n desc, l_partkey) as rank, count(*) over (partition by l_suppkey) as held from g)
+    select l_suppkey, string_agg(l_partkey || ':' || n, ',' order by rank) filter (rank <= 12) as listed, greatest(0, max(held) - 12) as more from r group by l_suppkey""")
+add("callers", lambda s, d: usage.callers(V.code_edges(s, d), "USES"), f"with {EDGES}, e as (select distinct dst, src from code_edges where type = 'USES'), r as (select *, row_number() over (partition by dst order by src) as rank, count(*) over (partition by dst) as total from e) select dst, src, total from r where rank <= 5")
+add("symbol_at", lambda s, d: usage.symbol_at(V.spans(s, d), V.places(s, d)), """with spans as (select o_orderkey as id, o_custkey as path, o_orderkey % 500 as start_line, o_orderkey % 500 + 1 + o_orderkey % 97 as end_line from orders), places as (select distinct c_custkey as path, c_custkey * 7 % 500 as line from customer),
+    r as (select p.path, line, id, row_number() over (partition by p.path, line order by end_line - start_line, start_line desc, id) as rank, count(*) over (partition by p.path, line) as enclosing from places p join spans s on p.path = s.path and line between start_line and end_line) select path, line, id, enclosing from r where rank = 1""")
+add("search_symbols", lambda s, d: usage.search_symbols(symbols(s, d), WANTED), f"""with {SYMBOLS}, x as (select id, qualified, query, case when qualified = query then 0 when suffix(qualified, query) then 1 when contains(qualified, query) then 2 end::bigint as kind from symbols, (values {", ".join(f"('{w}')" for w in WANTED)}) q(query)),
+    r as (select query, row_number() over (partition by query order by kind, length(qualified), qualified, id) as rank, kind, id from x where kind is not null) select * from r where rank <= 10""")
+add("expansion_debt", lambda s, d: usage.expansion_debt(V.table(s, d, "orders").select(F.col("o_orderkey").alias("id")), V.table(s, d, "lineitem").select(F.col("l_orderkey").alias("parent_id"), F.col("l_quantity").cast("bigint").alias("tokens"))), """with g as (select l_orderkey, count(*) as n, cast(sum(cast(l_quantity as bigint)) as bigint) as t from lineitem group by 1)
+    select o_orderkey as id, coalesce(n, 0) as expansions, coalesce(t, 0) as debt from orders left join g on o_orderkey = l_orderkey""")
+add("token_crosscheck", lambda s, d: usage.token_crosscheck(V.requests(s, d).select("id", F.col("input").alias("tokens")), V.tool_events(s, d).select(F.col("seq").alias("id"), F.floor(F.col("tokens") / 4).alias("tokens"))), f"""with {W["requests"]}, {W["tool_events"]}, b as (select input as a, cast(floor(tokens / 4) as bigint) as b from requests join tool_events on id = seq)
+    select b is null as unmeasured, count(*) as compared, count(*) filter (abs(a - b) <= 0.1 * greatest(b, 1)) as agreed from b group by 1""")
+MARKED = "(?i)\\b(license|reserved|token)\\b"
+add("reduce_file", lambda s, d: sha(compaction.reduce_file(V.tool_outputs(s, d), MARKED, 1000), "kept"), f"""with {W["tool_outputs"]}, {LINES}, r as (select *, sum(length(line) + 1) over (partition by id order by pos) as spent from tlines where pos < 6 or regexp_matches(line, '{MARKED}')),
+    g as (select *, pos - coalesce(lag(pos) over (partition by id order by pos), -1) - 1 as gap from r where spent <= 1000) select id, sha256(string_agg(case when gap > 0 then '... ' || gap || ' lines' || chr(10) || line else line end, chr(10) order by pos)) as reduced_sha256, count(*) as kept from g group by id""")
+add("reduce_tests", lambda s, d: sha(compaction.reduce_tests(V.tool_outputs(s, d), "(?i)\\btoken\\b", "(?i)\\b(license|reserved)\\b"), "kept"), f"""with {W["tool_outputs"]}, {LINES}, m as (select *, regexp_matches(line, '(?i)\\btoken\\b') as failed from tlines where regexp_matches(line, '(?i)\\b(token|license|reserved)\\b')),
+    b as (select *, row_number() over (partition by id, failed order by pos desc) as back, bool_or(failed) over (partition by id) as any_failed from m), g as (select id, line, min(pos) as rank from b where failed or back <= case when any_failed then 3 else 1 end group by all)
+    select id, sha256(string_agg(line, chr(10) order by rank)) as reduced_sha256, count(*) as kept from g group by id""")
+
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q for name, (q, _) in Q.items()}

@@ -53,6 +53,36 @@ def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uses
 
 
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a lineage: each event follows one of the three events before it; purchases have usage, signups are boundaries."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    before = lambda n: F.lag("event_id", n).over(w)
+    e = table(spark, sf_dir, "events").withColumn("k", number())
+    parent = F.when(F.col("k") % 3 == 0, before(1)).when(F.col("k") % 3 == 1, before(2)).otherwise(before(3))
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("session"), (F.col("event_type") == "purchase").alias("usage"), (F.col("event_type") == "signup").alias("boundary"), parent.alias("parent"))
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of calls that come again: the language stands for a call's arguments."""
+    w = Window.partitionBy("source").orderBy("doc_id")
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("session"), F.col("lang").alias("args"), F.row_number().over(w).cast("bigint").alias("turn"), F.sha1("text").alias("hash"), F.floor(F.length("text") / 4).alias("tokens"))
+
+
+def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("source", "lang").orderBy("doc_id")
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("session"), F.col("lang").alias("path"), (F.row_number().over(w) - 1).cast("bigint").alias("version"), "text")
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("o_orderkey") % 500
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("path"), start.alias("start_line"), (start + 1 + F.col("o_orderkey") % 97).alias("end_line"))
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), (F.col("c_custkey") * 7 % 500).alias("line")).distinct()
+
+
 SQL = {
     "requests": """select user_id as session, event_id as id, row_number() over (partition by user_id order by ts, event_id) - 1 as turn, event_type as model, ts,
         cast(floor(value) as bigint) as input, cast(floor(value * 1000) as bigint) as cache_read, k * 100 as cache_write, k as output, k % 3 as version
