@@ -35,6 +35,8 @@ MATCHES = 25
 #: Classes of one block in full comparisons, and members that one task confirms against a centre.
 BLOCK = 800
 MEMBERS = 400
+#: Parts of the bitmap of needed ids, of 4 KB each: 8 MB at most, whatever the input.
+FILTER_PARTS = 2048
 WORDS_KEPT = 1_000_000
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -144,13 +146,26 @@ def colliding(pairs: DataFrame, classes: DataFrame, matches: int, least: float)
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(keep, "a long, b long")
 
 
+def only_needed(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text) without most rows whose id is not in ``needed`` (rep): a bitmap of the hashed ids goes to all
+    tasks, so that texts nobody asks for are not shuffled. Its size is fixed (``FILTER_PARTS`` parts of 4 KB); ids that share
+    a bit come through and are dropped by the join that follows."""
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_PARTS))
+    bit = lambda c: F.pmod(F.shiftright(F.xxhash64(c), 32), F.lit(32768))
+    bits = needed.groupBy(part("rep").alias("filter_part")).agg(F.bitmap_construct_agg(bit("rep")).alias("bits"))
+    found = rows.join(F.broadcast(bits), part("doc_id") == F.col("filter_part"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit("doc_id"), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return found.filter(F.getbit(byte, (bit("doc_id") % 8).cast("int")) == 1).select("doc_id", "text")
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. Pairs come to the texts by centre b, in
     salted parts of about ``MEMBERS``, as one sorted stream: a task holds one centre's set and one member's at a time."""
     parts = pairs.groupBy("b").agg(F.expr(f"cast(ceil(count(*) / {MEMBERS}) as int)").alias("parts"))
     dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.hash("a"), F.col("parts"))).drop("parts")
     need = dealt.select(F.col("a").alias("nid"), "b", "part", F.lit(1).alias("kind")).unionByName(dealt.select(F.col("b").alias("nid"), "b", "part", F.lit(0).alias("kind")).distinct())
-    need = need.join(classes.select("nid", "rep", "set_id"), "nid")
+    need = stored(need.join(classes.select("nid", "rep", "set_id"), "nid"), "needed")
+    rows = only_needed(rows, need)
     texts = need.join(rows, need["rep"].eqNullSafe(rows["doc_id"])).select("b", "part", "kind", "nid", "set_id", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +193,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
 def components(edges: DataFrame) -> DataFrame:
     """(nid, root): the least node that each linked node reaches, by alternating large and small stars."""
     edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    before = fingerprint(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -186,9 +202,15 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         small = stored(small, "edges")
-        if not small.join(edges, ["u", "v"], "left_anti").limit(1).count() and not edges.join(small, ["u", "v"], "left_anti").limit(1).count():
+        if (now := fingerprint(small)) == before:
             return small.select(F.col("u").alias("nid"), F.col("v").alias("root"))
-        edges = small
+        edges, before = small, now
+
+
+def fingerprint(edges: DataFrame) -> tuple:
+    """Three numbers that tell whether two tables hold the same edges, each once."""
+    both = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count("*"), F.sum(both.cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
 
 def set_identity(s: np.ndarray) -> bytes:
@@ -291,7 +313,9 @@ def across(lists: DataFrame, classes: DataFrame, rows: DataFrame, size: int, per
     meets = meets.join(known.drop("set_id", "rep"), "nid").repartition("key", "both", "i", "j").sortWithinPartitions(*sorts)
     again = meets.mapInArrow(streamed(involved), "key long, nid long, root long, outside boolean, both boolean, i int, j int")
     again = stored(again, "involved")  # texts go only to the lists where their pairs are decided
-    texts = known.join(again.select("nid").distinct(), "nid").join(rows, F.col("rep").eqNullSafe(rows["doc_id"])).select("nid", "keys", "n", "signature", "set_id", "text")
+    wanted = stored(known.join(again.select("nid").distinct(), "nid"), "wanted")
+    rows = only_needed(rows, wanted)
+    texts = wanted.join(rows, F.col("rep").eqNullSafe(rows["doc_id"])).select("nid", "keys", "n", "signature", "set_id", "text")
     return again.join(texts, "nid").repartition("key", "both", "i", "j").sortWithinPartitions(*sorts).mapInArrow(streamed(linked), "a long, b long")
 
 
@@ -358,7 +382,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, matches:
     rest = lists.join(roots, "nid", "left").select("key", "nid", F.coalesce("root", "nid").alias("root"))
     further = stored(across(rest, classes, rows, size, percent, matches), "further")
     if further.limit(1).count():
-        roots = components(links.unionByName(further))
+        roots = components(further.unionByName(roots.select(F.col("nid").alias("a"), F.col("root").alias("b"))))
     grouped = classes.join(roots, "nid", "left").select("set_id", "rep", F.coalesce("root", "nid").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = grouped.join(lowest, "root").select("set_id", "component_id")
