@@ -1,5 +1,6 @@
 """Every registered query of the session-log operators against its SQL, on the smallest tables."""
 
+import os
 from pathlib import Path
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 
 from turnledger.plans import registry
 
-SF = Path("/root/testdata/sf0.001")
+SF = Path(os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001"))
 
 
 @pytest.fixture(scope="module")

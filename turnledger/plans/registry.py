@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnledger.functions import columns as C
-from turnledger.operators import compaction, graph, labels, ledger, retirement, runs, usage
+from turnledger.operators import compaction, evidence, graph, labels, ledger, retirement, runs, usage
 from turnledger.sources import driver_views as V
 
 TTL = 720
@@ -247,6 +247,30 @@ add("reduce_tests", lambda s, d: sha(compaction.reduce_tests(V.tool_outputs(s, d
     b as (select *, row_number() over (partition by id, failed order by pos desc) as back, bool_or(failed) over (partition by id) as any_failed from m), g as (select id, line, min(pos) as rank from b where failed or back <= case when any_failed then 3 else 1 end group by all)
     select id, sha256(string_agg(line, chr(10) order by rank)) as reduced_sha256, count(*) as kept from g group by id""")
 
+add("read_versions", lambda s, d: evidence.read_versions(V.version_calls(s, d)), f"""with {W["tool_events"]}, c as (select seq, kind, success, version as pre, lead(version) over (partition by stream, path order by seq) as post from tool_events)
+    select seq, case when kind = 'edit' or pre = post then pre end as version, case when pre is null or post is null then 'unverified' when kind = 'edit' or pre = post then 'stable' else 'raced' end as version_status,
+    case when kind = 'edit' then case when pre is null or post is null then 'unverified' else 'verified_change' end end as mutation_status,
+    case when success then 'success' when kind <> 'edit' then 'failed' when pre is null or post is null then 'failed_uncertain' else 'failed_partial' end as outcome from c where not coalesce(kind = 'edit' and pre = post, false)""")
+add("measure_responses", lambda s, d: evidence.measure_responses(V.response_blocks(s, d)), """with g as (select conv_id as id, string_agg(coalesce(text, ''), '' order by turn, coalesce(text, '')) filter (role <> 'system') as t, count(*) filter (role <> 'system') as texts, count(*) filter (role = 'system') as others from conversations group by 1)
+    select id, length(t) as chars, cast(floor(length(t) / 4) as bigint) as tokens, substr(sha1(t), 1, 16) as text_hash, case when texts > 0 and others > 0 then 'text_partial_multimodal' when texts > 0 then 'text' else 'multimodal' end as status from g""")
+add("causal_histogram", lambda s, d: evidence.causal_histogram(read_labels(s, d)), f"""with {LABELS} select "window", case when distance <= 0 then '0' when distance = 1 then '1' when distance = 2 then '2' when distance <= 4 then '3-4' when distance <= 8 then '5-8' when distance <= 16 then '9-16' when distance <= 32 then '17-32' else '>32' end as bucket, count(*) as links
+    from labels_ where class = 'precondition' group by all""")
+add("admission_gates", lambda s, d: evidence.admission_gates(V.tool_events(s, d)), f"""with {W["tool_events"]}, g as (select session, count(*) as events, bool_and(step is not null) as steps_clean, coalesce(bool_and(tokens is not null) filter (kind = 'read'), false) as token_share_eligible, count(*) filter (status <> 'stable') <= 0.5 * count(*) as versions_clean from tool_events group by session)
+    select *, steps_clean and token_share_eligible and versions_clean as admissible from g""")
+add("reduce_git", lambda s, d: sha(evidence.reduce_git(V.diffs(s, d)), "added", "removed"), """with d as (select doc_id as id, 'commit ' || doc_id || chr(10) || replace(replace(replace(text, '. ', chr(10) || '+'), ', ', chr(10) || '-'), chr(10) || 'T', chr(10) || '@@ T') as text from documents), tl as (select id, ls, unnest(range(1, len(ls) + 1)) as i from (select id, string_split(text, chr(10)) as ls from d)),
+    l as (select id, i, ls[i] as line, regexp_matches(ls[i], '^(commit |Author:|Date:|diff --git|\\+\\+\\+|---|@@)') as header from tl), g as (select id, string_agg(line, chr(10) order by i) filter (header) as kept, count(*) filter (not header and line[1] = '+') as added, count(*) filter (not header and line[1] = '-') as removed from l group by id)
+    select id, sha256(kept || chr(10) || '[+' || added || ' / -' || removed || ' changed lines]') as reduced_sha256, added, removed from g""".replace("\\\\", "\\"))
+add("staleness_safety", lambda s, d: evidence.staleness_safety(V.context_objects(s, d), V.mentions(s, d)), f"""with {W["context_objects"]}, e as (select session, max(turn) as last_turn from context_objects group by 1), t as (select session, key, max(turn) as tail_turn, max_by(size, turn) as size from context_objects group by all),
+    m as (select source as session, lang || '-' || ((n_chars + 1) % 5) as key, row_number() over (partition by source order by doc_id) as turn from documents), n as (select session, key, max(turn) as needed from m group by all),
+    r as (select t.*, last_turn, needed, lag, tail_turn + lag as retired from t join e using (session) left join n using (session, key), (values (0), (3), (5), (10), (20)) l(lag)) select session, lag, count(*) as n_retired, count(*) filter (coalesce(needed <= retired, true)) as n_safe,
+    {big("sum(size * (last_turn - retired))")} as tail_gross, {big("sum(case when coalesce(needed <= retired, true) then size * (last_turn - retired) else 0 end)")} as safe_gross from r where retired < last_turn group by all""")
+add("path_scores", lambda s, d: evidence.path_scores(paths(s, d)[0].withColumn("score", F.length("path").cast("bigint")), paths(s, d)[1]), r"""with f as (select distinct regexp_replace(url, '^https?://', '') as path from pages), a as (select distinct regexp_extract(url, '/([a-z]+/[0-9]+)$', 1) as path from pages where page_id % 2 = 0), q as (select path from a where path <> '')
+    select q.path, coalesce(max(length(f.path)) filter (f.path = q.path), max(length(f.path))) as score from q join f on f.path = q.path or suffix(f.path, '/' || q.path) or suffix(q.path, '/' || f.path) group by 1""")
+add("symbols_overlapping_reads", lambda s, d: evidence.symbols_overlapping_reads(V.spans(s, d), V.line_reads(s, d)), "select c_custkey as read_id, o_orderkey as id from customer join orders on o_custkey = c_custkey and o_orderkey % 500 <= c_custkey * 7 % 500 + 40 and o_orderkey % 500 + 1 + o_orderkey % 97 >= c_custkey * 7 % 500")
+add("prefix_composition", lambda s, d: evidence.prefix_composition(V.tool_events(s, d), V.requests(s, d)), f"""with {W["tool_events"]}, {W["requests"]}, g as (select session, {big("coalesce(sum(tokens) filter (kind = 'read' and representation = 'file'), 0)")} as file_tokens, {big("coalesce(sum(tokens) filter (kind = 'read' and representation = 'search'), 0)")} as search_tokens, {big("sum(tokens)")} as tokens from tool_events group by session),
+    w as (select session, min_by(cache_write, turn) as first_write from requests where cache_write > 0 group by session) select session, file_tokens, search_tokens, tokens, round(100 * file_tokens / nullif(tokens, 0), 2) as file_share, first_write from g left join w using (session)""")
+add("stratified_means", lambda s, d: evidence.stratified_means(V.session_means(s, d), "value"), f"""with {W["requests"]}, g as (select session, count(*) as turns, avg(cache_read) as avg_read, sum(cache_write) / count(*) as value from requests group by session)
+    select cast(case when turns < 60 then 0 when turns < 100 then 1 when turns < 150 then 2 else 3 end as bigint) as stratum, count(*) as sessions, round(avg(turns), 4) as mean_turns, round(avg(value), 4) as mean_value from g where avg_read <= 210000 group by 1""")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -83,6 +83,39 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), (F.col("c_custkey") * 7 % 500).alias("line")).distinct()
 
 
+def version_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with the digest before, and as digest after the one that the next call of the stream and path found."""
+    after = F.lead("version").over(Window.partitionBy("stream", "path").orderBy("seq"))
+    return tool_events(spark, sf_dir).select("seq", "kind", F.col("version").alias("pre"), after.alias("post"), "success")
+
+
+def response_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as responses in blocks; system turns stand for images."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), F.when(F.col("role") == "system", "image").otherwise("text").alias("type"), "text")
+
+
+def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as diffs: sentences are added lines, clauses removed ones, paragraphs that begin with T are hunks."""
+    text = F.replace(F.replace(F.replace("text", F.lit(". "), F.lit("\n+")), F.lit(", "), F.lit("\n-")), F.lit("\nT"), F.lit("\n@@ T"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("commit "), F.col("doc_id").cast("string"), F.lit("\n"), text).alias("text"))
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns whose input names the key of another object: the one with the next remainder."""
+    w = Window.partitionBy("source").orderBy("doc_id")
+    d = table(spark, sf_dir, "documents").withColumn("turn", F.row_number().over(w).cast("bigint"))
+    return d.select(F.col("source").alias("session"), F.concat_ws("-", "lang", ((F.col("n_chars") + 1) % 5).cast("string")).alias("key"), "turn")
+
+
+def line_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.col("c_custkey") * 7 % 500
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("read_id"), F.col("c_custkey").alias("path"), low.alias("lo"), (low + 40).alias("hi"))
+
+
+def session_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests(spark, sf_dir).groupBy("session").agg(F.count("*").alias("turns"), F.avg("cache_read").alias("avg_read"), (F.sum("cache_write") / F.count("*")).alias("value"))
+
+
 SQL = {
     "requests": """select user_id as session, event_id as id, row_number() over (partition by user_id order by ts, event_id) - 1 as turn, event_type as model, ts,
         cast(floor(value) as bigint) as input, cast(floor(value * 1000) as bigint) as cache_read, k * 100 as cache_write, k as output, k % 3 as version
