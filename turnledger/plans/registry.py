@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnledger.functions import columns as C
-from turnledger.operators import compaction, evidence, graph, labels, ledger, retirement, runs, usage
+from turnledger.operators import compaction, evidence, graph, labels, ledger, reduction, retirement, runs, usage
 from turnledger.sources import driver_views as V
 
 TTL = 720
@@ -80,6 +80,13 @@ def redacted(s: SparkSession, d: str) -> DataFrame:
     return V.table(s, d, "documents").select("doc_id", C.redactions(text).cast("bigint").alias("redactions"), F.sha2(C.redact(text), 256).alias("redacted_sha256"))
 
 
+def layers(s: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
+    """Parts by size, by the line they are first ordered in, and by availability."""
+    size = V.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("rank"))
+    ordered = V.table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.min("l_linenumber").alias("rank"))
+    return [("size", size), ("ordered", ordered), ("quantity", V.table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.min(F.col("l_quantity").cast("bigint")).alias("rank")))]
+
+
 def sha(df: DataFrame, *more: str) -> DataFrame:
     return df.select("id", F.sha2("reduced", 256).alias("reduced_sha256"), *more)
 
@@ -271,6 +278,21 @@ add("prefix_composition", lambda s, d: evidence.prefix_composition(V.tool_events
     w as (select session, min_by(cache_write, turn) as first_write from requests where cache_write > 0 group by session) select session, file_tokens, search_tokens, tokens, round(100 * file_tokens / nullif(tokens, 0), 2) as file_share, first_write from g left join w using (session)""")
 add("stratified_means", lambda s, d: evidence.stratified_means(V.session_means(s, d), "value"), f"""with {W["requests"]}, g as (select session, count(*) as turns, avg(cache_read) as avg_read, sum(cache_write) / count(*) as value from requests group by session)
     select cast(case when turns < 60 then 0 when turns < 100 then 1 when turns < 150 then 2 else 3 end as bigint) as stratum, count(*) as sessions, round(avg(turns), 4) as mean_turns, round(avg(value), 4) as mean_value from g where avg_read <= 210000 group by 1""")
+add("reduce_search", lambda s, d: sha(reduction.reduce_search(V.tool_outputs(s, d), 256, "(?i)\\btoken\\b"), "matches", "files", "diagnostics", "kept"), f"""with {W["tool_outputs"]}, {LINES}, r as (select *, regexp_matches(line, '(?i)\\btoken\\b') as diagnostic, case when regexp_matches(line, '^(.*?):([0-9]+):') then regexp_extract(line, '^(.*?):([0-9]+):', 1) when regexp_matches(line, '^([^:]+):') then regexp_extract(line, '^([^:]+):', 1) else line end as path from tlines where trim(line) <> ''),
+    h as (select id, count(*) filter (not diagnostic) as matches, count(distinct path) filter (not diagnostic) as files, count(*) filter (diagnostic) as diagnostics, coalesce(sum(length(line) + 1) filter (diagnostic), 0) as spoken from r group by id),
+    k as (select id, pos, line, diagnostic, sum(length(line) + 1) over (partition by id, diagnostic order by pos) as spent from r), b as (select id, string_agg(line, chr(10) order by not diagnostic, pos) as body, count(*) filter (not diagnostic) as kept from k join h using (id) where diagnostic or spent <= 1024 - spoken group by id)
+    select id, sha256(concat_ws(chr(10), matches || ' matches in ' || files || ' file(s)', body)) as reduced_sha256, matches, files, diagnostics, coalesce(kept, 0) as kept from h left join b using (id)""".replace("\\\\b", "\\b"))
+add("reduction_scan", lambda s, d: reduction.reduction_scan(V.tool_outputs(s, d).withColumn("text", F.regexp_replace("text", "token = ", "\ntoken = "))), f"""with x as (select doc_id as id, regexp_replace(text, 'token = ', chr(10) || 'token = ', 'g') as text from documents), y as (select id, text, string_split(text, chr(10)) as ls from x),
+    z as (select id, length(text) as before, octet_length(encode(text)) as bytes, case when len(ls) > 20 then length(array_to_string(ls[1:10] || ls[len(ls) - 9:], chr(10))) else length(text) end as after from y), s as ({Q["redact_documents"][1]}),
+    q as (select *, case when before // 4 < 400 then 'below_floor' when bytes > 200000 then 'too_large' when redactions > 0 then 'secret' when after >= before then 'not_smaller' else 'reduced' end as reason from z join s on id = doc_id)
+    select reason, count(*) as outputs, {big("sum(before // 4)")} as raw_tokens, {big("sum(case when reason = 'reduced' then after // 4 else before // 4 end)")} as reduced_tokens from q group by reason""")
+add("candidate_pool", lambda s, d: reduction.candidate_pool(layers(s, d)), """with e as (select p_partkey as id, cast(p_size as bigint) as rank, 0 as k, 'size' as layer from part union all select l_partkey, min(l_linenumber), 1, 'ordered' from lineitem group by 1 union all select l_partkey, min(cast(l_quantity as bigint)), 2, 'quantity' from lineitem group by 1),
+    r as (select *, row_number() over (partition by id order by rank, k) as n from e) select id, cast(rank as bigint) as rank, layer from r where n = 1""")
+add("file_read_ceiling", lambda s, d: reduction.file_read_ceiling(V.tool_events(s, d)), f"""with {W["tool_events"]}, e as (select session, greatest(max(step), 1) as last_step from tool_events group by 1), f as (select session, path, min(step) as edit_step from tool_events where kind = 'edit' group by all),
+    r as (select t.session, tokens * greatest(last_step - step, 0) as rest, edit_step is null as free, tokens * greatest(edit_step - step, 0) as held from tool_events t join e using (session) left join f on f.session = t.session and f.path = t.path where kind = 'read' and representation = 'file')
+    select session, count(*) as reads, count(*) filter (free) as reducible_reads, cast(floor(sum(rest) * 80 / 100) as bigint) as raw_saving, cast(floor(sum(case when free then rest else 0 end) * 80 / 100) as bigint) as reducible_saving, cast(floor(sum(case when free then rest else held end) * 80 / 100) as bigint) as residency_saving from r group by session""")
+add("effective_price", lambda s, d: reduction.effective_price(V.requests(s, d), PRICES), f"with {W['requests']} select version, count(*) as requests, round(avg(case when contains(model, 'purch') then 5.0::double when contains(model, 'c') then 3 when contains(model, 'view') then 1 else 2 end), 6) as effective from requests group by version")
+add("continuation", lambda s, d: reduction.continuation(V.event_rows(s, d).select("id", "session"), V.event_rows(s, d).filter("usage")), f"with {EVENT_ROWS} select id, session from event_rows where id not in (select id from event_rows where usage)")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,3 +29,9 @@ def transcript_requests(lines: DataFrame, keep: str = "last") -> DataFrame:
 def replace_sessions(df: DataFrame, path: str, by: str = "session") -> None:
     """Idempotent re-ingest: each session in ``df`` replaces its own partition and no other."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def require_version(rows: DataFrame, version: str, column: str = "schema_version") -> DataFrame:
+    """``rows``, which fail where they are read if any row carries another schema version, or none."""
+    fits = F.col(column).eqNullSafe(F.lit(version))
+    return rows.filter(F.when(fits, True).otherwise(F.raise_error(F.concat(F.lit("unexpected schema version "), F.coalesce(F.col(column).cast("string"), F.lit("none")))).cast("boolean")))
