@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from turnledger.functions import columns as C
 
+#: How header and hunk lines of diffs and logs begin.
+GIT_HEADERS = ("commit ", "Author:", "Date:", "diff --git", "+++", "---", "@@")
+
 
 def count_if(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
@@ -57,7 +60,7 @@ def reduce_git(outputs: DataFrame) -> DataFrame:
     """(id, reduced, added, removed): header and hunk lines of diffs and logs stay, changed lines are counted."""
     line = F.col("line")
     header = F.lit(False)
-    for start in ("commit ", "Author:", "Date:", "diff --git", "+++", "---", "@@"):
+    for start in GIT_HEADERS:
         header |= line.startswith(start)
     rows = outputs.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("header", header)
     kept = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("header"), F.struct("pos", "line")))), lambda r: r["line"]), "\n")
