@@ -213,6 +213,28 @@ def test_fuzzy_lexicon_equals_brute_force():
         assert lexicon.match(w) == want, w
 
 
+def test_scorer_sees_disguised_words_and_long_quotations():
+    terms = {"idiot": 1.0, "stupid": 2.0, "scum": 3.0}
+    scorer = toxicity.Scorer(terms, {})
+    weight = lambda t: round(np.expm1(scorer.features(t)[0]), 6)
+    assert [weight(f"you {w} there") for w in ("idi0t", "(st@pid)!", "sc*m,", "stpuid", "idiot,st@pid", "st.pid", "idiot's")] == [1, 2, 3, 2, 3, 2, 1]
+    assert [weight(f"you {w} there") for w in ("scun", "sucm", "s**m", "st@p1d", "2024", "***")] == [0] * 6
+    quoted = lambda t: round(np.expm1(scorer.features(t)[5]), 6)
+    filler = "word4 " * 60
+    assert quoted(f'a "b {filler} idiot c {filler} scum d" e') == 4
+    assert quoted(f"a „b {filler} idiot c“ {filler} scum d") == 1
+    assert quoted(f'idiot "b c" {filler} scum 5" wide {filler} stupid') == 0
+    assert quoted(f'a "b {filler} idiot never closed') == 0
+
+    def near(a, b):
+        swaps = any(a[:i] + a[i + 1 : i + 2] + a[i : i + 1] + a[i + 2 :] == b for i in range(len(a) - 1))
+        return swaps or any(a[:i] + a[i + 1 :] == b for i in range(len(a))) or any(b[:i] + b[i + 1 :] == a for i in range(len(b))) or len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1
+
+    for w in {t[:i] + x + t[j:] for t in ("idiot", "stupid") for i in range(7) for j in range(7) for x in ("", "i", "ut", "pu", "to")}:
+        want = (terms[w], 0) if w in terms else next(((v, 1) for t, v in terms.items() if len(t) >= 5 and near(w, t)), None)
+        assert scorer.lexicon.match(w) == want, w
+
+
 def test_models_on_held_out_rows(spark, docs, empty):
     ship_package(spark)
     con = duckdb.connect()

@@ -3,8 +3,9 @@
 The lexicon is learned from labelled rows: words (and word beginnings shared by several such words) that toxic documents hold
 and others do not. It becomes a trie that is intersected with a Levenshtein automaton of distance one; the product automaton is
 built lazily, state by state, so a word costs a few dictionary steps and most words end in the dead state early. Each hit adds
-its weight to the window of words around it; hits inside quotation marks or after a reporting word count apart, so that the
-final logistic model can tell quotation from abuse. The model learns on one half of the labelled
+its weight to the window of words around it; hits inside quotations or after a reporting word count apart, so that the
+final logistic model can tell quotation from abuse. Words are looked up with the digits and symbols inside them, two swapped
+letters are one edit, and short terms may have one letter masked by a digit or symbol. The model learns on one half of the labelled
 rows with a lexicon from the other half, so that chance words of the lexicon get no credit.
 """
 
@@ -31,27 +32,36 @@ CONTEXT, BEFORE = 12, 4
 #: Words that report speech.
 REPORTING = frozenset("said says wrote called quote quoted quotes quoting word term cited sagte schrieb zitat wort dit écrit citation mot dijo escribió cita palabra".split())
 WORD = re.compile(r"[^\W\d_]+")
+#: Punctuation that parts words without white space, and what may stand around a word.
+PARTS, OUTER = re.compile(r"[,;:.?…/—–()\[\]{}<>\"“”„«»]+"), re.compile(r"^[\W_]+|[\W_]+$")
 QUOTES = frozenset("\"'“”„«»‹›‘’`")
+#: Marks that open a quotation that can run over several words, and those that close it.
+MARKS, CLOSES = re.compile("[\"“”„«»‹›‘’]"), {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹", "‘": "’"}
 FEATURES = 8
 
 
 class Lexicon:
-    """Terms and stems with weights, as a trie; ``match`` gives (weight, distance) of a word, or None."""
+    """Terms and stems with weights, as a trie; ``match`` gives (weight, distance) of a word, or None.
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy_from: int = 5):
+    With ``disguises``, two swapped letters are one edit too, and terms shorter than ``fuzzy_from`` match a word that has a digit
+    or symbol in place of one letter. States hold pairs of a node and 0 (no edit yet), 1 (edit spent), -1 (mask spent) or the
+    letter that must follow to complete a swap.
+    """
+
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy_from: int = 5, disguises: bool = False):
         self.next: list[dict[str, int]] = [{}]
-        self.term, self.stem, self.fuzzy = {}, {}, {}
+        self.term, self.stem, self.fuzzy, self.short, self.disguises = {}, {}, {}, {}, disguises
         for entries, kind in ((terms, self.term), (stems, self.stem)):
             for entry, weight in entries.items():
                 node = 0
                 for c in entry:
                     node = self.next[node].get(c) or self._grow(node, c)
                 kind[node] = max(weight, kind.get(node, 0))
-                if kind is self.term and len(entry) >= fuzzy_from:
-                    self.fuzzy[node] = weight
-        # only branches with fuzzy terms below them may spend the edit
-        self.below: set[int] = set()
-        self._mark(0)
+                if kind is self.term:
+                    (self.fuzzy if len(entry) >= fuzzy_from else self.short)[node] = weight
+        # only branches with fuzzy terms below them may spend the edit, and only those with short terms the mask
+        self.below: set[int] = self._mark(0, self.fuzzy)
+        self.masked: set[int] = self._mark(0, self.short) if disguises else set()
         self.states: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
         self.sets: list[frozenset] = []
@@ -65,16 +75,17 @@ class Lexicon:
         self.next[node][c] = len(self.next) - 1
         return len(self.next) - 1
 
-    def _mark(self, root: int) -> None:
-        stack, order = [root], []
+    def _mark(self, root: int, ends: dict[int, float]) -> set[int]:
+        stack, order, below = [root], [], set()
         while stack:
             order.append(x := stack.pop())
             stack.extend(self.next[x].values())
         for x in reversed(order):
-            if x in self.fuzzy or any(y in self.below for y in self.next[x].values()):
-                self.below.add(x)
+            if x in ends or any(y in below for y in self.next[x].values()):
+                below.add(x)
+        return below
 
-    def _closed(self, pairs: set[tuple[int, int]]) -> set[tuple[int, int]]:
+    def _closed(self, pairs: set[tuple[int, int | str]]) -> set[tuple[int, int | str]]:
         """With the letters that the word may lack."""
         return pairs | {(y, 1) for x, e in pairs if not e for y in self.next[x].values() if y in self.below}
 
@@ -84,22 +95,31 @@ class Lexicon:
             self.sets.append(pairs)
             self.moves.append({})
             exact = [self.term[x] for x, e in pairs if not e and x in self.term]
-            near = [self.fuzzy[x] for x, e in pairs if e and x in self.fuzzy]
+            near = [self.fuzzy[x] for x, e in pairs if e == 1 and x in self.fuzzy] + [self.short[x] for x, e in pairs if e == -1 and x in self.short]
             self.accepts.append((max(exact), 0) if exact else (max(near), 1) if near else None)
             stems = [self.stem[x] for x, e in pairs if not e and x in self.stem]
             self.absorbs.append((max(stems), 0) if stems else None)
         return self.states[pairs]
 
     def _move(self, state: int, c: str) -> int:
-        out: set[tuple[int, int]] = set()
+        out: set[tuple[int, int | str]] = set()
+        mask = not c.isalpha() and c not in "'’"
         for x, e in self.sets[state]:
+            if isinstance(e, str):
+                if c == e:
+                    out.add((x, 1))
+                continue
             if c in self.next[x]:
                 y = self.next[x][c]
-                if not e or y in self.below:
+                if not e or y in (self.below if e == 1 else self.masked):
                     out.add((y, e))
             if not e and x in self.below:
                 out.add((x, 1))
                 out.update((y, 1) for y in self.next[x].values() if y in self.below)
+                if self.disguises:
+                    out.update((z, d) for d, y in self.next[x].items() if d != c and (z := self.next[y].get(c)) in self.below)
+            if not e and mask and x in self.masked:
+                out.update((y, -1) for y in self.next[x].values() if y in self.masked)
         to = self.moves[state][c] = self._state(frozenset(self._closed(out)))
         return to
 
@@ -115,18 +135,55 @@ class Lexicon:
         return self.accepts[state]
 
 
+def quotations(chunks: list[str]) -> list[tuple[int, int]]:
+    """First and last chunk of each quotation of the text, in order. One that is never closed does not count, so that a stray
+    mark hides nothing; a mark right after a letter or digit opens none, and an apostrophe inside a word closes none."""
+    out, opened, closing = [], 0, ""
+    for i, c in enumerate(chunks):
+        if not MARKS.search(c):
+            continue
+        for m in MARKS.finditer(c):
+            k, mark = m.start(), m.group()
+            if closing:
+                if mark in closing and (mark != "’" or not c[k + 1 : k + 2].isalnum()):
+                    out.append((opened, i))
+                    closing = ""
+            elif mark in CLOSES and not (k and c[k - 1].isalnum()):
+                opened, closing = i, CLOSES[mark]
+    return out
+
+
 class Scorer:
-    """Features of a text. Words are looked up by chunk between white space, in a bounded cache."""
+    """Features of a text. Words are looked up by chunk between white space, in a bounded cache.
+
+    Of a chunk, its runs of letters count; a part between punctuation without such a hit, and then a whole chunk without any, is
+    looked up with what stands inside it (``idi0t``, ``sc*m``, ``st.pid``).
+    """
 
     KEPT = 500_000
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
-        self.lexicon, self.cache = Lexicon(terms, stems), {}
+        self.lexicon, self.cache = Lexicon(terms, stems, disguises=True), {}
+
+    def _hits(self, chunk: str) -> list[tuple[float, int]]:
+        if chunk.isalpha():
+            return [h] if (h := self.lexicon.match(chunk)) else []
+        out = []
+        for part in PARTS.split(chunk):
+            words = WORD.findall(part)
+            hits = [h for w in words if (h := self.lexicon.match(w))]
+            inner = OUTER.sub("", part)
+            if not hits and words and not inner.isalpha() and (h := self.lexicon.match(inner)):
+                hits.append(h)
+            out += hits
+        if not out and (h := self.lexicon.match(OUTER.sub("", chunk))):
+            out.append(h)
+        return out
 
     def _look(self, chunk: str) -> tuple | None:
         if len(self.cache) > self.KEPT:
             self.cache.clear()
-        hits = [h for w in WORD.findall(chunk) if (h := self.lexicon.match(w))]
+        hits = self._hits(chunk)
         self.cache[chunk] = found = (sum(w for w, _ in hits), sum(w for w, d in hits if d), QUOTES.intersection(chunk)) if hits else None
         return found
 
@@ -142,10 +199,12 @@ class Scorer:
                 hits.append((i, c, found))
         if not hits:
             return [0.0] * FEATURES
-        open_quotes = sum(chunks[k].count('"') + chunks[k].count("“") + chunks[k].count("„") + chunks[k].count("«") for k in range(max(0, hits[0][0] - 40), hits[0][0])) if len(hits) == 1 else 0
+        spans, at = quotations(chunks) if MARKS.search(text) else [], 0
         quoted = fuzzy = weight = 0.0
         for i, c, (w, near, marks) in hits:
-            reported = marks or any(x.strip(",.:;") in REPORTING for x in chunks[max(0, i - BEFORE) : i]) or open_quotes % 2
+            while at < len(spans) and spans[at][1] < i:
+                at += 1
+            reported = marks or any(x.strip(",.:;") in REPORTING for x in chunks[max(0, i - BEFORE) : i]) or at < len(spans) and spans[at][0] <= i
             weight += w
             fuzzy += near
             quoted += w if reported else 0
