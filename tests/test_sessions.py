@@ -92,3 +92,15 @@ def test_live_ledger_equals_batch(spark, tmp_path):
     q.stop()
     got = spark.table("live").agg(F.sum("occupancy"), F.sum("requests")).first()
     assert tuple(got) == (sum(range(200)) + 600, 200)
+
+
+def test_dedupe_passes_rows_without_key(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 3), ("b", 4)], "k string, n long").withColumn("ts", F.timestamp_seconds(F.col("n") + 1_700_000_000))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = live.dedupe(stream, "k").writeStream.format("memory").queryName("deduped").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("deduped").collect()
+    assert sorted((r["k"] or "", r["n"]) for r in got if r["k"] != "a") == [("", 3), ("", 3), ("b", 4)]
+    assert sum(r["k"] == "a" for r in got) == 1 and len(got) == 4

@@ -18,7 +18,7 @@ def live_sessions(requests: DataFrame, gap: str = "60 minutes", late: str = "2 h
 def dedupe(deliveries: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     """A key is taken once within the watermark; rows without a key pass."""
     d = deliveries.withWatermark("ts", late)
-    return d.filter(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key])
+    return d.filter(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key]).unionByName(d.filter(F.col(key).isNull()))
 
 
 def pair_pre_post(pre: DataFrame, post: DataFrame, late: str = "10 minutes", band: str = "1 hour") -> DataFrame:
