@@ -235,6 +235,20 @@ def test_scorer_sees_disguised_words_and_long_quotations():
         assert scorer.lexicon.match(w) == want, w
 
 
+def test_all_unlabelled_rows_teach(spark):
+    ship_package(spark)
+    good, bad = "alpha beta gamma delta", "one two three four"
+    known = [(i, good if i % 2 else bad, f"s{i % 3}", i % 2) for i in range(-400, 0)]
+    # source ``rare`` only where the former hashed sample of 6,000 rows did not look; the other rows say nothing
+    outside = {r["i"] for r in spark.range(12_000).selectExpr("id as i", "pmod(xxhash64(id, 11), 1000000) as h").filter("h >= 600000").orderBy("i").limit(40).collect()}
+    free = [(i, good, "rare", None) if i in outside else (i, "alpha one beta two", f"s{i % 3}", None) for i in range(12_000)]
+    table = spark.createDataFrame(known + free, "doc_id long, text string, source string, quality int")
+    models = cotraining.fit(table, table.filter("quality is not null").select("doc_id", "quality"))
+    place = crc32(b"srare") % 40
+    assert place not in {crc32(f"ss{k}".encode()) % 40 for k in range(3)}
+    assert models[1][0][0][place] > 0.01
+
+
 def test_models_on_held_out_rows(spark, docs, empty):
     ship_package(spark)
     con = duckdb.connect()

@@ -2,14 +2,15 @@
 
 One view reads the content (hashed words), the other only what surrounds it (source, language, sizes and the shape of lines).
 Each view's classifier labels the unlabelled rows it is surest of, and the other view learns from them in the next round; both
-are then calibrated on labelled rows neither of them saw, and the mean log-odds is the score. Fitting uses a bounded sample;
-every document is scored.
+are then calibrated on labelled rows neither of them saw, and the mean log-odds is the score. Labelled rows are a bounded sample;
+all other documents are the unlabelled side. Each round scores all of them on Spark, takes the surest by the histogram of their
+log-odds, and learns from sums of gradient and Hessian, so only models and sums reach the driver.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -18,10 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.llm.text import held_out
-
-#: Labelled and unlabelled rows that fitting uses at most (evenly hashed parts beyond).
-LABELLED, UNLABELLED = 6_000, 6_000
-ROUNDS, PER_ROUND = 4, 300
+from turnledger.session import stored
+
+#: Labelled rows that fitting uses at most (an evenly hashed part beyond); the unlabelled side is all other rows.
+LABELLED = 6_000
+#: Rounds, the part of the unlabelled rows that a view labels in each, and Newton steps over all rows in each.
+ROUNDS, PART, STEPS = 4, 0.05, 3
+#: Bins of log-odds from -30 to 30; rows from SURE log-odds on can be labelled.
+BINS, SURE = 6_000, 1.5
 CONTENT, META = 256, 72
 WORDS_KEPT = 500_000
 SYMBOL = re.compile(r"[^\w\s]")
@@ -66,25 +71,21 @@ def meta_view(source: str, lang: str, text: str) -> np.ndarray:
     return out
 
 
-def train(x: np.ndarray, y: np.ndarray, ridge: float = 3.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Balanced logistic regression by Newton steps: (weights with intercept last, means, scales)."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+def sums(model: tuple, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the weighted logistic loss."""
+    w, mean, scale = model
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))]).astype(np.float64)
-    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
-    w = np.zeros(z.shape[1])
-    for _ in range(15):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (weight * np.maximum(p * (1 - p), 1e-5))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (weight * (p - y)) + ridge * w)
-        w -= step
-        if np.abs(step).max() < 1e-4:
-            break
-    return w, mean, scale
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    return z.T @ (weight * (p - y)), (z * (weight * np.maximum(p * (1 - p), 1e-5))[:, None]).T @ z
 
 
 def margin(model: tuple, x: np.ndarray) -> np.ndarray:
     w, mean, scale = model
-    return np.clip(((x - mean) / scale) @ w[:-1] + w[-1], -30, 30)
+    return np.clip(x @ (w[:-1] / scale) + (w[-1] - mean @ (w[:-1] / scale)), -30, 30)
+
+
+def bins(model: tuple, x: np.ndarray) -> np.ndarray:
+    return np.minimum(((margin(model, x) + 30) * (BINS / 60)).astype(np.int64), BINS - 1)
 
 
 def calibrate(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -97,27 +98,111 @@ def calibrate(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a[0], 0.05)), float(a[1])
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], check: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> list[tuple]:
-    """Views' models with calibration. ``check`` marks the labelled rows kept for calibration."""
-    sets = [(v[~check], y[~check].astype(float)) for v in views]
-    free = np.ones(len(pool[0]), dtype=bool)
-    models = [train(*s) for s in sets]
-    for _ in range(rounds):
-        for teacher, pupil in ((0, 1), (1, 0)):
-            left = np.flatnonzero(free)
-            if len(left) < 10:
+def replay(rules: list[tuple], views: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which rows no rule has labelled, and for each view the labels that it learns from (-1: none).
+
+    A rule (teacher, model, low, high) labels what is free: 0 up to bin ``low``, 1 from bin ``high`` on.
+    """
+    free, marks = np.ones(len(views[0]), dtype=bool), [np.full(len(views[0]), -1) for _ in views]
+    for teacher, model, low, high in rules:
+        b = bins(model, views[teacher])
+        bad, good = free & (b <= low), free & (b >= high)
+        marks[1 - teacher][bad], marks[1 - teacher][good] = 0, 1
+        free &= ~(bad | good)
+    return free, marks
+
+
+def total(pool: DataFrame, work: Callable[[list[np.ndarray]], list[np.ndarray]]) -> list[np.ndarray] | None:
+    """Sums of the arrays that ``work`` makes of each batch of the pool; one small row for each partition reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for b in batches:
+            if b.num_rows:
+                new = work(unpacked(b))
+                out = new if out is None else [p + q for p, q in zip(out, new)]
+        if out is not None:
+            # Hessians (the only square arrays) only steer the steps: upper half, single precision
+            yield pa.RecordBatch.from_arrays([pa.array([[(a[np.triu_indices(len(a))].astype(np.float32) if a.ndim == 2 else a).tobytes() for a in out]], pa.list_(pa.binary())), pa.array([[len(a) if a.ndim == 2 else 0 for a in out]], pa.list_(pa.int32()))], names=["arrays", "sides"])
+
+    out = None
+    for r in pool.mapInArrow(run, "arrays array<binary>, sides array<int>").collect():
+        new = []
+        for data, side in zip(r["arrays"], r["sides"]):
+            if side:
+                half = np.zeros((side, side))
+                half[np.triu_indices(side)] = np.frombuffer(bytes(data), dtype=np.float32)
+                new.append(half + np.triu(half, 1).T)
+            else:
+                new.append(np.frombuffer(bytes(data), dtype=np.float64))
+        out = new if out is None else [p + q for p, q in zip(out, new)]
+    return out
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, check: np.ndarray, rounds: int = ROUNDS, part: float = PART, ridge: float = 3.0) -> list[tuple]:
+    """Views' models with calibration. ``check`` marks the labelled rows kept for calibration; ``pool`` holds the views of all
+    unlabelled rows. Classes weigh the same, and the rows that a view was taught weigh together at most what labelled rows do."""
+    own, truth = [v[~check].astype(np.float64) for v in views], y[~check].astype(float)
+    n_own, share = len(truth), float(truth.mean())
+    moments = lambda vs: [np.array([float(len(vs[0]))])] + [f(v.astype(np.float64)).sum(axis=0) for v in vs for f in (lambda x: x, np.square)]
+    found = total(pool, moments)
+    every = [p + q for p, q in zip(moments(own), found)] if found else moments(own)
+    n_pool = int(found[0][0]) if found else 0
+    shapes = []
+    for k in range(2):
+        mean = every[1 + 2 * k] / every[0][0]
+        shapes.append((mean, np.sqrt(np.maximum(every[2 + 2 * k] / every[0][0] - mean**2, 0)) + 1e-2))
+    taught = [np.zeros(2), np.zeros(2)]  # rows of each class that each view was taught
+    rules: list[tuple] = []
+
+    def weights(k: int) -> tuple[np.ndarray, float]:
+        """Weight of a row by class, and what a taught row weighs against a labelled one."""
+        less = min(1.0, n_own / max(taught[k].sum(), 1))
+        classes = np.array([n_own * (1 - share), n_own * share]) + less * taught[k]
+        of_one = min(max(classes[1] / classes.sum(), 1e-3), 1 - 1e-3)
+        return np.array([0.5 / (1 - of_one), 0.5 / of_one]), less
+
+    def fitted(models: list[tuple], steps: int) -> list[tuple]:
+        for _ in range(steps):
+            fixed, by_class = list(rules), [weights(k) for k in range(2)]
+
+            def work(vs: list[np.ndarray], models=models) -> list[np.ndarray]:
+                _, marks = replay(fixed, vs)
+                on = [m >= 0 for m in marks]
+                return [a for k in range(2) for a in sums(models[k], vs[k][on[k]], marks[k][on[k]], by_class[k][1] * by_class[k][0][marks[k][on[k]]])]
+
+            more = total(pool, work) if rules else None
+            new, largest = [], 0.0
+            for k, model in enumerate(models):
+                g, h = sums(model, own[k], truth, by_class[k][0][truth.astype(int)])
+                if more:
+                    g, h = g + more[2 * k], h + more[2 * k + 1]
+                step = np.linalg.solve(h + ridge * np.eye(len(g)), g + ridge * model[0])
+                largest = max(largest, float(np.abs(step).max()))
+                new.append((model[0] - step, *model[1:]))
+            models = new
+            if largest < 1e-3:
                 break
-            m = margin(models[teacher], pool[teacher][left])
-            share = y[~check].mean()
-            good, bad = max(1, int(per_round * share)), max(1, int(per_round * (1 - share)))
-            order = np.argsort(m)
-            low, high = order[:bad], order[::-1][:good]
-            low, high = low[m[low] < -1.5], high[m[high] > 1.5]
-            chosen = left[np.concatenate([low, high])]
-            labels = np.concatenate([np.zeros(len(low)), np.ones(len(high))])
-            sets[pupil] = (np.concatenate([sets[pupil][0], pool[pupil][chosen]]), np.concatenate([sets[pupil][1], labels]))
-            free[chosen] = False
-        models = [train(*s) for s in sets]
+        return models
+
+    models = fitted([(np.zeros(v.shape[1] + 1), *shapes[k]) for k, v in enumerate(own)], 15)
+    sure = int((30 - SURE) * BINS / 60)
+    for _ in range(rounds):
+        for teacher in (0, 1):
+
+            def histogram(vs: list[np.ndarray], model=models[teacher], before=list(rules), k=teacher) -> list[np.ndarray]:  # noqa: B006
+                free, _ = replay(before, vs)
+                return [np.bincount(bins(model, vs[k][free]), minlength=BINS).astype(np.float64)]
+
+            h = (total(pool, histogram) or [np.zeros(BINS)])[0]
+            good, bad = max(1, int(part * n_pool * share)), max(1, int(part * n_pool * (1 - share)))
+            low = min(int(np.searchsorted(np.cumsum(h), bad)), sure - 1)
+            high = max(BINS - 1 - int(np.searchsorted(np.cumsum(h[::-1]), good)), BINS - sure)
+            new = np.array([h[: low + 1].sum(), h[high:].sum()])
+            if new.sum():
+                taught[1 - teacher] += new
+                rules.append((teacher, models[teacher], low, high))
+        models = fitted(models, STEPS)
     return [(m, calibrate(margin(m, v[check]), y[check])) for m, v in zip(models, views)]
 
 
@@ -132,43 +217,55 @@ def both_views(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.array([content_view(t) for t in texts]).reshape(-1, CONTENT), np.array([meta_view(s, g, t) for s, g, t in zip(sources, langs, texts)]).reshape(-1, META)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> list[tuple] | None:
-    """Two calibrated models from at most about ``labelled`` + ``unlabelled`` rows; None without both labels."""
-    own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(~held_out(F.col("doc_id")))
-    own = own.groupBy("doc_id").agg(F.max("y").alias("y"))
-    part = lambda n, most: F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(min(1.0, most / max(n, 1)) * 1_000_000)
-    known = own.filter(part(own.count(), labelled))
-    rows = viewed(docs, id_col, text_col).filter("doc_id is not null")
-    pool = rows.filter(part(docs.count(), unlabelled)).join(own.select("doc_id"), "doc_id", "left_anti").withColumn("y", F.lit(-1))
+def unpacked(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.float32).reshape(-1, k) for c, k in (("content", CONTENT), ("meta", META))]
+
+
+def view_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and both views, as bytes, of each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            content, meta = both_views(b)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *[pa.array([r.tobytes() for r in v], pa.binary()) for v in (content, meta)]], names=["doc_id", "y", "content", "meta"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array([r.tobytes() for r in v], pa.binary()) for v in both_views(b)]], names=["doc_id", "content", "meta"])
+
+    rows = viewed(docs, id_col, text_col)
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, content binary, meta binary")
+
+
+def stored_views(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``view_rows`` in the shared folder, for ``fit`` and ``score`` to share."""
+    return stored(view_rows(docs, id_col, text_col), "views")
+
 
-    sample = rows.join(F.broadcast(known), "doc_id").select("doc_id", "text", "source", "lang", "y").unionByName(pool.select("doc_id", "text", "source", "lang", "y"))  # known: at most about ``labelled`` rows
-    table = sample.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, y int, content binary, meta binary").toPandas().sort_values("doc_id", kind="stable")
-    views = [np.frombuffer(b"".join(table[c]), dtype=np.float32).reshape(-1, k) for c, k in (("content", CONTENT), ("meta", META))]
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED, views: DataFrame | None = None) -> list[tuple] | None:
+    """Two calibrated models from at most about ``labelled`` labelled rows and all other rows; None without both labels.
+    ``views`` are the stored views of ``docs``, where the caller has them."""
+    own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(~held_out(F.col("doc_id")))
+    own = own.groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(min(1.0, labelled / max(own.count(), 1)) * 1_000_000))
+    rows = (stored_views(docs, id_col, text_col) if views is None else views).filter("doc_id is not null")
+    table = rows.join(F.broadcast(known), "doc_id").toPandas().sort_values("doc_id", kind="stable")  # known: at most about ``labelled`` rows
     y = table["y"].to_numpy()
-    on = y >= 0
-    check = np.arange(int(on.sum())) % 4 == 0
-    if on.sum() < 8 or len({*y[on][check].tolist()}) < 2 or len({*y[on][~check].tolist()}) < 2:
+    check = np.arange(len(y)) % 4 == 0
+    if len(y) < 8 or len({*y[check].tolist()}) < 2 or len({*y[~check].tolist()}) < 2:
         return None
-    return co_train([v[on] for v in views], y[on], [v[~on] for v in views], check)
+    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(table["doc_id"].tolist()))], f"doc_id {rows.schema['doc_id'].dataType.simpleString()}")
+    pool = rows.join(F.broadcast(ids), "doc_id", "left_anti").select("content", "meta")
+    return co_train(unpacked(pa.RecordBatch.from_pandas(table[["content", "meta"]], preserve_index=False)), y, pool, check)
 
 
-def score(docs: DataFrame, models: list[tuple] | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, models: list[tuple] | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, views: DataFrame | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, content_score, meta_score, score (0 to 1, higher: better), predicted.
 
     Without a model (too few labels) every score is 0.5. Null and empty texts are scored as empty; repeated rows each for
-    themselves. Of other columns, only ``source`` and ``lang`` are read, where they exist.
+    themselves. Of other columns, only ``source`` and ``lang`` are read, where they exist. ``views`` are as for ``fit``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            odds = [a * margin(m, v) + c for (m, (a, c)), v in zip(models, both_views(b))] if models else [np.zeros(b.num_rows)] * 2
+            odds = [a * margin(m, v) + c for (m, (a, c)), v in zip(models, unpacked(b))] if models else [np.zeros(b.num_rows)] * 2
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(1 / (1 + np.exp(-np.clip(o, -30, 30))), pa.float64()) for o in (*odds, odds[0] + odds[1])]], names=["doc_id", "content_score", "meta_score", "score"])
 
-    rows = viewed(docs, id_col, text_col)
+    rows = view_rows(docs, id_col, text_col) if views is None else views
     out = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, content_score double, meta_score double, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "content_score", "meta_score", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -59,7 +59,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return cotraining.score(docs, cotraining.fit(docs, read_table(spark, sf_dir, "labels")))
+    views = cotraining.stored_views(docs)
+    return cotraining.score(docs, cotraining.fit(docs, read_table(spark, sf_dir, "labels"), views=views), views=views)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
