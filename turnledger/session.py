@@ -10,14 +10,18 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 1000
+#: Most rows and bytes of an Arrow batch, where the session allows more.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the Python workers once per application, as ``--py-files`` would, and keeps Arrow batches small
-    enough for batches of very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Sends this package to the Python workers once per application, as ``--py-files`` would, and keeps Arrow batches small,
+    also with very long texts. Smaller bounds that the session already has stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        own = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not own.isdigit() or not 0 < int(own) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -33,11 +37,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where the session names none (tests), a temporary folder is set."""
+    """The folder of ``spark.checkpoint.dir``. Where the session names none, a temporary folder is set on a local master (tests);
+    on a cluster that is an error, as executors and driver do not share such folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-turnledger-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
