@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnledger.session import stored
+
 
 def grading_summary(runs: DataFrame) -> DataFrame:
     """Per stratum: runs, resolved, grader errors (no verdict)."""
@@ -13,6 +15,13 @@ def grading_summary(runs: DataFrame) -> DataFrame:
     return g.withColumn("success_rate", F.round(100 * F.col("resolved_runs") / F.nullif(F.col("runs") - F.col("grader_errors"), F.lit(0)), 2))
 
 
+def runs_with_verdicts(index: DataFrame, verdicts: DataFrame, empty: DataFrame) -> DataFrame:
+    """Runs (task_id, stratum, arm, ...) with ``outcome``: resolved or unresolved as graded; empty_patch where there was nothing to grade,
+    which is a result; grader_error where a verdict is missing."""
+    r = index.join(verdicts.select("task_id", "resolved"), "task_id", "left").join(empty.select("task_id", F.lit(True).alias("nothing")), "task_id", "left")
+    return r.withColumn("outcome", F.when(F.col("resolved"), "resolved").when(F.col("resolved").isNotNull(), "unresolved").when(F.col("nothing"), "empty_patch").otherwise("grader_error")).drop("nothing")
+
+
 def arm_means(runs: DataFrame) -> DataFrame:
     """Means by (arm) and (stratum, arm) in one pass."""
     return runs.groupingSets([["arm"], ["stratum", "arm"]], "stratum", "arm").agg(F.count("*").alias("runs"), F.round(F.avg("total"), 4).alias("mean_total"), F.max("total").alias("max_total"))
@@ -24,19 +33,19 @@ def compare_arms(runs: DataFrame, arms: tuple[str, str]) -> DataFrame:
     return m.select("stratum", F.round(a, 4).alias("base"), F.round(b, 4).alias("other"), F.round(100 * (F.col(b) - F.col(a)) / F.col(a), 4).alias("delta_percent"))
 
 
-def shard_assignment(ids: DataFrame, n: int) -> DataFrame:
-    """Rank of sorted ids modulo ``n``: ranks come from range partitions and their sizes, not from one global window."""
-    spark = ids.sparkSession
-    parts = ids.select("id").distinct().repartitionByRange("id").sortWithinPartitions("id").select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("m"))
-    from turnledger.session import stored
-
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``place``, from 0 in this order: range partitions and their sizes give it, not one global window."""
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("m"))
     placed = stored(parts, "ranges")
-    from pyspark.sql import Window
-
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
     inside = F.col("m") - F.shiftleft(F.col("part").cast("bigint"), 33)
-    return placed.join(F.broadcast(before), "part").select("id", ((F.col("before") + inside) % n).alias("shard"))  # one row for each range
+    return placed.join(F.broadcast(before), "part").withColumn("place", F.col("before") + inside).drop("part", "m", "before")  # one row for each range
+
+
+def shard_assignment(ids: DataFrame, n: int) -> DataFrame:
+    """Rank of sorted ids modulo ``n``."""
+    return numbered(ids.select("id").distinct(), "id").select("id", (F.col("place") % n).alias("shard"))
 
 
 def policy_decisions(calls: DataFrame, floor: int = 400) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnledger.session import stored
+
 USAGE = "struct<input_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint,output_tokens:bigint>"
 LINE = f"type string, sessionId string, uuid string, parentUuid string, requestId string, timestamp string, version string, subtype string, message struct<role:string,model:string,content:string,usage:{USAGE}>"
 
@@ -26,9 +29,20 @@ def transcript_requests(lines: DataFrame, keep: str = "last") -> DataFrame:
     return one.select(F.col("sessionId").alias("session"), F.col("requestId").alias("id"), (F.row_number().over(w) - 1).cast("bigint").alias("turn"), "r.model", F.try_to_timestamp("r.timestamp").alias("ts"), F.col(f"{u}.input_tokens").alias("input"), F.col(f"{u}.cache_read_input_tokens").alias("cache_read"), F.col(f"{u}.cache_creation_input_tokens").alias("cache_write"), F.col(f"{u}.output_tokens").alias("output"), F.lit(None).cast("bigint").alias("version"))
 
 
-def replace_sessions(df: DataFrame, path: str, by: str = "session") -> None:
-    """Idempotent re-ingest: each session in ``df`` replaces its own partition and no other."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+def replace_sessions(df: DataFrame, path: str, by: str = "session", buckets: int = 64) -> None:
+    """Idempotent re-ingest: each session in ``df`` replaces its own rows and no other's. Sessions share ``buckets`` folders by a hash, so many
+    sessions make few files; only the folders of the sessions at hand are written again, with the rows of their other sessions."""
+    spark = df.sparkSession
+    new = df.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int"))
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException:  # nothing there yet
+        old = None
+    if old is not None:
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        stay = old.filter(F.col("bucket").isin(touched)).join(df.select(by).distinct(), by, "left_anti")
+        new = stored(new.unionByName(stay, allowMissingColumns=True), "sessions")  # read before its folders are replaced
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def require_version(rows: DataFrame, version: str, column: str = "schema_version") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,32 @@ def counters(events: DataFrame, width: str = "10 minutes", late: str = "1 hour")
 
 
 def good_and_bad(raw: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Parsed deliveries, and those that cannot be parsed, for a sink of their own."""
-    parsed = raw.withColumn("delivery", F.from_json("value", schema))
-    return parsed.filter("delivery is not null").select("delivery.*"), parsed.filter("delivery is null").select("value")
+    """Parsed deliveries, and those that cannot be parsed (value), for a sink of their own. A bad one leaves its neighbours alone."""
+    parsed = raw.withColumn("delivery", F.from_json("value", f"{schema}, broken_delivery string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken_delivery"}))
+    bad = F.col("delivery.broken_delivery").isNotNull() | F.col("delivery").isNull()
+    return parsed.filter(~bad).select("delivery.*").drop("broken_delivery"), parsed.filter(bad).select("value")
+
+
+def step_epoch_state(events: DataFrame) -> DataFrame:
+    """(session, seq, epoch, step) of a stream (session, seq, reset, moves): a reset starts a new epoch, a move is a step. State is two counters
+    for each session; a batch's events are taken in order of ``seq``. The batch twin is ``journal.step_epochs``."""
+
+    def advance(key, parts, state):
+        epoch, step = state.get if state.exists else (0, 0)
+        rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
+        out = []
+        for seq, reset, moves in zip(rows["seq"], rows["reset"], rows["moves"]):
+            epoch, step = (epoch + 1, 0) if reset else (epoch, step)
+            step += int(moves)
+            out.append((key[0], int(seq), epoch, step))
+        state.update((epoch, step))
+        yield pd.DataFrame(out, columns=["session", "seq", "epoch", "step"])
+
+    kind = events.schema["session"].dataType.simpleString()
+    return events.select("session", "seq", "reset", "moves").groupBy("session").applyInPandasWithState(advance, f"session {kind}, seq long, epoch long, step long", "epoch long, step long", "append", "NoTimeout")
+
+
+def expire_content(accesses: DataFrame, ttl: str = "24 hours", late: str = "1 hour") -> DataFrame:
+    """(handle, first_seen, expired_at, accesses) once nobody has asked for a handle for ``ttl``: a session window that has closed."""
+    w = accesses.withWatermark("ts", late).groupBy(F.session_window("ts", ttl), "handle").agg(F.count("*").alias("accesses"))
+    return w.select("handle", F.col("session_window.start").alias("first_seen"), F.col("session_window.end").alias("expired_at"), "accesses")
