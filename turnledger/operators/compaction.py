@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LOG = r"(?i)\b(error|warn|warning|fatal|exception)\b"
+#: What makes a log line important.
+LOG = r"\b(ERROR|CRITICAL|FATAL|WARN|Exception|Traceback|panic)\b"
 
 
 def lines(outputs: DataFrame) -> DataFrame:
@@ -18,19 +19,20 @@ def joined(rows: DataFrame) -> DataFrame:
 
 
 def reduce_grep(outputs: DataFrame, keep: int = 20) -> DataFrame:
-    """The first lines that are not blank, and how many more there were."""
+    """The first lines that are not blank, and a line that says how many more there were."""
     w = Window.partitionBy("id").orderBy("pos")
     r = lines(outputs).filter("trim(line) <> ''").withColumn("rank", F.row_number().over(w))
     rest = r.groupBy("id").agg(F.greatest(F.lit(0), F.count("*") - keep).alias("dropped"))
-    return joined(r.filter(F.col("rank") <= keep)).join(rest, "id")
+    out = joined(r.filter(F.col("rank") <= keep)).join(rest, "id")
+    return out.withColumn("reduced", F.when(F.col("dropped") > 0, F.concat("reduced", F.lit("\n... "), F.col("dropped").cast("string"), F.lit(" more matches"))).otherwise(F.col("reduced")))
 
 
 def reduce_generic(outputs: DataFrame, ends: int = 10) -> DataFrame:
-    """Head and tail."""
+    """Head and tail, and between them a line that says how many lines are left out."""
     n = F.size("ls")
     whole = outputs.select("id", F.split("text", "\n").alias("ls")).withColumn("cut", F.greatest(F.lit(0), n - 2 * ends))
     head, tail = F.slice("ls", F.lit(1), F.lit(ends)), F.slice("ls", n - ends + 1, F.lit(ends))
-    return whole.select("id", F.when(F.col("cut") > 0, F.array_join(F.concat(head, tail), "\n")).otherwise(F.array_join("ls", "\n")).alias("reduced"), F.col("cut").cast("bigint").alias("dropped"))
+    return whole.select("id", F.when(F.col("cut") > 0, F.array_join(F.concat(head, F.array(F.concat(F.lit("... "), F.col("cut").cast("string"), F.lit(" lines omitted ..."))), tail), "\n")).otherwise(F.array_join("ls", "\n")).alias("reduced"), F.col("cut").cast("bigint").alias("dropped"))
 
 
 def reduce_logs(outputs: DataFrame, tail: int = 15, pattern: str = LOG) -> DataFrame:
@@ -67,12 +69,16 @@ def budget_prefix(items: DataFrame, by: str, order: Column, cost: str, room: int
     return items.withColumn("spent", F.sum(cost).over(w)).filter(F.col("spent") <= room)
 
 
-def reduce_file(outputs: DataFrame, pattern: str, budget: int, head: int = 6) -> DataFrame:
-    """The first lines and those of the pattern, in order while they fit the budget of characters; gaps are marked."""
+def kept_lines(outputs: DataFrame, pattern: str, budget: int, head: int = 6) -> DataFrame:
+    """(id, pos, line): the first lines and those of the pattern, in order while they fit the budget of characters."""
     w = Window.partitionBy("id").orderBy("pos")
-    r = lines(outputs).filter((F.col("pos") < head) | F.col("line").rlike(pattern)).withColumn("spent", F.sum(F.length("line") + 1).over(w)).filter(F.col("spent") <= budget)
-    gap = F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(-1)) - 1
-    return joined(r.withColumns({"rank": F.col("pos"), "line": F.when(gap > 0, F.concat(F.lit("... "), gap.cast("string"), F.lit(" lines\n"), F.col("line"))).otherwise(F.col("line"))}))
+    return lines(outputs).filter((F.col("pos") < head) | F.col("line").rlike(pattern)).withColumn("spent", F.sum(F.length("line") + 1).over(w)).filter(F.col("spent") <= budget).drop("spent")
+
+
+def reduce_file(outputs: DataFrame, pattern: str, budget: int, head: int = 6) -> DataFrame:
+    """The kept lines as one text; gaps are marked."""
+    gap = F.col("pos") - F.coalesce(F.lag("pos").over(Window.partitionBy("id").orderBy("pos")), F.lit(-1)) - 1
+    return joined(kept_lines(outputs, pattern, budget, head).withColumns({"rank": F.col("pos"), "line": F.when(gap > 0, F.concat(F.lit("... "), gap.cast("string"), F.lit(" lines\n"), F.col("line"))).otherwise(F.col("line"))}))
 
 
 def reduce_tests(outputs: DataFrame, failure: str, summary: str, last: int = 3) -> DataFrame:
@@ -82,3 +88,24 @@ def reduce_tests(outputs: DataFrame, failure: str, summary: str, last: int = 3)
     any_failed = r.groupBy("id").agg(F.max("failed").alias("any_failed"))
     r = r.join(any_failed, "id").filter(F.col("failed") | (F.col("back") <= F.when(F.col("any_failed"), last).otherwise(1)))
     return joined(r.groupBy("id", "line").agg(F.min("pos").alias("rank")))
+
+
+#: Lines that show structure.
+STRUCTURE = r"^\s*(def |class |if |elif |else|for |while |try|except|finally|with |return|raise|yield|await |function |=>|switch|case )"
+CALLISH = r"[A-Za-z_$][\w$]*\s*\("
+LEVELS = ("identity", "signature", "skeleton", "slice", "implementation")
+
+
+def detail_levels(sources: DataFrame) -> DataFrame:
+    """(id, level, pos, line) of sources (id, text): the lines of each level of detail, each level holding the one before. A signature is
+    the first lines up to one that ends in ``:`` or ``{``, four at most; a skeleton adds structural lines, a slice the first three
+    fifths; nothing is in an identity."""
+    r = lines(sources).withColumns({"opens": F.col("line").rlike(r"[:{]\s*$"), "n": F.count("*").over(Window.partitionBy("id"))})
+    r = r.withColumn("ends", F.min(F.when(F.col("opens"), F.col("pos"))).over(Window.partitionBy("id")))
+    header = F.col("pos") <= F.least(F.coalesce("ends", F.lit(3)), F.lit(3), F.col("n") - 1)
+    size = F.least(F.coalesce("ends", F.lit(3)), F.lit(3), F.col("n") - 1) + 1
+    structural = F.col("line").rlike(STRUCTURE) | F.col("line").rlike(CALLISH)
+    region = F.col("pos") < F.least(F.col("n"), F.greatest(size + 1, F.floor(F.col("n") * 0.6)))
+    least = F.when(header, 1).when(structural, 2).when(region, 3).otherwise(4)
+    level = F.explode(F.slice(F.array(*map(F.lit, LEVELS)), least + 1, len(LEVELS))).alias("level")
+    return r.select("id", level, "pos", "line")

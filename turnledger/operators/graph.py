@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnledger.session import stored
 
-def reachable(edges: DataFrame, roots: DataFrame, max_hop: int = 3) -> DataFrame:
-    """(root, node, hop): the fewest hops, up to ``max_hop``."""
-    e = edges.select("src", "dst").distinct()
-    found = front = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("hop"))
+
+def reachable(edges: DataFrame, roots: DataFrame, max_hop: int = 3, types: tuple[str, ...] | None = None) -> DataFrame:
+    """(root, node, hop): the fewest hops, up to ``max_hop``, along edges of the given types. Nodes once found are not walked again."""
+    e = stored((edges if types is None else edges.filter(F.col("type").isin(*types))).select("src", "dst").distinct(), "edges")
+    found = front = stored(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("hop")).distinct(), "front")
     for hop in range(1, max_hop + 1):
-        front = front.join(e, front["node"] == e["src"]).select("root", F.col("dst").alias("node"), F.lit(hop).alias("hop")).distinct()
+        new = front.join(e, front["node"] == e["src"]).select("root", F.col("dst").alias("node")).distinct()
+        front = stored(new.join(found, ["root", "node"], "left_anti").withColumn("hop", F.lit(hop)), "front")
         found = found.unionByName(front)
-    return found.groupBy("root", "node").agg(F.min("hop").alias("hop"))
+    return found
 
 
 def proximity(edges: DataFrame, roots: DataFrame, max_hop: int = 3, decay: float = 0.6) -> DataFrame:
     """(node, score): the best product of decay and edge weight over walks of at most ``max_hop`` steps, either way."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    both = stored(both, "edges")
     found = front = roots.select("node", F.lit(1.0).alias("score")).distinct()
     for _ in range(max_hop):
         front = front.join(both, front["node"] == both["src"]).groupBy("dst").agg(F.max(F.col("score") * decay * F.col("weight")).alias("score")).select(F.col("dst").alias("node"), "score")
+        front = stored(front, "front")
         found = found.unionByName(front)
     return found.groupBy("node").agg(F.round(F.max("score"), 6).alias("score"))
 

@@ -51,12 +51,13 @@ def match_price(models: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def residency_horizon(objects: DataFrame, breaks: DataFrame) -> DataFrame:
-    """Each object's last resident turn: before the next break after its entry, else the session's last turn."""
-    last = objects.groupBy("session").agg(F.max("turn").alias("last_turn"))
-    edges = breaks.groupBy("session").agg(F.sort_array(F.collect_set("turn")).alias("bounds"))
-    o = objects.join(last, "session").join(edges, "session", "left")
-    nxt = F.try_element_at(F.filter("bounds", lambda b: b > F.col("turn")), F.lit(1))
-    return o.withColumn("exit_turn", F.coalesce(nxt - 1, F.col("last_turn"))).drop("bounds", "last_turn")
+    """Each object's last resident turn: before the next break after its entry, else the session's last turn. Objects and breaks are
+    ordered together once."""
+    marks = breaks.select("session", "turn", F.col("turn").alias("break_turn"))
+    both = objects.withColumn("is_object", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    after = Window.partitionBy("session").orderBy("turn").rangeBetween(1, Window.unboundedFollowing)
+    o = both.withColumns({"next_break": F.min("break_turn").over(after), "last_turn": F.max(F.when(F.col("is_object"), F.col("turn"))).over(Window.partitionBy("session"))}).filter("is_object")
+    return o.withColumn("exit_turn", F.coalesce(F.col("next_break") - 1, F.col("last_turn"))).drop("is_object", "break_turn", "next_break", "last_turn")
 
 
 def token_turns(objects: DataFrame, by: str) -> DataFrame:

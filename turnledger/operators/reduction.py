@@ -29,14 +29,27 @@ def reduce_search(outputs: DataFrame, budget: int = 256, diagnostic: str = DIAGN
     rows = compaction.lines(outputs).filter("trim(line) <> ''").withColumns({"diagnostic": F.col("line").rlike(diagnostic), "path": matched_path(F.col("line"))})
     found, cost = ~F.col("diagnostic"), F.length("line") + 1
     head = rows.groupBy("id").agg(F.count(F.when(found, 1)).alias("matches"), F.countDistinct(F.when(found, F.col("path"))).alias("files"), F.count(F.when(~found, 1)).alias("diagnostics"), F.sum(F.when(~found, cost).otherwise(0)).alias("spoken"))
-    ranked = rows.withColumn("score", F.lit(0.0)) if scores is None else rows.join(scores.select("path", "score"), "path", "left").fillna(0.0, ["score"])
-    w = Window.partitionBy("id", "diagnostic").orderBy(F.desc("score"), "pos").rowsBetween(Window.unboundedPreceding, 0)
-    kept = ranked.withColumn("spent", F.sum(cost).over(w)).join(head.select("id", "spoken"), "id").filter(F.col("diagnostic") | (F.col("spent") <= 4 * budget - F.col("spoken")))
+    kept = within(rows, head, budget, scores)
     body = kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(found.alias("later"), "pos", "line"))), lambda r: r["line"]), "\n").alias("body"), F.count(F.when(found, 1)).alias("kept"))
     title = F.concat(F.col("matches").cast("string"), F.lit(" matches in "), F.col("files").cast("string"), F.lit(" file(s)"))
     return head.join(body, "id", "left").select("id", F.concat_ws("\n", title, "body").alias("reduced"), "matches", "files", "diagnostics", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
+def within(rows: DataFrame, head: DataFrame, budget: int, scores: DataFrame | None) -> DataFrame:
+    """Diagnostics, and matches while their running cost fits what diagnostics leave."""
+    ranked = rows.withColumn("score", F.lit(0.0)) if scores is None else rows.join(scores.select("path", "score"), "path", "left").fillna(0.0, ["score"])
+    w = Window.partitionBy("id", "diagnostic").orderBy(F.desc("score"), "pos").rowsBetween(Window.unboundedPreceding, 0)
+    spent = ranked.withColumn("spent", F.sum(F.length("line") + 1).over(w)).join(head.select("id", "spoken"), "id")
+    return spent.filter(F.col("diagnostic") | (F.col("spent") <= 4 * budget - F.col("spoken")))
+
+
+def kept_matches(outputs: DataFrame, budget: int = 256, diagnostic: str = DIAGNOSTIC, scores: DataFrame | None = None) -> DataFrame:
+    """(id, pos, line, path): the match lines that ``reduce_search`` keeps."""
+    rows = compaction.lines(outputs).filter("trim(line) <> ''").withColumns({"diagnostic": F.col("line").rlike(diagnostic), "path": matched_path(F.col("line"))})
+    head = rows.groupBy("id").agg(F.sum(F.when(F.col("diagnostic"), F.length("line") + 1).otherwise(0)).alias("spoken"))
+    return within(rows, head, budget, scores).filter("not diagnostic").select("id", "pos", "line", "path")
+
+
 def reduction_scan(outputs: DataFrame, floor: int = 400, most_bytes: int = 200_000, ends: int = 10) -> DataFrame:
     """Outputs (id, text) by what becomes of them: too small or large, holding secrets, not getting smaller, or reduced; with
     their tokens before and after. Only outputs that can be given back exactly are reduced."""

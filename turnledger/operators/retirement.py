@@ -19,14 +19,98 @@ def retirement_ceiling(obsolete: DataFrame) -> DataFrame:
     return obsolete.groupBy("session").agg(F.count("*").alias("objects"), F.sum(spare(F.col("turn"))).alias("resident"), F.sum(provable).alias("provable"), F.sum(F.coalesce(provable, F.lit(0)) + F.when(F.col("superseded_at").isNull(), spare(F.col("turn") + 1)).otherwise(0)).alias("with_tail"))
 
 
+def rewritten_suffix(o: DataFrame) -> DataFrame:
+    """(session, batch, rewritten): what each batch makes the cache write again: tokens of objects after the first object that the
+    batch removes, in the context by then and not removed by then. ``o``: session, pos, turn, size, batch (null: never removed).
+
+    What is in the context by a turn, and what lies before an object, are running sums. What of the rest is gone by then is a sum over
+    two bounds (place after the first removed, batch not later): each object counts in its dyadic blocks of places, and a batch reads
+    the few blocks that make up "after", each by a running sum over batches. No batch meets the objects of its session one by one.
+    """
+    by_place = Window.partitionBy("session").orderBy("pos")
+    o = o.select("session", "turn", "size", "batch", F.row_number().over(by_place).alias("place"), F.sum("size").over(by_place.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.count("*").over(Window.partitionBy("session")).alias("objects"))
+    first = o.filter("batch is not null").groupBy("session", "batch").agg(F.min("place").alias("place"), F.min("upto").alias("upto"), F.max("objects").alias("objects"))
+    arrived = o.select("session", F.col("turn").alias("at"), "size", F.lit(None).cast("bigint").alias("batch")).unionByName(first.select("session", F.col("batch").alias("at"), F.lit(0).alias("size"), F.col("batch").cast("bigint").alias("batch")))
+    arrived = arrived.withColumn("held", F.sum("size").over(Window.partitionBy("session").orderBy("at"))).filter("batch is not null").select("session", "batch", "held")
+    levels = F.explode(F.sequence(F.lit(0), F.ceil(F.log2(F.col("objects") + 1)).cast("int"))).alias("level")
+    gone = o.filter("batch is not null").select("session", "batch", "size", "place", levels).select("session", "level", F.expr("shiftright(place, level)").alias("block"), "batch", "size", F.lit(False).alias("asks"))
+    asked = first.select("session", "batch", "place", levels).withColumn("block", F.expr("shiftright(place + shiftleft(1, level), level)")).filter("block % 2 = 1")
+    both = gone.unionByName(asked.select("session", "level", "block", "batch", F.lit(0).alias("size"), F.lit(True).alias("asks")))
+    left = both.withColumn("left", F.sum("size").over(Window.partitionBy("session", "level", "block").orderBy("batch"))).filter("asks").groupBy("session", "batch").agg(F.sum("left").alias("left"))
+    return first.join(arrived, ["session", "batch"]).join(left, ["session", "batch"], "left").select("session", "batch", (F.col("held") - F.col("upto") - F.coalesce("left", F.lit(0))).alias("rewritten"))
+
+
+def every_turns(obsolete: DataFrame, every: int = 10) -> DataFrame:
+    """Adds ``batch``: objects go at the next multiple of ``every``, at the last turn at the latest."""
+    return obsolete.withColumn("batch", F.when(F.col("superseded_at").isNotNull(), F.least(F.col("last_turn"), F.greatest(F.lit(every), F.ceil(F.col("superseded_at") / every) * every))))
+
+
+def once_at_end(obsolete: DataFrame) -> DataFrame:
+    """Adds ``batch``: all that is obsolete by the last turn but one goes there."""
+    at = F.greatest(F.col("last_turn") - 1, F.lit(1))
+    return obsolete.withColumn("batch", F.when(F.col("superseded_at") <= at, at))
+
+
+def at_threshold(obsolete: DataFrame, tokens: int = 20_000) -> DataFrame:
+    """Adds ``batch``: objects go when ``tokens`` have become obsolete since the batch before, and what is left at the last turn. The
+    turns of the batches come from one pass over each session's obsolete tokens by turn."""
+    turns = obsolete.filter("superseded_at is not null").groupBy("session", F.col("superseded_at").alias("turn")).agg(F.sum("size").alias("size"))
+    row = turns.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("turn", "size"))).alias("rows"))
+    start = F.struct(F.lit(0).cast("bigint").alias("held"), F.array().cast("array<bigint>").alias("at"))
+    full = lambda s, r: s["held"] + r["size"] >= tokens
+    folded = F.aggregate("rows", start, lambda s, r: F.struct(F.when(full(s, r), 0).otherwise(s["held"] + r["size"]).cast("bigint").alias("held"), F.when(full(s, r), F.concat(s["at"], F.array(r["turn"].cast("bigint")))).otherwise(s["at"]).alias("at")))
+    events = row.select("session", F.explode(folded["at"]).alias("event"))
+    following = Window.partitionBy("session").orderBy("by").rangeBetween(0, Window.unboundedFollowing)
+    both = obsolete.withColumns({"by": F.coalesce("superseded_at", F.lit(-1)), "event": F.lit(None).cast("bigint")}).unionByName(events.select("session", F.col("event").alias("by"), "event"), allowMissingColumns=True)
+    placed = both.withColumn("next", F.min("event").over(following)).filter("pos is not null")
+    return placed.withColumn("batch", F.when(F.col("superseded_at").isNotNull(), F.coalesce("next", "last_turn"))).drop("by", "event", "next")
+
+
 def batched_retirement(obsolete: DataFrame, every: int = 10) -> DataFrame:
-    """Retiring once in ``every`` turns: gross saving and the suffix that each batch rewrites, in closed form."""
-    o = obsolete.withColumn("batch", F.when(F.col("superseded_at").isNotNull(), F.least(F.col("last_turn"), F.greatest(F.lit(every), F.ceil(F.col("superseded_at") / every) * every))))
+    """Retiring once in ``every`` turns: gross saving and the suffix that the batches rewrite, per session."""
+    o = every_turns(obsolete, every)
     gross = o.filter("batch is not null").groupBy("session").agg(F.sum(F.col("size") * (F.col("last_turn") - F.col("batch"))).alias("gross"))
-    first = o.filter("batch is not null").groupBy("session", "batch").agg(F.min("turn").alias("from_turn"))
-    own = o.select("session", "turn", "size", F.col("batch").alias("own_batch"))
-    suffix = first.join(own, "session").filter("turn > from_turn and turn <= batch and (own_batch is null or own_batch > batch)").groupBy("session").agg(F.sum("size").alias("rewritten"))
-    return gross.join(suffix, "session", "left").select("session", "gross", F.coalesce("rewritten", F.lit(0)).alias("rewritten"))
+    suffix = rewritten_suffix(o).groupBy("session").agg(F.sum("rewritten").alias("rewritten"))
+    return gross.join(suffix, "session").select("session", "gross", "rewritten")
+
+
+def retirement_costs(batched: DataFrame, read: float = 0.1, write: float = 1.25) -> DataFrame:
+    """Per session with anything removed (``batched``: objects with ``batch``): batches, objects removed, gross token-turns, tokens
+    written again, and the net in prices relative to input tokens."""
+    gone = batched.filter("batch is not null")
+    gross = gone.groupBy("session").agg(F.countDistinct("batch").alias("batches"), F.count("*").alias("removed"), F.sum(F.col("size") * F.greatest(F.col("last_turn") - F.col("batch"), F.lit(0))).alias("gross"))
+    suffix = rewritten_suffix(batched).groupBy("session").agg(F.sum("rewritten").alias("rewritten"))
+    net = F.round(read * F.col("gross") - (write - read) * F.col("rewritten"), 4)
+    return gross.join(suffix, "session").select("session", "batches", "removed", "gross", "rewritten", net.alias("cost_net"))
+
+
+def retire_turns(obsolete: DataFrame, lag: int = 5) -> DataFrame:
+    """Adds ``retired``: superseded objects go when they are replaced, last versions ``lag`` turns after they came."""
+    return obsolete.withColumn("retired", F.coalesce("superseded_at", F.col("turn") + lag))
+
+
+def deferral(reads: DataFrame, retired: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
+    """Per session and threshold that the context (reads: session, turn, cache_read) crosses: the first turn over it, the first with
+    retired objects (session, retired, size) taken out, and by how many turns that is later (to the last turn if never)."""
+    last = reads.groupBy("session").agg(F.max("turn").alias("last_turn"))
+    both = reads.select("session", "turn", "cache_read", F.lit(0).alias("size")).unionByName(retired.select("session", F.col("retired").alias("turn"), F.lit(None).cast("bigint").alias("cache_read"), "size"))
+    r = both.withColumn("gone", F.sum("size").over(Window.partitionBy("session").orderBy("turn"))).filter("cache_read is not null")
+    r = r.withColumns({"left": F.greatest(F.col("cache_read") - F.col("gone"), F.lit(0)), "threshold": F.explode(F.array(*[F.lit(t) for t in thresholds]))})
+    at = lambda c: F.min(F.when(F.col(c) > F.col("threshold"), F.col("turn")))
+    k = r.groupBy("session", "threshold").agg(at("cache_read").alias("native_turn"), at("left").alias("retired_turn")).filter("native_turn is not null").join(last, "session")
+    return k.select("session", "threshold", "native_turn", "retired_turn", F.col("retired_turn").isNull().alias("avoided"), (F.coalesce("retired_turn", "last_turn") - F.col("native_turn")).alias("deferral"))
+
+
+def unique_savings(retired: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """Per session: token-turns that retirement saves alone, and those it saves before the session's own next reset (boundaries: session,
+    turn) would have done it. ``retired``: session, turn, size, last_turn, retired."""
+    r = retired.filter("retired < last_turn")
+    marks = boundaries.select("session", "turn", F.col("turn").alias("reset"))
+    both = r.select("session", "turn", "size", "last_turn", "retired", F.lit(None).cast("bigint").alias("reset")).unionByName(marks.select("session", "turn", "reset"), allowMissingColumns=True)
+    after = Window.partitionBy("session").orderBy("turn").rangeBetween(1, Window.unboundedFollowing)
+    r = both.withColumn("next", F.min("reset").over(after)).filter("retired is not null")
+    until = F.least(F.coalesce("next", "last_turn"), F.col("last_turn"))
+    return r.groupBy("session").agg(F.sum(F.col("size") * (F.col("last_turn") - F.col("retired"))).alias("standalone"), F.sum(F.col("size") * F.greatest(until - F.col("retired"), F.lit(0))).alias("unique_saving"))
 
 
 def turn_buckets(ceiling: DataFrame, edges: tuple[int, ...] = (40, 60, 100)) -> DataFrame:

@@ -71,7 +71,7 @@ def references(s: SparkSession, d: str) -> DataFrame:
 
 def paths(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     whole = V.table(s, d, "pages").select(F.regexp_replace("url", "^https?://", "").alias("path")).distinct()
-    tails = V.table(s, d, "pages").filter("page_id % 2 = 0").select(F.regexp_extract("url", "/([a-z]+/[0-9]+)$", 1).alias("path")).filter("path <> ''").distinct()
+    tails = V.table(s, d, "pages").select(F.regexp_extract("url", "/([a-z]+/[0-9]+)$", 1).alias("path")).filter("path <> ''").distinct()
     return whole, tails
 
 
@@ -167,27 +167,29 @@ add("turn_buckets", lambda s, d: retirement.turn_buckets(retirement.retirement_c
 CUMULATIVE = f"""cum as (select session, superseded_at as turn, {big("sum(size)")} as retired from obsolete where superseded_at is not null group by all), cumulative as (select *, {big("sum(retired) over (partition by session order by turn)")} as retired_so_far from cum)"""
 add("retired_cumulative", lambda s, d: retirement.retired_cumulative(obsolete(s, d)), f"with {OBSOLETE}, {CUMULATIVE} select * from cumulative")
 add("first_crossing", lambda s, d: retirement.first_crossing(retirement.retired_cumulative(obsolete(s, d))), f"with {OBSOLETE}, {CUMULATIVE} select session, t.threshold, min(turn) as turn from cumulative, (values (1000), (5000), (20000)) t(threshold) where retired_so_far > t.threshold group by all")
-KEY_VALUE = "(?im)^(\\s*(?:password|passwd|secret|token|api_?key)\\s*[:=]\\s*)\\S+"
 REDACT = "regexp_replace(text, 'token = ', chr(10) || 'token = ', 'g')"
-#: The patterns of the SQL. ``C.redact`` knows more (further keys, bearer tokens, longer key names), which no test table holds.
+#: The same nine patterns and labels as text of the SQL.
 SQL_SECRETS = (
-    (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "private-key"),
-    (r"\bsk-[A-Za-z0-9_-]{16,}", "api-key"),
-    (r"\bgh[pousr]_[A-Za-z0-9]{20,}", "git-token"),
-    (r"\bAKIA[0-9A-Z]{16}\b", "aws-key"),
-    (r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "chat-token"),
-    (r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}", "jwt"),
+    ("aws-akid", r"\bAKIA[0-9A-Z]{16}\b"),
+    ("gh-token", r"\bgh[pousr]_[A-Za-z0-9]{20,}\b"),
+    ("openai-key", r"\bsk-[A-Za-z0-9]{20,}\b"),
+    ("slack", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b"),
+    ("google-key", r"\bAIza[0-9A-Za-z_\-]{35}\b"),
+    ("jwt", r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\b"),
+    ("bearer", r"(?i)\b(bearer)\s+[A-Za-z0-9._\-]{16,}"),
+    ("pem", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"),
 )
-for _pattern, _label in SQL_SECRETS:
+for _label, _pattern in SQL_SECRETS:
     REDACT = f"regexp_replace({REDACT}, '{_pattern}', '[REDACTED:{_label}]', 'g')"
-REDACT = f"regexp_replace({REDACT}, '{KEY_VALUE}', '\\1[REDACTED:value]', 'g')"
+SQL_VALUE = "(?im)^([A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|PASSWD|API[_-]?KEY|ACCESS[_-]?KEY|PRIVATE[_-]?KEY|CLIENT[_-]?SECRET)[A-Z0-9_]*)(\\s*[=:]\\s*)(\\S+)"
+REDACT = f"regexp_replace({REDACT}, '{SQL_VALUE}', '\\1\\2[REDACTED:env-secret]', 'g')"
 add("redact_documents", redacted, f"with r as (select doc_id, text, {REDACT} as red from documents) select doc_id, cast(len(regexp_extract_all(red, '\\[REDACTED:')) - len(regexp_extract_all(text, '\\[REDACTED:')) as bigint) as redactions, sha256(red) as redacted_sha256 from r")
 add("duplicate_deliveries", lambda s, d: ledger.duplicate_of(V.tool_outputs(s, d)), f"with {DUPES} select * from dupes")
 add("redundancy", lambda s, d: ledger.redundancy(ledger.duplicate_of(V.tool_outputs(s, d))), f"with {DUPES} select session, count(*) as duplicates, {big('sum(tokens)')} as tokens from dupes group by session")
 add("reduce_grep", lambda s, d: sha(compaction.reduce_grep(V.tool_outputs(s, d)), "dropped", "kept"), f"""with {W["tool_outputs"]}, {LINES}, r as (select *, row_number() over (partition by id order by pos) as rank from tlines where trim(line) <> '')
-    select id, sha256(string_agg(line, chr(10) order by pos) filter (rank <= 20)) as reduced_sha256, greatest(0, count(*) - 20) as dropped, count(*) filter (rank <= 20) as kept from r group by id""")
+    select id, sha256(string_agg(line, chr(10) order by pos) filter (rank <= 20) || case when count(*) > 20 then chr(10) || '... ' || (count(*) - 20) || ' more matches' else '' end) as reduced_sha256, greatest(0, count(*) - 20) as dropped, count(*) filter (rank <= 20) as kept from r group by id""")
 add("reduce_generic", lambda s, d: sha(compaction.reduce_generic(V.tool_outputs(s, d)), "dropped"), f"""with {W["tool_outputs"]}, {LINES}, n as (select *, count(*) over (partition by id) as n from tlines)
-    select id, sha256(string_agg(line, chr(10) order by pos) filter (n <= 20 or pos < 10 or pos >= n - 10)) as reduced_sha256, greatest(0, max(n) - 20) as dropped from n group by id""")
+    select id, sha256(case when max(n) <= 20 then string_agg(line, chr(10) order by pos) else string_agg(line, chr(10) order by pos) filter (pos < 10) || chr(10) || '... ' || (max(n) - 20) || ' lines omitted ...' || chr(10) || string_agg(line, chr(10) order by pos) filter (pos >= n - 10) end) as reduced_sha256, greatest(0, max(n) - 20) as dropped from n group by id""")
 add("reduce_logs", lambda s, d: sha(compaction.reduce_logs(V.tool_outputs(s, d), pattern=r"(?i)\b(idiot|scum|license|reserved|token)\b"), "kept"), f"""with {W["tool_outputs"]}, {LINES}, r as (select *, regexp_matches(line, '(?i)\\b(idiot|scum|license|reserved|token)\\b') as hit, row_number() over (partition by id order by pos desc) as back from tlines),
     g as (select id, line, min(case when hit then pos else pos + 1000000000 end) as rank from r where hit or back <= 15 group by all) select id, sha256(string_agg(line, chr(10) order by rank)) as reduced_sha256, count(*) as kept from g group by id""")
 add("line_overlap", lambda s, d: compaction.line_overlap(V.tool_outputs(s, d)), f"with {W['tool_outputs']}, {LINES}, u as (select distinct id, trim(line) as line from tlines where length(regexp_replace(trim(line), '\\s', '', 'g')) >= 20) select line, count(*) as outputs, min(id) as first_id from u group by line having count(*) > 1")
@@ -207,7 +209,7 @@ SYMBOLS = "symbols as (select p_partkey as id, concat_ws('.', p_brand, p_name, p
 add("resolve_edges", lambda s, d: graph.resolve_edges(references(s, d), symbols(s, d)), f"""with {SYMBOLS}, x as (select qualified as name, min(id) as exact_id from symbols group by 1), y as (select short as name, min(id) as short_id, count(*) as n from symbols group by 1),
     z as (select src, r.name, exact_id, short_id, case when exact_id is not null then 'exact' when n = 1 then 'unique' when n > 1 then 'ambiguous' else 'unresolved' end as resolution from refs r left join x on r.name = x.name left join y on r.name = y.name)
     select src, name, resolution, case resolution when 'exact' then exact_id when 'unique' then short_id end as dst, cast(case resolution when 'exact' then 1.0 when 'unique' then 0.8 when 'ambiguous' then 0.4 else 0.0 end as double) as confidence from z""")
-add("suffix_path_join", lambda s, d: graph.suffix_path_join(*paths(s, d)), """with a as (select distinct regexp_replace(url, '^https?://', '') as path from pages), b as (select distinct regexp_extract(url, '/([a-z]+/[0-9]+)$', 1) as path from pages where page_id % 2 = 0)
+add("suffix_path_join", lambda s, d: graph.suffix_path_join(*paths(s, d)), """with a as (select distinct regexp_replace(url, '^https?://', '') as path from pages), b as (select distinct regexp_extract(url, '/([a-z]+/[0-9]+)$', 1) as path from pages)
     select a.path, b.path as other from a, b where b.path <> '' and (a.path = b.path or suffix(a.path, '/' || b.path) or suffix(b.path, '/' || a.path))""")
 add("index_report", lambda s, d: graph.index_report(V.code_edges(s, d)), f"with {EDGES} select type, count(*) as edges, count(distinct src) as sources, count(distinct dst) as targets from code_edges group by type")
 add("pareto_front", lambda s, d: graph.pareto_front(V.table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey", "o_totalprice", "o_orderkey"), """with best as (select o_custkey, max(o_totalprice) as o_totalprice from orders group by 1), f as (select *, max(o_totalprice) over (order by o_custkey desc rows between unbounded preceding and 1 preceding) as above from best)
@@ -280,7 +282,7 @@ add("staleness_safety", lambda s, d: evidence.staleness_safety(V.context_objects
     m as (select source as session, lang || '-' || ((n_chars + 1) % 5) as key, row_number() over (partition by source order by doc_id) as turn from documents), n as (select session, key, max(turn) as needed from m group by all),
     r as (select t.*, last_turn, needed, lag, tail_turn + lag as retired from t join e using (session) left join n using (session, key), (values (0), (3), (5), (10), (20)) l(lag)) select session, lag, count(*) as n_retired, count(*) filter (coalesce(needed <= retired, true)) as n_safe,
     {big("sum(size * (last_turn - retired))")} as tail_gross, {big("sum(case when coalesce(needed <= retired, true) then size * (last_turn - retired) else 0 end)")} as safe_gross from r where retired < last_turn group by all""")
-add("path_scores", lambda s, d: evidence.path_scores(paths(s, d)[0].withColumn("score", F.length("path").cast("bigint")), paths(s, d)[1]), r"""with f as (select distinct regexp_replace(url, '^https?://', '') as path from pages), a as (select distinct regexp_extract(url, '/([a-z]+/[0-9]+)$', 1) as path from pages where page_id % 2 = 0), q as (select path from a where path <> '')
+add("path_scores", lambda s, d: evidence.path_scores(paths(s, d)[0].withColumn("score", F.length("path").cast("bigint")), paths(s, d)[1]), r"""with f as (select distinct regexp_replace(url, '^https?://', '') as path from pages), a as (select distinct regexp_extract(url, '/([a-z]+/[0-9]+)$', 1) as path from pages), q as (select path from a where path <> '')
     select q.path, coalesce(max(length(f.path)) filter (f.path = q.path), max(length(f.path))) as score from q join f on f.path = q.path or suffix(f.path, '/' || q.path) or suffix(q.path, '/' || f.path) group by 1""")
 add("symbols_overlapping_reads", lambda s, d: evidence.symbols_overlapping_reads(V.spans(s, d), V.line_reads(s, d)), "select c_custkey as read_id, o_orderkey as id from customer join orders on o_custkey = c_custkey and o_orderkey % 500 <= c_custkey * 7 % 500 + 40 and o_orderkey % 500 + 1 + o_orderkey % 97 >= c_custkey * 7 % 500")
 add("prefix_composition", lambda s, d: evidence.prefix_composition(V.tool_events(s, d), V.requests(s, d)), f"""with {W["tool_events"]}, {W["requests"]}, g as (select session, {big("coalesce(sum(tokens) filter (kind = 'read' and representation = 'file'), 0)")} as file_tokens, {big("coalesce(sum(tokens) filter (kind = 'read' and representation = 'search'), 0)")} as search_tokens, {big("sum(tokens)")} as tokens from tool_events group by session),
@@ -292,7 +294,7 @@ add("reduce_search", lambda s, d: sha(reduction.reduce_search(V.tool_outputs(s,
     k as (select id, pos, line, diagnostic, sum(length(line) + 1) over (partition by id, diagnostic order by pos) as spent from r), b as (select id, string_agg(line, chr(10) order by not diagnostic, pos) as body, count(*) filter (not diagnostic) as kept from k join h using (id) where diagnostic or spent <= 1024 - spoken group by id)
     select id, sha256(concat_ws(chr(10), matches || ' matches in ' || files || ' file(s)', body)) as reduced_sha256, matches, files, diagnostics, coalesce(kept, 0) as kept from h left join b using (id)""".replace("\\\\b", "\\b"))
 add("reduction_scan", lambda s, d: reduction.reduction_scan(V.tool_outputs(s, d).withColumn("text", F.regexp_replace("text", "token = ", "\ntoken = "))), f"""with x as (select doc_id as id, regexp_replace(text, 'token = ', chr(10) || 'token = ', 'g') as text from documents), y as (select id, text, string_split(text, chr(10)) as ls from x),
-    z as (select id, length(text) as before, octet_length(encode(text)) as bytes, case when len(ls) > 20 then length(array_to_string(ls[1:10] || ls[len(ls) - 9:], chr(10))) else length(text) end as after from y), s as ({Q["redact_documents"][1]}),
+    z as (select id, length(text) as before, octet_length(encode(text)) as bytes, case when len(ls) > 20 then length(array_to_string(ls[1:10] || ['... ' || (len(ls) - 20) || ' lines omitted ...'] || ls[len(ls) - 9:], chr(10))) else length(text) end as after from y), s as ({Q["redact_documents"][1]}),
     q as (select *, case when before // 4 < 400 then 'below_floor' when bytes > 200000 then 'too_large' when redactions > 0 then 'secret' when after >= before then 'not_smaller' else 'reduced' end as reason from z join s on id = doc_id)
     select reason, count(*) as outputs, {big("sum(before // 4)")} as raw_tokens, {big("sum(case when reason = 'reduced' then after // 4 else before // 4 end)")} as reduced_tokens from q group by reason""")
 add("candidate_pool", lambda s, d: reduction.candidate_pool(layers(s, d)), """with e as (select p_partkey as id, cast(p_size as bigint) as rank, 0 as k, 'size' as layer from part union all select l_partkey, min(l_linenumber), 1, 'ordered' from lineitem group by 1 union all select l_partkey, min(cast(l_quantity as bigint)), 2, 'quantity' from lineitem group by 1),
@@ -304,9 +306,16 @@ add("effective_price", lambda s, d: reduction.effective_price(V.requests(s, d),
 add("continuation", lambda s, d: reduction.continuation(V.event_rows(s, d).select("id", "session"), V.event_rows(s, d).filter("usage")), f"with {EVENT_ROWS} select id, session from event_rows where id not in (select id from event_rows where usage)")
 
 
+def every() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
+    """These queries and those of the other modules, which build on this one."""
+    from turnledger.plans import calls, code, replay
+
+    return Q | calls.Q | replay.Q | code.Q
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q for name, (q, _) in Q.items()}
+    return {name: q for name, (q, _) in every().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in Q.items()}
+    return {name: sql for name, (_, sql) in every().items() if sql}

@@ -130,3 +130,65 @@ SQL = {
     "code_edges": """select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst, 'USES' as type from lineitem union all select 'r' || n_regionkey, 'n' || n_nationkey, 'CONTAINS' from nation
         union all select 'n' || c_nationkey, 'c' || c_custkey, 'CONTAINS' from customer union all select 'c' || o_custkey, 'o' || o_orderkey, 'CONTAINS' from orders""",
 }
+
+
+#: Tools of the made-up transcripts, and of the tool mix.
+CALL_TOOLS = ("Read", "Grep", "Bash", "Edit", "WebFetch", "Glob")
+MIX_TOOLS = ("Read", "Grep", "Bash", "Edit", "Task", "WebSearch", "TodoWrite", "mcp__chrome__click", "mcp__db__query", "Other", "Write", "Glob", "Agent", "Skill")
+
+
+def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as transcript lines (session, pos, raw): assistant turns say something and call a tool, most later user turns hold the
+    result of the call before, the others are plain strings."""
+    quoted = lambda c: F.to_json(F.struct(c.alias("v")))
+    text, n = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))
+    inner = lambda c: F.regexp_extract(quoted(c), r"(?s)^\{\"v\":(.*)\}$", 1)
+    tool = F.element_at(F.array(*map(F.lit, CALL_TOOLS)), (n % 6 + 1).cast("int"))
+    path = F.concat(F.lit("./src/f"), (n % 7).cast("string"))
+    call = F.when(tool.isin("Read", "Edit"), F.to_json(F.struct(path.alias("file_path")))).when(tool == "Bash", F.to_json(F.struct(F.concat(F.lit(" cat "), path).alias("command")))).otherwise(F.to_json(F.struct(F.lit("p").alias("pattern"), path.alias("path"))))
+    ident = lambda t: F.concat(F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
+    said = F.concat(F.lit('{"type":"text","text":'), inner(text), F.lit("}"))
+    assistant = F.concat(F.lit("["), said, F.lit(',{"type":"tool_use","id":"'), ident(F.col("turn")), F.lit('","name":"'), tool, F.lit('","input":'), call, F.lit("}]"))
+    result = F.concat(F.lit('[{"type":"tool_result","tool_use_id":"'), ident(F.col("turn") - 1), F.lit('","content":['), said, F.lit("]}]"))
+    content = F.when(F.col("role") == "assistant", assistant).when((F.col("role") == "user") & (F.col("turn") > 0) & (n % 9 != 0), result).otherwise(inner(text))
+    usage = F.when(F.col("role") == "assistant", F.lit(',"usage":{"input_tokens":1}')).otherwise("")
+    request = F.when(F.col("role") == "assistant", F.concat(F.lit('"requestId":"q'), ident(F.floor(F.col("turn") / 4)), F.lit('",'))).otherwise("")
+    raw = F.concat(F.lit('{"type":"'), F.col("role"), F.lit('",'), request, F.lit('"message":{"content":'), content, usage, F.lit("}}"))
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("pos"), raw.alias("raw"))
+
+
+def tool_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("k", number())
+    return e.select(F.col("event_id").alias("id"), F.element_at(F.array(*map(F.lit, MIX_TOOLS)), (F.col("k") % 14 + 1).cast("int")).alias("tool"), F.floor("value").alias("tokens"), F.col("k"))
+
+
+#: Command templates by event number; ``@`` stands for a file.
+COMMANDS = (
+    "cat src/@", "grep -n 'a;b' src/@ | head -5", "cd a && cat @", "cd a; cd b; cat ../@", "pytest -q tests/@", "cat @ | wc -l", "ls -la src", "find . -name '*.py'", "find . -delete",
+    "git show HEAD:src/@", "git status", "sed -n 1,5p @", "sed -i s/a/b/ @", "echo hi > @", "cat @ 2>/dev/null", "rm @", "mv @ b && cat b", "cp @ c; head -n 5 c", "make build & cat @", "for x in *; do cat $x; done",
+    "cat 'unclosed @", "cd /abs && ls", "rg -e pat @", "cargo test || cat @",
+)
+
+
+def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("k", number())
+    command = F.replace(F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("event_id") % len(COMMANDS) + 1).cast("int")), F.lit("@"), F.concat(F.lit("f"), (F.col("k") % 4).cast("string")))
+    return e.select(F.col("event_id").alias("id"), command.alias("command"), F.when(F.col("k") % 5 == 0, "Grep").when(F.col("k") % 5 == 1, "Read").otherwise("Bash").alias("tool"))
+
+
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads with what they carried and what was sent, and the measurement state of each."""
+    e = table(spark, sf_dir, "events").withColumn("k", number())
+    k = F.col("k")
+    return e.select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("session"), F.col("event_type").alias("channel"), F.when(k % 3 == 0, "search").otherwise("file").alias("representation"), F.floor("value").alias("payload_tokens"), (F.floor("value") + k - 20).alias("transport_tokens"),
+        F.when(k % 5 == 0, "ambiguous_composite").when(k % 5 == 1, "ambiguous_multipath").when(k % 5 < 4, "attributed").alias("attribution"), F.when(k % 7 != 0, F.floor("value")).alias("tokens"),
+        F.when(k % 4 == 0, "text_partial_multimodal").when(k % 4 == 1, "multimodal").when(k % 8 == 2, "unsupported").otherwise("text").alias("status"),
+        F.when(k % 6 == 0, "timeout").when(k % 6 == 1, "went home").alias("closure_reason"), F.when(k % 9 != 0, "hook").alias("source_system"), F.when(k % 8 != 0, F.col("user_id").cast("string")).otherwise(" ").alias("stream"), F.when(k % 4 == 1, F.when(k % 3 == 0, "").otherwise("e")).alias("source_event_key"),
+    )
+
+
+def closures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other stream is declared closed, some before its last events."""
+    s = tool_events(spark, sf_dir).groupBy("session", "stream").agg(F.max("seq").alias("last_seq"))
+    return s.select("stream", (F.col("session") % 2 == 0).alias("closed"), F.when(F.col("session") % 4 == 0, F.col("last_seq") - 3000).alias("closed_at_seq"))
