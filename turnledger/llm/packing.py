@@ -4,7 +4,7 @@ Documents become pieces of at most ``limit`` tokens. Pieces are dealt evenly to
 only its last few sequences can be left partly empty. Inside a task, pieces above a size are sorted and put into groups of
 equal cardinality, and each counts as its group's largest; the best mix of configurations (multisets of few sizes that fit) is
 found by column generation; the configurations are filled with the actual pieces, and those that stay too empty are given up;
-the rest goes, longest first, to the fullest sequence that still has room.
+the rest goes, longest first, to the fullest sequence that still has room. A share never takes more sequences than best fit alone.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from turnledger.llm.text import id_text
+from turnledger.llm.text import id_text, release
 from turnledger.llm.tokens import word_encoder
 from turnledger.session import stored
 
@@ -38,6 +38,7 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT, id_col: str = "
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(vocabulary)
+        encoder.forget()
         for b in batches:
             at, rows = [], []
             for i, ids in enumerate(encoder.encode(b.column("text").to_pylist())):
@@ -48,6 +49,8 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT, id_col: str = "
                     rows.append((k // (4 * limit), k // 4, len(part) // 4, crc32(part)))
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.forget()
+        release()
 
     rows = id_text(docs, id_col, text_col)
     return rows.mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
@@ -136,12 +139,8 @@ def planned(lengths: np.ndarray, limit: int, groups: int, large: float) -> list[
     return out
 
 
-def pack(lengths: np.ndarray, limit: int = LIMIT, groups: int = GROUPS, large: float = LARGE, slack: int = SLACK) -> tuple[np.ndarray, np.ndarray]:
-    """For each length (1 to limit) its sequence number and its place in it.
-
-    Each planned configuration takes actual pieces of its groups; its last place goes to the longest piece that fits. A
-    sequence that this leaves emptier than ``slack`` gives its pieces back, and best fit places them with the small ones.
-    """
+def filled(lengths: np.ndarray, limit: int, plan: list[list[tuple[int, int]]], slack: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sequence numbers, places and the number of sequences, for one plan of configurations."""
     bins, offsets = np.full(len(lengths), -1, dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
     left, used = Unplaced(lengths), []  # used: tokens in each sequence
 
@@ -155,7 +154,7 @@ def pack(lengths: np.ndarray, limit: int = LIMIT, groups: int = GROUPS, large: f
     for i in left.by.pop(limit, []):
         place([i])
     left.mask &= (1 << limit) - 1
-    for places in planned(lengths, limit, groups, large):
+    for places in plan:
         members, room = [], limit
         for k, (least, greatest) in enumerate(places):
             n = left.longest(room if k == len(places) - 1 else min(room, greatest))
@@ -190,7 +189,25 @@ def pack(lengths: np.ndarray, limit: int = LIMIT, groups: int = GROUPS, large: f
         if room > n:
             open_at.setdefault(room - n, []).append(b)
             mask |= 1 << (room - n)
-    return bins, offsets
+    return bins, offsets, len(used)
+
+
+def pack(lengths: np.ndarray, limit: int = LIMIT, groups: int = GROUPS, large: float = LARGE, slack: int = SLACK) -> tuple[np.ndarray, np.ndarray]:
+    """For each length (1 to limit) its sequence number and its place in it.
+
+    Each planned configuration takes actual pieces of its groups; its last place goes to the longest piece that fits. A
+    sequence that this leaves emptier than the slack gives its pieces back, and best fit places them with the small ones. The plan
+    is tried with several slacks, and without any configuration (best fit alone); of these the fewest sequences count, so that
+    there are never more than best fit needs. It stops as soon as the lower bound is met.
+    """
+    least, plan, best = -(-int(lengths.sum()) // limit), planned(lengths, limit, groups, large), None
+    for own, room in ((plan, slack), (plan, 0), (plan, 8 * slack), (plan[: len(plan) // 2], slack), ([], 0)):
+        found = filled(lengths, limit, own, room)
+        if best is None or found[2] < best[2]:
+            best = found
+        if best[2] <= least:
+            break
+    return best[0], best[1]
 
 
 def packed(found: DataFrame, limit: int = LIMIT, share: int = SHARE) -> DataFrame:
@@ -204,6 +221,7 @@ def packed(found: DataFrame, limit: int = LIMIT, share: int = SHARE) -> DataFram
             bins, offsets = pack(table.column("length").to_numpy(), limit)
             first = TaskContext.get().partitionId() << 40
             yield from table.append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offsets)).combine_chunks().to_batches()
+        release()
 
     return found.repartition(tasks).mapInArrow(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long")
 
@@ -211,7 +229,8 @@ def packed(found: DataFrame, limit: int = LIMIT, share: int = SHARE) -> DataFram
 def pack_documents(docs: DataFrame, vocabulary: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Repeated rows and null ids are packed like any other row; an empty table gives an empty result; other columns are
-    ignored. Sequence numbers are unique but not dense.
+    Repeated rows and null ids are packed like any other row; a null or empty text is one piece of one token, a very long text
+    becomes as many pieces as it needs; an empty table gives an empty result; other columns are ignored. Sequence numbers are unique but not
+    dense.
     """
     return packed(stored(pieces(docs, vocabulary, limit, id_col, text_col), "pieces"), limit)

@@ -1,4 +1,4 @@
-"""Encoders inside tasks. Each Python worker loads a vocabulary once; word ids are kept in a bounded cache."""
+"""Encoders inside tasks. Each Python worker loads a vocabulary once; ids of words are kept by each task, within a bound."""
 
 from __future__ import annotations
 
@@ -9,8 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Kept words of each worker; the cache starts anew when it is full.
-CACHE_WORDS = 1_000_000
+from turnledger.llm.text import Learned
 
 
 @lru_cache(maxsize=2)
@@ -24,20 +23,6 @@ def byte_encoder(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class Learned(dict):
-    """A dictionary that asks ``learn`` for a key it lacks, and starts anew when it is full."""
-
-    def __init__(self, learn):
-        super().__init__()
-        self.learn = learn
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        value = self[key] = self.learn(key)
-        return value
-
-
 class WordEncoder:
     """The ids that the tokenizer file gives, as little-endian 32-bit bytes.
 
@@ -56,8 +41,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
-        self.parts = Learned(self._part)
-        self.chunks = Learned(self._chunk)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the kept ids; tasks call it when they end."""
+        self.parts, self.chunks = Learned(self._part, 16 << 20), Learned(self._chunk, 48 << 20)
 
     def _part(self, part: str) -> bytes:
         letters = part if part.isalpha() and part.isascii() else self.letters.pre_tokenize_str(part)[0][0]
