@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from turnledger.llm.text import ASCII_LOWER, id_text
+from turnledger.llm.text import ASCII_LOWER, Learned, id_text, release, split_by_bitmap
 from turnledger.session import stored
 
 COORDINATES = 48
@@ -35,21 +35,12 @@ MATCHES = 25
 #: Classes of one block in full comparisons, and members that one task confirms against a centre.
 BLOCK = 800
 MEMBERS = 400
-#: Parts of the bitmap of needed ids, of 4 KB each: 8 MB at most, whatever the input.
-FILTER_PARTS = 2048
-WORDS_KEPT = 1_000_000
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxh3_64_intdigest(word)
-        return value
-
-
-word_hashes = WordHashes()
+def word_hashes() -> Learned:
+    """Hashes of words, kept by one task."""
+    return Learned(xxh3_64_intdigest)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -58,10 +49,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str, size: int) -> np.ndarray:
+def shingle_set(text: str, size: int, hashes: Learned) -> np.ndarray:
     """Sorted hashes of the distinct shingles; fewer words than ``size`` are one shingle; no words, none."""
     words = text.encode().translate(ASCII_LOWER).split()
-    codes = np.fromiter(map(word_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    codes = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     n = min(size, len(codes))
     if not n:
         return codes
@@ -89,11 +80,13 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def features(rows: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, set_id, signature) of each row of (doc_id, text); set_id: 128 bits of the set, null without words."""
+    """(doc_id, h, n, set_id, signature) of each row of (doc_id, text); h: hash of the text; set_id: 128 bits of the set, null
+    without words."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
         for b in batches:
-            sets = [shingle_set(t, size) for t in b.column("text").to_pylist()]
+            sets = [shingle_set(t, size, hashes) for t in b.column("text").to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             ids, sigs = [None] * len(sets), [None] * len(sets)
             for k in range(0, len(full), 64):
@@ -101,9 +94,10 @@ def features(rows: DataFrame, size: int) -> DataFrame:
                 for i, sig in zip(some, signatures([sets[i] for i in some])):
                     ids[i] = set_identity(sets[i])
                     sigs[i] = sig.astype("<u4").tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "set_id", "signature"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "h", "n", "set_id", "signature"])
+        release()
 
-    return rows.mapInArrow(compute, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, set_id binary, signature binary")
+    return rows.withColumn("h", F.xxhash64("text")).mapInArrow(compute, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, h long, n long, set_id binary, signature binary")
 
 
 def coordinates(signature: Column) -> Column:
@@ -146,18 +140,6 @@ def colliding(pairs: DataFrame, classes: DataFrame, matches: int, least: float)
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(keep, "a long, b long")
 
 
-def only_needed(rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, text) without most rows whose id is not in ``needed`` (rep): a bitmap of the hashed ids goes to all
-    tasks, so that texts nobody asks for are not shuffled. Its size is fixed (``FILTER_PARTS`` parts of 4 KB); ids that share
-    a bit come through and are dropped by the join that follows."""
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_PARTS))
-    bit = lambda c: F.pmod(F.shiftright(F.xxhash64(c), 32), F.lit(32768))
-    bits = needed.groupBy(part("rep").alias("filter_part")).agg(F.bitmap_construct_agg(bit("rep")).alias("bits"))
-    found = rows.join(F.broadcast(bits), part("doc_id") == F.col("filter_part"))
-    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit("doc_id"), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return found.filter(F.getbit(byte, (bit("doc_id") % 8).cast("int")) == 1).select("doc_id", "text")
-
-
 def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. Pairs come to the texts by centre b, in
     salted parts of about ``MEMBERS``, as one sorted stream: a task holds one centre's set and one member's at a time."""
@@ -165,17 +147,18 @@ def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
     dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.hash("a"), F.col("parts"))).drop("parts")
     need = dealt.select(F.col("a").alias("nid"), "b", "part", F.lit(1).alias("kind")).unionByName(dealt.select(F.col("b").alias("nid"), "b", "part", F.lit(0).alias("kind")).distinct())
     need = stored(need.join(classes.select("nid", "rep", "set_id"), "nid"), "needed")
-    rows = only_needed(rows, need)
+    rows, _ = split_by_bitmap(rows, F.xxhash64("doc_id"), need, F.xxhash64("rep"))
     texts = need.join(rows, need["rep"].eqNullSafe(rows["doc_id"])).select("b", "part", "kind", "nid", "set_id", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, held, last = None, None, None
+        hashes = word_hashes()
         for batch in batches:
             a, b = [], []
             for c, part, kind, nid, set_id, text in zip(*(batch.column(k).to_pylist() for k in ("b", "part", "kind", "nid", "set_id", "text"))):
                 if kind and last == (c, part, nid) or not kind and centre == (c, part):
                     continue
-                s = shingle_set(text, size)
+                s = shingle_set(text, size, hashes)
                 if not len(s) or set_identity(s) != set_id:
                     continue  # another row of the same id
                 if not kind:
@@ -292,12 +275,12 @@ def across(lists: DataFrame, classes: DataFrame, rows: DataFrame, size: int, per
         return m.table.take(pa.array(np.unique(pairs[:, 1:]))).select(["key", "nid", "root", "outside", "both", "i", "j"])
 
     def linked(m: Meeting) -> pa.Table:
-        a, b, roots, sets = [], [], Roots(), {}
+        a, b, roots, sets, hashes = [], [], Roots(), {}, word_hashes()
         texts, set_ids = m.column("text"), m.column("set_id")
 
         def own_set(k: int) -> np.ndarray:
             if k not in sets:
-                s = shingle_set(texts[k], size)
+                s = shingle_set(texts[k], size, hashes)
                 sets[k] = s if len(s) and set_identity(s) == set_ids[k] else s[:0]  # another row of the same id has no set here
             return sets[k]
 
@@ -314,7 +297,7 @@ def across(lists: DataFrame, classes: DataFrame, rows: DataFrame, size: int, per
     again = meets.mapInArrow(streamed(involved), "key long, nid long, root long, outside boolean, both boolean, i int, j int")
     again = stored(again, "involved")  # texts go only to the lists where their pairs are decided
     wanted = stored(known.join(again.select("nid").distinct(), "nid"), "wanted")
-    rows = only_needed(rows, wanted)
+    rows, _ = split_by_bitmap(rows, F.xxhash64("doc_id"), wanted, F.xxhash64("rep"))
     texts = wanted.join(rows, F.col("rep").eqNullSafe(rows["doc_id"])).select("nid", "keys", "n", "signature", "set_id", "text")
     return again.join(texts, "nid").repartition("key", "both", "i", "j").sortWithinPartitions(*sorts).mapInArrow(streamed(linked), "a long, b long")
 
@@ -360,15 +343,9 @@ def streamed(decide):
     return run
 
 
-def near_components(docs: DataFrame, size: int = 5, percent: int = 80, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
-
-    Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct shingles of ``size`` words (a
-    shorter text is one shingle). Sets are linked from ``percent`` hundredths of similarity; component_id is the smallest
-    doc_id reachable. Texts without words, and nulls, are linked with nothing and stay. Rows that share a doc_id are rows of
-    their own; a null id never is a component's id unless all its rows have none. Other columns are ignored.
-    """
-    rows, least = id_text(docs, id_col, text_col), percent / 100
+def found_components(rows: DataFrame, size: int, percent: int, matches: int) -> DataFrame:
+    """(doc_id, h, n, set_id, component_id) of each row of (doc_id, text); component_id is null without words."""
+    least = percent / 100
     found = stored(features(rows, size), "features")
     classes = found.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max(F.struct("n", "signature")).alias("s"))
     classes = stored(classes.select("set_id", "rep", "s.n", "s.signature", F.monotonically_increasing_id().alias("nid")), "classes")
@@ -386,11 +363,32 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, matches:
     grouped = classes.join(roots, "nid", "left").select("set_id", "rep", F.coalesce("root", "nid").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = grouped.join(lowest, "root").select("set_id", "component_id")
+    return found.drop("signature").join(named, "set_id", "left")
+
+
+def near_components(docs: DataFrame, size: int = 5, percent: int = 80, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct shingles of ``size`` words (a
+    shorter text is one shingle). Sets are linked from ``percent`` hundredths of similarity; component_id is the smallest
+    doc_id reachable. Texts without words, and nulls, are linked with nothing and stay. Rows that share a doc_id are rows of
+    their own; a null id never is a component's id unless all its rows have none. Other columns are ignored.
+    """
+    found = found_components(id_text(docs, id_col, text_col), size, percent, matches)
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.join(named, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of the smallest id of each component, all columns as they were."""
-    kept = near_components(docs, size, percent, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+    """``docs`` with the document of the smallest id of each component, all columns as they were.
+
+    What goes is told by id and text together, so rows that share an id are decided each for itself; rows with the same id and
+    the same text cannot be told apart and stay or go together, and all rows that carry a component's id stay. Texts without words and nulls stay; null ids go only where
+    their component has another id; an empty table gives an empty result. Only rows that a fixed-size bitmap of the lost ones
+    names are shuffled.
+    """
+    found = found_components(id_text(docs, id_col, text_col), size, percent, MATCHES)
+    lost = stored(found.filter(F.col("set_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("lost_id"), F.col("h").alias("lost_h")).distinct(), "lost")
+    own_h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    maybe, surely_kept = split_by_bitmap(docs, F.xxhash64(F.col(id_col), own_h), lost, F.xxhash64("lost_id", "lost_h"))
+    return surely_kept.unionByName(maybe.join(lost, maybe[id_col].eqNullSafe(lost["lost_id"]) & (F.xxhash64(F.coalesce(maybe[text_col], F.lit(""))) == lost["lost_h"]), "left_anti"))
