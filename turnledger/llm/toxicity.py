@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.llm.text import held_out, id_text
+from turnledger.llm.text import Learned, held_out, id_text, release
+from turnledger.session import stored
 
 #: Labelled rows used at most to fit; above it, an evenly hashed part of them.
 FIT_ROWS = 16_000
-#: Lexicon entries kept at most (the strongest), so that what goes to the tasks is bounded.
-ENTRIES = 3_000
+#: Automaton states that a task keeps; beyond them it builds them anew.
+STATES = 100_000
 THRESHOLD = 0.7
 #: Words on either side of a hit that count as its context, and words before it that can report or negate.
 CONTEXT, BEFORE = 12, 4
@@ -62,6 +63,9 @@ class Lexicon:
         # only branches with fuzzy terms below them may spend the edit, and only those with short terms the mask
         self.below: set[int] = self._mark(0, self.fuzzy)
         self.masked: set[int] = self._mark(0, self.short) if disguises else set()
+        self._forget()
+
+    def _forget(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
         self.sets: list[frozenset] = []
@@ -124,6 +128,8 @@ class Lexicon:
         return to
 
     def match(self, word: str) -> tuple[float, int] | None:
+        if len(self.sets) > STATES:
+            self._forget()
         state = self.start
         for c in word:
             to = self.moves[state].get(c)
@@ -160,10 +166,8 @@ class Scorer:
     looked up with what stands inside it (``idi0t``, ``sc*m``, ``st.pid``).
     """
 
-    KEPT = 500_000
-
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
-        self.lexicon, self.cache = Lexicon(terms, stems, disguises=True), {}
+        self.lexicon, self.found = Lexicon(terms, stems, disguises=True), Learned(self._look, 32 << 20)
 
     def _hits(self, chunk: str) -> list[tuple[float, int]]:
         if chunk.isalpha():
@@ -181,22 +185,12 @@ class Scorer:
         return out
 
     def _look(self, chunk: str) -> tuple | None:
-        if len(self.cache) > self.KEPT:
-            self.cache.clear()
         hits = self._hits(chunk)
-        self.cache[chunk] = found = (sum(w for w, _ in hits), sum(w for w, d in hits if d), QUOTES.intersection(chunk)) if hits else None
-        return found
+        return (sum(w for w, _ in hits), sum(w for w, d in hits if d), QUOTES.intersection(chunk)) if hits else None
 
     def features(self, text: str) -> list[float]:
-        chunks, cache = text.lower().split(), self.cache
-        hits = []
-        for i, c in enumerate(chunks):
-            try:
-                found = cache[c]
-            except KeyError:
-                found = self._look(c)
-            if found:
-                hits.append((i, c, found))
+        chunks = text.lower().split()
+        hits = [(i, chunks[i], found) for i, found in enumerate(map(self.found.__getitem__, chunks)) if found]
         if not hits:
             return [0.0] * FEATURES
         spans, at = quotations(chunks) if MARKS.search(text) else [], 0
@@ -248,30 +242,33 @@ class Model:
 
 
 def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Terms and stems of toxic texts, with their log-odds; at most ``ENTRIES`` of each."""
+    """Terms and stems of toxic texts, with their log-odds: all that the counts support. ``rows`` are a bounded sample, which
+    bounds what comes back."""
     found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(\\p{L}+)"), F.lit(1))))
     counts = rows.select("toxic", found.alias("word")).groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
-    terms = counts.filter("length(word) >= 3 and pos >= 4 and pos >= 12 * neg").orderBy(F.desc("pos"), "word").limit(ENTRIES).collect()
+    terms = counts.filter("length(word) >= 3 and pos >= 4 and pos >= 12 * neg").collect()
     longer = counts.filter("length(word) >= 5").select("word", "pos", "neg", F.explode(F.sequence(F.lit(4), F.least(F.lit(7), F.length("word") - 1))).alias("k"))
     stems = longer.groupBy(F.substring("word", F.lit(1), F.col("k")).alias("stem")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum((F.col("pos") >= 1).cast("int")).alias("words"))
-    stems = stems.filter("words >= 4 and pos >= 10 and pos >= 25 * neg").orderBy(F.desc("pos"), "stem").limit(ENTRIES).collect()
+    stems = stems.filter("words >= 4 and pos >= 10 and pos >= 25 * neg").collect()
     weight = lambda r: math.log((r["pos"] + 0.5) / (r["neg"] + 0.5))
-    return {r["word"]: weight(r) for r in terms}, {r["stem"]: weight(r) for r in stems}
+    return {r["word"]: weight(r) for r in sorted(terms)}, {r["stem"]: weight(r) for r in sorted(stems)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """Learns from labelled rows that are not held out, at most about ``fit_rows`` of them. Without both labels among them,
-    the model scores every text 0."""
+    the model scores every text 0. Labels other than 0 and 1, and null ids, teach nothing; copies of a text count once for each
+    label (under their smallest id), so that chance words in them do not look like evidence. The sample is stored once, and the
+    same rows always give the same model."""
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = own.count()
-    share = min(1.0, fit_rows / max(n, 1))
-    own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(own), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)))  # at most about fit_rows rows
-    rows = rows.dropDuplicates(["text", "toxic"])  # copies would make chance words look like evidence
+    share = min(1.0, fit_rows / max(own.count(), 1))
+    own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) < int(share * (1 << 62)))
+    rows = id_text(docs, id_col, text_col).join(F.broadcast(own), "doc_id")  # own: at most about fit_rows rows
+    rows = rows.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)))
+    rows = stored(rows, "labelled")
     model = Model(*lexicon(rows.filter("half = 0")), None)
     half = rows.filter("half = 1").select("doc_id", "text", "toxic")
-    table = half.mapInArrow(featured(model), "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toPandas()
+    table = half.mapInArrow(featured(model), "doc_id " + rows.schema["doc_id"].dataType.simpleString() + ", toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toPandas().sort_values("doc_id", kind="stable").drop(columns="doc_id")
     if len(table) and 0 < table["toxic"].sum() < len(table):
         model.weights = logistic(table.drop(columns="toxic").to_numpy(), table["toxic"].to_numpy())
         model.terms, model.stems = lexicon(rows)  # the weights hold for a lexicon from all of them
@@ -283,7 +280,7 @@ def featured(model: Model):
         scorer = Scorer(model.terms, model.stems)
         for b in batches:
             x = np.array([scorer.features(t) for t in b.column("text").to_pylist()]).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), *[pa.array(x[:, i]) for i in range(FEATURES)]], names=["toxic", *[f"f{i}" for i in range(FEATURES)]])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *[pa.array(x[:, i]) for i in range(FEATURES)]], names=["doc_id", "toxic", *[f"f{i}" for i in range(FEATURES)]])
 
     return run
 
@@ -291,7 +288,8 @@ def featured(model: Model):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted.
 
-    Null and empty texts score as texts without hits. Each row counts for itself, repeated or not; other columns are ignored.
+    Null and empty texts score as texts without hits. Very long texts are scored whole. Each row counts for itself, repeated or
+    not; an empty table gives an empty result; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,6 +297,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             s = model.scores([scorer.features(t) for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
+        release()
 
     rows = id_text(docs, id_col, text_col)
     scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
@@ -306,7 +305,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; columns and repeated rows as they were."""
+    """``docs`` without the rows that score ``threshold`` or more; columns and repeated rows as they were. Null and empty texts have
+    no hits and stay, long texts are scored whole, copies of a row stay or go together, an empty table stays empty."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,5 +314,6 @@ def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         for b in batches:
             s = model.scores([scorer.features(t or "") for t in b.column(at).to_pylist()])
             yield b.filter(pa.array(s < threshold, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
