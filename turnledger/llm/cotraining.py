@@ -1,8 +1,8 @@
 """Quality scores by co-training two views.
 
-One view reads the content (hashed words), the other only what surrounds it (source, language, sizes and the shape of lines).
+One view reads the content (hashed words), the other never does: it has only metadata columns (source, language, recorded size).
 Each view's classifier labels the unlabelled rows it is surest of, and the other view learns from them in the next round; both
-are then calibrated on labelled rows neither of them saw, and the mean log-odds is the score. Labelled rows are a bounded sample;
+are then calibrated on labelled rows neither of them saw, and their log-odds, less the one prior that both hold, add up to the score. Labelled rows are a bounded sample;
 all other documents are the unlabelled side. Each round scores all of them on Spark, takes the surest by the histogram of their
 log-odds, and learns from sums of gradient and Hessian, so only models and sums reach the driver.
 """
@@ -18,34 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.llm.text import held_out
+from turnledger.llm.text import Learned, held_out, release
 from turnledger.session import stored
 
 #: Labelled rows that fitting uses at most (an evenly hashed part beyond); the unlabelled side is all other rows.
 LABELLED = 6_000
 #: Rounds, the part of the unlabelled rows that a view labels in each, and Newton steps over all rows in each.
 ROUNDS, PART, STEPS = 4, 0.05, 3
-#: Bins of log-odds from -30 to 30; rows from SURE log-odds on can be labelled.
-BINS, SURE = 6_000, 1.5
+#: Bins of log-odds from -30 to 30, and the calibrated log-odds from which a row can be labelled (19 to 1).
+BINS, SURE = 6_000, 2.94
 CONTENT, META = 256, 72
-WORDS_KEPT = 500_000
 SYMBOL = re.compile(r"[^\w\s]")
 
 
-class Buckets(dict):
-    """Word to bucket."""
+def bucket(word: str) -> int:
+    return crc32(word.encode()) % (CONTENT - 8)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        value = self[word] = crc32(word.encode()) % (CONTENT - 8)
-        return value
 
-
-buckets = Buckets()
-
-
-def content_view(text: str) -> np.ndarray:
+def content_view(text: str, buckets: Learned) -> np.ndarray:
     words = text.lower().split()
     out = np.zeros(CONTENT, dtype=np.float32)
     n = len(words)
@@ -59,15 +49,13 @@ def content_view(text: str) -> np.ndarray:
     return out
 
 
-def meta_view(source: str, lang: str, text: str) -> np.ndarray:
+def meta_view(source: str, lang: str, size: int | None) -> np.ndarray:
     out = np.zeros(META, dtype=np.float32)
     out[crc32(("s" + source).encode()) % 40] = 1
     out[40 + crc32(("l" + lang).encode()) % 16] = 1
-    lines = text.split("\n")
-    sizes = [len(x) for x in lines]
-    n = len(text)
-    out[56:64] = [np.log1p(n) / 12, np.log1p(len(lines)) / 6, np.log1p(n / len(lines)) / 8, len(set(lines)) / len(lines), sum(s < 30 for s in sizes) / len(lines), max(sizes) / (n + 1), sum(x.rstrip()[-1:] in (".", "!", "?") for x in lines) / len(lines), sum(x[:1].isupper() for x in lines) / len(lines)]
-    out[64 + min(7, int(np.log10(n + 1)))] = 1
+    if size is not None and size >= 0:
+        out[56] = np.log1p(size) / 12
+        out[57 + min(14, int(np.log2(size + 1)))] = 1
     return out
 
 
@@ -95,7 +83,7 @@ def calibrate(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ a, -30, 30)))
         a -= np.linalg.solve((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + 0.5 * np.eye(2), z.T @ (p - y) + 0.5 * (a - [1, 0]))
-    return float(max(a[0], 0.05)), float(a[1])
+    return float(max(a[0], 1e-3)), float(a[1])
 
 
 def replay(rules: list[tuple], views: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -185,8 +173,14 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, check: np.
                 break
         return models
 
+    def sure_bins(k: int) -> tuple[int, int]:
+        """The last bin of sure 0 and the first of sure 1, by how the view does on rows it never learned from. A view that knows
+        nothing is sure of nothing and teaches nothing."""
+        a, c = calibrate(margin(models[k], views[k][check]), y[check])
+        at = lambda odds: (np.clip((odds - c) / a, -30, 30) + 30) * BINS / 60
+        return int(at(-SURE)) - 1, int(at(SURE)) + 1
+
     models = fitted([(np.zeros(v.shape[1] + 1), *shapes[k]) for k, v in enumerate(own)], 15)
-    sure = int((30 - SURE) * BINS / 60)
     for _ in range(rounds):
         for teacher in (0, 1):
 
@@ -196,25 +190,28 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, check: np.
 
             h = (total(pool, histogram) or [np.zeros(BINS)])[0]
             good, bad = max(1, int(part * n_pool * share)), max(1, int(part * n_pool * (1 - share)))
-            low = min(int(np.searchsorted(np.cumsum(h), bad)), sure - 1)
-            high = max(BINS - 1 - int(np.searchsorted(np.cumsum(h[::-1]), good)), BINS - sure)
-            new = np.array([h[: low + 1].sum(), h[high:].sum()])
+            sure_0, sure_1 = sure_bins(teacher)
+            low = min(int(np.searchsorted(np.cumsum(h), bad)), sure_0)
+            high = max(BINS - 1 - int(np.searchsorted(np.cumsum(h[::-1]), good)), sure_1)
+            new = np.array([h[: max(low + 1, 0)].sum(), h[high:].sum()])
             if new.sum():
                 taught[1 - teacher] += new
                 rules.append((teacher, models[teacher], low, high))
         models = fitted(models, STEPS)
-    return [(m, calibrate(margin(m, v[check]), y[check])) for m, v in zip(models, views)]
+    prior = float(np.log(y[check].mean() / (1 - y[check].mean())))
+    return [(m, calibrate(margin(m, v[check]), y[check]), prior) for m, v in zip(models, views)]
 
 
 def viewed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     empty = F.lit("")
     have = {c.lower() for c in docs.columns}
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), empty).alias("text"), *[(F.coalesce(F.col(c).cast("string"), empty) if c in have else empty).alias(c) for c in ("source", "lang")])
+    size = F.col("n_chars").try_cast("long") if "n_chars" in have else F.lit(None).cast("long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), empty).alias("text"), *[(F.coalesce(F.col(c).cast("string"), empty) if c in have else empty).alias(c) for c in ("source", "lang")], size.alias("size"))
 
 
-def both_views(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    texts, sources, langs = (b.column(c).to_pylist() for c in ("text", "source", "lang"))
-    return np.array([content_view(t) for t in texts]).reshape(-1, CONTENT), np.array([meta_view(s, g, t) for s, g, t in zip(sources, langs, texts)]).reshape(-1, META)
+def both_views(b: pa.RecordBatch, buckets: Learned) -> tuple[np.ndarray, np.ndarray]:
+    texts, *meta = (b.column(c).to_pylist() for c in ("text", "source", "lang", "size"))
+    return np.array([content_view(t, buckets) for t in texts]).reshape(-1, CONTENT), np.array([meta_view(*m) for m in zip(*meta)]).reshape(-1, META)
 
 
 def unpacked(b: pa.RecordBatch) -> list[np.ndarray]:
@@ -225,8 +222,10 @@ def view_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """doc_id and both views, as bytes, of each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Learned(bucket)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array([r.tobytes() for r in v], pa.binary()) for v in both_views(b)]], names=["doc_id", "content", "meta"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array([r.tobytes() for r in v], pa.binary()) for v in both_views(b, buckets)]], names=["doc_id", "content", "meta"])
+        release()
 
     rows = viewed(docs, id_col, text_col)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, content binary, meta binary")
@@ -242,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ``views`` are the stored views of ``docs``, where the caller has them."""
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("y").alias("y"))
-    known = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(min(1.0, labelled / max(own.count(), 1)) * 1_000_000))
+    known = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 62)) < int(min(1.0, labelled / max(own.count(), 1)) * (1 << 62)))
     rows = (stored_views(docs, id_col, text_col) if views is None else views).filter("doc_id is not null")
     table = rows.join(F.broadcast(known), "doc_id").toPandas().sort_values("doc_id", kind="stable")  # known: at most about ``labelled`` rows
     y = table["y"].to_numpy()
@@ -258,13 +257,15 @@ def score(docs: DataFrame, models: list[tuple] | None, id_col: str = "doc_id", t
     """One row for each row of ``docs``: doc_id, held_out, content_score, meta_score, score (0 to 1, higher: better), predicted.
 
     Without a model (too few labels) every score is 0.5. Null and empty texts are scored as empty; repeated rows each for
-    themselves. Of other columns, only ``source`` and ``lang`` are read, where they exist. ``views`` are as for ``fit``.
+    themselves; long texts whole. Of other columns, only ``source``, ``lang`` and ``n_chars`` are read, where they exist, as
+    metadata (null or unusable: unknown). An empty table gives an empty result. ``views`` are as for ``fit``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            odds = [a * margin(m, v) + c for (m, (a, c)), v in zip(models, unpacked(b))] if models else [np.zeros(b.num_rows)] * 2
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(1 / (1 + np.exp(-np.clip(o, -30, 30))), pa.float64()) for o in (*odds, odds[0] + odds[1])]], names=["doc_id", "content_score", "meta_score", "score"])
+            odds = [a * margin(m, v) + c for (m, (a, c), _), v in zip(models, unpacked(b))] if models else [np.zeros(b.num_rows)] * 2
+            both = odds[0] + odds[1] - (models[0][2] if models else 0)  # each view counts the classes' shares; once is enough
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(1 / (1 + np.exp(-np.clip(o, -30, 30))), pa.float64()) for o in (*odds, both)]], names=["doc_id", "content_score", "meta_score", "score"])
 
     rows = view_rows(docs, id_col, text_col) if views is None else views
     out = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, content_score double, meta_score double, score double")
