@@ -1,50 +1,77 @@
-"""Exact deduplication by an extendible-hash index in the shared folder. DataFrame functions only.
-
-1. Each text gets a 64-bit hash. Rows are aggregated to one entry for each (hash, digest) before any shuffle, so a group of
-   copies, however large, is a single index entry.
-2. The directory has ``2 ** depth`` slots (the leading bits of the hash). It starts with one bucket; an overfull bucket is
-   split by doubling, to its own local depth, until it holds at most ``bucket_entries`` entries or the slots are used up.
-3. Owner tasks take key ranges (buckets in order), and the sorted entries are written as files of the shared folder.
-4. Entries with the same hash form a chain. Only rows whose chain holds more than one row fetch their texts again and are
-   compared byte for byte, by grouping on the text itself.
+"""Exact deduplication by an extendible-hash index on files of the shared folder. DataFrame functions only.
+
+1. One pass over the texts gives each row a 64-bit hash and a digest; only these are stored.
+2. Rows become one entry for each (hash, digest), aggregated before the shuffle, so a group of copies, however large, is one entry.
+3. The directory grows by doubling: it starts with the fewest leading bits of the hash that can hold all entries, and buckets
+   that are overfull split by one more bit until none is. Its slots name the bucket of every hash.
+4. Owner tasks take ranges of buckets. In a bucket, entries are sorted by hash; entries of one hash are a chain, and the owner
+   counts the rows of each. The buckets are written as the index files.
+5. Only chains of more than one row need bytes: a bitmap of their hashes picks the rows whose texts are then grouped by hash and
+   whole normalised text, copies collapsing before the shuffle. What that finds is set into the chains of the index, and every
+   row gets its entry's answer from there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnledger.llm.text import id_text, one_space
+from turnledger.llm.text import id_text, one_space, split_by_bitmap
 from turnledger.session import stored
 
-#: Bits of the hash that the directory can use; at most 2**16 slots, so the directory is at most 1.5 MB.
-MAX_DEPTH = 16
-BUCKET_ENTRIES = 20_000
-
-
-def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, normal, h, digest) of each row."""
-    rows = id_text(docs, id_col, text_col).select("doc_id", one_space(F.col("text")).alias("normal"))
-    return rows.withColumns({"h": F.xxhash64("normal"), "digest": F.unhex(F.sha2("normal", 256))})
+#: Most entries of a bucket.
+BUCKET_ENTRIES = 4096
+#: Bits of the hash; a directory never has more.
+MOST_BITS = 60
 
 
-def directory(entries: DataFrame, bucket_entries: int = BUCKET_ENTRIES, depth: int = MAX_DEPTH) -> DataFrame:
-    """(slot, local_depth, bucket) for each used slot. ``entries`` has the column ``slot``; bucket: its first slot."""
-    used = entries.groupBy("slot").agg(F.count("*").alias("n"))
-    nested = used.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level"))
-    nested = nested.withColumn("prefix", F.expr(f"shiftright(slot, {depth} - level)"))
-    held = nested.groupBy("level", "prefix").agg(F.sum("n").alias("held"))
-    overfull = held.filter(F.col("held") > bucket_entries).select("level", "prefix", F.lit(1).alias("split"))
-    split = nested.join(overfull, ["level", "prefix"], "left").groupBy("slot").agg(F.coalesce(F.sum("split"), F.lit(0)).cast("int").alias("local_depth"))
-    return split.withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {depth} - local_depth), {depth} - local_depth)"))
+def prefix(h: Column, bits: int) -> Column:
+    """The leading bits of a hash, as a number from 0."""
+    return F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def build_index(rows: DataFrame, bucket_entries: int = BUCKET_ENTRIES, depth: int = MAX_DEPTH) -> DataFrame:
-    """The index files: (bucket, local_depth, h, digest, first_id, n), in key order within each owner's range."""
-    slot = F.shiftrightunsigned("h", 64 - depth).cast("int")
-    entries = stored(rows.groupBy("h", "digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).withColumn("slot", slot), "entries")
-    found = entries.join(directory(entries, bucket_entries, depth), "slot").drop("slot")
-    return stored(found.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "index")
+def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, digest) of each row."""
+    rows = id_text(docs, id_col, text_col).select("doc_id", one_space(F.col("text")).alias("normal"))
+    return rows.select("doc_id", F.xxhash64("normal").alias("h"), F.unhex(F.sha2("normal", 256)).alias("digest"))
+
+
+def directory(entries: DataFrame, bucket_entries: int = BUCKET_ENTRIES) -> tuple[DataFrame, list[int]]:
+    """The buckets (bucket, local_depth, prefix) of a directory over the hashes ``h``, and the local depths that occur. A bucket holds
+    the hashes whose leading ``local_depth`` bits are ``prefix``; its number is that of its first slot, and one of less depth than
+    the directory stands for several slots. One hash alone cannot be split."""
+    depth = max(0, math.ceil(math.log2(max(1, entries.count() / bucket_entries))))
+    waiting, buckets, depths = entries.select("h"), None, []
+    while True:
+        held = waiting.groupBy(prefix(F.col("h"), depth).alias("prefix")).agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+        held = stored(held.withColumn("overfull", (F.col("n") > bucket_entries) & (F.col("low") < F.col("high")) & F.lit(depth < MOST_BITS)), "held")
+        fits = held.filter("not overfull").select("prefix", F.lit(depth).alias("local_depth"))
+        buckets = fits if buckets is None else buckets.unionByName(fits)
+        depths.append(depth)
+        overfull = held.filter("overfull").select("prefix")
+        if not overfull.limit(1).count():
+            return buckets.withColumn("bucket", F.expr(f"shiftleft(prefix, {depth} - local_depth)")), depths
+        waiting = waiting.withColumn("prefix", prefix(F.col("h"), depth)).join(overfull, "prefix", "left_semi").select("h")
+        depth += 1
+
+
+def build_index(rows: DataFrame, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
+    """The index files: (bucket, local_depth, h, digest, first_id, n, chain_rows), each bucket sorted within its owner's range.
+    ``rows`` are as ``hashed`` gives them; chain_rows counts the rows of all entries with the hash."""
+    entries = stored(rows.groupBy("h", "digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "entries")
+    buckets, depths = directory(entries, bucket_entries)
+    # a hash is in exactly one bucket, of one of the few depths that occur
+    asked = entries.withColumn("at", F.explode(F.array(*[F.struct(F.lit(d).alias("local_depth"), prefix(F.col("h"), d).alias("prefix")) for d in depths])))
+    placed = asked.select("h", "digest", "first_id", "n", "at.*").join(buckets, ["local_depth", "prefix"]).drop("prefix")
+    owned = placed.repartitionByRange("bucket").withColumn("chain_rows", F.sum("n").over(Window.partitionBy("bucket", "h")))
+    return stored(owned.sortWithinPartitions("bucket", "h", "digest"), "index")
+
+
+def chained(index: DataFrame) -> DataFrame:
+    """The hashes (h, bucket) whose chains hold more than one row."""
+    return index.filter("chain_rows > 1").select("h", "bucket").distinct()
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
@@ -52,25 +79,31 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null texts count as empty and group with each other. Of rows that share a text and the smallest doc_id (repeated rows),
     all are marked kept, as they cannot be told apart by id. A null doc_id stays only in a group without any other id.
-    An empty table gives an empty result; other columns are ignored.
+    Long texts are compared whole. An empty table gives an empty result; other columns are ignored.
+    """
+    rows = stored(hashed(docs, id_col, text_col), "hashed")
+    index = build_index(rows, bucket_entries)
+    texts = id_text(docs, id_col, text_col).select("doc_id", one_space(F.col("text")).alias("normal")).withColumn("h", F.xxhash64("normal"))
+    maybe, _ = split_by_bitmap(texts, F.col("h"), chained(index), F.col("h"))
+    same = maybe.groupBy("h", "normal").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    groups = stored(same.select("h", F.unhex(F.sha2("normal", 256)).alias("digest"), "keep_id", "group_size"), "groups")
+    # an entry of the index with one row answers for itself, one with several as the comparison of its bytes says
+    answers = index.join(groups, ["h", "digest"], "left").select("h", "digest", F.when(F.col("group_size").isNull(), F.col("first_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
+    out = rows.join(answers, ["h", "digest"])
+    return out.select("doc_id", "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
+    """``docs`` with one row of each text, all columns as they were: the row with the smallest id (a null id after all others).
+
+    Of identical rows with that id one stays. Null texts count as empty; long texts are compared whole; an empty table stays
+    empty. Rows whose hash no other row has, as the index tells, are passed on without a shuffle.
     """
     index = build_index(hashed(docs, id_col, text_col), bucket_entries)
-    chains = index.groupBy("h").agg(F.sum("n").alias("rows")).filter("rows > 1").select("h")
-    same = hashed(docs, id_col, text_col).join(chains, "h", "left_semi").groupBy("h", "normal").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = stored(same.filter("group_size > 1").select("h", F.unhex(F.sha2("normal", 256)).alias("digest"), "keep_id", "group_size"), "groups")
-    out = hashed(docs, id_col, text_col).drop("normal").join(groups.withColumn("copied", F.lit(True)), ["h", "digest"], "left")
-    keep = F.when(F.col("copied"), F.col("keep_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each text, all columns as they were: the row with the smallest id."""
-    index = build_index(hashed(docs, id_col, text_col))
-    chains = index.groupBy("h").agg(F.sum("n").alias("rows")).filter("rows > 1").select("h")
+    normal = lambda c: one_space(F.coalesce(c, F.lit("")))
+    maybe, alone = split_by_bitmap(docs, F.xxhash64(normal(F.col(f"`{text_col}`"))), chained(index), F.col("h"))
     names = docs.columns
-    own = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(names)], F.xxhash64(one_space(F.coalesce(F.col(text_col), F.lit("")))).alias("h"))
-    normal = one_space(F.coalesce(F.col(f"own_{names.index(text_col)}"), F.lit("")))
-    alone = own.join(chains, "h", "left_anti")
-    ranked = F.struct(F.col(f"own_{names.index(id_col)}").isNull().alias("none"), F.col(f"own_{names.index(id_col)}").alias("id"))
-    first = own.join(chains, "h", "left_semi").groupBy("h", normal.alias("normal")).agg(F.min_by(F.struct(*[f"own_{i}" for i in range(len(names))]), ranked).alias("row")).select("row.*", "h")
-    return alone.unionByName(first).select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(names)])
+    own = maybe.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(names)])
+    text, ident = F.col(f"own_{names.index(text_col)}"), F.col(f"own_{names.index(id_col)}")
+    first = own.groupBy(F.xxhash64(normal(text)).alias("h"), normal(text).alias("normal")).agg(F.min_by(F.struct(*[f"own_{i}" for i in range(len(names))]), F.struct(ident.isNull().alias("none"), ident.alias("id"))).alias("row"))
+    return alone.unionByName(first.select(*[F.col(f"row.own_{i}").alias(c) for i, c in enumerate(names)]))
