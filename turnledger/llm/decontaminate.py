@@ -1,167 +1,243 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
-Each task turns its documents into one array of word numbers (the benchmark's vocabulary; all other words are a separator) and
-sorts the suffixes that can start a match: a suffix array of that shard. Every suffix of every benchmark item is found in it by
-binary search; neighbours that agree on a window of words give verbatim matches and their places, and runs of matching windows
-give the longest matches. The benchmark goes to the tasks in blocks of bounded size.
+1. Training documents become shards of bounded size. A task numbers a shard's words, ends every document with a number of its
+   own and sorts all suffixes by doubling: the shard's suffix array. The arrays are stored once.
+2. Every suffix of every benchmark item is looked up in every shard's array by binary search, word by word, for all suffixes at
+   once, until a window of words is matched or nothing is left.
+3. Matches that follow each other in both texts are one verbatim match; its length is exact, however long, and it comes with its
+   item and its places in both.
+
+The benchmark goes to the tasks in blocks of bounded size, one after the other; a block is forgotten when its results are stored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from turnledger.llm.text import id_text
+from turnledger.llm.text import Learned, id_text, release
+from turnledger.session import BATCH_ROWS, stored
 
 WINDOW = 10
-#: Bytes of benchmark text in one block; a larger benchmark is searched block by block.
-BLOCK_BYTES = 8_000_000
-#: Bytes of documents in one shard of the suffix array.
-SHARD_BYTES = 16_000_000
+#: Bytes of benchmark text in one block, and of documents in one shard (one longer document is a shard of its own).
+BLOCK_BYTES, SHARD_BYTES = 8_000_000, 8_000_000
 #: Bytes of a word, A-Z lower-cased: 0-9, a-z and everything beyond ASCII; all others become spaces.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def words(text: str) -> list[bytes]:
-    return text.encode().translate(WORD_BYTES).split()
+def word_hashes(text: str, hashes: Learned) -> np.ndarray:
+    words = text.encode().translate(WORD_BYTES).split()
+    return np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-class Numbers(dict):
-    """Word numbers from 1 on; 0 for a word that the benchmark lacks."""
+class Shard:
+    """Documents as one array of word numbers. ``vocabulary`` holds the sorted word hashes; a number beyond it ends a document."""
 
-    def __missing__(self, word: bytes) -> int:
-        return 0
+    def __init__(self, vocabulary: np.ndarray, codes: np.ndarray, order: np.ndarray, ends: np.ndarray):
+        self.vocabulary, self.codes, self.order, self.ends = vocabulary, codes, order, ends
+
+    @classmethod
+    def of(cls, texts: list[np.ndarray]) -> Shard:
+        vocabulary, numbers = np.unique(np.concatenate(texts), return_inverse=True) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        ends = np.cumsum(sizes + 1) - 1
+        codes = np.empty(int(sizes.sum()) + len(texts), dtype=np.int32)
+        inside = np.ones(len(codes), dtype=bool)
+        inside[ends] = False
+        codes[inside] = numbers
+        codes[ends] = len(vocabulary) + np.arange(len(texts))
+        return cls(vocabulary, codes, suffix_array(codes), ends)
+
+
+def suffix_array(codes: np.ndarray) -> np.ndarray:
+    """The places of all suffixes in their order. No two suffixes are equal, as each document ends with its own number.
+
+    Suffixes are sorted by one word, then by two, four and so on; only those that are still level with others are sorted again.
+    """
+    n = len(codes)
+    order = np.argsort(codes, kind="stable")
+    level = np.concatenate([[True], codes[order][1:] != codes[order][:-1]]) if n else np.zeros(0, dtype=bool)
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.maximum.accumulate(np.where(level, np.arange(n), 0))
+    k = 1
+    while True:
+        tied = np.flatnonzero(~(level & np.concatenate([level[1:], [True]])))  # slots that share their rank
+        if not len(tied):
+            return order.astype(np.int32)
+        places = order[tied]
+        after = places + k
+        both = rank[places] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        sort = np.argsort(both, kind="stable")
+        order[tied], both = places[sort], both[sort]
+        level[tied] = np.concatenate([[True], both[1:] != both[:-1]])
+        starts = np.maximum.accumulate(np.where(level[tied], np.arange(len(tied)), 0))
+        rank[order[tied]] = tied[starts]
+        k *= 2
 
 
 class Items:
-    """One block of the benchmark: its vocabulary, and its windows grouped by their length in words."""
+    """One block of the benchmark: the hashes of its words, and each suffix that is long enough to be looked up."""
 
     def __init__(self, items: list[tuple], window: int):
-        self.ids = [i for i, _ in items]
-        texts = [words(t) for _, t in items]
-        self.numbers = Numbers()
-        for t in texts:
-            for w in t:
-                self.numbers.setdefault(w, len(self.numbers) + 1)
-        windows: dict[int, list[tuple[list[int], int]]] = {}
+        self.ids, hashes, starts, needs, owners, at = [i for i, _ in items], Learned(xxh3_64_intdigest), [], [], [], 0
+        texts = [word_hashes(t, hashes) for _, t in items]
         for k, t in enumerate(texts):
-            codes, n = [self.numbers[w] for w in t], min(window, len(t))
-            for s in range(len(codes) - n + 1 if n else 0):
-                windows.setdefault(n, []).append((codes[s : s + n], k))
-        self.windows = {n: (np.array([w for w, _ in x], dtype=np.int64), np.array([k for _, k in x])) for n, x in windows.items()}
-
-
-def suffix_array(columns: np.ndarray) -> np.ndarray:
-    """Order of the rows of ``columns`` (the first words of each suffix)."""
-    return np.lexsort(columns.T[::-1])
-
-
-def search(codes: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, words, item) of all occurrences of the block's windows in an array of word numbers."""
-    places, lengths, found = [], [], []
-    known = np.concatenate([[0], np.cumsum(codes > 0)])
-    for n, (tests, item) in items.windows.items():
-        if len(codes) < n:
-            continue
-        starts = np.flatnonzero(known[n:] - known[:-n] == n)  # suffixes that begin with n words of the vocabulary
-        if not len(starts):
-            continue
-        columns = codes[starts[:, None] + np.arange(n)]
-        order = suffix_array(columns)
-        ordered, starts = columns[order], starts[order]
-        group = np.concatenate([[0], np.cumsum((ordered[1:] != ordered[:-1]).any(axis=1))])
-        heads = ordered[np.concatenate([[True], group[1:] != group[:-1]])]
-        rank = np.lexsort(np.concatenate([heads, tests]).T[::-1])  # where each test suffix falls among the heads
-        merged = np.concatenate([heads, tests])[rank]
-        same = np.concatenate([[0], np.cumsum((merged[1:] != merged[:-1]).any(axis=1))])
-        of_head, of_test = np.full(same[-1] + 1, -1), np.empty(len(tests), dtype=np.int64)
-        is_head = rank < len(heads)
-        of_head[same[is_head]] = rank[is_head]
-        of_test[rank[~is_head] - len(heads)] = same[~is_head]
-        hit = of_head[of_test]
-        for t in np.flatnonzero(hit >= 0):
-            lo, hi = np.searchsorted(group, [hit[t], hit[t] + 1])
-            places.append(starts[lo:hi])
-            lengths.append(np.full(hi - lo, n))
-            found.append(np.full(hi - lo, item[t]))
+            n = min(window, len(t))
+            count = len(t) - n + 1 if n else 0
+            starts.append(at + np.arange(count))
+            needs.append(np.full(count, n))
+            owners.append(np.full(count, k))
+            at += len(t)
+        join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)
+        self.words = np.concatenate(texts) if texts else np.zeros(0, dtype=np.uint64)
+        self.starts, self.needs, self.owners = join(starts), join(needs), join(owners)
+        self.first = np.cumsum([0, *map(len, texts)])
+        # in the order of their words, as shards have them: neighbours then look at neighbouring slots
+        ahead = [self.words[np.minimum(self.starts + d, len(self.words) - 1)] for d in range(3)] if len(self.starts) else []
+        sort = np.lexsort(ahead[::-1]) if ahead else self.starts
+        self.starts, self.needs, self.owners = self.starts[sort], self.needs[sort], self.owners[sort]
+
+
+def bound(keys: Callable[[np.ndarray], np.ndarray], lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray, above: bool) -> np.ndarray:
+    """For each range of slots (their ``keys`` are sorted inside it), the first slot whose key is not below (or is above) the wanted one."""
+    lo, hi = lo.copy(), hi.copy()
+    while (open_at := np.flatnonzero(lo < hi)).size:
+        middle = (lo[open_at] + hi[open_at]) >> 1
+        found = keys(middle)
+        right = found <= wanted[open_at] if above else found < wanted[open_at]
+        lo[open_at[right]] = middle[right] + 1
+        hi[open_at[~right]] = middle[~right]
+    return lo
+
+
+def search(shard: Shard, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, test, words): where each test suffix of the block occurs in the shard, with as many words as it needs."""
+    places, tests, sizes = [], [], []
+    at = np.searchsorted(shard.vocabulary, items.words)
+    known = at < len(shard.vocabulary)
+    known[known] = shard.vocabulary[at[known]] == items.words[known]
+    numbers = np.where(known, at, -1)
+    alive = np.flatnonzero(numbers[items.starts] >= 0)
+    n, depth, lo, hi = len(shard.codes), 0, None, None
+    while len(alive):
+        wanted = numbers[items.starts[alive] + depth]
+        if depth:
+            keys = lambda slots, d=depth: shard.codes[np.minimum(shard.order[slots] + d, n - 1)]
+            lo = bound(keys, lo, hi, wanted, False)
+            hi = bound(keys, lo, hi, wanted, True)
+        else:
+            lo, hi = (np.searchsorted(shard.codes, wanted, side, sorter=shard.order) for side in ("left", "right"))
+        depth += 1
+        there = (lo < hi) & (wanted >= 0)
+        done = there & (items.needs[alive] == depth)
+        if done.any():
+            count = hi[done] - lo[done]
+            slots = np.repeat(lo[done] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            places.append(shard.order[slots].astype(np.int64))
+            tests.append(np.repeat(alive[done], count))
+            sizes.append(np.full(len(slots), depth))
+        there &= ~done
+        alive, lo, hi = alive[there], lo[there], hi[there]
     if not places:
         return (np.zeros(0, dtype=np.int64),) * 3
-    return np.concatenate(places), np.concatenate(lengths), np.concatenate(found)
-
-
-def spans(places: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs of covered words, as (start, end)."""
-    out: list[list[int]] = []
-    for s, n in sorted(zip(places.tolist(), lengths.tolist())):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s + n)
-        else:
-            out.append([s, s + n])
-    return [(s, e) for s, e in out]
+    return np.concatenate(places), np.concatenate(tests), np.concatenate(sizes)
+
+
+def longest_matches(places: np.ndarray, tests: np.ndarray, sizes: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
+    """(place, item, place in the item, words) of maximal verbatim matches: windows that move on together in both texts join."""
+    start = items.starts[tests]
+    order = np.lexsort([places, places - start])
+    p, s, item, w = places[order], start[order], items.owners[tests[order]], sizes[order]
+    new = np.concatenate([[True], (p[1:] != p[:-1] + 1) | (s[1:] != s[:-1] + 1) | (item[1:] != item[:-1])]) if len(p) else np.zeros(0, dtype=bool)
+    head = np.flatnonzero(new)
+    run = np.diff(np.concatenate([head, [len(p)]]))
+    return p[head], item[head], s[head] - items.first[item[head]], w[head] + run - 1
+
+
+def shards_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.Table, Shard]]:
+    """The rows of a task in parts of about ``SHARD_BYTES`` of text, each with its shard."""
+    hashes, rows, texts, size = Learned(xxh3_64_intdigest), [], [], 0
+
+    def cut() -> tuple[pa.Table, Shard]:
+        return pa.Table.from_batches(rows), Shard.of(texts)
+
+    for b in batches:
+        at = 0
+        for k, text in enumerate(b.column(column).to_pylist()):
+            text = text or ""
+            if texts and size + len(text) > SHARD_BYTES:
+                rows.append(b.slice(at, k - at))
+                yield cut()
+                rows, texts, size, at = [], [], 0, k
+            size += len(text)
+            texts.append(word_hashes(text, hashes))
+        rows.append(b.slice(at))
+    if texts:
+        yield cut()
+    release()
+
+
+def suffix_arrays(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The shards: (shard, doc_ids, ends, vocabulary, codes, suffixes), one row each."""
+    rows = id_text(docs, id_col, text_col)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for table, s in shards_of(batches, 1):
+            ids = table.column("doc_id").combine_chunks()
+            data = [pa.array([a.tobytes()], pa.binary()) for a in (s.vocabulary, s.codes, s.order)]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([s.ends.tolist()], pa.list_(pa.int64())), *data], names=["shard", "doc_ids", "ends", "vocabulary", "codes", "suffixes"])
+            number += 1
+
+    return rows.mapInArrow(build, f"shard long, doc_ids array<{rows.schema['doc_id'].dataType.simpleString()}>, ends array<long>, vocabulary binary, codes binary, suffixes binary")
 
 
 def blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str, block_bytes: int) -> Iterator[Items]:
-    rows = benchmark.select(F.col(id_col).alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """The benchmark in parts of about ``block_bytes``; one is on the driver at a time. Copies of an item count once."""
+    rows = benchmark.select(F.col(id_col).alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, math.ceil(total / block_bytes))
     for k in range(n):
         yield Items([(r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], window)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_words, n_hit, item_ids (sorted as strings), spans (array of start and end,
-    in words: the places that benchmark windows cover), longest (the most words in a row).
+MATCH = "struct<item:string,start:long,item_start:long,words:long>"
 
-    A null or empty text has no words. Items without words match nothing; items shorter than ``window`` must occur whole. Repeated
-    rows are searched each for itself; other columns are ignored. Without a benchmark no document is hit.
-    """
-    rows = id_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, h long, n_words long, item_ids array<string>, spans array<struct<start:long,end:long>>"
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def in_block(items: Items):
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts, out = batch.column("text").to_pylist(), []
-                at = 0
-                while at < len(texts):
-                    codes, ends, size, first = [], [], 0, at
-                    while at < len(texts) and (at == first or size + len(texts[at]) <= SHARD_BYTES):
-                        size += len(texts[at])
-                        codes.extend(map(items.numbers.__getitem__, words(texts[at])))
-                        ends.append(len(codes))
-                        codes.append(0)
-                        at += 1
-                    places, lengths, found = search(np.array(codes, dtype=np.int64), items)
-                    doc = np.searchsorted(ends, places, side="right")
-                    order = np.argsort(doc, kind="stable")
-                    cuts = np.searchsorted(doc[order], np.arange(len(ends) + 1))
-                    for d in range(len(ends)):
-                        own, start = order[cuts[d] : cuts[d + 1]], (ends[d - 1] + 1 if d else 0)
-                        out.append((ends[d] - start, sorted({str(items.ids[k]) for k in found[own].tolist()}), [{"start": s, "end": e} for s, e in spans(places[own] - start, lengths[own])] if len(own) else []))
-                columns = list(zip(*out)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.string())), pa.array(columns[2], span_type)], names=["doc_id", "h", "n_words", "item_ids", "spans"])
-
-        return find
-
-    each = [rows.mapInArrow(in_block(items), schema) for items in blocks(benchmark, window, item_col, item_text_col, block_bytes)]
-    if len(each) == 1:
-        merged = each[0]
-    else:  # the parts of a document meet by its id and the hash of its text
-        parts = each[0]
-        for e in each[1:]:
-            parts = parts.unionByName(e)
-        merged = parts.groupBy("doc_id", "h", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.count("*").alias("copies"))
-        merged = merged.withColumn("spans", F.aggregate("spans", F.array().cast("array<struct<start:long,end:long>>"), merge_span)).select("*", F.explode(F.sequence(F.lit(1), F.expr(f"cast(copies / {len(each)} as int)")))).drop("copies", "col")
-    length = lambda s: s["end"] - s["start"]
-    total = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + length(s))
-    return merged.select("doc_id", "n_words", total.alias("n_hit"), "item_ids", "spans", F.coalesce(F.array_max(F.transform("spans", length)), F.lit(0)).alias("longest"))
+def found_in(shards: DataFrame, items: Items) -> DataFrame:
+    """(shard, at, doc_id, n_words, matches) of each document of the shards; at: its place in the shard."""
+    match_type = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("item_start", pa.int64()), ("words", pa.int64())]))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                vocabulary, codes, order = (np.frombuffer(b.column(c)[r].as_py(), dtype=t) for c, t in (("vocabulary", np.uint64), ("codes", np.int32), ("suffixes", np.int32)))
+                ids = b.column("doc_ids")[r].values
+                ends = np.array(b.column("ends")[r].as_py(), dtype=np.int64)
+                place, item, item_start, n = longest_matches(*search(Shard(vocabulary, codes, order, ends), items), items)
+                first = np.concatenate([[0], ends[:-1] + 1])
+                doc = np.searchsorted(ends, place)
+                own: list[list[dict]] = [[] for _ in ends]
+                for d, p, i, s, w in zip(doc.tolist(), (place - first[doc]).tolist(), item.tolist(), item_start.tolist(), n.tolist()):
+                    own[d].append({"item": str(items.ids[i]), "start": p, "item_start": s, "words": w})
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("shard")[r].as_py()] * len(ends), pa.int64()), pa.array(np.arange(len(ends)), pa.int32()), ids, pa.array(ends - first), pa.array(own, match_type)], names=["shard", "at", "doc_id", "n_words", "matches"])
+        release()
+
+    kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
+    return shards.mapInArrow(look, f"shard long, at int, doc_id {kind}, n_words long, matches array<{MATCH}>")
+
+
+def covered(found: DataFrame) -> DataFrame:
+    """Adds spans (disjoint, in order) from the matches."""
+    pieces = F.array_sort(F.transform("matches", lambda m: F.struct(m["start"].alias("start"), (m["start"] + m["words"]).alias("end"))))
+    return found.withColumn("spans", F.aggregate(pieces, F.array().cast("array<struct<start:long,end:long>>"), merge_span))
 
 
 def merge_span(done, s):
@@ -171,25 +247,46 @@ def merge_span(done, s):
     return F.when(apart, F.concat(done, F.array(s))).otherwise(joined)
 
 
-def drop_hit(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark window; columns and other rows as they were."""
-    at = docs.columns.index(text_col)
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_words, n_hit, item_ids (sorted as strings), matches (item, start in the document,
+    start in the item, words: maximal verbatim matches of ``window`` words or more, or of a whole shorter item), spans (start
+    and end of what they cover, in words), longest (words of the longest match; 0: none).
+
+    A null or empty text has no words. Items without words match nothing; items shorter than ``window`` must occur whole. Repeated
+    rows are searched each for itself; very long texts are a shard of their own; other columns are ignored. Without a benchmark
+    no document is hit; an empty table gives an empty result.
+    """
+    shards, parts = stored(suffix_arrays(docs, id_col, text_col), "suffix_arrays"), None
+    for items in blocks(benchmark, window, item_col, item_text_col, block_bytes):
+        part = stored(found_in(shards, items), "matches")
+        parts = part if parts is None else parts.unionByName(part)
+    # each block has a row for every document
+    one = parts.groupBy("shard", "at").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")) if parts is not part else parts
+    one = covered(one.withColumn("matches", F.array_sort("matches")))
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return one.select("doc_id", "n_words", size.alias("n_hit"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"]))).alias("item_ids"), "matches", "spans", F.coalesce(F.array_max(F.transform("matches", lambda m: m["words"])), F.lit(0)).alias("longest"))
+
+
+def drop_hit(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window; columns and other rows as they were.
+
+    Null and empty texts stay, repeated rows stay or go together, very long texts are a shard of their own, an empty table
+    stays empty. The rows are not shuffled: a shard's suffix array is searched where its documents are read. Each block of a
+    benchmark over ``block_bytes`` takes what the one before left, from a stored table.
+    """
+    at, held = docs.columns.index(text_col), None
 
     def in_block(items: Items):
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                codes, ends = [], []
-                for text in batch.column(at).to_pylist():
-                    codes.extend(map(items.numbers.__getitem__, words(text or "")))
-                    ends.append(len(codes))
-                    codes.append(0)
-                places, _, _ = search(np.array(codes, dtype=np.int64), items)
-                hit = np.zeros(len(ends), dtype=bool)
-                hit[np.searchsorted(ends, places, side="right")] = True
-                yield batch.filter(pa.array(~hit))
+            for table, shard in shards_of(batches, at):
+                hit = np.zeros(len(table), dtype=bool)
+                hit[np.searchsorted(shard.ends, search(shard, items)[0])] = True
+                yield from table.filter(pa.array(~hit)).to_batches(max_chunksize=BATCH_ROWS)
 
         return clean
 
-    for items in blocks(benchmark, window, "item_id", "text", block_bytes):
-        docs = docs.mapInArrow(in_block(items), docs.schema)
-    return docs
+    for items in blocks(benchmark, window, item_col, item_text_col, block_bytes):
+        if held is not None:
+            docs = stored(held, "clean")
+        held = docs.mapInArrow(in_block(items), docs.schema)
+    return held
