@@ -1,7 +1,13 @@
 """Secret scan: fixed patterns, plus values in credential context whose guess cost is high.
 
-The guess cost of a value is the least cost over all segmentations into dictionary words (also with digits for letters), dates,
-repeats, sequences, keyboard walks and brute-force spans, found by dynamic programming over its characters, as log10 guesses.
+The guess cost of a value is the least cost, as log10 guesses, over all segmentations into dictionary words (also with digits for
+letters), dates, repeats, sequences, keyboard walks and brute-force spans, found by dynamic programming over its characters.
+Spans of the last kinds grow by one character (or one unit) from the span before, so the least cost is exact for values of any
+length in time linear in the length. Costs end at ``MOST_COST``, far beyond any search; a repeat of more characters than that costs
+more for its first copy alone, so every shorter unit is tried and no other can matter.
+
+The dictionary is ranked: frequent parts of passwords, then the words of the corpus by the number of documents that hold them, which
+Spark counts over all documents.
 """
 
 from __future__ import annotations
@@ -12,8 +18,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from turnledger.llm.text import id_text
+from turnledger.llm.text import id_text, release
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -22,8 +29,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 CONTEXT = re.compile(r"\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|auth|(?:api|access|private)[_-]?key)[\"']?\x20*[:=]\x20*(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([^\s\"',;<>]{6,}))", re.IGNORECASE | re.ASCII)
 #: Least log10 guesses of a value that counts as a secret.
 LEAST_COST = 9.0
-#: Longest dictionary word and date, and the longest value weighed character by character; beyond it the blocks' costs add up.
-LONGEST = 128
+#: Costs are not told apart beyond this.
+MOST_COST = 100.0
+#: Longest dictionary word, corpus words in the dictionary, and documents that must hold one.
+LONGEST_WORD, DICTIONARY, LEAST_DOCS = 24, 50_000, 5
+#: What each span costs for being one, and what a repeat's count, a sequence (start, direction, length) and a walk cost.
+SPAN, COUNT, SEQUENCE, WALK_START, WALK_STEP = 0.3, 1.5, 2.4, 1.7, 0.5
 #: Frequent parts of passwords, most frequent first.
 WORDS = (
     "password admin welcome letmein qwerty dragon monkey master login hello secret test user root guest default changeme example token "
@@ -32,7 +43,6 @@ WORDS = (
     "cookie cheese banana orange purple yellow silver golden diamond flower angel devil heaven computer internet server system database "
     "public private access key pass word my your the this that api app web dev prod demo temp foo bar baz dummy sample none null true false placeholder"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 UNLEET = str.maketrans("4@831!05$7", "aabeiiosst")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 NEAR: dict[str, set[str]] = {}
@@ -40,49 +50,77 @@ for r, row in enumerate(ROWS):
     for k, c in enumerate(row):
         NEAR.setdefault(c, set()).update(x for rr in (r - 1, r, r + 1) if 0 <= rr < len(ROWS) for x in ROWS[rr][max(0, k - 1) : k + 2])
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
+YEAR_COST, DATE_COST = 2.1, 4.6
+
+
+def ranks(words: list[str] = []) -> dict[str, int]:  # noqa: B006
+    """The dictionary: the fixed words, then the given ones, by rank from 1."""
+    out = {w: i + 1 for i, w in enumerate(WORDS)}
+    for w in words:
+        out.setdefault(w, len(out) + 1)
+    return out
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY, least_docs: int = LEAST_DOCS) -> list[str]:
+    """The words (3 to ``LONGEST_WORD`` letters a-z) that most documents hold, at most ``most`` of them, in order. Counts cover all
+    documents and are added up before the shuffle; only the words kept, a bounded list, reach the driver."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(f"(?<![a-z])([a-z]{{3,{LONGEST_WORD}}})(?![a-z])"), F.lit(1)))
+    held = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs)
+    return [r["word"] for r in held.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def alphabet(part: str) -> int:
     return max(10, 26 * any("a" <= c <= "z" for c in part) + 26 * any("A" <= c <= "Z" for c in part) + 10 * any(c.isdigit() for c in part) + 33 * any(not c.isalnum() for c in part))
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses; 0 for the empty value."""
-    if len(value) > LONGEST:
-        return sum(guess_cost(value[k : k + LONGEST]) for k in range(0, len(value), LONGEST))
-    low, n = value.lower(), len(value)
+def word_cost(part: str, dictionary: dict[str, int]) -> float | None:
+    """Of a dictionary word, also in capitals or with digits for letters; None of anything else."""
+    low = part.lower()
     plain = low.translate(UNLEET)
-    letter = math.log10(alphabet(value))
-    spans: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # (end, cost) of each start
-    for i in range(n):
-        for j in range(i + 2, min(n, i + 16) + 1):
-            rank = RANK.get(plain[i:j])
-            if rank:
-                cased = 0 if value[i:j] == low[i:j] else math.log10(j - i + 1) if value[i].isupper() else math.log10(2) * (j - i)
-                spans[i].append((j, math.log10(rank + 1) + cased + (0.3 if plain[i:j] != low[i:j] else 0)))
-        if (m := DATE.match(value, i)) is not None:
-            spans[i].append((m.end(), 2.1 if m.end() - i == 4 else 4.6))
-        j, up = i + 1, 0
-        while j < n and (d := ord(low[j]) - ord(low[j - 1])) in (-1, 1) and low[j].isalnum() and (not up or d == up):
-            up, j = d, j + 1
-        if j - i >= 3:
-            spans[i].append((j, 1.4 + math.log10(j - i)))
-        j = i + 1
-        while j < n and low[j] != low[j - 1] and low[j] in NEAR.get(low[j - 1], ()):
-            j += 1
-        if j - i >= 4:
-            spans[i].append((j, 1.7 + 0.5 * (j - i)))
-        for unit in range(1, min(8, (n - i) // 2) + 1):
-            j = i + unit
-            while value[j : j + unit] == value[i : i + unit]:
-                j += unit
-            if j - i >= max(3, 2 * unit):
-                spans[i].append((j, letter * unit + math.log10((j - i) // unit)))
-    best = [0.0] + [math.inf] * n
-    for i in range(n):
-        best[i + 1] = min(best[i + 1], best[i] + letter)
-        for j, cost in spans[i]:
-            best[j] = min(best[j], best[i] + cost + 0.3)
+    rank = dictionary.get(plain)
+    if rank is None:
+        return None
+    cased = 0 if part == low else math.log10(len(part) + 1) if part[0].isupper() else math.log10(2) * len(part)
+    return SPAN + math.log10(rank + 1) + cased + (SPAN if plain != low else 0)
+
+
+def guess_cost(value: str, dictionary: dict[str, int]) -> float:
+    """log10 of the guesses, at most ``MOST_COST``; 0 for the empty value."""
+    n, low, letter, none = len(value), value.lower(), math.log10(alphabet(value)), math.inf
+    if n == 0 or len(low) != n:
+        return min(MOST_COST, letter * n)
+    best, plain = [0.0] + [none] * n, low.translate(UNLEET)
+    units = range(1, min(int(MOST_COST / letter), n // 2) + 1)
+    same = [0] * (len(units) + 1)  # for each unit, how many characters up to here equal those one unit before
+    repeat: list[list[float]] = [[none] * u for u in (1, *units)]  # least cost of a repeat of the unit that ends here, by place modulo unit
+    rising = falling = walking = none  # least cost of a sequence or walk that ends here
+    up = down = walk = 1  # their lengths in characters
+    for j in range(1, n + 1):
+        cost = best[j - 1] + letter
+        c, p = low[j - 1], low[j - 2] if j > 1 else ""
+        step = ord(c) - ord(p) if p and c.isalnum() and p.isalnum() else 0
+        up, down = (up + 1 if step == 1 else 1), (down + 1 if step == -1 else 1)
+        rising = min(rising, best[j - 3] + SPAN + SEQUENCE) if up >= 3 else none
+        falling = min(falling, best[j - 3] + SPAN + SEQUENCE) if down >= 3 else none
+        walk = walk + 1 if p and c != p and c in NEAR.get(p, ()) else 1
+        walking = min(walking + WALK_STEP, best[j - 4] + SPAN + WALK_START + 4 * WALK_STEP) if walk >= 4 else none
+        cost = min(cost, rising, falling, walking)
+        for u in units:
+            if u >= j:
+                break
+            same[u] = same[u] + 1 if value[j - 1] == value[j - 1 - u] else 0
+            held, at, copies = repeat[u], j % u, 3 if u == 1 else 2
+            longer = held[at] if same[u] >= u else none
+            held[at] = min(longer, best[j - copies * u] + SPAN + COUNT + letter * u) if same[u] >= (copies - 1) * u else longer
+            cost = min(cost, held[at])
+        for i in range(max(0, j - LONGEST_WORD), j - 1):
+            if plain[i:j] in dictionary:
+                cost = min(cost, best[i] + word_cost(value[i:j], dictionary))
+        if c.isdigit():
+            for i in range(max(0, j - 10), j - 3):
+                if DATE.fullmatch(value, i, j):
+                    cost = min(cost, best[i] + SPAN + (YEAR_COST if j - i == 4 else DATE_COST))
+        best[j] = min(cost, MOST_COST)
     return best[n]
 
 
@@ -94,12 +132,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guessed_spans(text: str, least: float = LEAST_COST) -> list[tuple[int, int, int, float]]:
+def guessed_spans(text: str, dictionary: dict[str, int], least: float = LEAST_COST) -> list[tuple[int, int, int, float]]:
     """(start, kind, end, cost) of values in credential context that cost at least ``least``."""
     out = []
     for m in CONTEXT.finditer(text):
         k = m.lastindex
-        if (cost := guess_cost(m[k])) >= least:
+        if (cost := guess_cost(m[k], dictionary)) >= least:
             out.append((m.start(k), 3, m.end(k), cost))
     return out
 
@@ -108,23 +146,27 @@ def named(spans: list[tuple]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_COST) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_COST, words: list[str] | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_spans, spans, n_guess, most_cost.
 
-    Spans are kind:start:end in code points, by start and kind, comma-joined. Null texts count as empty and have none; repeated
-    rows are searched each for itself; other columns are ignored.
+    Spans are kind:start:end in code points, by start and kind, comma-joined. Null and empty texts have none; very long texts and
+    values are weighed whole; repeated rows are searched each for itself; an empty table gives an empty result; other columns are
+    ignored. ``words`` are the ranked words of the dictionary, by default those of ``docs``.
     """
+    words = corpus_words(docs, text_col) if words is None else words
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dictionary = ranks(words)
         for b in batches:
             out = []
             for text in b.column("text").to_pylist():
-                base, more = base_spans(text), guessed_spans(text, least)
+                base, more = base_spans(text), guessed_spans(text, dictionary, least)
                 kinds = [k for _, k, _ in base]
                 out.append((kinds.count(0), kinds.count(1), kinds.count(2), named(base), named(sorted(base + [x[:3] for x in more])), len(more), max((x[3] for x in more), default=0.0)))
             columns = list(zip(*out)) or [()] * 7
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_spans", "spans", "n_guess", "most_cost"])
+        release()
 
     rows = id_text(docs, id_col, text_col)
     return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_spans string, spans string, n_guess long, most_cost double")
