@@ -47,9 +47,25 @@ def test_exact_dedup(docs, empty):
 
 
 def test_directory_splits(spark):
-    entries = spark.range(1000).selectExpr("cast(id % 16 as int) as slot")
-    found = {r["slot"]: r["local_depth"] for r in exact_dedup.directory(entries, bucket_entries=200, depth=4).collect()}
-    assert set(found.values()) == {3}  # 1000 entries: an eighth holds 125, a quarter 250
+    entries = spark.range(1000).selectExpr("xxhash64(id) as h").unionByName(spark.range(300).selectExpr("shiftleft(id, 40) as h"))  # the second part shares 15 leading bits
+    buckets, depths = exact_dedup.directory(entries, bucket_entries=200)
+    found, held = buckets.collect(), {}
+    assert len({r["bucket"] for r in found}) == len(found) and 15 <= depths[-1] <= 20
+    for h in (r["h"] % 2**64 for r in entries.collect()):
+        own = [r["bucket"] for r in found if h >> (64 - r["local_depth"]) == r["prefix"]]
+        assert len(own) == 1
+        held[own[0]] = held.get(own[0], 0) + 1
+    assert max(held.values()) <= 200 and len({r["local_depth"] for r in found}) > 2
+
+
+def test_index_holds_every_entry(spark, docs):
+    index = exact_dedup.build_index(exact_dedup.hashed(docs), bucket_entries=2).collect()
+    assert sum(r["n"] for r in index) == len(TEXTS) and len({r["bucket"] for r in index}) > 2
+    assert all(r["chain_rows"] == sum(x["n"] for x in index if x["h"] == r["h"]) for r in index)
+    assert rows(exact_dedup.exact_groups(docs, bucket_entries=2)) == rows(exact_dedup.exact_groups(docs))
+    left = rows(exact_dedup.drop_copies(docs, bucket_entries=2))
+    assert len({re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in left}) == len(left) == exact_dedup.exact_groups(docs).select("text_sha256").distinct().count()
+    assert exact_dedup.drop_copies(docs.limit(0)).count() == 0
 
 
 def brute_lines(texts):
@@ -66,12 +82,19 @@ def brute_lines(texts):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("batches", [1, 3])
+@pytest.mark.parametrize("batches", [1, 5])
 def test_line_dedup(docs, empty, batches):
     assert rows(line_dedup.dedup_lines(docs, batches=batches)) == brute_lines(TEXTS)
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_with_text_ids(spark):
+    texts = [(f"id{i:03d}", f"a line of text {i % 7}\nanother line {i}\nshort") for i in range(40)]
+    got = rows(line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id string, text string"), batches=6))
+    assert [r[2] for r in got] == [0] * 7 + [1] * 33
+    assert got[8] == ("id008", 3, 1, "another line 8\nshort")
+
+
 def test_length_histogram(docs, empty):
     tiktoken = queries.vocabulary("byte_bpe_50k.tiktoken")
     found = lengths.encoded_lengths(docs, tiktoken)
@@ -162,6 +185,18 @@ def test_near_dedup(spark, docs, empty, size):
     assert near_dedup.near_components(empty).count() == 0
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    text, other = "one two three four five six seven eight", "quite another text with some words of its own"
+    table = spark.createDataFrame([(2, text, 1), (3, text, 2), (3, other, 3), (4, None, 4), (4, None, 5), (None, text + " nine", 6), (None, "alone here", 7)], "doc_id long, text string, lost_h int")
+    left = near_dedup.keep_one(table)
+    assert left.columns == table.columns
+    assert sorted(r["lost_h"] for r in left.collect()) == [1, 3, 4, 5, 7]
+    near = [f"w{k}" for k in range(60)]
+    close = spark.createDataFrame([(7, " ".join(near), 1), (5, " ".join(near[:-1]), 2), (6, " ".join(near[1:]), 3)], table.schema)
+    assert [r["doc_id"] for r in near_dedup.keep_one(close).collect()] == [5]
+    assert near_dedup.keep_one(table.limit(0)).count() == 0
+
+
 def test_chat_round_trip(spark, docs):
     path = queries.vocabulary("byte_bpe_50k.tiktoken")
     said = [(1, 0, "user", "hi <|end|> \\<|turn|>"), (1, 1, "assistant", "\\### Assistant: </turn> ok"), (1, 1, "assistant", ""), (2, None, None, None), (None, 3, "assistant", "é\n" * 3000), (1, 2, "<|says|>", "\\\\<")]
@@ -188,19 +223,116 @@ def test_decontamination(spark, docs, empty):
         got = decontaminate.matches(table, bench, block_bytes=block)
         assert rows(got.select("doc_id", "n_words", "n_hit", "item_ids")) == sorted(want, key=str)
     assert decontaminate.drop_hit(table, bench, block_bytes=50).count() == 2
+    assert decontaminate.drop_hit(table, bench).columns == table.columns and decontaminate.drop_hit(empty, bench).count() == 0
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(table, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def brute_matches(text, items, window):
+    """Maximal verbatim matches (item, start, start in the item, words)."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    words, out = cut(text), []
+    for item, other in ((str(i), cut(t)) for i, t in items):
+        need = min(window, len(other))
+        for p in range(len(words)):
+            for q in range(len(other) if need else 0):
+                if p and q and words[p - 1] == other[q - 1]:
+                    continue
+                n = 0
+                while p + n < len(words) and q + n < len(other) and words[p + n] == other[q + n]:
+                    n += 1
+                if n >= need:
+                    out.append((item, p, q, n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("shard", "block"), [(8_000_000, 8_000_000), (200, 60)])
+def test_longest_matches_equal_brute_force(spark, monkeypatch, shard, block):
+    random = np.random.default_rng(5)
+    word = lambda n: " ".join(f"w{k}" for k in random.integers(0, 5, n))
+    items = [(i, word(int(n))) for i, n in enumerate(random.integers(0, 14, 12))] + [(90, "a b c d e f g h"), (91, "d e f g h i j k l m")]
+    texts = [(i, word(int(n))) for i, n in enumerate(random.integers(0, 60, 30))] + [(50, "z a b c d e f g h i j k l m z"), (50, items[3][1] * 3), (51, None), (52, "w1 " * 3000)]
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+    found = decontaminate.matches(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=4, block_bytes=block)
+    got = sorted((r["doc_id"], r["n_words"], sorted(tuple(m) for m in r["matches"]), r["n_hit"], r["longest"]) for r in found.collect())
+    want = []
+    for i, t in texts:
+        m = brute_matches(t, items, 4)
+        want.append((i, len((t or "").split()), m, len({p + k for _, p, _, n in m for k in range(n)}), max((n for *_, n in m), default=0)))
+    assert got == sorted(want)
+    overlapping = next(r for r in got if r[1] == 15)
+    assert overlapping[4] == 10 and overlapping[3] == 13  # two items overlap; neither has more than ten words
+
+
 def test_secrets(spark, docs, empty):
     texts = ["API_KEY = 'abcdefghijkl' x", "token=secret: longvalue12345678", "AKIA" + "A" * 13, "AKIA" + "A" * 14, "x 0123456789abcdef0 y", "password: Password123", "pwd = 'xK9#qLz!72vB'"]
+    known = secrets.ranks(["basketball", "correct", "horse", "battery", "staple"])
+    cost = lambda v: secrets.guess_cost(v, known)
     found = [secrets.base_spans(t) for t in texts]
     assert [[(s, e) for s, _, e in f] for f in found] == [[(0, 23)], [], [], [(0, 18)], [(2, 19)], [], []]
-    assert secrets.guess_cost("password123") < 5 < 9 < secrets.guess_cost("xK9#qLz!72vB") and secrets.guess_cost("qwertyuiop") < 7 and secrets.guess_cost("") == 0
-    assert secrets.guess_cost("aaaaaaaaaaaa") < 4 and secrets.guess_cost("20240131") < 6
-    assert [bool(secrets.guessed_spans(t)) for t in texts[-2:]] == [False, True]
+    assert cost("password123") < 5 < 9 < cost("xK9#qLz!72vB") and cost("qwertyuiop") < 7 and cost("") == 0
+    assert cost("20240131") < 6 and cost("basketball") < 3 and cost("correcthorsebatterystaple") < 10
+    assert cost("a" * 12) == cost("a" * 128) == cost("a" * 257) < 4 and cost("kqz3wxvym" * 4) == cost("kqz3wxvym" * 40) < 20
+    assert [bool(secrets.guessed_spans(t, known)) for t in texts[-2:]] == [False, True]
     assert secrets.find_secrets(docs).count() == len(TEXTS) and secrets.find_secrets(empty).count() == 0
 
 
+def brute_cost(value, known):
+    """The least cost over every segmentation, each part weighed by itself."""
+    letter = np.log10(secrets.alphabet(value))
+
+    def part(p):
+        low, n = p.lower(), len(p)
+        steps = {ord(b) - ord(a) for a, b in zip(low, low[1:])}
+        costs = [letter] if n == 1 else []
+        if 2 <= n <= secrets.LONGEST_WORD and (w := secrets.word_cost(p, known)) is not None:
+            costs.append(w)
+        if secrets.DATE.fullmatch(p):
+            costs.append(secrets.SPAN + (secrets.YEAR_COST if n == 4 else secrets.DATE_COST))
+        if n >= 3 and low.isalnum() and steps in ({1}, {-1}):
+            costs.append(secrets.SPAN + secrets.SEQUENCE)
+        if n >= 4 and all(b != a and b in secrets.NEAR.get(a, ()) for a, b in zip(low, low[1:])):
+            costs.append(secrets.SPAN + secrets.WALK_START + secrets.WALK_STEP * n)
+        costs += [secrets.SPAN + secrets.COUNT + letter * u for u in range(1, n // 2 + 1) if n >= 3 and n % u == 0 and p == p[:u] * (n // u)]
+        return min(costs, default=float("inf"))
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + part(value[i:j]) for i in range(j)))
+    return min(best[-1], secrets.MOST_COST)
+
+
+def test_guess_cost_equals_exhaustive_segmentation():
+    random, known = np.random.default_rng(7), secrets.ranks(["horse", "staple", "abba"])
+    pieces = ["ab", "abc123", "qwer4", "Password", "19872024-", "horse", "St4ple", "user0!", "aaaa", "2024-01-31", "zyx", "K#9"]
+    for k in range(400):
+        value = "".join(random.choice(list(random.choice(pieces))) for _ in range(random.integers(1, 12)))
+        value += random.choice(pieces) + value[:3] * int(random.integers(0, 4))
+        assert secrets.guess_cost(value, known) == pytest.approx(brute_cost(value, known)), value
+
+
+def test_whole_secret_scan_equals_brute_force(spark):
+    random = np.random.default_rng(11)
+    bits = ["password = 'hunter2hunter2'", "token: K9x_Lq72vBz81mQ", "AKIA" + "Z9" * 8, "deadbeef" * 3, "see the secret: gardening gardening", "api-key=\"é#9kLmn0PQrs\"", "the gardening report\n"]
+    texts = [(i, " ".join(random.choice(bits, int(n)))) for i, n in enumerate(random.integers(0, 9, 40))] + [(99, None), (99, None), (100, "secret=" + "ab" * 20_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    held = {}
+    for _, t in texts:
+        for w in set(re.findall(r"(?<![a-z])[a-z]{3,24}(?![a-z])", (t or "").lower())):
+            held[w] = held.get(w, 0) + 1
+    words = [w for w, n in sorted(held.items(), key=lambda x: (-x[1], x[0])) if n >= 5]
+    assert secrets.corpus_words(docs) == words and "gardening" in words
+    known, want = secrets.ranks(words), []
+    for i, t in texts:
+        base, more = secrets.base_spans(t or ""), []
+        for m in secrets.CONTEXT.finditer(t or ""):
+            v = m[m.lastindex]
+            cost = brute_cost(v, known) if len(v) < 60 else secrets.guess_cost(v, known)
+            if cost >= secrets.LEAST_COST:
+                more.append((m.start(m.lastindex), 3, m.end(m.lastindex)))
+        want.append((i, secrets.named(base), secrets.named(sorted(base + more)), len(more)))
+    assert rows(secrets.find_secrets(docs).select("doc_id", "base_spans", "spans", "n_guess")) == sorted(want, key=str)
+
+
 def test_fuzzy_lexicon_equals_brute_force():
     terms = {"idiot": 1.0, "stupid": 2.0, "scum": 3.0}
     lexicon = toxicity.Lexicon(terms, {"lowei": 4.0})
@@ -235,6 +367,49 @@ def test_scorer_sees_disguised_words_and_long_quotations():
         assert scorer.lexicon.match(w) == want, w
 
 
+def brute_features(text, terms):
+    """What the scorer should see, from every term and every word, without automaton, cache or running sums."""
+
+    def look(w):
+        if w in terms:
+            return terms[w], 0
+        near = []
+        for t, weight in terms.items():
+            same = len(w) == len(t) and sum(a != b for a, b in zip(w, t))
+            if len(t) < 5:
+                mask = [a for a, b in zip(w, t) if a != b] if len(w) == len(t) else []
+                if len(mask) == 1 and not mask[0].isalpha() and mask[0] not in "'’":
+                    near.append(weight)
+            elif same == 1 or any(w[:i] + w[i + 1 :] == t for i in range(len(w))) or any(t[:i] + t[i + 1 :] == w for i in range(len(t))) or any(t[:i] + t[i + 1] + t[i] + t[i + 2 :] == w for i in range(len(t) - 1)):
+                near.append(weight)
+        return (max(near), 1) if near else None
+
+    chunks = text.lower().split()
+    hits = [(i, h) for i, c in enumerate(chunks) if (h := look(c))]
+    if not hits:
+        return [0.0] * toxicity.FEATURES
+    most = max(sum(w for j, (w, _) in hits if i - 2 * toxicity.CONTEXT <= j <= i) for i, _ in hits)
+    quoted = sum(w for i, (w, _) in hits if set(chunks[max(0, i - toxicity.BEFORE) : i]) & toxicity.REPORTING)
+    weight, fuzzy = sum(w for _, (w, _) in hits), sum(w for _, (w, d) in hits if d)
+    return [np.log1p(weight), np.log1p(len(hits)), np.log1p(len({chunks[i] for i, _ in hits})), np.log1p(most), np.log1p(fuzzy), np.log1p(quoted), 1.0, len(hits) / np.sqrt(len(chunks))]
+
+
+def test_whole_toxicity_query_equals_brute_force(spark):
+    ship_package(spark)
+    random, terms = np.random.default_rng(9), {"idiot": 1.5, "stupid": 2.0, "scum": 3.0, "moron": 1.25}
+    pool = ["idiot", "idiots", "idoit", "stupd", "scum", "sc*m", "scam", "moron", "morron", "said", "word", "plain", "text", "filler", "and"] + [f"w{k}" for k in range(30)]
+    texts = [(i, " ".join(random.choice(pool, int(n)))) for i, n in enumerate(random.integers(0, 200, 60))] + [(70, None), (70, None), (71, ""), (72, "plain text " * 20_000 + "idiot " * 50), (None, "stupid idiot")]
+    weights = (np.array([0.5, 0.2, 0.1, 0.4, -0.2, -0.7, 0.3, 0.1, -2.0]), np.full(8, 0.1), np.full(8, 1.5))
+    model = toxicity.Model(terms, {}, weights)
+    want = []
+    for i, t in texts:
+        f = np.array(brute_features(t or "", terms))
+        score = 1 / (1 + np.exp(-(((f - weights[1]) / weights[2]) @ weights[0][:-1] + weights[0][-1]))) if f[6] else 0.001
+        want.append((i, i is not None and crc32(str(i).encode()) % 3 == 1, round(float(score), 9), int(score >= 0.7)))
+    got = toxicity.score(spark.createDataFrame([(*r, "x") for r in texts], "doc_id long, text string, score string"), model).collect()
+    assert sorted(((r["doc_id"], r["held_out"], round(r["score"], 9), r["predicted"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_all_unlabelled_rows_teach(spark):
     ship_package(spark)
     good, bad = "alpha beta gamma delta", "one two three four"
@@ -285,3 +460,73 @@ def test_pipeline(spark):
     kept = {r["doc_id"] for r in found}
     assert kept and kept <= set(texts)
     assert len({" ".join((texts[i] or "").split()) for i in kept}) == len(kept)
+
+
+def pipeline_tables(spark, folder):
+    """Made-up documents with nulls, repeats, ties, near copies, benchmark passages, toxic texts and clashing columns."""
+    random = np.random.default_rng(21)
+    word = lambda n: " ".join(f"w{k}" for k in random.integers(0, 2000, n))
+    bench = [(1, word(30)), (2, "short item only"), (3, None)]
+    docs = [(i, word(int(random.integers(20, 80)))) for i in range(300)]
+    docs += [(400 + i, f"{word(30)} vermin filth scum garbage {word(5)}") for i in range(120)]
+    docs += [(600 + i, docs[i][1].replace(" ", "  ", 3)) for i in range(20)] + [(5, docs[5][1]), (None, docs[6][1]), (None, word(25)), (700, None), (701, None), (702, ""), (703, "one")]
+    docs += [(800 + i, docs[40 + i][1] + f" e{i}") for i in range(20)] + [(830, docs[40][1] + " e0"), (831, word(3000))]
+    docs += [(900, f"{word(10)} {bench[0][1]} {word(10)}"), (901, "a short-item only b"), (902, " ".join(bench[0][1].split()[:9]))]
+    labels = [(i, 1, int(400 <= i < 520)) for i, _ in docs if i is not None and i < 600]
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1, i) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long, h string, own_0 int, kept long").coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs, bench, labels
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Each stage against a plain loop, on what the stage before left; packing against the tokenizer. Clean documents stay."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs, bench, labels = pipeline_tables(spark, str(tmp_path))
+    left, table = docs, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = table.columns
+    ids = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()), key=str)
+    stages = dict(corpus_pipeline.STAGES)
+
+    table = stages["toxicity"](spark, table, str(tmp_path))
+    left = [(i, t) for i, t in left if i is None or not 400 <= i < 520]
+    assert table.columns == columns and ids(table) == sorted(left, key=str)
+
+    table = stages["exact_dedup"](spark, table, str(tmp_path))
+    first = {}
+    for i, t in sorted(left, key=lambda r: (r[0] is None, r[0] or 0)):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), (i, t))
+    left = list(first.values())
+    assert table.columns == columns
+    assert sorted((i is None, i or 0) for i, _ in ids(table)) == sorted((i is None, i or 0) for i, _ in left)
+
+    table = stages["near_dedup"](spark, table, str(tmp_path))
+    left = [(i, t) for (i, t), (j, _, c) in zip(sorted(left, key=lambda r: str((r[0], 0))), sorted(brute_near(left, 5, 80), key=lambda r: str((r[0], 0)))) if i == j and (i == c or c is None or not (t or "").split())]
+    assert table.columns == columns and sorted(str(i) for i, _ in ids(table)) == sorted(str(i) for i, _ in left)
+
+    table = stages["decontaminate"](spark, table, str(tmp_path))
+    left = [(i, t) for i, t in left if not brute_matches(t, bench, 10)]
+    assert table.columns == columns and sorted(str(i) for i, _ in ids(table)) == sorted(str(i) for i, _ in left)
+    assert 902 in {i for i, _ in left} and not {900, 901, 800, 830, 600, 400} & {i for i, _ in left}
+
+    packed = stages["packing"](spark, table, str(tmp_path)).collect()
+    tokenizer = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
+    want = []
+    for i, t in left:
+        n = len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+        want += [(str(i), k // 2048, min(2048, n - k)) for k in range(0, n, 2048)]
+    assert sorted((str(r["doc_id"]), r["piece"], r["length"]) for r in packed) == sorted(want)
+    check_places(packed, 2048)
+    key = lambda r: (str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"])
+    assert sorted(map(key, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(key, packed))
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    pipeline_tables(spark, f"{tmp_path}/full")
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/full/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
