@@ -308,9 +308,9 @@ add("continuation", lambda s, d: reduction.continuation(V.event_rows(s, d).selec
 
 def every() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
     """These queries and those of the other modules, which build on this one."""
-    from turnledger.plans import calls, code, replay
+    from turnledger.plans import calls, code, replay, totals
 
-    return Q | calls.Q | replay.Q | code.Q
+    return Q | calls.Q | replay.Q | code.Q | totals.Q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
