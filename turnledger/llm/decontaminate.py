@@ -27,7 +27,7 @@ from turnledger.session import BATCH_ROWS, stored
 
 WINDOW = 10
 #: Bytes of benchmark text in one block, and of documents in one shard (one longer document is a shard of its own).
-BLOCK_BYTES, SHARD_BYTES = 8_000_000, 8_000_000
+BLOCK_BYTES, SHARD_BYTES = 8_000_000, 4_000_000
 #: Bytes of a word, A-Z lower-cased: 0-9, a-z and everything beyond ASCII; all others become spaces.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
