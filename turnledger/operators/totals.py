@@ -114,7 +114,7 @@ def admission(integrity: DataFrame) -> DataFrame:
 def edge_report(edges: DataFrame) -> DataFrame:
     """Edges by type and match, with their mean confidence, and all of them."""
     g = edges.groupingSets([["type", "match"], ["type"], []], "type", "match")
-    return g.agg(F.count("*").alias("edges"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return g.agg(F.count("*").alias("edges"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
 
 
 def session_rollup(sessions: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ CAPTURED = f"""cap as (select user_id as session, {calls.K} as k from events), i
 add("integrity", lambda s, d: totals.integrity(captured(s, d)), f"with {CAPTURED} select *, round(1 - errors / deliveries, 4) as delivery_success, round(unknown_shell / nullif(shell_calls, 0), 4) as unknown_share from integrity")
 add("admission", lambda s, d: totals.admission(totals.integrity(captured(s, d))), f"""with {CAPTURED}, a as (select session, seen_calls = resolved_calls as pre_equals_batch, errors = 0 as zero_errors, pending = 0 as zero_pending, missing_steps = 0 as steps_complete, unknown_shell = 0 as shell_clean, unmeasured_reads = 0 as token_share_eligible from integrity)
     select *, pre_equals_batch and zero_errors and zero_pending and steps_complete as admissible from a""")
-add("edge_report", lambda s, d: totals.edge_report(code.dependencies(s, d)), f"with {code.DEPENDS} select type, match, count(*) as edges, round(avg(confidence), 6) as mean_confidence from dep group by grouping sets ((type, match), (type), ())")
+add("edge_report", lambda s, d: totals.edge_report(code.dependencies(s, d)), f"with {code.DEPENDS} select type, match, count(*) as edges, round(avg(confidence), 3) as mean_confidence from dep group by grouping sets ((type, match), (type), ())")
 add("session_rollup", lambda s, d: totals.session_rollup(V.requests(s, d).groupBy("session").agg(F.count("*").alias("requests"), F.sum(F.col("input") + F.col("cache_read") + F.col("cache_write")).alias("tokens")).select(F.concat(F.lit("p"), (F.col("session") % 7).cast("string")).alias("project"), F.when(F.col("session") % 3 == 0, "subagent").otherwise("session").alias("kind"), "requests", "tokens")), f"""with {W["requests"]}, g as (select session, count(*) as requests, {big("sum(input + cache_read + cache_write)")} as tokens from requests group by 1)
     select 'p' || (session % 7) as project, case when session % 3 = 0 then 'subagent' else 'session' end as kind, count(*) as sessions, {big("sum(requests)")} as requests, {big("sum(tokens)")} as tokens from g group by grouping sets ((project), (kind), ())""")
 add("lag_table", lambda s, d: totals.lag_table(evidence.staleness_safety(V.context_objects(s, d), V.mentions(s, d))), f"""with s as ({R.Q["staleness_safety"][1]}) select lag, count(*) as sessions, {big("sum(n_retired)")} as retired, {big("sum(n_safe)")} as safe, {big("sum(tail_gross)")} as gross, {big("sum(safe_gross)")} as safe_gross, round(sum(n_safe) / sum(n_retired), 4) as safe_share, round(sum(safe_gross) / nullif(sum(tail_gross), 0), 4) as safe_gross_share from s group by lag""")
