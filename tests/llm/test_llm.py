@@ -176,8 +176,9 @@ def near_texts():
     return out
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_near_dedup(spark, docs, empty, size):
+@pytest.mark.parametrize(("size", "long"), [(2, 400), (5, 400), (2, 2), (5, 2)])
+def test_near_dedup(spark, docs, empty, monkeypatch, size, long):
+    monkeypatch.setattr(near_dedup, "LONG_LIST", long)
     texts = near_texts()
     table = spark.createDataFrame([(i, t, "en", "s", 1, "k") for i, t in texts], DOCS)
     found = near_dedup.near_components(table, size=size)

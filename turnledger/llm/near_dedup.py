@@ -8,8 +8,10 @@
    rarest and need no post.
 3. In each list every class is first paired with the most central one only (the one whose coordinates are most shared). Pairs
    whose signatures collide often enough are confirmed on the full sets. That joins a group of thousands by as many pairs.
-4. Lists that still hold several components are then compared in full across components, in blocks of classes, with their
-   texts at hand: pairs with enough collisions are confirmed where they meet.
+4. Lists that still hold several components are then compared across components. Long ones are split first: every class posts one
+   more coordinate, so that two classes with enough matches share two posted pairs, and classes of a long list meet only where they
+   share another pair as well. What is left is compared in blocks of classes, with their texts at hand: pairs with enough collisions
+   are confirmed where they meet.
 5. Components of the confirmed links come from alternating large and small stars over tables in the shared folder.
 
 Everything is keyed joins; hot lists and hot centres are salted.
@@ -34,6 +36,8 @@ COORDINATES = 48
 MATCHES = 25
 #: Classes of one block in full comparisons, and members that one task confirms against a centre.
 BLOCK = 800
+#: Classes from which an open list is split by a second pair.
+LONG_LIST = 400
 MEMBERS = 400
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -107,7 +111,8 @@ def coordinates(signature: Column) -> Column:
 
 
 def posts(classes: DataFrame, matches: int) -> DataFrame:
-    """(key, nid, central): each class under the rarest of its shared coordinate pairs."""
+    """(key, nid, central, spare): each class under the rarest of its shared coordinate pairs: as many as make two classes with
+    ``matches`` share one, and a ``spare`` one that makes them share two."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         high = np.arange(COORDINATES, dtype=np.int64) << 32
@@ -120,8 +125,17 @@ def posts(classes: DataFrame, matches: int) -> DataFrame:
     shared = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     ranked = every.join(shared, "key").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("pairs"))
     room = COORDINATES - matches + 1 - (COORDINATES - F.size("pairs"))
-    ranked = ranked.filter(room > 0).select("nid", F.aggregate("pairs", F.lit(0.0), lambda s, p: s + F.log1p(p["n"].cast("double"))).alias("central"), F.slice("pairs", F.lit(1), room).alias("pairs"))
-    return ranked.select("nid", "central", F.explode("pairs.key").alias("key"))
+    ranked = ranked.filter(room > 0).select("nid", F.aggregate("pairs", F.lit(0.0), lambda s, p: s + F.log1p(p["n"].cast("double"))).alias("central"), room.alias("room"), F.slice("pairs", F.lit(1), room + 1).alias("pairs"))
+    return ranked.select("nid", "central", "room", F.posexplode("pairs.key").alias("at", "key")).select("key", "nid", "central", (F.col("at") >= F.col("room")).alias("spare"))
+
+
+def split_long(lists: DataFrame, posted: DataFrame) -> DataFrame:
+    """``lists`` (key, nid, root) with each long open list replaced by one list for every further pair (posted: nid, key) that some of its
+    classes share."""
+    long = lists.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter((F.col("n") > LONG_LIST) & (F.col("low") < F.col("high"))).select("key")
+    more = posted.select("nid", F.col("key").alias("more"))
+    parts = lists.join(long, "key").join(more, "nid").filter("more <> key").select(F.xxhash64(F.least("key", "more"), F.greatest("key", "more")).alias("key"), "nid", "root").distinct()
+    return lists.join(long, "key", "left_anti").unionByName(parts)
 
 
 def colliding(pairs: DataFrame, classes: DataFrame, matches: int, least: float) -> DataFrame:
@@ -246,7 +260,7 @@ def across(lists: DataFrame, classes: DataFrame, rows: DataFrame, size: int, per
     at = F.when((F.col("blocks") == 1) & (F.col("main_blocks") == 1), whole).when(F.col("outside"), F.concat(other, with_main)).otherwise(as_main)
     meets = dealt.select("key", "nid", "root", "outside", F.explode(at).alias("at")).select("key", "nid", "root", "outside", "at.*")
     least = percent / 100
-    posted = own.groupBy("nid").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most one for each coordinate
+    posted = own.groupBy("nid").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most one for each coordinate, or each two
     known = posted.join(classes, "nid").select("nid", "keys", "n", "signature", "set_id", "rep")
     sorts = ("key", "both", "i", "j", "n", "nid")
 
@@ -349,7 +363,8 @@ def found_components(rows: DataFrame, size: int, percent: int, matches: int) ->
     found = stored(features(rows, size), "features")
     classes = found.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max(F.struct("n", "signature")).alias("s"))
     classes = stored(classes.select("set_id", "rep", "s.n", "s.signature", F.monotonically_increasing_id().alias("nid")), "classes")
-    lists = stored(posts(classes, matches), "posts")
+    posted = stored(posts(classes, matches), "posts")
+    lists = posted.filter("not spare").drop("spare")
     centre = lists.groupBy("key").agg(F.max_by("nid", F.struct("central", "nid")).alias("b"), F.count("*").alias("held")).filter("held > 1").drop("held")
     pairs = lists.join(centre, "key").filter("nid <> b").select(F.greatest("nid", "b").alias("x"), F.least("nid", "b").alias("y"), "nid", "b")
     pairs = pairs.groupBy("x", "y").agg(F.max(F.struct("b", "nid")).alias("p")).select(F.col("p.nid").alias("a"), "p.b")
@@ -357,6 +372,7 @@ def found_components(rows: DataFrame, size: int, percent: int, matches: int) ->
     links = stored(confirmed(tried, classes, rows, size, percent), "links")
     roots = components(links)
     rest = lists.join(roots, "nid", "left").select("key", "nid", F.coalesce("root", "nid").alias("root"))
+    rest = stored(split_long(stored(rest, "lists"), posted), "split")
     further = stored(across(rest, classes, rows, size, percent, matches), "further")
     if further.limit(1).count():
         roots = components(further.unionByName(roots.select(F.col("nid").alias("a"), F.col("root").alias("b"))))
