@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnledger.functions import columns as C
+
+#: A line number in front of a line.
+NUMBERING = r"^\s*\d+\t"
 #: What makes a log line important.
 LOG = r"\b(ERROR|CRITICAL|FATAL|WARN|Exception|Traceback|panic)\b"
 
@@ -43,9 +47,32 @@ def reduce_logs(outputs: DataFrame, tail: int = 15, pattern: str = LOG) -> DataF
     return joined(r.groupBy("id", "line").agg(F.min("rank").alias("rank")))
 
 
+def wrapped(reduced: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(id, text, handle, raw_tokens, reduced_tokens, smaller): reduced texts (id, reduced) as they are shown: without secrets, and with a last
+    line that names the handle of the whole output (id, text)."""
+    raw = outputs.select("id", F.concat(F.lit("result://"), C.content_hash(F.col("text"))).alias("handle"), C.est_tokens(F.col("text")).alias("raw_tokens"))
+    shown = F.concat(C.redact(F.col("reduced")), F.lit("\n[+ full output: "), "handle", F.lit("]"))
+    r = reduced.select("id", "reduced").join(raw, "id").select("id", shown.alias("text"), "handle", "raw_tokens")
+    return r.withColumn("reduced_tokens", C.est_tokens(F.col("text"))).withColumn("smaller", F.col("reduced_tokens") < F.col("raw_tokens"))
+
+
+def keeps_all(reduced: DataFrame, outputs: DataFrame, pattern: str) -> DataFrame:
+    """(id, invariants_ok): whether every line of the pattern is still in the reduced text."""
+    must = lines(outputs).filter(F.col("line").rlike(pattern)).select("id", "line").distinct()
+    kept = reduced.select("id", F.explode(F.split("reduced", "\n")).alias("line")).distinct()
+    lost = must.join(kept, ["id", "line"], "left_anti").select("id").distinct().withColumn("lost", F.lit(True))
+    return reduced.select("id").join(lost, "id", "left").select("id", F.col("lost").isNull().alias("invariants_ok"))
+
+
+def distinctive_lines(texts: DataFrame, least: int = 20) -> DataFrame:
+    """(id, line): the trimmed lines of each text without line numbers in front, each once, with ``least`` characters besides white space."""
+    line = F.trim(F.regexp_replace("line", NUMBERING, ""))
+    return lines(texts).select("id", line.alias("line")).filter(F.length(F.regexp_replace("line", r"\s", "")) >= least).distinct()
+
+
 def line_overlap(outputs: DataFrame, least: int = 20) -> DataFrame:
     """Distinctive lines (``least`` characters besides white space, or more) that several outputs share."""
-    r = lines(outputs).select("id", F.trim("line").alias("line")).filter(F.length(F.regexp_replace("line", r"\s", "")) >= least).distinct()
+    r = distinctive_lines(outputs, least)
     return r.groupBy("line").agg(F.count("*").alias("outputs"), F.min("id").alias("first_id")).filter("outputs > 1")
 
 

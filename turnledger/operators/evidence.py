@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.functions import columns as C
+from turnledger.operators.usage import LINE_BLOCK, line_blocks
 
 #: How header and hunk lines of diffs and logs begin.
 GIT_HEADERS = ("commit ", "Author:", "Date:", "diff --git", "+++", "---", "@@")
@@ -96,8 +97,12 @@ def path_scores(scores: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def symbols_overlapping_reads(spans: DataFrame, reads: DataFrame) -> DataFrame:
-    """(read_id, id) for spans (id, path, start_line, end_line) that touch the lines lo to hi of a read of the same path."""
-    return reads.join(spans, "path").filter("start_line <= hi and end_line >= lo").select("read_id", "id")
+    """(read_id, id) for spans (id, path, start_line, end_line) that touch the lines lo to hi of a read of the same path. Both are dealt to
+    blocks of lines; a pair counts in the first block that both are in."""
+    a = spans.select("id", "path", "start_line", "end_line", F.explode(line_blocks(F.col("start_line"), F.col("end_line"))).alias("block"))
+    b = reads.select("read_id", "path", "lo", "hi", F.explode(line_blocks(F.col("lo"), F.col("hi"))).alias("block"))
+    first = F.col("block") == F.floor(F.greatest("start_line", "lo") / LINE_BLOCK)
+    return b.join(a, ["path", "block"]).filter(first & (F.col("start_line") <= F.col("hi")) & (F.col("end_line") >= F.col("lo"))).select("read_id", "id")
 
 
 def prefix_composition(events: DataFrame, requests: DataFrame) -> DataFrame:

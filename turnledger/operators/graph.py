@@ -20,7 +20,9 @@ def reachable(edges: DataFrame, roots: DataFrame, max_hop: int = 3, types: tuple
 
 
 def proximity(edges: DataFrame, roots: DataFrame, max_hop: int = 3, decay: float = 0.6) -> DataFrame:
-    """(node, score): the best product of decay and edge weight over walks of at most ``max_hop`` steps, either way."""
+    """(node, score): the best product of decay, edge weight and confidence (1 where edges have none) over walks of at most ``max_hop``
+    steps, either way."""
+    edges = edges.withColumn("weight", F.col("weight") * F.col("confidence")) if "confidence" in edges.columns else edges
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     both = stored(both, "edges")
     found = front = roots.select("node", F.lit(1.0).alias("score")).distinct()
@@ -33,10 +35,21 @@ def proximity(edges: DataFrame, roots: DataFrame, max_hop: int = 3, decay: float
 
 def cochange_pairs(baskets: DataFrame, largest: int = 40, top: int = 100) -> DataFrame:
     """Pairs of items most often in one basket; baskets over ``largest`` items say nothing and are left out by definition."""
+    return together(baskets, largest).orderBy(F.desc("together"), "item", "other").limit(top)
+
+
+def cochange_neighbours(baskets: DataFrame, largest: int = 40, top: int = 5, before: str | None = None) -> DataFrame:
+    """(item, rank, other, together): for each item those most often in a basket with it; only baskets ``before`` a time (column ts), if given."""
+    pairs = together(baskets if before is None else baskets.filter(F.col("ts") < F.lit(before)), largest)
+    both = pairs.unionByName(pairs.select(F.col("other").alias("item"), F.col("item").alias("other"), "together"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("together"), "other"))).filter(F.col("rank") <= top)
+
+
+def together(baskets: DataFrame, largest: int) -> DataFrame:
+    """(item, other, together): how many baskets hold both."""
     n = baskets.groupBy("basket").agg(F.countDistinct("item").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= largest)).select("basket")
     b = baskets.select("basket", "item").distinct().join(n, "basket", "left_semi")
-    pairs = b.join(b.select("basket", F.col("item").alias("other")), "basket").filter("item < other").groupBy("item", "other").agg(F.count("*").alias("together"))
-    return pairs.orderBy(F.desc("together"), "item", "other").limit(top)
+    return b.join(b.select("basket", F.col("item").alias("other")), "basket").filter("item < other").groupBy("item", "other").agg(F.count("*").alias("together"))
 
 
 def resolve_edges(references: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def stable_preconditions(labels: DataFrame, n_windows: int) -> DataFrame:
 
 def causal_distance(labels: DataFrame) -> DataFrame:
     d = labels.filter("class = 'precondition'")
-    return d.groupBy("window").agg(F.count("*").alias("links"), F.round(F.percentile("distance", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("distance", F.lit(0.9)), 4).alias("p90"), F.max("distance").alias("longest"))
+    return d.groupBy("window").agg(F.count("*").alias("links"), F.round(F.percentile("distance", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("distance", F.lit(0.9)), 4).alias("p90"), F.round(F.percentile("distance", F.lit(0.95)), 4).alias("p95"), F.max("distance").alias("longest"))
 
 
 def closed_streams(events: DataFrame) -> DataFrame:

@@ -142,20 +142,31 @@ def callers(edges: DataFrame, kind: str, top: int = 5) -> DataFrame:
     return ranked.select("dst", "src").join(e.groupBy("dst").agg(F.count("*").alias("total")), "dst")
 
 
+#: Lines of one block when spans meet lines.
+LINE_BLOCK = 64
+
+
+def line_blocks(low: Column, high: Column) -> Column:
+    return F.sequence(F.floor(low / LINE_BLOCK), F.floor(high / LINE_BLOCK))
+
+
 def symbol_at(symbols: DataFrame, places: DataFrame) -> DataFrame:
-    """The narrowest symbol around each (path, line); of equals the one that starts last, then the smallest id."""
-    hit = places.join(symbols, "path").filter("line between start_line and end_line")
+    """The narrowest symbol around each (path, line); of equals the one that starts last, then the smallest id. Spans and places meet by
+    path and block of lines."""
+    spans = symbols.select("id", "path", "start_line", "end_line", F.explode(line_blocks(F.col("start_line"), F.col("end_line"))).alias("block"))
+    hit = places.withColumn("block", F.floor(F.col("line") / LINE_BLOCK)).join(spans, ["path", "block"]).filter("line between start_line and end_line")
     order = F.struct(F.col("end_line") - F.col("start_line"), -F.col("start_line"), F.col("id"))
     return hit.groupBy("path", "line").agg(F.min_by("id", order).alias("id"), F.count("*").alias("enclosing"))
 
 
 def search_symbols(symbols: DataFrame, wanted: list[str], top: int = 10) -> DataFrame:
-    """For each wanted name (a short list, given by the caller): exact hits, then suffixes, then substrings; short names first."""
-    s = symbols.select("id", "qualified", F.explode(F.array(*map(F.lit, wanted))).alias("query"))
-    kind = F.when(F.col("qualified") == F.col("query"), 0).when(F.endswith("qualified", F.col("query")), 1).when(F.contains("qualified", F.col("query")), 2)
-    s = s.withColumn("kind", kind.cast("bigint")).filter("kind is not null")
+    """For each wanted name (a short list, given by the caller): exact hits, then suffixes, then substrings; short names first. A symbol
+    gives rows only for the names that it holds."""
+    hits = F.explode(F.filter(F.array(*map(F.lit, wanted)), lambda q: F.contains("qualified", q))).alias("query")
+    s = symbols.select("id", "qualified", hits)
+    kind = F.when(F.col("qualified") == F.col("query"), 0).when(F.endswith("qualified", F.col("query")), 1).otherwise(2)
     w = Window.partitionBy("query").orderBy("kind", F.length("qualified"), "qualified", "id")
-    return s.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= top).select("query", "rank", "kind", "id")
+    return s.withColumn("kind", kind.cast("bigint")).withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= top).select("query", "rank", "kind", "id")
 
 
 def expansion_debt(parents: DataFrame, children: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.operators import bundles, compaction
+from turnledger.operators import bundles, compaction, graph
 from turnledger.plans.registry import LINES, W, big
 from turnledger.sources import driver_views as V
 
@@ -120,3 +120,5 @@ add("support_recall", lambda s, d: bundles.support_recall(wanted(s, d), pool(s,
 add("detail_levels", lambda s, d: compaction.detail_levels(V.tool_outputs(s, d)).groupBy("id", "level").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars")), f"""with {W["tool_outputs"]}, {LINES}, x as (select *, count(*) over (partition by id) as n, min(case when regexp_matches(line, '[:{{]\\s*$') then pos end) over (partition by id) as ends from tlines),
     y as (select *, least(coalesce(ends, 3), 3, n - 1) as h from x), z as (select *, case when pos <= h then 1 when regexp_matches(line, '^\\s*(def |class |if |elif |else|for |while |try|except|finally|with |return|raise|yield|await |function |=>|switch|case )') or regexp_matches(line, '[A-Za-z_$][\\w$]*\\s*\\(') then 2 when pos < least(n, greatest(h + 2, cast(floor(n * 0.6) as bigint))) then 3 else 4 end as least_level from y),
     l(level, k) as (values ('signature', 1), ('skeleton', 2), ('slice', 3), ('implementation', 4)) select id, level, count(*) as n_lines, {big("sum(length(line))")} as chars from z join l on least_level <= k group by all""")
+add("cochange_neighbours", lambda s, d: graph.cochange_neighbours(V.table(s, d, "lineitem").join(V.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("item"), F.col("o_orderdate").alias("ts")), before="1997-01-01"), """with b as (select distinct l_orderkey as basket, l_partkey as item from lineitem join orders on l_orderkey = o_orderkey where o_orderdate < date '1997-01-01'), n as (select basket from b group by basket having count(*) between 2 and 40),
+    p as (select x.item, y.item as other, count(*) as together from b x join b y on x.basket = y.basket and x.item <> y.item where x.basket in (select basket from n) group by all), r as (select *, row_number() over (partition by item order by together desc, other) as rank from p) select item, rank, other, together from r where rank <= 5""")

@@ -144,7 +144,7 @@ add("read_labels", lambda s, d: read_labels(s, d), f"with {LABELS} select * from
 add("label_distribution", lambda s, d: labels.label_distribution(read_labels(s, d)), f'with {LABELS} select "window", class, reason, count(*) as reads, {big("sum(tokens)")} as tokens from labels_ group by all')
 add("window_sensitivity", lambda s, d: labels.window_sensitivity(read_labels(s, d), 2), f'with {LABELS} select a."window", b.class as from_class, a.class as to_class, count(*) as reads from labels_ a join labels_ b on a.seq = b.seq and b."window" = 2 where a."window" <> 2 group by all')
 add("stable_preconditions", lambda s, d: labels.stable_preconditions(read_labels(s, d), len(WINDOWS)), f"with {LABELS} select seq from labels_ where class = 'precondition' group by seq having count(distinct \"window\") = {len(WINDOWS)}")
-add("causal_distance", lambda s, d: labels.causal_distance(read_labels(s, d)), f"""with {LABELS} select "window", count(*) as links, round(quantile_cont(distance, 0.5), 4) as p50, round(quantile_cont(distance, 0.9), 4) as p90, max(distance) as longest from labels_ where class = 'precondition' group by "window" """)
+add("causal_distance", lambda s, d: labels.causal_distance(read_labels(s, d)), f"""with {LABELS} select "window", count(*) as links, round(quantile_cont(distance, 0.5), 4) as p50, round(quantile_cont(distance, 0.9), 4) as p90, round(quantile_cont(distance, 0.95), 4) as p95, max(distance) as longest from labels_ where class = 'precondition' group by "window" """)
 CLOSED = f"closed_ as (select stream, epoch, events, epoch < max(epoch) over (partition by session) as closed from (select session, stream, cast(split_part(stream, ':', 3) as bigint) as epoch, count(*) as events from tool_events group by all))"
 add("closed_streams", lambda s, d: labels.closed_streams(V.tool_events(s, d)), f"with {W['tool_events']}, {CLOSED} select * from closed_")
 add("censoring_bounds", lambda s, d: labels.censoring_bounds(read_labels(s, d), labels.closed_streams(V.tool_events(s, d))), f"""with {LABELS}, {CLOSED} select "window", count(*) filter (class = 'exploration' and closed) as floor_reads, count(*) filter (class = 'exploration') as after_reads,
@@ -179,10 +179,11 @@ SQL_SECRETS = (
     ("bearer", r"(?i)\b(bearer)\s+[A-Za-z0-9._\-]{16,}"),
     ("pem", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"),
 )
+REDACT_SHOWN = "text"
 for _label, _pattern in SQL_SECRETS:
-    REDACT = f"regexp_replace({REDACT}, '{_pattern}', '[REDACTED:{_label}]', 'g')"
+    REDACT, REDACT_SHOWN = (f"regexp_replace({x}, '{_pattern}', '[REDACTED:{_label}]', 'g')" for x in (REDACT, REDACT_SHOWN))
 SQL_VALUE = "(?im)^([A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|PASSWD|API[_-]?KEY|ACCESS[_-]?KEY|PRIVATE[_-]?KEY|CLIENT[_-]?SECRET)[A-Z0-9_]*)(\\s*[=:]\\s*)(\\S+)"
-REDACT = f"regexp_replace({REDACT}, '{SQL_VALUE}', '\\1\\2[REDACTED:env-secret]', 'g')"
+REDACT, REDACT_SHOWN = (f"regexp_replace({x}, '{SQL_VALUE}', '\\1\\2[REDACTED:env-secret]', 'g')" for x in (REDACT, REDACT_SHOWN))
 add("redact_documents", redacted, f"with r as (select doc_id, text, {REDACT} as red from documents) select doc_id, cast(len(regexp_extract_all(red, '\\[REDACTED:')) - len(regexp_extract_all(text, '\\[REDACTED:')) as bigint) as redactions, sha256(red) as redacted_sha256 from r")
 add("duplicate_deliveries", lambda s, d: ledger.duplicate_of(V.tool_outputs(s, d)), f"with {DUPES} select * from dupes")
 add("redundancy", lambda s, d: ledger.redundancy(ledger.duplicate_of(V.tool_outputs(s, d))), f"with {DUPES} select session, count(*) as duplicates, {big('sum(tokens)')} as tokens from dupes group by session")

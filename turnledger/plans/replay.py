@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnledger.operators import recall, retirement
+from turnledger.operators import compaction, recall, retirement
 from turnledger.plans import registry as R
 from turnledger.plans.registry import LINES, MARKED, OBSOLETE, W, big
 from turnledger.sources import driver_views as V
@@ -114,3 +114,16 @@ def path_ranks(s: SparkSession, d: str) -> DataFrame:
 
 add("compare_ranking", lambda s, d: recall.compare_ranking(V.tool_outputs(s, d), path_ranks(s, d), 64, TOKEN).select("id", "pos", "change"), f"""with {W["tool_outputs"]}, {LINES}, {ROWS}, x as (select *, sum(length(line) + 1) over (partition by id, diagnostic order by length(path) % 7, pos) as spent_2 from k),
     c as (select id, pos, spent <= 256 - spoken as a, spent_2 <= 256 - spoken as b from x join spoken using (id) where not diagnostic) select id, pos, case when b then 'promoted' else 'demoted' end as change from c where a <> b""")
+
+
+def shown(s: SparkSession, d: str) -> DataFrame:
+    """Outputs whose secrets stand on lines of their own, as compaction.wrapped shows them."""
+    outputs = V.tool_outputs(s, d).withColumn("text", F.regexp_replace("text", "token = ", "\ntoken = "))
+    small = compaction.reduce_logs(outputs, pattern="(?i)\\btoken\\b")
+    return compaction.wrapped(small, outputs).join(compaction.keeps_all(small, outputs, "(?i)\\btoken\\b"), "id")
+
+
+add("wrapped_outputs", lambda s, d: shown(s, d).select("id", F.sha2("text", 256).alias("text_sha256"), "handle", "raw_tokens", "reduced_tokens", "smaller", "invariants_ok"), f"""with tool_outputs as (select doc_id as id, regexp_replace(text, 'token = ', chr(10) || 'token = ', 'g') as text from documents), {LINES}, r as (select *, regexp_matches(line, '(?i)\\btoken\\b') as hit, row_number() over (partition by id order by pos desc) as back from tlines),
+    g as (select id, line, min(case when hit then pos else pos + 1000000000 end) as rank from r where hit or back <= 15 group by all), x as (select id, string_agg(line, chr(10) order by rank) as text from g group by id), y as (select id, {R.REDACT_SHOWN} as red from x),
+    z as (select id, red || chr(10) || '[+ full output: result://' || substring(sha1(t.text), 1, 16) || ']' as shown, t.text from y join tool_outputs t using (id))
+    select id, sha256(shown) as text_sha256, 'result://' || substring(sha1(text), 1, 16) as handle, {big("floor(length(text) / 4)")} as raw_tokens, {big("floor(length(shown) / 4)")} as reduced_tokens, length(shown) // 4 < length(text) // 4 as smaller, true as invariants_ok from z""")
