@@ -101,3 +101,13 @@ def opportunity_probe(reads: DataFrame, signatures: DataFrame) -> DataFrame:
     r = reads.join(cost, "path", "left")
     kind = F.when(F.col("signature_tokens").isNull(), "no_signatures").when(F.col("edited"), "edited").when(F.col("signature_tokens") >= F.col("tokens"), "no_gain").otherwise("opportunity")
     return r.select("seq", kind.alias("opportunity"), "tokens", F.coalesce("signature_tokens", F.lit(0)).alias("signature_tokens"), F.when(kind == "opportunity", F.col("tokens") - F.col("signature_tokens")).otherwise(0).alias("avoidable"))
+
+
+def opportunity_dashboard(reads: DataFrame) -> DataFrame:
+    """Per session of reads (session, seq, path, channel, opportunity, avoidable): reads, opportunities, how many were used (read through
+    symbols) or not, tokens avoided and missed, and plain reads of a path right after a symbol read of it (retries)."""
+    w = Window.partitionBy("session", "path").orderBy("seq")
+    r = reads.withColumn("before", F.lag("channel").over(w))
+    chance, used = F.col("opportunity") == "opportunity", F.col("channel") == "symbol"
+    spare = lambda c: F.sum(F.when(c, F.col("avoidable")).otherwise(0))
+    return r.groupBy("session").agg(F.count("*").alias("reads"), count_if(chance).alias("opportunities"), count_if(chance & used).alias("used"), count_if(chance & ~used).alias("fallbacks"), spare(chance & used).alias("tokens_avoided"), spare(chance & ~used).alias("tokens_missed"), count_if(~used & (F.col("before") == "symbol")).alias("retries"))

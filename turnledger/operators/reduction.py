@@ -95,3 +95,15 @@ def effective_price(requests: DataFrame, prices: list[tuple[int, str, float]]) -
 def continuation(rows: DataFrame, prefix: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key the earlier part of the session does not have."""
     return rows.join(prefix.select(key), key, "left_anti")
+
+
+def reduction_by_reducer(outputs: DataFrame, reducers: dict[str, DataFrame]) -> DataFrame:
+    """(reducer, reason, outputs, raw_tokens, reduced_tokens) of outputs (id, text, kind, reducer): what the retention rule says of each, and what
+    its reducer makes of it (reducers: name to (id, reduced)). A text that does not get smaller stays."""
+    small = None
+    for name, reduced in reducers.items():
+        own = outputs.filter(F.col("reducer") == name).select("id").join(reduced, "id").select("id", F.floor(F.length("reduced") / 4).alias("small"))
+        small = own if small is None else small.unionByName(own)
+    r = outputs.select("id", "reducer", "kind", F.floor(F.length("text") / 4).alias("raw")).join(small, "id", "left").withColumn("rule", C.should_reduce(F.col("kind"), F.col("raw")))
+    reason = F.when(F.col("rule.reduce") & F.coalesce(F.col("small") < F.col("raw"), F.lit(False)), "reduced").when(F.col("rule.reduce"), "not_smaller").otherwise(F.col("rule.reason"))
+    return r.groupBy("reducer", reason.alias("reason")).agg(F.count("*").alias("outputs"), F.sum("raw").alias("raw_tokens"), F.sum(F.when(reason == "reduced", F.col("small")).otherwise(F.col("raw"))).alias("reduced_tokens"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnledger.functions import columns as C
 from turnledger.functions import commands as S
-from turnledger.operators import journal, ledger, retirement, runs, transcripts
+from turnledger.operators import compaction, journal, ledger, reduction, retirement, runs, transcripts
 from turnledger.plans import registry as R
 from turnledger.plans.registry import LABELS, W, big
 from turnledger.sources import driver_views as V
@@ -117,3 +117,34 @@ def probe_reads(s: SparkSession, d: str) -> DataFrame:
 add("opportunity_probe", lambda s, d: journal.opportunity_probe(probe_reads(s, d), V.table(s, d, "part").select(F.concat(F.lit("f"), (F.col("p_partkey") % 3).cast("string")).alias("path"), (F.col("p_size") % 2).cast("bigint").alias("est_tokens"))), f"""with {W["tool_events"]}, c as (select 'f' || (p_partkey % 3) as path, {big("sum(p_size % 2)")} as cost from part group by 1), e as (select distinct stream, path from tool_events where kind = 'edit'),
     r as (select t.seq, t.tokens, cost, case when cost is null then 'no_signatures' when e.path is not null then 'edited' when cost >= t.tokens then 'no_gain' else 'opportunity' end as opportunity from tool_events t left join c on t.path = c.path left join e on t.stream = e.stream and t.path = e.path where t.kind = 'read')
     select seq, opportunity, tokens, coalesce(cost, 0) as signature_tokens, case when opportunity = 'opportunity' then tokens - cost else 0 end as avoidable from r""")
+
+
+def signatures(s: SparkSession, d: str) -> DataFrame:
+    return V.table(s, d, "part").select(F.concat(F.lit("f"), (F.col("p_partkey") % 3).cast("string")).alias("path"), (F.col("p_size") % 2).cast("bigint").alias("est_tokens"))
+
+
+add("opportunity_dashboard", lambda s, d: journal.opportunity_dashboard(journal.opportunity_probe(probe_reads(s, d), signatures(s, d)).join(V.tool_events(s, d).select("seq", "session", "path", F.when(F.col("seq") % 3 == 0, "symbol").otherwise("native").alias("channel")), "seq")), f"""with {W["tool_events"]}, c as (select 'f' || (p_partkey % 3) as path, {big("sum(p_size % 2)")} as cost from part group by 1), e as (select distinct stream, path from tool_events where kind = 'edit'),
+    r as (select t.session, t.seq, t.path, t.seq % 3 = 0 as used, coalesce(cost < t.tokens and e.path is null, false) as chance, t.tokens - cost as avoidable, lag(t.seq % 3 = 0) over (partition by t.session, t.path order by t.seq) as after_symbol from tool_events t left join c on t.path = c.path left join e on t.stream = e.stream and t.path = e.path where t.kind = 'read')
+    select session, count(*) as reads, count(*) filter (chance) as opportunities, count(*) filter (chance and used) as used, count(*) filter (chance and not used) as fallbacks, {big("coalesce(sum(avoidable) filter (chance and used), 0)")} as tokens_avoided, {big("coalesce(sum(avoidable) filter (chance and not used), 0)")} as tokens_missed, count(*) filter (not used and after_symbol) as retries from r group by session""")
+
+
+def tool_results(s: SparkSession, d: str) -> DataFrame:
+    """Outputs of searches, commands and other tools, with the reducer that each calls for."""
+    tool = F.when(F.col("id") % 3 == 0, "Grep").when(F.col("id") % 3 == 1, "Bash").otherwise("Other")
+    o = V.tool_outputs(s, d).withColumn("tool", tool).withColumn("kind", F.when(F.col("id") % 10 == 0, "source_slice").otherwise(C.tool_kind(F.col("tool"))["kind"]))
+    return o.select("id", "text", "kind", S.reducer_for(F.col("tool"), F.lit("run"), F.col("kind")).alias("reducer"))
+
+
+def by_reducer(s: SparkSession, d: str) -> DataFrame:
+    o = tool_results(s, d)
+    return reduction.reduction_by_reducer(o, {"grep": compaction.reduce_grep(o), "logs": compaction.reduce_logs(o), "generic": compaction.reduce_generic(o)})
+
+
+add("reduction_by_reducer", by_reducer, f"""with {W["tool_outputs"]}, {R.LINES}, o as (select id, length(text) // 4 as raw, case id % 3 when 0 then 'grep' when 1 then 'logs' else 'generic' end as reducer, id % 10 = 0 as native from tool_outputs),
+    x as (select *, count(*) over (partition by id) as n, row_number() over (partition by id order by pos desc) as back, regexp_matches(line, '\\b(ERROR|CRITICAL|FATAL|WARN|Exception|Traceback|panic)\\b') as hit from tlines), k as (select *, row_number() over (partition by id order by pos) as rank, count(*) over (partition by id) as held from x where trim(line) <> ''),
+    gr as (select id, length(string_agg(line, chr(10) order by pos) filter (rank <= 20) || case when max(held) > 20 then chr(10) || '... ' || (max(held) - 20) || ' more matches' else '' end) // 4 as small from k group by id),
+    lg as (select id, length(string_agg(line, chr(10))) // 4 as small from (select distinct id, line from x where hit or back <= 15) group by id),
+    ge as (select id, length(case when max(n) <= 20 then string_agg(line, chr(10)) else string_agg(line, chr(10)) filter (pos < 10 or pos >= n - 10) || chr(10) || '... ' || (max(n) - 20) || ' lines omitted ...' end) // 4 as small from x group by id),
+    q as (select o.*, case reducer when 'grep' then gr.small when 'logs' then lg.small else ge.small end as small from o left join gr using (id) left join lg on lg.id = o.id left join ge on ge.id = o.id),
+    z as (select *, case when native then 'native' when raw < 400 then 'below_floor' when small < raw then 'reduced' else 'not_smaller' end as reason from q)
+    select reducer, reason, count(*) as outputs, {big("sum(raw)")} as raw_tokens, {big("sum(case when reason = 'reduced' then small else raw end)")} as reduced_tokens from z group by all""")
