@@ -126,3 +126,9 @@ def test_counters_sessions_and_expiry(spark, tmp_path):
             assert sorted(r["requests"] for r in found) == [1, 3]
         else:
             assert sorted((r["handle"], r["accesses"]) for r in found) == [("edit", 1), ("read", 3)]
+
+
+def test_dedupe_by_producer_key(spark, tmp_path):
+    rows = spark.createDataFrame([("h", "s", "e1", 1), ("h", "s", "e1", 2), ("h", "t", "e1", 3), ("h", None, "e1", 4), ("h", None, "e1", 5)], "source_system string, stream string, source_event_key string, n long").withColumn("ts", F.timestamp_seconds(F.col("n") + 1_700_000_000))
+    found = [r["n"] for r in streamed(spark, tmp_path, rows, lambda s: live.dedupe(s, "source_system", "stream", "source_event_key"))]
+    assert len(found) == 4 and {3, 4, 5} < set(found)

@@ -137,9 +137,9 @@ def coedit_relations(edited: DataFrame, edges: DataFrame, paths: DataFrame, max_
     return p.groupBy(relation.alias("relation")).agg(F.count("*").alias("pairs"))
 
 
-def support_recall(needed: DataFrame, pool: DataFrame, budgets: tuple[int, ...]) -> DataFrame:
-    """Per budget: needed (task, id) symbols, those that the pool (task, id, rank, cost) holds at all, and those within the budget, taken by
-    rank; one that does not fit is passed over and cheaper ones may follow."""
+def task_recall(needed: DataFrame, pool: DataFrame, budgets: tuple[int, ...]) -> DataFrame:
+    """Per task and budget: needed (task, id) symbols, those that the pool (task, id, rank, cost) holds at all, and those within the budget, taken
+    by rank; one that does not fit is passed over and cheaper ones may follow. A task's pool is folded in one row, by rank."""
     ranked = pool.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "cost"))).alias("items"))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("ids"))
 
@@ -149,5 +149,16 @@ def support_recall(needed: DataFrame, pool: DataFrame, budgets: tuple[int, ...])
 
     taken = ranked.select("task", F.explode(F.array(*[F.struct(F.lit(b).alias("budget"), fold(F.lit(b))["ids"].alias("ids")) for b in budgets])).alias("t")).select("task", "t.budget", F.explode("t.ids").alias("id")).withColumn("hit", F.lit(1))
     n = needed.select("task", "id").distinct().join(pool.select("task", "id").distinct().withColumn("there", F.lit(1)), ["task", "id"], "left").withColumn("budget", F.explode(F.array(*[F.lit(b) for b in budgets])))
-    s = n.join(taken, ["task", "id", "budget"], "left").groupBy("budget").agg(F.count("*").alias("needed"), F.count("there").alias("reachable"), F.count("hit").alias("included"))
+    return n.join(taken, ["task", "id", "budget"], "left").groupBy("task", "budget").agg(F.count("*").alias("needed"), F.count("there").alias("reachable"), F.count("hit").alias("included"))
+
+
+def support_recall(recalls: DataFrame) -> DataFrame:
+    """Per budget over all tasks: what of the needed symbols the pools hold at all, and within the budget."""
+    s = recalls.groupBy("budget").agg(*[F.sum(c).alias(c) for c in ("needed", "reachable", "included")])
     return s.withColumns({"ceiling": F.round(F.col("reachable") / F.col("needed"), 4), "recall": F.round(F.col("included") / F.col("needed"), 4)})
+
+
+def compile_scores(recalls: DataFrame, regimes: DataFrame) -> DataFrame:
+    """Per regime (task, regime) and budget: tasks, and the means over them of ceiling and recall."""
+    r = recalls.join(regimes, "task")
+    return r.groupBy("regime", "budget").agg(F.count("*").alias("tasks"), F.round(F.avg(F.col("reachable") / F.col("needed")), 4).alias("mean_ceiling"), F.round(F.avg(F.col("included") / F.col("needed")), 4).alias("mean_recall"))

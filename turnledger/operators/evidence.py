@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.functions import columns as C
+from turnledger.operators import compaction
 from turnledger.operators.usage import LINE_BLOCK, line_blocks
 
 #: How header and hunk lines of diffs and logs begin.
@@ -83,6 +84,22 @@ def staleness_safety(objects: DataFrame, needs: DataFrame, lags: tuple[int, ...]
     return r.groupBy("session", "lag").agg(F.count("*").alias("n_retired"), count_if(safe).alias("n_safe"), F.sum(gross).alias("tail_gross"), F.sum(F.when(safe, gross).otherwise(0)).alias("safe_gross"))
 
 
+def later_needs(mentions: DataFrame, objects: DataFrame, edits: DataFrame, least: int = 20) -> DataFrame:
+    """(session, key, turn): what needs an object again, of both kinds: turns that mention its key (mentions: session, key, turn), and edits
+    (session, turn, text) that hold a distinctive line of one of its texts (objects: session, key, text). Only the last turn counts."""
+    marked = lambda df, *keys: compaction.distinctive_lines(df.select(F.struct(*keys).alias("id"), "text"), least).select("id.*", F.xxhash64("line").alias("h"), F.sha1("line").alias("line"))
+    shown = marked(objects, "session", "key").distinct()
+    used = marked(edits, "session", "turn").groupBy("session", "h", "line").agg(F.max("turn").alias("turn"))
+    reused = shown.join(used, ["session", "h", "line"]).select("session", "key", "turn")
+    return mentions.select("session", "key", "turn").unionByName(reused).groupBy("session", "key").agg(F.max("turn").alias("turn"))
+
+
+def read_tokens(events: DataFrame) -> DataFrame:
+    """Per representation of successful reads: reads, tokens and their share of all."""
+    g = events.filter("kind = 'read' and success").groupBy("representation").agg(F.count("*").alias("reads"), F.sum("tokens").alias("tokens"))
+    return g.withColumn("share", C.pct(F.col("tokens"), F.sum("tokens").over(Window.partitionBy(F.lit(0)))))  # one row for each representation
+
+
 def path_scores(scores: DataFrame, matched: DataFrame) -> DataFrame:
     """(path, score): matched paths with the best score of their file, or else of the files they are a suffix of at a
     component boundary (or that are a suffix of them). Both ways are equi joins on path suffixes."""

@@ -112,11 +112,18 @@ def pool(s: SparkSession, d: str) -> DataFrame:
     return V.table(s, d, "lineitem").filter("l_linenumber % 3 <> 0").groupBy(F.col("l_orderkey").alias("task"), F.col("l_partkey").alias("id")).agg(F.min("l_suppkey").alias("rank"), (F.min("l_quantity") * 10).cast("bigint").alias("cost"))
 
 
-add("support_recall", lambda s, d: bundles.support_recall(wanted(s, d), pool(s, d), (300, 800)), f"""with recursive n as (select distinct l_orderkey as task, l_partkey as id from lineitem where l_linenumber <= 3), p0 as (select l_orderkey as task, l_partkey as id, min(l_suppkey) as rank, cast(min(l_quantity) * 10 as bigint) as cost from lineitem where l_linenumber % 3 <> 0 group by all),
+RECALLS = """n as (select distinct l_orderkey as task, l_partkey as id from lineitem where l_linenumber <= 3), p0 as (select l_orderkey as task, l_partkey as id, min(l_suppkey) as rank, cast(min(l_quantity) * 10 as bigint) as cost from lineitem where l_linenumber % 3 <> 0 group by all),
     p as (select *, row_number() over (partition by task order by rank, id, cost) as k from p0), b(budget) as (values (300), (800)), walk(task, budget, k, id, used, fits) as (select task, budget, k, id, case when cost <= budget then cost else 0 end, cost <= budget from p, b where k = 1
-        union all select p.task, w.budget, p.k, p.id, case when w.used + cost <= w.budget then w.used + cost else w.used end, w.used + cost <= w.budget from walk w join p on p.task = w.task and p.k = w.k + 1)
-    select b.budget, count(*) as needed, count(p.id) as reachable, count(w.id) filter (w.fits) as included, round(count(p.id) / count(*), 4) as ceiling, round(count(w.id) filter (w.fits) / count(*), 4) as recall
-    from n cross join b left join p on p.task = n.task and p.id = n.id left join walk w on w.task = n.task and w.id = n.id and w.budget = b.budget group by b.budget""")
+        union all select p.task, w.budget, p.k, p.id, case when w.used + cost <= w.budget then w.used + cost else w.used end, w.used + cost <= w.budget from walk w join p on p.task = w.task and p.k = w.k + 1),
+    recalls as (select n.task, b.budget, count(*) as needed, count(p.id) as reachable, count(w.id) filter (w.fits) as included from n cross join b left join p on p.task = n.task and p.id = n.id left join walk w on w.task = n.task and w.id = n.id and w.budget = b.budget group by all)"""
+
+
+def recalls(s: SparkSession, d: str) -> DataFrame:
+    return bundles.task_recall(wanted(s, d), pool(s, d), (300, 800))
+
+
+add("support_recall", lambda s, d: bundles.support_recall(recalls(s, d)), f"with recursive {RECALLS} select budget, {big('sum(needed)')} as needed, {big('sum(reachable)')} as reachable, {big('sum(included)')} as included, round(sum(reachable) / sum(needed), 4) as ceiling, round(sum(included) / sum(needed), 4) as recall from recalls group by budget")
+add("compile_scores", lambda s, d: bundles.compile_scores(recalls(s, d), V.table(s, d, "orders").select(F.col("o_orderkey").alias("task"), (F.col("o_custkey") % 3).alias("regime"))), f"with recursive {RECALLS} select o_custkey % 3 as regime, budget, count(*) as tasks, round(avg(reachable / needed), 4) as mean_ceiling, round(avg(included / needed), 4) as mean_recall from recalls join orders on o_orderkey = task group by all")
 add("detail_levels", lambda s, d: compaction.detail_levels(V.tool_outputs(s, d)).groupBy("id", "level").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars")), f"""with {W["tool_outputs"]}, {LINES}, x as (select *, count(*) over (partition by id) as n, min(case when regexp_matches(line, '[:{{]\\s*$') then pos end) over (partition by id) as ends from tlines),
     y as (select *, least(coalesce(ends, 3), 3, n - 1) as h from x), z as (select *, case when pos <= h then 1 when regexp_matches(line, '^\\s*(def |class |if |elif |else|for |while |try|except|finally|with |return|raise|yield|await |function |=>|switch|case )') or regexp_matches(line, '[A-Za-z_$][\\w$]*\\s*\\(') then 2 when pos < least(n, greatest(h + 2, cast(floor(n * 0.6) as bigint))) then 3 else 4 end as least_level from y),
     l(level, k) as (values ('signature', 1), ('skeleton', 2), ('slice', 3), ('implementation', 4)) select id, level, count(*) as n_lines, {big("sum(length(line))")} as chars from z join l on least_level <= k group by all""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnledger.operators import compaction, recall, retirement
+from turnledger.operators import compaction, evidence, recall, retirement
 from turnledger.plans import registry as R
 from turnledger.plans.registry import LINES, MARKED, OBSOLETE, W, big
 from turnledger.sources import driver_views as V
@@ -127,3 +127,22 @@ add("wrapped_outputs", lambda s, d: shown(s, d).select("id", F.sha2("text", 256)
     g as (select id, line, min(case when hit then pos else pos + 1000000000 end) as rank from r where hit or back <= 15 group by all), x as (select id, string_agg(line, chr(10) order by rank) as text from g group by id), y as (select id, {R.REDACT_SHOWN} as red from x),
     z as (select id, red || chr(10) || '[+ full output: result://' || substring(sha1(t.text), 1, 16) || ']' as shown, t.text from y join tool_outputs t using (id))
     select id, sha256(shown) as text_sha256, 'result://' || substring(sha1(text), 1, 16) as handle, {big("floor(length(text) / 4)")} as raw_tokens, {big("floor(length(shown) / 4)")} as reduced_tokens, length(shown) // 4 < length(text) // 4 as smaller, true as invariants_ok from z""")
+
+
+def object_texts(s: SparkSession, d: str) -> DataFrame:
+    return V.context_objects(s, d).join(V.table(s, d, "documents").select(F.col("doc_id").alias("pos"), "text"), "pos")
+
+
+def needs(s: SparkSession, d: str) -> DataFrame:
+    """Every seventh turn edits, with the turn's own text."""
+    o = object_texts(s, d)
+    return evidence.later_needs(V.mentions(s, d), o.select("session", "key", "text"), o.filter("turn % 7 = 0").select("session", "turn", "text"))
+
+
+add("later_needs", needs, f"""with {W["context_objects"]}, {W["tool_outputs"]}, {LINES}, l as (select distinct o.session, o.key, o.turn, trim(line) as line from context_objects o join tlines on id = o.pos where length(regexp_replace(trim(line), '\\s', '', 'g')) >= 20),
+    m as (select source as session, lang || '-' || ((n_chars + 1) % 5) as key, row_number() over (partition by source order by doc_id) as turn from documents), e as (select session, line, max(turn) as turn from l where turn % 7 = 0 group by all)
+    select session, key, max(turn) as turn from (select * from m union all select l.session, l.key, e.turn from l join e on l.session = e.session and l.line = e.line) group by all""")
+add("staleness_needs", lambda s, d: evidence.staleness_safety(V.context_objects(s, d), needs(s, d), (0, 5)), f"""with {W["context_objects"]}, needs_ as ({Q["later_needs"][1]}), e as (select session, max(turn) as last_turn from context_objects group by 1), t as (select session, key, max(turn) as tail_turn, max_by(size, turn) as size from context_objects group by all),
+    r as (select t.*, last_turn, n.turn as needed, lag, tail_turn + lag as retired from t join e using (session) left join needs_ n using (session, key), (values (0), (5)) l(lag)) select session, lag, count(*) as n_retired, count(*) filter (coalesce(needed <= retired, true)) as n_safe,
+    {big("sum(size * (last_turn - retired))")} as tail_gross, {big("sum(case when coalesce(needed <= retired, true) then size * (last_turn - retired) else 0 end)")} as safe_gross from r where retired < last_turn group by all""")
+add("read_tokens", lambda s, d: evidence.read_tokens(V.tool_events(s, d)), f"with {W['tool_events']}, g as (select representation, count(*) as reads, {big('sum(tokens)')} as tokens from tool_events where kind = 'read' and success group by 1) select *, round(100 * tokens / nullif(sum(tokens) over (), 0), 2) as share from g")

@@ -16,10 +16,12 @@ def live_sessions(requests: DataFrame, gap: str = "60 minutes", late: str = "2 h
     return requests.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "session").agg(F.count("*").alias("requests")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "session", "requests")
 
 
-def dedupe(deliveries: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
-    """A key is taken once within the watermark; rows without a key pass."""
-    d = deliveries.withWatermark("ts", late)
-    return d.filter(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key]).unionByName(d.filter(F.col(key).isNull()))
+def dedupe(deliveries: DataFrame, *keys: str, late: str = "1 hour") -> DataFrame:
+    """A key, of one column or several, is taken once within the watermark; rows that lack a part of it pass."""
+    d, whole = deliveries.withWatermark("ts", late), F.lit(True)
+    for k in keys:
+        whole &= F.col(k).isNotNull()
+    return d.filter(whole).dropDuplicatesWithinWatermark(list(keys)).unionByName(d.filter(~whole))
 
 
 def pair_pre_post(pre: DataFrame, post: DataFrame, late: str = "10 minutes", band: str = "1 hour") -> DataFrame:
