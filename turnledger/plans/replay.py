@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnledger.operators import compaction, evidence, recall, retirement
+from turnledger.operators import compaction, evidence, recall, retirement, summaries
 from turnledger.plans import registry as R
 from turnledger.plans.registry import LINES, MARKED, OBSOLETE, W, big
 from turnledger.sources import driver_views as V
@@ -146,3 +146,30 @@ add("staleness_needs", lambda s, d: evidence.staleness_safety(V.context_objects(
     r as (select t.*, last_turn, n.turn as needed, lag, tail_turn + lag as retired from t join e using (session) left join needs_ n using (session, key), (values (0), (5)) l(lag)) select session, lag, count(*) as n_retired, count(*) filter (coalesce(needed <= retired, true)) as n_safe,
     {big("sum(size * (last_turn - retired))")} as tail_gross, {big("sum(case when coalesce(needed <= retired, true) then size * (last_turn - retired) else 0 end)")} as safe_gross from r where retired < last_turn group by all""")
 add("read_tokens", lambda s, d: evidence.read_tokens(V.tool_events(s, d)), f"with {W['tool_events']}, g as (select representation, count(*) as reads, {big('sum(tokens)')} as tokens from tool_events where kind = 'read' and success group by 1) select *, round(100 * tokens / nullif(sum(tokens) over (), 0), 2) as share from g")
+
+
+def marked(s: SparkSession, d: str) -> DataFrame:
+    """Outputs with words that count: failures, tallies, constants and secrets."""
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "token = ", "\ntoken = "), "license", "FAILED"), "reserved", "3 passed")
+    return V.tool_outputs(s, d).withColumn("text", F.regexp_replace(text, "(?m)^T", "T_X = "))
+
+
+MARKS = f"""tool_outputs as (select doc_id as id, regexp_replace(replace(replace(replace(text, 'token = ', chr(10) || 'token = '), 'license', 'FAILED'), 'reserved', '3 passed'), '(?m)^T', 'T_X = ', 'g') as text from documents), {LINES}, hd as (select id, text, 'result://' || substring(sha1(text), 1, 16) as handle, '[+ full output: result://' || substring(sha1(text), 1, 16) || ']' as tail from tool_outputs)"""
+RED = R.REDACT_SHOWN
+add("search_summary", lambda s, d: summaries.search_summary(marked(s, d), 160, TOKEN).select("id", F.sha2("text", 256).alias("text_sha256"), "matches", "kept"), f"""with {MARKS}, {ROWS}, fc as (select id, path, count(*) as n, min(pos) as first from r where not diagnostic group by all), fr as (select *, row_number() over (partition by id order by n desc, first) as rank, count(*) over (partition by id) as files from fc),
+    ru as (select id, max(files) as files, 'matches by file: ' || string_agg(path || '×' || n, ', ' order by rank) filter (rank <= 12) || case when max(files) > 12 then ', +' || (max(files) - 12) || ' more file(s)' else '' end as rollup from fr group by id),
+    h0 as (select id, count(*) filter (not diagnostic) as matches, count(*) filter (diagnostic) as diagnostics, string_agg(line, chr(10) order by pos) filter (diagnostic) as said from r group by id),
+    h1 as (select h0.*, rollup, handle, tail, concat_ws(chr(10), matches || ' matches in ' || coalesce(files, 0) || ' file(s)' || case when diagnostics > 0 then '; ' || diagnostics || ' diagnostic(s)' else '' end, said) as top from h0 left join ru using (id) join hd using (id)),
+    h2 as (select *, greatest(0, 160 - length(top) // 4 - length(tail) // 4 - case when matches = 0 then 0 else length(rollup) // 4 + length('... 0 more match(es) across 0 file(s) — full: ' || handle) // 4 end) as room from h1),
+    m as (select r.id, r.pos, r.line, r.path, sum(length(r.line) // 4 + 1) over (partition by r.id order by r.pos) <= room as stays from r join h2 using (id) where not r.diagnostic),
+    bd as (select id, string_agg(line, chr(10) order by pos) filter (stays) as body, count(*) filter (stays) as kept, count(distinct path) filter (not stays) as cut_files from m group by id),
+    x as (select h2.id, tail, matches, coalesce(kept, 0) as kept, concat_ws(chr(10), top, body, case when matches > coalesce(kept, 0) then rollup || chr(10) || '... ' || (matches - coalesce(kept, 0)) || ' more match(es) across ' || cut_files || ' file(s) — full: ' || handle end) as text from h2 left join bd using (id))
+    select id, sha256({RED} || chr(10) || tail) as text_sha256, matches, kept from x""")
+add("test_summary", lambda s, d: summaries.test_summary(marked(s, d)).select("id", F.sha2("text", 256).alias("text_sha256")), f"""with {MARKS}, m as (select *, regexp_matches(line, '(?i)(FAILED|ERROR\\b|FAIL\\b|AssertionError|Traceback|^E\\s|Exception|panic:|--- FAIL)') as failed, regexp_matches(line, '(?i)([0-9]+\\s+(failed|passed|error|skipped)|=+.*=+|Tests:|Ran [0-9]+)') as tally from tlines),
+    b as (select *, row_number() over (partition by id, tally order by pos desc) as back from m where failed or tally), g as (select id, line, min(case when failed then pos else pos + 1000000000 end) as rank from b where failed or (tally and back <= 3) group by all),
+    s as (select id, string_agg(line, chr(10) order by rank) as small from g group by id), x as (select hd.id, tail, coalesce(small, '{summaries.NO_TALLY}') as text from hd left join s using (id)) select id, sha256({RED} || chr(10) || tail) as text_sha256 from x""")
+add("file_skeleton", lambda s, d: summaries.file_skeleton(marked(s, d), 128).select("id", F.sha2("text", 256).alias("text_sha256"), "kept"), f"""with {MARKS}, w as (select *, count(*) over (partition by id) as n from tlines), k0 as (select *, pos - coalesce(lag(pos) over (partition by id order by pos), -1) - 1 as skipped from w where pos < 6 or regexp_matches(regexp_replace(line, '^\\s*[0-9]+[→\\t]', ''), '^\\s*(?:from\\s+\\S+\\s+import|import\\s+\\S|@|(?:async\\s+)?def\\s+\\w|class\\s+\\w)|^[A-Z_][A-Z0-9_]*\\s*(?::[^=]+)?=')),
+    k1 as (select *, case when skipped > 0 then '… ' || skipped || ' lines …' end as gap, length(line) // 4 + 1 as cost from k0), k2 as (select *, coalesce(sum(cost + coalesce(length(gap) // 4 + 1, 0)) over (partition by id order by pos rows between unbounded preceding and 1 preceding), 0) as charged from k1),
+    k3 as (select k2.*, tail, min(case when length('file skeleton: ' || n || ' lines') // 4 + length(tail) // 4 + charged + cost > 128 then pos end) over (partition by k2.id) as cut from k2 join hd using (id) where text <> ''),
+    g as (select id, any_value(tail) as tail, any_value(n) as n, any_value(cut) as cut, string_agg(concat_ws(chr(10), gap, line), chr(10) order by pos) filter (cut is null or pos < cut) as body, count(*) filter (cut is null or pos < cut) as kept, max(pos) filter (cut is null or pos < cut) as last from k3 group by id),
+    x as (select id, tail, kept, concat_ws(chr(10), 'file skeleton: ' || n || ' lines', body, case when cut is not null then '… ' || (n - cut) || ' more lines (full file recoverable) …' when last < n - 1 then '… ' || (n - 1 - last) || ' lines …' end) as text from g) select id, sha256({RED} || chr(10) || tail) as text_sha256, kept from x""")
