@@ -17,10 +17,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.llm.text import id_text, release
+from turnledger.session import stored
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -62,11 +63,15 @@ def ranks(words: list[str] = []) -> dict[str, int]:  # noqa: B006
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY, least_docs: int = LEAST_DOCS) -> list[str]:
-    """The words (3 to ``LONGEST_WORD`` letters a-z) that most documents hold, at most ``most`` of them, in order. Counts cover all
-    documents and are added up before the shuffle; only the words kept, a bounded list, reach the driver."""
+    """The words (3 to ``LONGEST_WORD`` letters a-z) that most documents hold, in order: all words of at least ``least_docs`` documents, or
+    of the least number of documents that gives ``most`` words or fewer. Counts cover all documents and are added up before the
+    shuffle; that number follows from how many words have each count, so only the words kept, a bounded list, reach the driver."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(f"(?<![a-z])([a-z]{{3,{LONGEST_WORD}}})(?![a-z])"), F.lit(1)))
-    held = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs)
-    return [r["word"] for r in held.orderBy(F.desc("n"), "word").limit(most).collect()]
+    held = stored(docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs), "words")
+    upto = F.sum("words").over(Window.orderBy(F.desc("n")))  # one row for each count that occurs
+    least = held.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto).filter(F.col("upto") <= most).agg(F.min("n").alias("n")).first()["n"]
+    kept = held.filter(F.col("n") >= least).collect() if least is not None else []
+    return [r["word"] for r in sorted(kept, key=lambda r: (-r["n"], r["word"]))]
 
 
 def alphabet(part: str) -> int:
