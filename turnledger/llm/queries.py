@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import chat, cotraining, decontaminate, exact_dedup, lengths, line_dedup, near_dedup, packing, secrets, toxicity
+from turnledger.llm import chat, cotraining, decontaminate, exact_dedup, lengths, line_dedup, mixing, near_dedup, packing, secrets, toxicity
 from turnledger.llm.text import read_table
 from turnledger.session import ship_package, stored
 
@@ -68,6 +68,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(mixing.mix(read_table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -77,7 +81,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_token_counts, op2_toxicity, op3_secrets, op4_exact_dedup, op5_packing, op6_near_dedup, op7_chat, op8_decontaminate, op9_quality, op10_line_dedup)
+    every = (op1_token_counts, op2_toxicity, op3_secrets, op4_exact_dedup, op5_packing, op6_near_dedup, op7_chat, op8_decontaminate, op9_quality, op10_line_dedup, op13_mixing)
     return {q.__name__: shipped(q) for q in every}
 
 
@@ -126,4 +130,18 @@ def oracle_sql() -> dict[str, str]:
             o as (select k, min(doc_id) as owner from l where length(k) >= 10 group by k having count(distinct doc_id) > 1),
             f as (select l.*, o.owner is not null and o.owner <> l.doc_id as lost from l left join o on l.k = o.k)
             select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not lost), '')) as kept_sha256 from f group by doc_id""",
+        "op13_mixing": f"""
+            with recursive d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size, case when source is null then '' else '=' || source end as k, substr(sha256('42:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as h from documents),
+            s as (select k, source, cast(sum(size) as bigint) as source_size, (row_number() over (order by source is null, source) - 1) % 3 + 1 as w from d group by k, source),
+            o as (select *, row_number() over (order by 3.0 * source_size / w, k) as i, cast(sum(3 * source_size) over (order by 3.0 * source_size / w, k) as bigint) as caps, cast(sum(w) over (order by 3.0 * source_size / w, k) as bigint) as ws from s),
+            t as (select cast(sum(source_size) as bigint) as words, cast(sum(w) as bigint) as w from s),
+            l as (select o.*, (t.words - (o.caps - 3 * o.source_size)) / cast(t.w - (o.ws - o.w) as double) as level from o, t),
+            c as (select level from l where 3 * source_size > level * w order by i limit 1),
+            g as (select k, source_size, w, case when 3 * source_size <= w * (select level from c) or (select count(*) from c) = 0 then cast(3 * source_size as double) else w * (select level from c) end as target from s),
+            q as (select d.doc_id, d.k, d.h, d.size, g.source_size, g.w, g.target, cast(sum(d.size) over (partition by d.k order by d.h, d.doc_id) as bigint) as upto from d join g on d.k = g.k),
+            x as (select *, unnest(range(0, greatest(1, cast(ceil(case when source_size = 0 then 1 else target / source_size end) as bigint)))) as copy from q),
+            p as (select *, unnest(range(0, greatest(1, cast(ceil(size / {mixing.QUANTUM}.0) as bigint)))) as packet from x),
+            f as (select *, least(size, (packet + 1) * {mixing.QUANTUM}) - packet * {mixing.QUANTUM} as words, (copy * source_size + upto - size + least(size, (packet + 1) * {mixing.QUANTUM})) / cast(w as double) as finish from p),
+            z as (select *, cast(sum(words) over (order by finish, k, copy, h, doc_id, packet rows unbounded preceding) as bigint) - words as position from f)
+            select doc_id, any_value(cast(size as bigint)) as size, any_value(source_size) as source_size, any_value(target) as target, cast(sum(greatest(0, least(words, (select words from t) - position))) as bigint) as taken from z group by doc_id""",
     }
