@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import chat, cotraining, decontaminate, exact_dedup, lengths, line_dedup, mixing, near_dedup, packing, secrets, toxicity
+from turnledger.llm import chat, cotraining, decontaminate, exact_dedup, filter_audit, lengths, line_dedup, mixing, near_dedup, packing, secrets, toxicity
 from turnledger.llm.text import read_table
 from turnledger.session import ship_package, stored
 
@@ -68,6 +68,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_files(spark, f"{sf_dir}/documents.parquet", read_table(spark, sf_dir, "labels"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(read_table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -81,7 +85,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_token_counts, op2_toxicity, op3_secrets, op4_exact_dedup, op5_packing, op6_near_dedup, op7_chat, op8_decontaminate, op9_quality, op10_line_dedup, op13_mixing)
+    every = (op1_token_counts, op2_toxicity, op3_secrets, op4_exact_dedup, op5_packing, op6_near_dedup, op7_chat, op8_decontaminate, op9_quality, op10_line_dedup, op11_filter_audit, op13_mixing)
     return {q.__name__: shipped(q) for q in every}
 
 
@@ -92,6 +96,7 @@ def oracle_sql() -> dict[str, str]:
     text, key_chars = LOWER.format("coalesce(text, '')"), "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     words = f"regexp_extract_all({text}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     escaped = "replace(replace({}, chr(92), chr(92) || chr(92)), '<', chr(92) || '<')"
+    counted, removed = (lambda n, rows: f"cast(coalesce(sum({n}) filter ({rows}), 0) as bigint)"), "mask & bit > 0 and mask & earlier = 0"
     return {
         "op4_exact_dedup": """
             with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as t from documents),
@@ -130,6 +135,20 @@ def oracle_sql() -> dict[str, str]:
             o as (select k, min(doc_id) as owner from l where length(k) >= 10 group by k having count(distinct doc_id) > 1),
             f as (select l.*, o.owner is not null and o.owner <> l.doc_id as lost from l left join o on l.k = o.k)
             select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not lost), '')) as kept_sha256 from f group by doc_id""",
+        "op11_filter_audit": f"""
+            with l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+            t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+            w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws, min(doc_id) over (partition by t) as first_id from t),
+            m as (select w.doc_id, part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+                cast(len(ws) < 100 as int) + 2 * cast(100 * len(list_distinct(ws)) < 80 * len(ws) as int) + 4 * cast(100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) as int)
+                + 8 * cast(regexp_matches(t, '[#$%&*|]') as int) + 16 * cast(w.doc_id > first_id as int) as mask from w left join l on w.doc_id = l.doc_id),
+            c as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by part, mask),
+            f as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(letter, bit)),
+            o as (select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits from f a, f b, f c, f d, f e where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+            s as (select filter_order, cast(step as int) as step, bits[step] as bit, coalesce(list_sum(bits[1 : step - 1]), 0)::int as earlier from (select *, unnest(range(1, 6)) as step from o))
+            select part, filter_order, step, {counted("n", "mask & (bit | earlier) = 0")} as kept, {counted("n", removed)} as removed, {counted("n", "mask & bit > 0 and mask & earlier > 0")} as redundant,
+                {counted("n", "mask = bit")} as unique_fails, {counted("good", removed)} as good_lost, {counted("toxic", removed)} as toxic_lost, {counted("n * (120 // greatest(1, bit_count(mask)))", "mask & bit > 0")} as shapley
+            from c, s group by part, filter_order, step""",
         "op13_mixing": f"""
             with recursive d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size, case when source is null then '' else '=' || source end as k, substr(sha256('42:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as h from documents),
             s as (select k, source, cast(sum(size) as bigint) as source_size, (row_number() over (order by source is null, source) - 1) % 3 + 1 as w from d group by k, source),
