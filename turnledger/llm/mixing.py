@@ -68,7 +68,7 @@ def packets(rows: DataFrame, targets: DataFrame, quantum: int = QUANTUM, block_r
     sums = placed.groupBy("source_key", "block").agg(F.sum("size").alias("block_size")).withColumn("ahead", F.coalesce(F.sum("block_size").over(earlier), F.lit(0)))
     sums = sums.join(targets, "source_key").select("source_key", "block", "ahead", "source_size", "weight", "target")
     queued = placed.withColumn("upto", F.sum("size").over(inside)).join(sums, ["source_key", "block"])
-    copies = F.greatest(F.lit(1), F.ceil(F.col("target") / F.col("source_size")))
+    copies = F.greatest(F.lit(1), F.ceil(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))))
     parts = F.greatest(F.lit(1), F.ceil(F.col("size") / quantum))
     each = queued.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(copies, F.lit(1)).cast("long") - 1)))
     each = each.withColumn("packet", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))

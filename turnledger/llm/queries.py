@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import chat, cotraining, decontaminate, exact_dedup, filter_audit, lengths, line_dedup, mixing, near_dedup, packing, secrets, toxicity
+from turnledger.llm import chat, cotraining, decontaminate, exact_dedup, filter_audit, lengths, line_dedup, mixing, near_dedup, packing, resampling, secrets, toxicity
 from turnledger.llm.text import read_table
 from turnledger.session import ship_package, stored
 
@@ -72,6 +72,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_files(spark, f"{sf_dir}/documents.parquet", read_table(spark, sf_dir, "labels"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(read_table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -85,7 +89,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_token_counts, op2_toxicity, op3_secrets, op4_exact_dedup, op5_packing, op6_near_dedup, op7_chat, op8_decontaminate, op9_quality, op10_line_dedup, op11_filter_audit, op13_mixing)
+    every = (op1_token_counts, op2_toxicity, op3_secrets, op4_exact_dedup, op5_packing, op6_near_dedup, op7_chat, op8_decontaminate, op9_quality, op10_line_dedup, op11_filter_audit, op12_resampling, op13_mixing)
     return {q.__name__: shipped(q) for q in every}
 
 
