@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from turnledger.llm import chat, cotraining, decontaminate, exact_dedup, lengths, line_dedup, near_dedup, packing, queries, secrets, toxicity
+from turnledger.llm import chat, cotraining, decontaminate, exact_dedup, lengths, line_dedup, near_dedup, packing, queries, secrets, tokens, toxicity
 from turnledger.session import ship_package
 
 SF = "/root/testdata/sf0.001"
@@ -310,9 +310,14 @@ def test_guess_cost_equals_exhaustive_segmentation():
         assert secrets.guess_cost(value, known) == pytest.approx(brute_cost(value, known)), value
 
 
+KEY = "password|passwd|passphrase|passcode|pwd|secret|token|credential|(?:api|access|private)[_-]?key|(?<![A-Za-z0-9])(?:pass|auth)(?![A-Za-z0-9])"
+NAMED = re.compile(f"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*(?:{KEY}))[A-Za-z0-9_-]+[\"']?\\x20*[:=]\\x20*(?:\"([^\"\\s]{{6,}})\"|'([^'\\s]{{6,}})'|([^\\s\"',;<>]{{6,}}))", re.IGNORECASE)
+
+
 def test_whole_secret_scan_equals_brute_force(spark):
     random = np.random.default_rng(11)
     bits = ["password = 'hunter2hunter2'", "token: K9x_Lq72vBz81mQ", "AKIA" + "Z9" * 8, "deadbeef" * 3, "see the secret: gardening gardening", "api-key=\"é#9kLmn0PQrs\"", "the gardening report\n"]
+    bits += ["DB_PASSWORD=Xk9qLw2vTz8R", "client_secret : Xk9qLw2vT", "'user_token': 'Zq8Lm3xYt1w'", "MY_API_KEY=Zq8Lm3xYt1wPq", "x=aws_secret=Zq8Lm3xYt1w", "author: Zq8Lm3xYt1wPq", "basic-auth=Zq8Lm3xYt1wPq", "compass: Zq8Lm3xYt1wPq", "token: x: secretary = Zq8Lm3xYt1wPq"]
     texts = [(i, " ".join(random.choice(bits, int(n)))) for i, n in enumerate(random.integers(0, 9, 40))] + [(99, None), (99, None), (100, "secret=" + "ab" * 20_000)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     held = {}
@@ -324,7 +329,7 @@ def test_whole_secret_scan_equals_brute_force(spark):
     known, want = secrets.ranks(words), []
     for i, t in texts:
         base, more = secrets.base_spans(t or ""), []
-        for m in secrets.CONTEXT.finditer(t or ""):
+        for m in NAMED.finditer(t or ""):
             v = m[m.lastindex]
             cost = brute_cost(v, known) if len(v) < 60 else secrets.guess_cost(v, known)
             if cost >= secrets.LEAST_COST:
@@ -333,6 +338,39 @@ def test_whole_secret_scan_equals_brute_force(spark):
     assert rows(secrets.find_secrets(docs).select("doc_id", "base_spans", "spans", "n_guess")) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("unit", ["=", "_", " ", "\n", "a", "a!", "token:", "token=\"", "word ", "'", "日本", "{", "a_"])
+def test_a_megabyte_of_one_thing(unit):
+    """Every per-row step takes a text of a million characters within seconds."""
+    import time
+
+    text = ("ab" + unit * 1_000_000)[:1_000_000] + "cd"
+    encoder, words = tokens.byte_encoder(queries.vocabulary("byte_bpe_50k.tiktoken")), tokens.word_encoder(queries.vocabulary("word_bpe_49k.json"))
+    scorer, known = toxicity.Scorer({"idiot": 1.0}, {"hat": 1.0}), secrets.ranks()
+    began = time.time()
+    assert encoder.decode_bytes(encoder.encode_ordinary(text)).decode() == text
+    assert len(words.encode([text])) == 1 and len(scorer.features(text)) == toxicity.FEATURES
+    assert secrets.guessed_spans(text, known) == [] or unit == "token:"
+    secrets.base_spans(text)
+    decontaminate.word_hashes(text, decontaminate.Learned(lambda w: hash(w) % 2**64))
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("space", [" ", "\n", " \n", "\t", "\u3000"])
+def test_long_white_space_is_encoded_as_the_pattern_does(space):
+    encoder = tokens.byte_encoder(queries.vocabulary("byte_bpe_50k.tiktoken"))
+    for n in (9_999, 10_000, 10_001, 50_000):
+        run = (space * n)[:n]
+        for text in (f"ab{run}cd", f"ab{run}", f"{run}cd!", run, f"x  {run}\ny{run}  z"):
+            assert encoder.encode_ordinary(text) == encoder.encoding.encode_ordinary(text)
+    assert len(encoder.encode_ordinary(space * 1_000_000)) > 1  # the library's own splitter fails here
+
+
+def test_core_of_a_part():
+    outer = re.compile(r"^[\W_]+|[\W_]+$")
+    for part in ("", "a", "!!", "_a_", "a!b", "--it's--", "«é»", "..a..b..", "_", "１", "ª!"):
+        assert toxicity.core(part) == outer.sub("", part)
+
+
 def test_fuzzy_lexicon_equals_brute_force():
     terms = {"idiot": 1.0, "stupid": 2.0, "scum": 3.0}
     lexicon = toxicity.Lexicon(terms, {"lowei": 4.0})

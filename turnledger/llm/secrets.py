@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +28,11 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CONTEXT = re.compile(r"\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|auth|(?:api|access|private)[_-]?key)[\"']?\x20*[:=]\x20*(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([^\s\"',;<>]{6,}))", re.IGNORECASE | re.ASCII)
+#: What makes a name a credential's: one of these anywhere in it (``DB_PASSWORD``, ``client_secret``), the short ones as a part of their own.
+CREDENTIAL = re.compile(r"password|passwd|passphrase|passcode|pwd|secret|token|credential|(?:api|access|private)[_-]?key|(?<![A-Za-z0-9])(?:pass|auth)(?![A-Za-z0-9])", re.IGNORECASE)
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+SIGN = re.compile("[:=]")
+VALUE = re.compile(r"\x20*(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([^\s\"',;<>]{6,}))")
 #: Least log10 guesses of a value that counts as a secret.
 LEAST_COST = 9.0
 #: Costs are not told apart beyond this.
@@ -96,7 +101,10 @@ def guess_cost(value: str, dictionary: dict[str, int]) -> float:
         return min(MOST_COST, letter * n)
     best, plain = [0.0] + [none] * n, low.translate(UNLEET)
     units = range(1, min(int(MOST_COST / letter), n // 2) + 1)
-    same = [0] * (len(units) + 1)  # for each unit, how many characters up to here equal those one unit before
+    back = max(LONGEST_WORD, 10, 2 * len(units) + 1)  # characters that a span reaches back at most where it begins
+    most = len(units)
+    same, met = [0] * (most + 1), [0] * (most + 1)  # for each unit, how many characters up to the place ``met`` equal those one unit before
+    places: dict[str, deque[int]] = {}  # of each character, among the last ones
     repeat: list[list[float]] = [[none] * u for u in (1, *units)]  # least cost of a repeat of the unit that ends here, by place modulo unit
     rising = falling = walking = none  # least cost of a sequence or walk that ends here
     up = down = walk = 1  # their lengths in characters
@@ -110,14 +118,20 @@ def guess_cost(value: str, dictionary: dict[str, int]) -> float:
         walk = walk + 1 if p and c != p and c in NEAR.get(p, ()) else 1
         walking = min(walking + WALK_STEP, best[j - 4] + SPAN + WALK_START + 4 * WALK_STEP) if walk >= 4 else none
         cost = min(cost, rising, falling, walking)
-        for u in units:
-            if u >= j:
-                break
-            same[u] = same[u] + 1 if value[j - 1] == value[j - 1 - u] else 0
-            held, at, copies = repeat[u], j % u, 3 if u == 1 else 2
-            longer = held[at] if same[u] >= u else none
-            held[at] = min(longer, best[j - copies * u] + SPAN + COUNT + letter * u) if same[u] >= (copies - 1) * u else longer
-            cost = min(cost, held[at])
+        before = places.setdefault(value[j - 1], deque())
+        while before and before[0] < j - most:
+            before.popleft()
+        for q in reversed(before):
+            u = j - q
+            if u > 1 and same[1] >= 2 * u - 1 and met[1] == j:
+                continue  # one character over and over, which the unit of one covers for less
+            same[u], met[u] = same[u] + 1 if met[u] == j - 1 else 1, j
+            copies = 3 if u == 1 else 2
+            if same[u] >= (copies - 1) * u:
+                longer = repeat[u][j % u] if same[u] >= copies * u else none
+                repeat[u][j % u] = longer = min(longer, best[j - copies * u] + SPAN + COUNT + letter * u)
+                cost = min(cost, longer)
+        before.append(j)
         for i in range(max(0, j - LONGEST_WORD), j - 1):
             if plain[i:j] in dictionary:
                 cost = min(cost, best[i] + word_cost(value[i:j], dictionary))
@@ -126,6 +140,8 @@ def guess_cost(value: str, dictionary: dict[str, int]) -> float:
                 if DATE.fullmatch(value, i, j):
                     cost = min(cost, best[i] + SPAN + (YEAR_COST if j - i == 4 else DATE_COST))
         best[j] = min(cost, MOST_COST)
+        if j % 512 == 0 and best[j] == MOST_COST and min(rising, falling, walking, *best[max(0, j - back) : j], *map(min, repeat)) >= MOST_COST:
+            return MOST_COST  # nothing that a longer span could grow from costs less
     return best[n]
 
 
@@ -137,14 +153,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def credential_values(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each value of six characters or more that is given to a credential: ``name = value`` or ``"name": "value"``.
+    Names are read backwards from the sign, so every character is met a bounded number of times."""
+    done = 0
+    for sign in SIGN.finditer(text):
+        at = sign.start()
+        if at < done:
+            continue
+        while at and text[at - 1] == " ":
+            at -= 1
+        if at and text[at - 1] in "\"'":
+            at -= 1
+        start = at
+        while start and text[start - 1] in NAME:
+            start -= 1
+        if start < at and CREDENTIAL.search(text, start, at) and (m := VALUE.match(text, sign.end())):
+            yield m.span(m.lastindex)
+            done = m.end()
+
+
 def guessed_spans(text: str, dictionary: dict[str, int], least: float = LEAST_COST) -> list[tuple[int, int, int, float]]:
     """(start, kind, end, cost) of values in credential context that cost at least ``least``."""
-    out = []
-    for m in CONTEXT.finditer(text):
-        k = m.lastindex
-        if (cost := guess_cost(m[k], dictionary)) >= least:
-            out.append((m.start(k), 3, m.end(k), cost))
-    return out
+    spans = [(start, 3, end, guess_cost(text[start:end], dictionary)) for start, end in credential_values(text)]
+    return [s for s in spans if s[3] >= least]
 
 
 def named(spans: list[tuple]) -> str:

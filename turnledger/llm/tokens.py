@@ -12,15 +12,40 @@ import numpy as np
 from turnledger.llm.text import Learned
 
 
+#: White space as the encoders' patterns know it, in runs that their splitters cannot take whole.
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
+
+
+class ByteEncoder:
+    """``encode_ordinary`` and ``decode_bytes`` of a byte-level encoding, for texts of any kind.
+
+    The splitter walks back through a run of white space and fails on very long ones. Of a run, all but the last character are one
+    piece (all of it at the end of the text) and the last goes on with what follows, so long runs are cut out and encoded as that piece.
+    """
+
+    def __init__(self, encoding):
+        self.encoding, self.decode_bytes = encoding, encoding.decode_bytes
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        plain, out, at = self.encoding.encode_ordinary, [], 0
+        if len(text) >= 10_000:
+            for run in LONG_SPACE.finditer(text):
+                end = run.end() - (run.end() < len(text))
+                out += plain(text[at : run.start()])
+                out += self.encoding._encode_single_piece(text[run.start() : end])
+                at = end
+        return out + plain(text[at:]) if at else plain(text)
+
+
 @lru_cache(maxsize=2)
-def byte_encoder(path: str):
-    """A byte-level encoding with ``encode_ordinary`` and ``decode_bytes``; its ids end at 50,255."""
+def byte_encoder(path: str) -> ByteEncoder:
+    """A byte-level encoding; its ids end at 50,255."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return ByteEncoder(tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
 
 
 class WordEncoder:

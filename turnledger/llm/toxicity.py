@@ -33,8 +33,8 @@ CONTEXT, BEFORE = 12, 4
 #: Words that report speech.
 REPORTING = frozenset("said says wrote called quote quoted quotes quoting word term cited sagte schrieb zitat wort dit écrit citation mot dijo escribió cita palabra".split())
 WORD = re.compile(r"[^\W\d_]+")
-#: Punctuation that parts words without white space, and what may stand around a word.
-PARTS, OUTER = re.compile(r"[,;:.?…/—–()\[\]{}<>\"“”„«»]+"), re.compile(r"^[\W_]+|[\W_]+$")
+#: Punctuation that parts words without white space, and what a word begins and ends with.
+PARTS, INNER = re.compile(r"[,;:.?…/—–()\[\]{}<>\"“”„«»]+"), re.compile(r"[^\W_]")
 QUOTES = frozenset("\"'“”„«»‹›‘’`")
 #: Marks that open a quotation that can run over several words, and those that close it.
 MARKS, CLOSES = re.compile("[\"“”„«»‹›‘’]"), {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹", "‘": "’"}
@@ -159,6 +159,12 @@ def quotations(chunks: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def core(part: str) -> str:
+    """Without the symbols around it. Both ends are found by one scan each, so that long runs of symbols cost no more than others."""
+    first = INNER.search(part)
+    return part[first.start() : len(part) - INNER.search(part[::-1]).start()] if first else ""
+
+
 class Scorer:
     """Features of a text. Words are looked up by chunk between white space, in a bounded cache.
 
@@ -176,11 +182,11 @@ class Scorer:
         for part in PARTS.split(chunk):
             words = WORD.findall(part)
             hits = [h for w in words if (h := self.lexicon.match(w))]
-            inner = OUTER.sub("", part)
+            inner = core(part)
             if not hits and words and not inner.isalpha() and (h := self.lexicon.match(inner)):
                 hits.append(h)
             out += hits
-        if not out and (h := self.lexicon.match(OUTER.sub("", chunk))):
+        if not out and (h := self.lexicon.match(core(chunk))):
             out.append(h)
         return out
 
