@@ -3,9 +3,10 @@
 1. The files of a table come as micro-batches of an available-now stream. The row filters are column conditions; a document's failures
    are the bits of a mask.
 2. The duplicate filter fails every document whose text a smaller id holds. Each task collapses the copies that it reads, so a frequent
-   text sends a row or two from each task; then the state of a text, kept in the state store, holds its smallest id and the parts of that
+   text sends a row or two from each task; then the state, kept in the state store, holds every text's smallest id and the parts of that
    id's rows. Every row is counted as a duplicate first and corrected when it holds the smallest id; when a smaller id arrives later, the
-   state takes the earlier correction back.
+   state takes the earlier correction back. Texts share a state by ranges of their hashes, about ``STATE_TEXTS`` in each, which saves a
+   trip to the store for every text; a batch rewrites the states that it meets, so there are few and large batches.
 3. A batch's changes are summed and written under its number, so a repeated batch overwrites itself. The sums over all batches are the
    counters by part, mask and label, from which every order and step follows.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import json
 import math
+import pickle
 from collections.abc import Iterator
 from functools import reduce
 from itertools import permutations
@@ -28,14 +30,16 @@ from turnledger.session import shared_path
 
 #: Micro-batches that the files are dealt into (about), and rows that a task collapses at a time.
 BATCHES, COLLAPSE_ROWS = 4, 100_000
+#: Texts that share a state (about).
+STATE_TEXTS = 256
 #: The duplicate filter's letter; it is the last bit of a mask.
 DUPLICATE = "E"
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # or every partition's store takes megabytes beforehand
 }
-HOLDERS = "array<struct<part:string,good:int,toxic:int,n:long>>"
 CHANGE = "part string, mask int, good int, toxic int, change long"
 
 
@@ -91,57 +95,58 @@ def collapsed(rows: DataFrame, at_most: int = COLLAPSE_ROWS) -> DataFrame:
 
 
 class SmallestIds(StatefulProcessor):
-    """State of a text: its smallest id and, by part and label, the rows that hold it. Gives the changes of the counters."""
+    """State of a group of texts: for each its smallest id and, by part and label, the rows that hold it. Gives the changes of the counters."""
 
-    def __init__(self, kind: str, duplicate_bit: int):
-        self.kind, self.bit = kind, duplicate_bit
+    def __init__(self, duplicate_bit: int):
+        self.bit = duplicate_bit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("smallest", f"id {self.kind}, holders {HOLDERS}")
+        self.state = handle.getValueState("smallest", "texts binary")  # a pickled dictionary: text key to (id, holders)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        changes: dict[tuple, int] = {}
+        before, changes, masks = self.state.get(), {}, {}
+        texts = pickle.loads(before[0]) if before is not None else {}
+        earlier: dict[bytes, tuple | None] = {}  # what was known of the texts that change
 
         def add(part: str, mask: int, good: int, toxic: int, n: int) -> None:
             changes[part, mask, good, toxic] = changes.get((part, mask, good, toxic), 0) + n
 
-        def correct(holders: dict[tuple, int], sign: int) -> None:
-            """Rows that hold the smallest id are no duplicates (sign 1), or are duplicates after all (-1)."""
-            for (part, good, toxic), n in holders.items():
-                add(part, mask | self.bit, good, toxic, -sign * n)
-                add(part, mask, good, toxic, sign * n)
-
-        before = self.state.get()
-        known = before is not None
-        smallest, holders, mask = (before[0] if known else None), ({tuple(h)[:3]: h[3] for h in before[1]} if known else {}), 0
-        old = dict(holders)
         for r in rows:
-            mask = r.mask  # the same for all rows of a text
-            add(r.part, mask | self.bit, r.good, r.toxic, r.n)
-            if not known or (r.smallest is not None and (smallest is None or r.smallest < smallest)):
-                known, smallest, holders = True, r.smallest, {}
-            if r.smallest == smallest:
-                who = (r.part, r.good, r.toxic)
-                holders[who] = holders.get(who, 0) + r.n_smallest
-        if holders != old or smallest != (before[0] if before is not None else None):
-            correct(old, -1)
-            correct(holders, 1)
-            self.state.update((smallest, [(*who, n) for who, n in holders.items()]))
-        for (part, m, good, toxic), n in changes.items():
+            k = bytes(r.text_key)
+            masks[k] = r.mask  # the same for all rows of a text
+            add(r.part, r.mask | self.bit, r.good, r.toxic, r.n)
+            known, who = texts.get(k), (r.part, r.good, r.toxic)
+            if known is None or (r.smallest is not None and (known[0] is None or r.smallest < known[0])):
+                holders = {who: r.n_smallest}
+            elif r.smallest == known[0]:
+                holders = known[1] | {who: known[1].get(who, 0) + r.n_smallest}
+            else:
+                continue
+            earlier.setdefault(k, known)
+            texts[k] = (r.smallest, holders)
+        for k, known in earlier.items():
+            for holders, sign in ((known[1] if known else {}, -1), (texts[k][1], 1)):  # take back, then correct
+                for (part, good, toxic), n in holders.items():
+                    add(part, masks[k] | self.bit, good, toxic, -sign * n)
+                    add(part, masks[k], good, toxic, sign * n)
+        if earlier:
+            self.state.update((pickle.dumps(texts),))
+        for (part, mask, good, toxic), n in changes.items():
             if n:
-                yield Row(part=part, mask=m, good=good, toxic=toxic, change=n)
+                yield Row(part=part, mask=mask, good=good, toxic=toxic, change=n)
 
     def close(self) -> None:
         pass
 
 
-def changes(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
-    """(part, mask, good, toxic, change) from a stream of documents: what each batch adds to the counters or takes back."""
+def changes(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang", states: int = 4096) -> DataFrame:
+    """(part, mask, good, toxic, change) from a stream of documents: what each batch adds to the counters or takes back. The texts'
+    smallest ids are kept in ``states`` states; a stream that goes on from a checkpoint must keep that number."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     filters = row_filters(text)
     rows = collapsed(marked(docs, labels, filters, id_col, text, part_col))
-    kind = rows.schema["smallest"].dataType.simpleString()
-    return rows.groupBy("text_key").transformWithState(SmallestIds(kind, 1 << len(filters)), CHANGE, "Update", "None")
+    rows = rows.withColumn("state", F.pmod(F.xxhash64("text_key"), F.lit(states)))
+    return rows.groupBy("state").transformWithState(SmallestIds(1 << len(filters)), CHANGE, "Update", "None")
 
 
 def file_stream(spark: SparkSession, path: str, batches: int = BATCHES) -> DataFrame:
@@ -154,7 +159,7 @@ def file_stream(spark: SparkSession, path: str, batches: int = BATCHES) -> DataF
     return reader.parquet(path)
 
 
-def counters(stream: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
+def counters(stream: DataFrame, labels: DataFrame, states: int = 4096, **columns: str) -> DataFrame:
     """(part, mask, good, toxic, n): documents by the filters they fail, after all that the stream has to give now.
 
     ``stream``: documents with any other columns. Null texts count as empty, null parts as the empty string; a null id is greater than
@@ -172,7 +177,7 @@ def counters(stream: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
     for k, v in STATE.items():
         spark.conf.set(k, v)
     try:
-        query = changes(stream, labels, **columns).writeStream.foreachBatch(sink).outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
+        query = changes(stream, labels, states=states, **columns).writeStream.foreachBatch(sink).outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
@@ -215,4 +220,5 @@ def report(counts: DataFrame, letters: str = "ABCD" + DUPLICATE) -> DataFrame:
 
 def audit_files(spark: SparkSession, path: str, labels: DataFrame, batches: int = BATCHES, **columns: str) -> DataFrame:
     """The report on all documents of the Parquet files under ``path``."""
-    return report(counters(file_stream(spark, path, batches), labels, **columns))
+    states = max(1, math.ceil(spark.read.parquet(path).count() / STATE_TEXTS))
+    return report(counters(file_stream(spark, path, batches), labels, states, **columns))
