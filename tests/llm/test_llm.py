@@ -263,6 +263,19 @@ def test_longest_matches_equal_brute_force(spark, monkeypatch, shard, block):
     assert overlapping[4] == 10 and overlapping[3] == 13  # two items overlap; neither has more than ten words
 
 
+@pytest.mark.parametrize(("doc", "item", "found"), [("w " * 1_000_000, "w " * 1_000_000, 1_999_981), ("a b c d e f g " * 70_000, "a b c d e f g " * 70_000, 139_997), ("= " * 1_000_000, "w", 0), ("w" * 1_000_000, "w" * 1_000_000, 1)])
+def test_repeated_words_are_not_paired(doc, item, found):
+    """Work grows with the matches, not with the pairs of places: seconds, where pairs would be 10^12."""
+    import time
+
+    began = time.time()
+    hashes = decontaminate.Learned(decontaminate.xxh3_64_intdigest)
+    hits = decontaminate.Hits(decontaminate.Shard.of([decontaminate.word_hashes(doc, hashes)]), decontaminate.Items([(1, item)], 10))
+    places, _, starts, words = hits.matches()
+    assert len(places) == found and (not found or words.max() == min(len(doc.split()), len(item.split())))
+    assert hits.hit_words().sum() == (len(doc.split()) if found else 0) and time.time() - began < 20
+
+
 def test_secrets(spark, docs, empty):
     texts = ["API_KEY = 'abcdefghijkl' x", "token=secret: longvalue12345678", "AKIA" + "A" * 13, "AKIA" + "A" * 14, "x 0123456789abcdef0 y", "password: Password123", "pwd = 'xK9#qLz!72vB'"]
     known = secrets.ranks(["basketball", "correct", "horse", "battery", "staple"])
