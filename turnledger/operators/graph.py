@@ -53,12 +53,13 @@ def together(baskets: DataFrame, largest: int) -> DataFrame:
 
 
 def resolve_edges(references: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Names to symbols: exact, then unique short name, else ambiguous or unresolved, with a confidence."""
+    """Names of certain references to symbols: exact, then unique short name, else ambiguous or unresolved, with what is left of their certainty.
+    ``resolution.resolve_edges`` also looks into scopes."""
     exact = symbols.groupBy(F.col("qualified").alias("name")).agg(F.min("id").alias("exact_id"))
     short = symbols.groupBy(F.col("short").alias("name")).agg(F.min("id").alias("short_id"), F.count("*").alias("n_short"))
     r = references.join(exact, "name", "left").join(short, "name", "left")
     kind = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("n_short") == 1, "unique").when(F.col("n_short") > 1, "ambiguous").otherwise("unresolved")
-    return r.withColumn("resolution", kind).select("src", "name", "resolution", F.when(F.col("resolution") == "exact", F.col("exact_id")).when(F.col("resolution") == "unique", F.col("short_id")).alias("dst"), F.when(F.col("resolution") == "exact", 1.0).when(F.col("resolution") == "unique", 0.8).when(F.col("resolution") == "ambiguous", 0.4).otherwise(0.0).alias("confidence"))
+    return r.withColumn("resolution", kind).select("src", "name", "resolution", F.when(F.col("resolution") == "exact", F.col("exact_id")).when(F.col("resolution") == "unique", F.col("short_id")).alias("dst"), F.when(F.col("resolution") == "exact", 1.0).when(F.col("resolution") == "unique", 0.9).when(F.col("resolution") == "ambiguous", 0.45).otherwise(0.7).alias("confidence"))
 
 
 def suffix_path_join(left: DataFrame, right: DataFrame) -> DataFrame:

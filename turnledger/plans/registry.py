@@ -209,7 +209,7 @@ add("cochange_pairs", lambda s, d: graph.cochange_pairs(baskets(s, d)), """with
 SYMBOLS = "symbols as (select p_partkey as id, concat_ws('.', p_brand, p_name, p_partkey) as qualified, concat_ws('/', p_brand, p_type) as short from part), refs as (select p_partkey as src, case p_partkey % 3 when 0 then concat_ws('.', p_brand, p_name, p_partkey) when 1 then concat_ws('/', p_brand, p_type) else p_name end as name from part)"
 add("resolve_edges", lambda s, d: graph.resolve_edges(references(s, d), symbols(s, d)), f"""with {SYMBOLS}, x as (select qualified as name, min(id) as exact_id from symbols group by 1), y as (select short as name, min(id) as short_id, count(*) as n from symbols group by 1),
     z as (select src, r.name, exact_id, short_id, case when exact_id is not null then 'exact' when n = 1 then 'unique' when n > 1 then 'ambiguous' else 'unresolved' end as resolution from refs r left join x on r.name = x.name left join y on r.name = y.name)
-    select src, name, resolution, case resolution when 'exact' then exact_id when 'unique' then short_id end as dst, cast(case resolution when 'exact' then 1.0 when 'unique' then 0.8 when 'ambiguous' then 0.4 else 0.0 end as double) as confidence from z""")
+    select src, name, resolution, case resolution when 'exact' then exact_id when 'unique' then short_id end as dst, cast(case resolution when 'exact' then 1.0 when 'unique' then 0.9 when 'ambiguous' then 0.45 else 0.7 end as double) as confidence from z""")
 add("suffix_path_join", lambda s, d: graph.suffix_path_join(*paths(s, d)), """with a as (select distinct regexp_replace(url, '^https?://', '') as path from pages), b as (select distinct regexp_extract(url, '/([a-z]+/[0-9]+)$', 1) as path from pages)
     select a.path, b.path as other from a, b where b.path <> '' and (a.path = b.path or suffix(a.path, '/' || b.path) or suffix(b.path, '/' || a.path))""")
 add("index_report", lambda s, d: graph.index_report(V.code_edges(s, d)), f"with {EDGES} select type, count(*) as edges, count(distinct src) as sources, count(distinct dst) as targets from code_edges group by type")
@@ -309,9 +309,9 @@ add("continuation", lambda s, d: reduction.continuation(V.event_rows(s, d).selec
 
 def every() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
     """These queries and those of the other modules, which build on this one."""
-    from turnledger.plans import calls, code, replay, totals
+    from turnledger.plans import calls, code, replay, resolving, totals
 
-    return Q | calls.Q | replay.Q | code.Q | totals.Q
+    return Q | calls.Q | replay.Q | code.Q | totals.Q | resolving.Q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
