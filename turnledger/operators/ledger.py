@@ -14,13 +14,15 @@ def occupancy_ledger(requests: DataFrame) -> DataFrame:
 
 
 def cache_breaks(requests: DataFrame, floor: int = FLOOR, hard: float = HARD, ttl_minutes: int = TTL_MINUTES) -> DataFrame:
-    """Requests whose cache read fell below what the request before had: session, id, turn, lost, hard, cause, gap_minutes."""
+    """Requests whose cache read fell below what the request before had: session, id, turn, lost, hard, cause, gap_minutes. Where requests say
+    how many compactions lie between them and the request before (column ``compactions``), these are the first cause."""
     w = Window.partitionBy("session").orderBy("turn")
     r = requests.select("*", *[F.lag(c).over(w).alias(f"p_{c}") for c in ("cache_read", "cache_write", "model", "version", "ts")])
     before = F.col("p_cache_read") + F.col("p_cache_write")
     gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("p_ts").cast("timestamp"))) / 6e7
     r = r.withColumns({"before": before, "gap_minutes": gap}).filter((F.col("before") >= floor) & (F.col("cache_read") < F.col("before") * 0.5))
-    cause = F.when(F.col("model") != F.col("p_model"), "model").when(F.col("version") != F.col("p_version"), "version").when(F.col("gap_minutes") > ttl_minutes, "ttl").otherwise("unknown")
+    compacted = F.col("compactions") > 0 if "compactions" in requests.columns else F.lit(False)
+    cause = F.when(compacted, "compaction").when(F.col("model") != F.col("p_model"), "model").when(F.col("version") != F.col("p_version"), "version").when(F.col("gap_minutes") > ttl_minutes, "ttl").otherwise("unknown")
     return r.select("session", "id", "turn", (F.col("before") - F.col("cache_read")).alias("lost"), (F.col("cache_read") < F.col("before") * hard).alias("hard"), cause.alias("cause"), "gap_minutes", "cache_write")
 
 
@@ -43,10 +45,10 @@ def model_switches(requests: DataFrame) -> DataFrame:
 
 def match_price(models: DataFrame, prices: DataFrame) -> DataFrame:
     """First pattern of the ordered price list that a model's name contains; else the default (ord -1). Only distinct names meet
-    the short price list."""
+    the price list; ``lineage.price_columns`` needs no join."""
     names = models.select("model").distinct()
-    hit = names.join(F.broadcast(prices.filter("ord >= 0")), F.col("model").contains(F.col("match")), "left").groupBy("model").agg(F.min_by(F.struct("match", "input_price"), "ord").alias("p"))
-    default = F.broadcast(prices.filter("ord < 0").select(F.col("input_price").alias("default_price")).limit(1))
+    hit = names.join(prices.filter("ord >= 0"), F.col("model").contains(F.col("match")), "left").groupBy("model").agg(F.min_by(F.struct("match", "input_price"), "ord").alias("p"))
+    default = prices.filter("ord < 0").select(F.col("input_price").alias("default_price")).limit(1)
     return hit.join(default).select("model", F.col("p.match").alias("match"), F.coalesce("p.input_price", "default_price").alias("input_price"))
 
 

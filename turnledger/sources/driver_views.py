@@ -62,6 +62,20 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("session"), (F.col("event_type") == "purchase").alias("usage"), (F.col("event_type") == "signup").alias("boundary"), parent.alias("parent"))
 
 
+def lineage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a lineage with usage: clicks, views and purchases are requests of models of that name, signups are compactions."""
+    e = table(spark, sf_dir, "events").withColumn("k", number())
+    own = e.select(F.col("event_id").alias("id"), F.col("event_type").isin("click", "view", "purchase").alias("usage"), F.col("event_type").alias("model"), (F.col("k") % 3).alias("version"), "ts", F.floor("value").alias("input"), F.floor(F.col("value") * 1000).alias("cache_read"), (F.col("k") * 500).alias("cache_write"), F.col("k").alias("output"), F.when(F.col("k") % 4 != 0, F.col("k") * 200).alias("cache_write_5m"), F.when(F.col("k") % 4 > 1, F.col("k") * 100).alias("cache_write_1h"))
+    return event_rows(spark, sf_dir).drop("usage").join(own, "id")
+
+
+def compacted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``requests`` without the signups, which are compactions here and count towards the next request."""
+    w = Window.partitionBy("session").orderBy("turn")
+    r = requests(spark, sf_dir).withColumn("seen", F.sum((F.col("model") == "signup").cast("bigint")).over(w)).filter("model <> 'signup'")
+    return r.withColumn("compactions", F.col("seen") - F.coalesce(F.lag("seen").over(w), F.lit(0))).drop("seen")
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of calls that come again: the language stands for a call's arguments."""
     w = Window.partitionBy("source").orderBy("doc_id")
