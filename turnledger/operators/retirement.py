@@ -19,6 +19,23 @@ def retirement_ceiling(obsolete: DataFrame) -> DataFrame:
     return obsolete.groupBy("session").agg(F.count("*").alias("objects"), F.sum(spare(F.col("turn"))).alias("resident"), F.sum(provable).alias("provable"), F.sum(F.coalesce(provable, F.lit(0)) + F.when(F.col("superseded_at").isNull(), spare(F.col("turn") + 1)).otherwise(0)).alias("with_tail"))
 
 
+def retirement_relief(obsolete: DataFrame, reads: DataFrame, include_tail: bool = False) -> DataFrame:
+    """What retiring each object at once would relieve, for each session: turns, objects, retired, gross (token-turns), percent_of_reads (of the
+    session's cache reads; reads: session, cache_read), peak_resident, peak_relief_percent and mean_relief (tokens a turn).
+
+    Objects go when they are superseded, abandoned tails only with ``include_tail``, from the turn after theirs. Both what is resident and what
+    could be gone only grow from turn to turn, so both peaks are at the last turn, and the mean is a sum over objects: no turn becomes a row.
+    """
+    turns, goes = F.col("last_turn"), F.col("superseded_at")
+    goes = F.coalesce(goes, F.col("turn") + 1) if include_tail else goes
+    size, gone = F.col("size"), goes.isNotNull()
+    by_then = F.when(gone, size * (turns - F.greatest(F.least(goes, turns), F.lit(1)) + 1)).otherwise(0)
+    g = obsolete.groupBy("session").agg(F.max("last_turn").alias("turns"), F.count("*").alias("objects"), F.sum(gone.cast("bigint")).alias("retired"), F.sum(F.when(gone, size * F.greatest(F.lit(0), turns - goes)).otherwise(0)).alias("gross"), F.sum("size").alias("peak_resident"), F.sum(F.when(gone, size).otherwise(0)).alias("peak_relief"), F.sum(by_then).alias("relief"))
+    r = g.join(reads.groupBy("session").agg(F.sum("cache_read").alias("cache_read")), "session", "left")
+    share = lambda a, b: F.round(100 * F.col(a) / F.nullif(F.col(b), F.lit(0)), 2)
+    return r.select("session", "turns", "objects", "retired", "gross", share("gross", "cache_read").alias("percent_of_reads"), "peak_resident", share("peak_relief", "peak_resident").alias("peak_relief_percent"), F.round(F.col("relief") / F.nullif(F.col("turns"), F.lit(0)), 4).alias("mean_relief"))
+
+
 def rewritten_suffix(o: DataFrame) -> DataFrame:
     """(session, batch, rewritten): what each batch makes the cache write again: tokens of objects after the first object that the
     batch removes, in the context by then and not removed by then. ``o``: session, pos, turn, size, batch (null: never removed).

@@ -55,6 +55,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/turnledger-{uuid.uuid4().hex}/{name}"
 
 
+def use_state_store(spark: SparkSession) -> None:
+    """Queries started from now on keep their state in RocksDB, which state with timers or a time to live needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it again: lineage ends there, and losing an executor loses nothing."""
     spark = df.sparkSession

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnledger.streaming.states import step_epoch_state  # noqa: F401 - one of these twins
 
-def live_ledger(requests: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Occupancy by model in tumbling windows of event time."""
-    return requests.withWatermark("ts", late).groupBy(F.window("ts", width), "model").agg(F.count("*").alias("requests"), F.sum(F.col("input") + F.col("cache_read") + F.col("cache_write")).alias("occupancy")).select(F.col("window.start").alias("start"), "model", "requests", "occupancy")
+
+def live_ledger(requests: DataFrame, width: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
+    """Occupancy by model in windows of event time, tumbling or, with ``slide``, overlapping: a request then counts in every window that covers it.
+    Rows later than ``late`` are left out. On a table, the batch twin: nothing is late."""
+    windows = F.window("ts", width, slide) if slide else F.window("ts", width)
+    g = requests.withWatermark("ts", late).groupBy(windows, "model").agg(F.count("*").alias("requests"), F.sum(F.col("input") + F.col("cache_read") + F.col("cache_write")).alias("occupancy"))
+    return g.select(F.col("window.start").alias("start"), "model", "requests", "occupancy")
 
 
 def live_sessions(requests: DataFrame, gap: str = "60 minutes", late: str = "2 hours") -> DataFrame:
@@ -44,25 +48,6 @@ def good_and_bad(raw: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     return parsed.filter(~bad).select("delivery.*").drop("broken_delivery"), parsed.filter(bad).select("value")
 
 
-def step_epoch_state(events: DataFrame) -> DataFrame:
-    """(session, seq, epoch, step) of a stream (session, seq, reset, moves): a reset starts a new epoch, a move is a step. State is two counters
-    for each session; a batch's events are taken in order of ``seq``. The batch twin is ``journal.step_epochs``."""
-
-    def advance(key, parts, state):
-        epoch, step = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
-        out = []
-        for seq, reset, moves in zip(rows["seq"], rows["reset"], rows["moves"]):
-            epoch, step = (epoch + 1, 0) if reset else (epoch, step)
-            step += int(moves)
-            out.append((key[0], int(seq), epoch, step))
-        state.update((epoch, step))
-        yield pd.DataFrame(out, columns=["session", "seq", "epoch", "step"])
-
-    kind = events.schema["session"].dataType.simpleString()
-    return events.select("session", "seq", "reset", "moves").groupBy("session").applyInPandasWithState(advance, f"session {kind}, seq long, epoch long, step long", "epoch long, step long", "append", "NoTimeout")
-
-
 def expire_content(accesses: DataFrame, ttl: str = "24 hours", late: str = "1 hour") -> DataFrame:
     """(handle, first_seen, expired_at, accesses) once nobody has asked for a handle for ``ttl``: a session window that has closed."""
     w = accesses.withWatermark("ts", late).groupBy(F.session_window("ts", ttl), "handle").agg(F.count("*").alias("accesses"))
