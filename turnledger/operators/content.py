@@ -67,8 +67,8 @@ def recovered(asked: DataFrame, contents: DataFrame, now: int, ttl_seconds: int
     h = asked.select("handle", F.regexp_extract("handle", f"^(?:{'|'.join(SCHEMES)})(.*)$", 1).alias("hash"))
     c = contents.select("hash", "created_at", "sample", "truncated")
     age = F.lit(now) - F.col("created_at")
-    status = F.when(F.col("hash") == "", "unrecognized").when(F.col("created_at").isNull(), "unknown").when(age > ttl_seconds, "expired").otherwise("found")
-    return h.join(c, "hash", "left").withColumn("status", F.coalesce(status, F.lit("unrecognized"))).select("handle", "status", age.alias("age_seconds"), F.coalesce((F.col("status") == "found") & F.col("truncated"), F.lit(False)).alias("bounded"), F.when(F.col("status") == "found", F.col("sample")).alias("sample"))
+    status = F.when(F.coalesce("hash", F.lit("")) == "", "unrecognized").when(F.col("created_at").isNull(), "unknown").when(age > ttl_seconds, "expired").otherwise("found")
+    return h.join(c, "hash", "left").withColumn("status", status).select("handle", "status", age.alias("age_seconds"), F.coalesce((F.col("status") == "found") & F.col("truncated"), F.lit(False)).alias("bounded"), F.when(F.col("status") == "found", F.col("sample")).alias("sample"))
 
 
 def reduction_decisions(outputs: DataFrame, reduced: DataFrame, protected: DataFrame, floor: int = FLOOR, most_bytes: int = MOST_BYTES) -> DataFrame:
