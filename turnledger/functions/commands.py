@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnledger.session import stored
+
 #: What the leading segment of a command begins with, by class.
 DUMP = r"^(cat|head|tail|less|more|bat)\b|^sed\s+(-n\s+)?['\"]?[0-9,]+p|python3?\s+-c\s+.*open\("
 TEST = r"^(pytest|python3?\s+-m\s+pytest|npm\s+(run\s+)?test|npx\s+jest|jest|vitest|go\s+test|cargo\s+test|ctest|gradle\w*\s+test|mvn\s+test|rspec|phpunit|tox)\b"
@@ -128,7 +130,16 @@ def command_effects(commands: DataFrame) -> DataFrame:
     a certain ``cd``, and nothing is in the background. A certain ``cd`` moves later relative paths. A read is attributable if no
     execution, unknown or uncertain effect shares its command. Words are split at quotes and spaces only, so commands with
     substitutions, loops or here-documents, or unmatched quotes, are unknown as a whole: an odd command never invents a read.
+
+    Commands come again and again, so each different one is worked out once and its effects are joined back.
     """
+    texts = stored(commands.filter("command is not null").select("command").distinct().withColumn("text_id", F.monotonically_increasing_id()), "commands")
+    found = effects_by_text(texts.withColumnRenamed("text_id", "id")).withColumnRenamed("id", "text_id")
+    return commands.select("id", "command").join(texts, "command").join(found, "text_id").drop("text_id", "command")
+
+
+def effects_by_text(commands: DataFrame) -> DataFrame:
+    """``command_effects`` of commands that all differ."""
     odd = F.col("command").rlike(COMPLEX) | F.regexp_replace("command", r"'[^']*'|\"[^\"]*\"", "").rlike(r"['\"]")
     plain = statements(commands.filter(~odd))
     w = Window.partitionBy("id").orderBy("idx")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnledger.functions import columns as C
 from turnledger.operators import graph
 from turnledger.session import stored
 
@@ -64,6 +65,14 @@ def working_set(mentions: DataFrame, symbols: DataFrame, most: int = 24) -> Data
     return found.filter(F.col("rank") <= most).select("id", "token", "symbol")
 
 
+def working_sets(tasks: DataFrame, touched: DataFrame, symbols: DataFrame, most: int = 24) -> DataFrame:
+    """(id, kind, anchor): where each task (id, text) works: the paths it has touched (touched: id, path), and the symbols that its text surely
+    names. Paths are compared as they are normalized; a path touched often is one anchor."""
+    paths = touched.filter("path is not null and path <> ''").select("id", F.lit("path").alias("kind"), C.norm_path(F.col("path")).alias("anchor")).distinct()
+    names = working_set(tasks, symbols, most).select("id", F.lit("symbol").alias("kind"), F.col("symbol").cast("string").alias("anchor")).distinct()
+    return paths.unionByName(names)
+
+
 def level_tokens(symbols: DataFrame) -> DataFrame:
     """(id, level, cost, value): what each level of detail of a symbol (id, signature, start_line, end_line) costs; of levels of equal cost
     only the most valuable."""
@@ -91,6 +100,7 @@ def dependency_candidates(roots: DataFrame, edges: DataFrame) -> DataFrame:
     usable = edges.filter(F.col("match").isin(*HARD, *SOFT) & F.col("type").isin(*WEIGHTS)).select("src", "dst", (F.col("confidence") * weight * share).alias("worth")).groupBy("src", "dst").agg(F.max("worth").alias("worth"))
     usable = stored(usable, "usable")
     first = roots.join(usable, F.col("root") == F.col("src")).filter("dst <> root").select("root", F.col("dst").alias("node"), F.lit(1).alias("distance"), F.col("dst").alias("branch"), F.col("worth").alias("utility"))
+    first = stored(first, "first_steps")
     second = first.select("root", "branch").join(usable, F.col("branch") == F.col("src")).filter("dst <> root").select("root", F.col("dst").alias("node"), F.lit(2).alias("distance"), "branch", (F.col("worth") * DECAY).alias("utility"))
     best = first.unionByName(second).groupBy("root", "node").agg(F.min_by(F.struct("distance", "branch", "utility"), F.struct(-F.col("utility"), F.col("distance"), F.col("branch"))).alias("b"))
     return best.select("root", "node", "b.distance", "b.branch", "b.utility")
@@ -100,13 +110,23 @@ def select_bundle(candidates: DataFrame, levels: DataFrame, budget: int) -> Data
     """(root, node, level, spent): for each root its own implementation, then steps of detail of its candidates by value for cost while
     the running cost fits. Siblings of a branch count less by their rank in it; a step never precedes the cheaper ones of its symbol, so
     a larger budget holds all that a smaller one does. Roots that alone exceed the budget have no bundle."""
-    whole = levels.groupBy("id").agg(F.max("cost").alias("root_cost"))
-    roots = candidates.select("root").distinct().join(whole, F.col("root") == F.col("id")).filter(F.col("root_cost") <= budget).select("root", "root_cost")
+    # a symbol's ladder travels as one short array, so candidates are dealt by root once and all ranks are taken there
+    ladders = levels.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("cost", "level", "value"))).alias("ladder"), F.max("cost").alias("root_cost"))
+    ladders = stored(ladders, "ladders")
+    least = ladders.agg(F.min(F.col("ladder")[0]["cost"])).first()[0] or 1
+    candidates = stored(candidates.select("root", "node", "branch", "utility"), "candidates")
+    roots = candidates.select("root").distinct().join(ladders, F.col("root") == F.col("id")).filter(F.col("root_cost") <= budget).select("root", "root_cost")
     rank = F.row_number().over(Window.partitionBy("root", "branch").orderBy(F.desc("utility"), "node"))
-    c = candidates.join(roots, "root").withColumn("worth", F.col("utility") * F.pow(F.lit(DECAY), rank - 1)).join(levels, F.col("node") == F.col("id"))
-    ladder = Window.partitionBy("root", "node").orderBy("cost")
-    c = c.withColumns({"step_cost": F.col("cost") - F.coalesce(F.lag("cost").over(ladder), F.lit(0)), "step_value": F.col("worth") * (F.col("value") - F.coalesce(F.lag("value").over(ladder), F.lit(0.0)))})
-    c = c.withColumn("gain", F.round(F.min(F.col("step_value") / F.col("step_cost")).over(ladder), 12))
+    c = candidates.join(roots, "root").join(ladders.select(F.col("id").alias("node"), "ladder"), "node", "left").repartition("root")
+    c = c.withColumn("worth", F.col("utility") * F.pow(F.lit(DECAY), rank - 1)).filter("ladder is not null")
+    before = lambda i, field, none: F.when(i > 0, F.col("ladder")[F.greatest(i - 1, F.lit(0))][field]).otherwise(F.lit(none))
+    steps = F.transform("ladder", lambda s, i: F.struct(s["cost"].alias("cost"), s["level"].alias("level"), (s["cost"] - before(i, "cost", 0)).alias("step_cost"), (F.col("worth") * (s["value"] - before(i, "value", 0.0))).alias("step_value")))
+    c = c.select("root", "node", "root_cost", steps.alias("steps"))
+    gain = lambda i: F.round(F.array_min(F.transform(F.slice("steps", F.lit(1), i + 1), lambda s: s["step_value"] / s["step_cost"])), 12)
+    c = c.withColumn("steps", F.transform("steps", lambda s, i: F.struct(s["cost"].alias("cost"), s["level"].alias("level"), s["step_cost"].alias("step_cost"), gain(i).alias("gain"))))
+    # gains fall along a ladder and every first step costs at least ``least``: symbols that rank beyond what the budget holds of first steps cannot fit
+    first = F.row_number().over(Window.partitionBy("root").orderBy(F.desc(F.col("steps")[0]["gain"]), "node"))
+    c = c.withColumn("first", first).filter(F.col("first") <= F.floor((budget - F.col("root_cost")) / least) + 1).select("root", "node", "root_cost", F.inline("steps"))
     order = Window.partitionBy("root").orderBy(F.desc("gain"), "node", "cost").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("spent", F.col("root_cost") + F.sum("step_cost").over(order)).filter(F.col("spent") <= budget)
     chosen = c.groupBy("root", "node").agg(F.max_by("level", "cost").alias("level"), F.max("spent").alias("spent"))

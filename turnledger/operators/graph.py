@@ -76,9 +76,13 @@ def index_report(edges: DataFrame) -> DataFrame:
 
 
 def pareto_front(points: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """Points that no other beats on one axis without losing on the other. One aggregate per x and a running maximum, so only
-    distinct x values are ordered."""
+    """Points that no other beats on one axis without losing on the other. One aggregate for each x; ranges of x and the greatest y of the
+    ranges above give the running maximum, so no task sorts all distinct x."""
     best = points.groupBy(x).agg(F.max(y).alias("best"))
-    w = Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("above", F.max("best").over(w)).filter("above is null or best > above").select(x, F.col("best").alias(y))
+    ranged = stored(best.repartitionByRange(F.desc(x)).withColumn("part", F.spark_partition_id()), "ranges")
+    tops = ranged.groupBy("part").agg(F.max("best").alias("top"))
+    tops = tops.select("part", F.max("top").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("over"))  # one row for each range
+    inside = F.max("best").over(Window.partitionBy("part").orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
+    above = F.greatest(F.col("inside"), F.col("over"))
+    front = ranged.withColumn("inside", inside).join(F.broadcast(tops), "part").filter(above.isNull() | (F.col("best") > above)).select(x, F.col("best").alias(y))
     return points.join(front, [x, y]).select(key, x, y)

@@ -77,8 +77,9 @@ def run_metrics(events: DataFrame, requests: DataFrame) -> DataFrame:
     usage = requests.groupBy("session").agg(F.sum(F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_write")).alias("total"), F.count("*").alias("turns"))
     again = events.filter("kind = 'read' and path is not null").groupBy("session", "representation", "path").agg((F.count("*") - 1).alias("again"))
     g = again.groupBy("session").agg(F.sum(F.when(F.col("representation") == "file", F.col("again")).otherwise(0)).alias("rereads"), F.sum(F.when(F.col("representation") == "search", F.col("again")).otherwise(0)).alias("repeat_searches"))
+    asked = events.groupBy("session").agg(count_if(F.col("kind") == "expand").alias("expansions"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return usage.join(g, "session", "left").select("session", "total", "turns", zero("rereads"), zero("repeat_searches"))
+    return usage.join(g, "session", "left").join(asked, "session", "left").select("session", "total", "turns", zero("rereads"), zero("repeat_searches"), zero("expansions"))
 
 
 def engagement(events: DataFrame, few_reads: int = 1) -> DataFrame:

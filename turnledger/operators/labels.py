@@ -2,30 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def classify_reads(events: DataFrame, windows: tuple[int, ...] = (2,)) -> DataFrame:
+#: What a read shows that is no file's own content.
+NO_FILE = ("search", "path_listing", "derived")
+
+
+def to_events(rows: DataFrame) -> DataFrame:
+    """The journal rows that labels rest on: reads that succeeded and edits, both with a path. A failed edit may still have changed its file."""
+    return rows.filter("path is not null and (kind = 'edit' or (kind = 'read' and success))")
+
+
+def classify_reads(events: DataFrame, windows: tuple[int, ...] = (2,), config: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row for each successful read and window: seq, stream, path, step, tokens, edit_seq, window, class, reason, distance.
 
-    The first later and last earlier edit of the same stream and path do not depend on the window, so one shuffle serves all.
+    A read that shows no file's content, or raced with a change, is unknown. Without a later edit of its path it is verification within the
+    window after an edit (unknown if that edit is unverified), else configuration where ``config`` says so of the path, else exploration. Before
+    an edit it is a precondition if it is the latest one whose edit is verified, not of the same batch, of the same version and within the
+    window; else unknown. The first later and last earlier edit do not depend on the window, so one shuffle serves all.
     """
-    e = events.filter("success and path is not null")
+    e = to_events(events)
     w = Window.partitionBy("stream", "path").orderBy("seq")
     edit = F.when(F.col("kind") == "edit", F.struct("seq", "step", "version", "status", "batch"))
     e = e.withColumns({"later": F.first(edit, True).over(w.rowsBetween(1, Window.unboundedFollowing)), "earlier": F.last(edit, True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
     r = e.filter("kind = 'read'").withColumn("window", F.explode(F.array(*[F.lit(x) for x in windows]))).withColumn("distance", F.col("later.step") - F.col("step"))
+    last, since = F.col("later").isNull(), F.col("earlier").isNotNull() & (F.abs(F.col("step") - F.col("earlier.step")) <= F.col("window"))
     reason = (
-        F.when(F.col("later").isNull() & F.col("earlier").isNotNull() & (F.col("earlier.status") == "unverified"), "prior_edit_unverified").when(F.col("later").isNull() & F.col("earlier").isNotNull(), "read_after_edit")
-        .when(F.col("later").isNull(), "never_edited").when(F.col("representation") == "search", "search_result").when(F.col("status") == "raced", "raced").when(F.col("batch") == F.col("later.batch"), "same_batch")
-        .when(F.col("status") == "unverified", "unverified_version").when(F.col("version") != F.col("later.version"), "version_conflict").when(F.col("distance") > F.col("window"), "outside_window").otherwise("candidate")
+        F.when(F.col("representation").isin(*NO_FILE), "search_result").when(F.col("status") == "raced", "raced")
+        .when(last & since & (F.col("earlier.status") == "unverified"), "prior_edit_unverified").when(last & since, "read_after_edit").when(last & (config(F.col("path")) if config else F.lit(False)), "config_path").when(last, "never_edited")
+        .when(F.col("later.status") == "unverified", "unverified_version").when(F.col("batch") == F.col("later.batch"), "same_batch").when(F.col("version") != F.col("later.version"), "version_conflict").when(F.abs("distance") > F.col("window"), "outside_window").otherwise("candidate")
     )
     r = r.withColumn("reason", reason).withColumn("candidate", F.col("reason") == "candidate")
     best = Window.partitionBy("stream", "path", "window", F.col("later.seq"), "candidate").orderBy(F.desc("seq"))
     newest = F.row_number().over(best) == 1
     r = r.withColumn("reason", F.when(~F.col("candidate"), F.col("reason")).when(newest, "latest_eligible_read").otherwise("superseded_by_later_read"))
-    kind = F.when(F.col("reason") == "latest_eligible_read", "precondition").when(F.col("reason") == "read_after_edit", "verification").when(F.col("reason") == "never_edited", "exploration").otherwise("unknown")
+    kinds = {"latest_eligible_read": "precondition", "read_after_edit": "verification", "never_edited": "exploration", "config_path": "config"}
+    kind = F.coalesce(*[F.when(F.col("reason") == k, v) for k, v in kinds.items()], F.lit("unknown"))
     return r.select("seq", "session", "stream", "path", "step", "tokens", F.col("later.seq").alias("edit_seq"), "window", kind.alias("class"), "reason", "distance")
 
 

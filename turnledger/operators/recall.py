@@ -64,3 +64,32 @@ def compare_ranking(outputs: DataFrame, scores: DataFrame, budget: int, diagnost
     ranked = reduction.kept_matches(outputs, budget, diagnostic, scores).select("id", "pos", "path")
     only = lambda a, b, name: a.join(b, ["id", "pos"], "left_anti").withColumn("change", F.lit(name))
     return only(ranked, plain, "promoted").unionByName(only(plain, ranked, "demoted"))
+
+
+def ranking_recall(outputs: DataFrame, touches: DataFrame, scores: DataFrame, budget: int, diagnostic: str = reduction.DIAGNOSTIC) -> DataFrame:
+    """(id, path, lines_plain, lines_ranked, rank_plain, rank_ranked, change) of each matched path that is touched afterwards (touches: id, path):
+    how many of its lines a reduction by place and one by score keep, the place of its first kept line among all kept ones in order of choice,
+    and whether the score promoted or demoted it (same: both or neither keep a line; missed: neither does)."""
+    lines = compaction.lines(outputs).filter("trim(line) <> ''").filter(~F.col("line").rlike(diagnostic)).select("id", reduction.matched_path(F.col("line")).alias("path")).distinct()
+    needed = lines.join(touches.select("id", "path").distinct(), ["id", "path"], "left_semi")
+
+    def kept(name: str, by: DataFrame | None) -> DataFrame:
+        rows = reduction.kept_matches(outputs, budget, diagnostic, by)
+        rows = rows.withColumn("score", F.lit(0.0)) if by is None else rows.join(by.select("path", "score"), "path", "left").fillna(0.0, ["score"])
+        place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "pos")) - 1
+        return rows.withColumn("place", place).groupBy("id", "path").agg(F.count("*").alias(f"lines_{name}"), F.min("place").alias(f"rank_{name}"))
+
+    r = needed.join(kept("plain", None), ["id", "path"], "left").join(kept("ranked", scores), ["id", "path"], "left").fillna(0, ["lines_plain", "lines_ranked"])
+    plain, ranked = F.col("lines_plain") > 0, F.col("lines_ranked") > 0
+    change = F.when(ranked & ~plain, "promoted").when(plain & ~ranked, "demoted").when(plain, "same").otherwise("missed")
+    return r.select("id", "path", "lines_plain", "lines_ranked", "rank_plain", "rank_ranked", change.alias("change"))
+
+
+def ranking_summary(found: DataFrame) -> DataFrame:
+    """One row over ``ranking_recall``: needed paths, those with a line under either reduction, promoted, demoted and missed ones, both recalls, and
+    the mean gain of rank where both keep one (to three places)."""
+    n = lambda c: F.sum(F.when(F.col("change") == c, 1).otherwise(0)).alias(c)
+    some = lambda c: F.sum(F.when(F.col(f"lines_{c}") > 0, 1).otherwise(0)).alias(f"held_{c}")
+    s = found.agg(F.count("*").alias("needed"), some("plain"), some("ranked"), n("promoted"), n("demoted"), n("missed"), F.sum(F.col("rank_plain") - F.col("rank_ranked")).alias("gain"), F.count(F.col("rank_plain") + F.col("rank_ranked")).alias("both"))
+    rate = lambda a: F.round(F.col(a) / F.nullif("needed", F.lit(0)), 4)
+    return s.select("needed", "held_plain", "held_ranked", "promoted", "demoted", "missed", rate("held_plain").alias("recall_plain"), rate("held_ranked").alias("recall_ranked"), F.round(F.col("gain") / F.nullif("both", F.lit(0)), 3).alias("mean_rank_gain"))

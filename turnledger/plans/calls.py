@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnledger.functions import columns as C
 from turnledger.functions import commands as S
-from turnledger.operators import compaction, journal, ledger, reduction, retirement, runs, transcripts
+from turnledger.operators import compaction, journal, labels, ledger, reduction, retirement, runs, transcripts
 from turnledger.plans import registry as R
 from turnledger.plans.registry import LABELS, W, big
 from turnledger.sources import driver_views as V
@@ -101,8 +101,13 @@ add("continuation_report", lambda s, d: transcripts.continuation_report(blocks(s
     select l.session, n_lines as lines, (select count(*) from u where u.session = l.session) as calls, (select count(*) from u where u.session = l.session and tool = 'Edit') as edits, (select count(*) from u join q on u.session = q.session and u.path = q.path where u.session = l.session and tool = 'Read') as rereads from l""")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 add("table_counts", lambda s, d: journal.table_counts({t: V.table(s, d, t) for t in TABLES}), " union all ".join(f"select '{t}' as name, count(*) as n_rows from {t}" for t in TABLES))
-add("run_metrics", lambda s, d: journal.run_metrics(V.tool_events(s, d), V.requests(s, d)), f"""with {W["tool_events"]}, {W["requests"]}, u as (select session, {big("sum(input + output + cache_read + cache_write)")} as total, count(*) as turns from requests group by 1), a as (select session, representation, count(*) - count(distinct path) as again from tool_events where kind = 'read' and path is not null group by all)
-    select session, total, turns, {big("coalesce((select sum(again) from a where a.session = u.session and representation = 'file'), 0)")} as rereads, {big("coalesce((select sum(again) from a where a.session = u.session and representation = 'search'), 0)")} as repeat_searches from u""")
+def expanding(s: SparkSession, d: str) -> DataFrame:
+    """Tool events of which some expand a handle."""
+    return V.tool_events(s, d).withColumn("kind", F.when(F.col("seq") % 10 == 3, "expand").otherwise(F.col("kind")))
+
+
+add("run_metrics", lambda s, d: journal.run_metrics(expanding(s, d), V.requests(s, d)), f"""with {W["tool_events"].replace("tool_events as (", "tool_events_ as (", 1)}, tool_events as (select * replace (case when seq % 10 = 3 then 'expand' else kind end as kind) from tool_events_), {W["requests"]}, u as (select session, {big("sum(input + output + cache_read + cache_write)")} as total, count(*) as turns from requests group by 1), a as (select session, representation, count(*) - count(distinct path) as again from tool_events where kind = 'read' and path is not null group by all)
+    select session, total, turns, {big("coalesce((select sum(again) from a where a.session = u.session and representation = 'file'), 0)")} as rereads, {big("coalesce((select sum(again) from a where a.session = u.session and representation = 'search'), 0)")} as repeat_searches, (select count(*) from tool_events t where t.session = u.session and kind = 'expand') as expansions from u""")
 add("engagement", lambda s, d: journal.engagement(V.tool_events(s, d)), f"""with {W["tool_events"]}, g as (select session, count(*) filter (kind = 'read' and success) as reads, count(*) filter (kind = 'edit' and success) as edits from tool_events group by 1)
     select count(*) as runs, count(*) filter (edits = 0) as empty_runs, count(*) filter (edits = 0 and reads <= 1) as degenerate, count(*) filter (edits > 0) as engaged, round(quantile_cont(reads, 0.5), 4) as median_reads from g""")
 add("search_heavy", lambda s, d: journal.search_heavy(V.tool_events(s, d)), f"with {W['tool_events']} select session, {big('sum(tokens)')} as search_tokens from tool_events where representation = 'search' group by 1 having sum(tokens) > 0 order by 2 desc, 1 limit 4")
@@ -148,3 +153,11 @@ add("reduction_by_reducer", by_reducer, f"""with {W["tool_outputs"]}, {R.LINES},
     q as (select o.*, case reducer when 'grep' then gr.small when 'logs' then lg.small else ge.small end as small from o left join gr using (id) left join lg on lg.id = o.id left join ge on ge.id = o.id),
     z as (select *, case when native then 'native' when raw < 400 then 'below_floor' when small < raw then 'reduced' else 'not_smaller' end as reason from q)
     select reducer, reason, count(*) as outputs, {big("sum(raw)")} as raw_tokens, {big("sum(case when reason = 'reduced' then small else raw end)")} as reduced_tokens from z group by all""")
+
+
+def configured(s: SparkSession, d: str) -> DataFrame:
+    """Labels where one path counts as configuration."""
+    return labels.label_distribution(labels.classify_reads(V.tool_events(s, d), R.WINDOWS, lambda path: path == "f3"))
+
+
+add("config_reads", configured, f"""with {R.labels_sql("path = 'f3'")} select "window", class, reason, count(*) as reads, {big("sum(tokens)")} as tokens from labels_ group by all""")

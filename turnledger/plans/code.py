@@ -58,6 +58,16 @@ add("working_set", lambda s, d: bundles.working_set(prompts(s, d), named(s, d)),
     select w.id, token, symbol from w join u on token = name""")
 
 
+def touches(s: SparkSession, d: str) -> DataFrame:
+    """Paths that tasks have touched, some of them written in another way."""
+    path = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "./src/").otherwise("src/"), (F.col("l_partkey") % 20).cast("string"), F.lit(".py"))
+    return V.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linenumber") != 5, path).alias("path"))
+
+
+add("working_sets", lambda s, d: bundles.working_sets(prompts(s, d), touches(s, d), named(s, d)), f"""with {NAMED}, u as (select name, min(id) as symbol from sym group by name having count(*) = 1), w as (select o_orderkey as id, unnest(list_distinct(['Sym' || o_custkey, 'dup' || (o_orderkey % 50), 'Sym' || (o_orderkey % 200)])) as token from orders)
+    select distinct w.id, 'symbol' as kind, cast(symbol as varchar) as anchor from w join u on token = name union all select distinct l_orderkey, 'path', 'src/' || (l_partkey % 20) || '.py' from lineitem where l_linenumber <> 5""")
+
+
 def sized(s: SparkSession, d: str) -> DataFrame:
     return V.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("("), "p_type", F.lit(")")).alias("signature"), F.lit(1).alias("start_line"), F.col("p_size").alias("end_line"))
 

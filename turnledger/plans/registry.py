@@ -97,16 +97,23 @@ BREAKS = f"""{W["requests"]}, b0 as (select *, lag(cache_read) over w + lag(cach
     from requests window w as (partition by session order by turn)),
     breaks as (select session, id, turn, before - cache_read as lost, cache_read < before * 0.15 as hard, case when model <> p_model then 'model' when version <> p_version then 'version' when gap_minutes > {TTL} then 'ttl' else 'unknown' end as cause, gap_minutes, cache_write
     from b0 where before >= 20000 and cache_read < before * 0.5)"""
-LABELS = f"""{W["tool_events"]}, e1 as (select * from tool_events where success and path is not null),
+
+
+def labels_sql(config: str = "false") -> str:
+    """Labels of reads; ``config``: whether a path is configuration."""
+    return f"""{W["tool_events"]}, e1 as (select * from tool_events where path is not null and (kind = 'edit' or success)),
     e2 as (select *, lead(case when kind = 'edit' then seq end ignore nulls) over w as l_seq, lead(case when kind = 'edit' then step end ignore nulls) over w as l_step,
-        lead(case when kind = 'edit' then coalesce(version, '') end ignore nulls) over w as l_version, lead(case when kind = 'edit' then coalesce(batch, -1) end ignore nulls) over w as l_batch,
-        lag(case when kind = 'edit' then seq end ignore nulls) over w as e_seq, lag(case when kind = 'edit' then status end ignore nulls) over w as e_status from e1 window w as (partition by stream, path order by seq)),
+        lead(case when kind = 'edit' then coalesce(version, '') end ignore nulls) over w as l_version, lead(case when kind = 'edit' then coalesce(batch, -1) end ignore nulls) over w as l_batch, lead(case when kind = 'edit' then status end ignore nulls) over w as l_status,
+        lag(case when kind = 'edit' then seq end ignore nulls) over w as e_seq, lag(case when kind = 'edit' then status end ignore nulls) over w as e_status, lag(case when kind = 'edit' then step end ignore nulls) over w as e_step from e1 window w as (partition by stream, path order by seq)),
     e3 as (select e2.*, x.w as "window", l_step - step as distance from e2, (values {", ".join(f"({w})" for w in WINDOWS)}) x(w) where kind = 'read'),
-    e4 as (select *, case when l_seq is null and e_seq is not null and e_status = 'unverified' then 'prior_edit_unverified' when l_seq is null and e_seq is not null then 'read_after_edit' when l_seq is null then 'never_edited'
-        when representation = 'search' then 'search_result' when status = 'raced' then 'raced' when batch = l_batch then 'same_batch' when status = 'unverified' then 'unverified_version'
-        when version <> nullif(l_version, '') then 'version_conflict' when distance > "window" then 'outside_window' else 'candidate' end as r0 from e3),
+    e4 as (select *, case when representation = 'search' then 'search_result' when status = 'raced' then 'raced' when l_seq is null and abs(step - e_step) <= "window" and e_status = 'unverified' then 'prior_edit_unverified'
+        when l_seq is null and abs(step - e_step) <= "window" then 'read_after_edit' when l_seq is null and {config} then 'config_path' when l_seq is null then 'never_edited' when l_status = 'unverified' then 'unverified_version' when batch = l_batch then 'same_batch'
+        when version <> nullif(l_version, '') then 'version_conflict' when abs(distance) > "window" then 'outside_window' else 'candidate' end as r0 from e3),
     e5 as (select *, case when r0 <> 'candidate' then r0 when row_number() over (partition by stream, path, "window", l_seq, r0 = 'candidate' order by seq desc) = 1 then 'latest_eligible_read' else 'superseded_by_later_read' end as reason from e4),
-    labels_ as (select seq, session, stream, path, step, tokens, l_seq as edit_seq, "window", case reason when 'latest_eligible_read' then 'precondition' when 'read_after_edit' then 'verification' when 'never_edited' then 'exploration' else 'unknown' end as class, reason, distance from e5)"""
+    labels_ as (select seq, session, stream, path, step, tokens, l_seq as edit_seq, "window", case reason when 'latest_eligible_read' then 'precondition' when 'read_after_edit' then 'verification' when 'never_edited' then 'exploration' when 'config_path' then 'config' else 'unknown' end as class, reason, distance from e5)"""
+
+
+LABELS = labels_sql()
 HORIZON = f"""{W["context_objects"]}, bounds as (select session, turn from context_objects where turn % 10 = 0), lastt as (select session, max(turn) as last_turn from context_objects group by session),
     horizons as (select o.*, coalesce((select min(b.turn) from bounds b where b.session = o.session and b.turn > o.turn) - 1, l.last_turn) as exit_turn from context_objects o join lastt l using (session))"""
 OBSOLETE = f"""{W["context_objects"]}, obsolete as (select *, lead(turn) over (partition by session, key order by pos) as superseded_at, max(turn) over (partition by session) as last_turn from context_objects)"""

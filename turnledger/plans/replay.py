@@ -116,6 +116,21 @@ add("compare_ranking", lambda s, d: recall.compare_ranking(V.tool_outputs(s, d),
     c as (select id, pos, spent <= 256 - spoken as a, spent_2 <= 256 - spoken as b from x join spoken using (id) where not diagnostic) select id, pos, case when b then 'promoted' else 'demoted' end as change from c where a <> b""")
 
 
+RANKED = f"""{W["tool_outputs"]}, {LINES}, {ROWS}, t as (select distinct id, path from r where pos % 5 = 3), x as (select *, sum(length(line) + 1) over (partition by id, diagnostic order by length(path) % 7, pos) as spent_2 from k), c as (select x.id, x.path, pos, spent <= 256 - spoken as a, spent_2 <= 256 - spoken as b from x join spoken on spoken.id = x.id where not diagnostic),
+    p as (select *, case when a then count(*) filter (a) over (partition by id order by pos) - 1 end as place_a, case when b then count(*) filter (b) over (partition by id order by length(path) % 7, pos) - 1 end as place_b from c),
+    found as (select p.id, p.path, count(*) filter (a) as lines_plain, count(*) filter (b) as lines_ranked, min(place_a) as rank_plain, min(place_b) as rank_ranked from p join t on p.id = t.id and p.path = t.path group by all),
+    ranked as (select *, case when lines_ranked > 0 and lines_plain = 0 then 'promoted' when lines_plain > 0 and lines_ranked = 0 then 'demoted' when lines_plain > 0 then 'same' else 'missed' end as change from found)"""
+
+
+def ranking(s: SparkSession, d: str) -> DataFrame:
+    return recall.ranking_recall(V.tool_outputs(s, d), later_paths(s, d), path_ranks(s, d), 64, TOKEN)
+
+
+add("ranking_recall", lambda s, d: ranking(s, d).withColumn("path", F.sha1("path")), f"with {RANKED} select * replace (sha1(path) as path) from ranked")
+add("ranking_summary", lambda s, d: recall.ranking_summary(ranking(s, d)), f"""with {RANKED} select count(*) as needed, count(*) filter (lines_plain > 0) as held_plain, count(*) filter (lines_ranked > 0) as held_ranked, count(*) filter (change = 'promoted') as promoted, count(*) filter (change = 'demoted') as demoted, count(*) filter (change = 'missed') as missed,
+    round(count(*) filter (lines_plain > 0) / nullif(count(*), 0), 4) as recall_plain, round(count(*) filter (lines_ranked > 0) / nullif(count(*), 0), 4) as recall_ranked, round(sum(rank_plain - rank_ranked) / nullif(count(rank_plain + rank_ranked), 0), 3) as mean_rank_gain from ranked""")
+
+
 def shown(s: SparkSession, d: str) -> DataFrame:
     """Outputs whose secrets stand on lines of their own, as compaction.wrapped shows them."""
     outputs = V.tool_outputs(s, d).withColumn("text", F.regexp_replace("text", "token = ", "\ntoken = "))
