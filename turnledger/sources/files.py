@@ -86,4 +86,4 @@ def write_predictions(runs: DataFrame, path: str) -> DataFrame:
     """Writes one JSON object for each run (task_id, patch, arm, stratum, termination_reason) and gives the index (task_id, stratum, arm,
     termination_reason, empty_patch, patch_sha256)."""
     runs.select(F.col("task_id").alias("instance_id"), F.col("patch").alias("model_patch"), F.col("arm").alias("model_name_or_path")).write.mode("overwrite").json(path)
-    return runs.select("task_id", "stratum", "arm", "termination_reason", (F.trim("patch") == "").alias("empty_patch"), F.sha2("patch", 256).alias("patch_sha256"))
+    return runs.select("task_id", "stratum", "arm", "termination_reason", (F.btrim("patch", F.lit(" \t\n\r\x0b\x0c")) == "").alias("empty_patch"), F.sha2("patch", 256).alias("patch_sha256"))

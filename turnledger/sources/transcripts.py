@@ -12,9 +12,9 @@ USAGE = "struct<input_tokens:bigint,cache_read_input_tokens:bigint,cache_creatio
 LINE = f"type string, sessionId string, uuid string, parentUuid string, requestId string, timestamp string, version string, subtype string, message struct<role:string,model:string,content:string,usage:{USAGE}>"
 
 
-def read_transcripts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row for each well-formed line: file, pos, and the line's fields. A file is one task, so many files run in parallel."""
-    raw = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "raw"))
+def read_transcripts(spark: SparkSession, paths: str | list[str], names: str = "*.jsonl") -> DataFrame:
+    """One row for each well-formed line of the files so named: file, pos, and the line's fields. A file is one task, so many files run in parallel."""
+    raw = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "raw"))
     parsed = raw.filter("trim(raw) <> ''").withColumn("line", F.from_json("raw", LINE, {"mode": "PERMISSIVE"}))
     return parsed.filter("line.type is not null").select("file", "pos", "line.*")
 
