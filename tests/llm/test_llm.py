@@ -9,6 +9,7 @@ from zlib import crc32
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from turnledger.llm import chat, cotraining, decontaminate, exact_dedup, lengths, line_dedup, near_dedup, packing, queries, secrets, tokens, toxicity
 from turnledger.session import ship_package
@@ -95,6 +96,28 @@ def test_line_dedup_with_text_ids(spark):
     assert got[8] == ("id008", 3, 1, "another line 8\nshort")
 
 
+def test_text_ids_with_one_beginning_fill_all_batches(spark):
+    ids = spark.range(2000).select(F.concat(F.lit("https://example.org/page/"), F.col("id").cast("string")).alias("place")).repartition(5)
+    bounds = line_dedup.batch_bounds(ids, 8)
+    assert len(bounds) == 7
+    at = sorted(r["place"] for r in ids.collect())
+    sizes = np.histogram([sum(b < x for b in bounds) for x in at], bins=range(9))[0]
+    assert sizes.min() > 100 and sizes.max() < 500
+
+
+def test_hot_lines_stay_where_they_are(spark, monkeypatch):
+    """Lines that many documents hold are joined without a shuffle of them, and the result is that of brute force."""
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 20)
+    monkeypatch.setattr(line_dedup.beside, "__defaults__", (20,))
+    texts = [(i, f"one line in every document\nrare line {i % 50}\nhalf of them have this\nshort" if i % 2 else f"one line in every document\nonly here {i}") for i in range(120)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    assert rows(line_dedup.dedup_lines(table, batches=3)) == brute_lines(texts)
+    own = spark.createDataFrame([(1, k % 3, k) for k in range(90)], "a long, b long, doc long").withColumn("a", F.when(F.col("b") == 0, 1).otherwise(F.col("doc")))
+    known = own.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("doc").alias("owner"))
+    joined = line_dedup.beside(own, known, 20)
+    assert joined.count() == 90 and "Broadcast" in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_length_histogram(docs, empty):
     tiktoken = queries.vocabulary("byte_bpe_50k.tiktoken")
     found = lengths.encoded_lengths(docs, tiktoken)
@@ -475,6 +498,132 @@ def test_all_unlabelled_rows_teach(spark):
     assert models[1][0][0][place] > 0.01
 
 
+def brute_margin(model, x):
+    w, mean, scale = model
+    return min(30.0, max(-30.0, sum(float(w[k]) * (float(x[k]) - float(mean[k])) / float(scale[k]) for k in range(len(x))) + float(w[-1])))
+
+
+def brute_calibration(m, y):
+    a = [1.0, 0.0]
+    for _ in range(30):
+        h, g = np.array([[0.5, 0.0], [0.0, 0.5]]), np.array([0.5 * (a[0] - 1), 0.5 * a[1]])
+        for x, t in zip(m, y):
+            p = 1 / (1 + np.exp(-min(30.0, max(-30.0, a[0] * x + a[1]))))
+            z, v = np.array([x, 1.0]), max(p * (1 - p), 1e-6)
+            g, h = g + z * (p - t), h + v * np.outer(z, z)
+        a = a - np.linalg.solve(h, g)
+    return max(float(a[0]), 1e-3), float(a[1])
+
+
+def brute_co_train(views, y, pool, check):
+    """The rounds row by row: every rule is looked up for every row of the pool, and every step adds up single rows."""
+    own = [[v[i] for i in range(len(y)) if not check[i]] for v in views]
+    truth = [int(t) for i, t in enumerate(y) if not check[i]]
+    kept = [[v[i] for i in range(len(y)) if check[i]] for v in views]
+    asked, n_own, share = [int(t) for i, t in enumerate(y) if check[i]], len(truth), sum(truth) / len(truth)
+    models = []
+    for k in range(2):
+        every = np.array(own[k] + list(pool[k]), dtype=np.float64)
+        models.append([np.zeros(every.shape[1] + 1), every.mean(axis=0), np.sqrt(np.maximum((every**2).mean(axis=0) - every.mean(axis=0) ** 2, 0)) + 1e-2])
+    rules, taught = [], [np.zeros(2), np.zeros(2)]
+    bin_of = lambda m: min(int((m + 30) * (cotraining.BINS / 60)), cotraining.BINS - 1)
+
+    def mark(i):
+        """(view that learns, label) of a row of the pool by the first rule that takes it."""
+        for teacher, model, low, high in rules:
+            b = bin_of(brute_margin(model, pool[teacher][i]))
+            if b <= low or b >= high:
+                return 1 - teacher, int(b >= high)
+        return None
+
+    def fitted(steps):
+        for _ in range(steps):
+            marks, largest = [mark(i) for i in range(len(pool[0]))], 0.0
+            for k in range(2):
+                less = min(1.0, n_own / max(taught[k].sum(), 1))
+                classes = np.array([n_own * (1 - share), n_own * share]) + less * taught[k]
+                one = min(max(classes[1] / classes.sum(), 1e-3), 1 - 1e-3)
+                weigh = [0.5 / (1 - one), 0.5 / one]
+                w, mean, scale = models[k]
+                rows = [(x, t, weigh[t]) for x, t in zip(own[k], truth)] + [(pool[k][i], m[1], less * weigh[m[1]]) for i, m in enumerate(marks) if m and m[0] == k]
+                g, h = 3.0 * w, 3.0 * np.eye(len(w))
+                for x, t, c in rows:
+                    z = np.append((np.array(x, dtype=np.float64) - mean) / scale, 1.0)
+                    p = 1 / (1 + np.exp(-min(30.0, max(-30.0, float(z @ w)))))
+                    g, h = g + c * (p - t) * z, h + c * max(p * (1 - p), 1e-5) * np.outer(z, z)
+                step = np.linalg.solve(h, g)
+                models[k] = [w - step, mean, scale]
+                largest = max(largest, float(np.abs(step).max()))
+            if largest < 1e-3:
+                break
+
+    fitted(15)
+    for _ in range(cotraining.ROUNDS):
+        for teacher in (0, 1):
+            free = sorted(bin_of(brute_margin(models[teacher], pool[teacher][i])) for i in range(len(pool[0])) if mark(i) is None)
+            good, bad = max(1, int(cotraining.PART * len(pool[0]) * share)), max(1, int(cotraining.PART * len(pool[0]) * (1 - share)))
+            a, c = brute_calibration([brute_margin(models[teacher], x) for x in kept[teacher]], asked)
+            at = lambda odds: int((min(30.0, max(-30.0, (odds - c) / a)) + 30) * cotraining.BINS / 60)
+            low = min(free[bad - 1] if len(free) >= bad else cotraining.BINS, at(-cotraining.SURE) - 1)
+            high = max(free[-good] if len(free) >= good else -1, at(cotraining.SURE) + 1)
+            new = np.array([sum(b <= low for b in free), sum(b >= high for b in free)], dtype=float)
+            if new.sum():
+                taught[1 - teacher] += new
+                rules.append((teacher, list(models[teacher]), low, high))
+        fitted(cotraining.STEPS)
+    prior = float(np.log(np.mean(asked) / (1 - np.mean(asked))))
+    return models, [brute_calibration([brute_margin(models[k], x) for x in kept[k]], asked) for k in range(2)], prior
+
+
+def test_co_training_equals_brute_force(spark, monkeypatch):
+    """Views, rules, steps and calibration against plain loops on a small table, whole query included."""
+    random = np.random.default_rng(3)
+    monkeypatch.setattr(cotraining, "PART", 0.1)
+    monkeypatch.setattr(cotraining.co_train, "__defaults__", (cotraining.ROUNDS, 0.1, 3.0))
+    words = ["solid careful clear reason proof".split(), "buy cheap click now free".split(), "the of and to in".split()]
+
+    def text(y):
+        return " ".join(random.choice(words[2] if random.random() < 0.6 else words[1 - y] if random.random() < 0.85 else words[y]) for _ in range(random.integers(5, 30)))
+
+    quality = [int(random.random() < 0.4) for _ in range(260)]
+    table = [(i, text(y), f"s{(y if random.random() < 0.8 else 1 - y) * 3 + i % 2}", "en" if i % 3 else None, i * 7 % 90 if i % 5 else None) for i, y in enumerate(quality)] + [(900, None, None, None, None), (901, "", "s1", "en", 0)]
+    labels = [(i, quality[i]) for i in range(120)] + [(3, 1 - quality[3]), (5, None), (7, 4)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string, lang string, n_chars long").repartition(5)
+    got = {r["doc_id"]: r for r in cotraining.score(docs, cotraining.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))).collect()}
+
+    def meta(source, lang, size):
+        out = np.zeros(cotraining.META, dtype=np.float32)
+        out[crc32(f"s{source or ''}".encode()) % 40] = 1
+        out[40 + crc32(f"l{lang or ''}".encode()) % 16] = 1
+        if size is not None:
+            out[56], out[57 + min(14, int(np.log2(size + 1)))] = np.log1p(size) / 12, 1
+        return out
+
+    def content(t):
+        out, ws = np.zeros(cotraining.CONTENT, dtype=np.float32), (t or "").lower().split()
+        for w in set(ws):
+            out[crc32(w.encode()) % (cotraining.CONTENT - 8)] += ws.count(w)
+        n = len(ws)
+        if n:
+            out = (np.log1p(out) / np.log1p(n)).astype(np.float32)
+            out[-8:] = [len(set(ws)) / n, sum(a == b for a, b in zip(ws, ws[1:])) / n, len(re.findall(r"[^\w\s]", t)) / len(t), np.log1p(n) / 10, sum(map(len, ws)) / n / 20, max(map(len, ws)) / 100, sum(w.isalpha() for w in ws) / n, sum(c.isdigit() for c in t) / len(t)]
+        return out
+
+    known = {}
+    for i, y in labels:
+        if y in (0, 1) and crc32(str(i).encode()) % 3 != 1:
+            known[i] = max(y, known.get(i, 0))
+    own = {i: (content(t), meta(s, la, n)) for i, t, s, la, n in table}
+    ids = sorted(known)
+    check = [k % 4 == 0 for k in range(len(ids))]
+    rest = [own[i] for i in own if i not in known]
+    models, calibration, prior = brute_co_train([[own[i][k] for i in ids] for k in (0, 1)], [known[i] for i in ids], [[r[k] for r in rest] for k in (0, 1)], check)
+    for i, views in own.items():
+        odds = [calibration[k][0] * brute_margin(models[k], views[k]) + calibration[k][1] for k in (0, 1)]
+        want = [1 / (1 + np.exp(-o)) for o in (*odds, sum(odds) - prior)]
+        assert [got[i]["content_score"], got[i]["meta_score"], got[i]["score"]] == pytest.approx(want, abs=2e-3), i
+
+
 def test_models_on_held_out_rows(spark, docs, empty):
     ship_package(spark)
     con = duckdb.connect()

@@ -25,6 +25,10 @@ MIN_KEY = 10
 BATCHES, BATCH_DOCS = 4, 20_000_000
 #: Line hashes for each bucket of the runs.
 BUCKET_ROWS = 500_000
+#: Lines of a batch from which a hash is hot: these few hashes (at most a batch's lines divided by this) are sent to all tasks instead.
+HOT_LINES = 100_000
+#: Ids that bound the batches where ids are texts (about).
+SAMPLED = 10_000
 #: Lets readers of the runs rely on the order that is written in each bucket's file.
 KEEP_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
@@ -55,15 +59,15 @@ class RunStore:
         return self.spark.table(name).filter("not held").select("a", "b")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """``batch``: (a, b, doc), one row or more for each key hash of each document. The result (a, b, owner, last, nulls, held):
-        for each hash its smallest and greatest document in the batch (null: only a null id), whether a null id is among them, and
-        whether an earlier batch had it."""
-        merged = batch.groupBy("a", "b").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.max(F.col("doc").isNull()).alias("nulls")).repartition(self.buckets, "a", "b")
+        """``batch``: (a, b, doc), one row or more for each key hash of each document. The result (a, b, n, owner, last, nulls, held):
+        for each hash its rows, its smallest and greatest document in the batch (null: only a null id), whether a null id is among them,
+        and whether an earlier batch had it."""
+        merged = batch.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("doc").alias("owner"), F.max("doc").alias("last"), F.max(F.col("doc").isNull()).alias("nulls")).repartition(self.buckets, "a", "b")
         held = F.lit(False)
         for k, name in enumerate(n for level in self.levels for n in level):
             merged = merged.join(self._run(name).withColumn(f"in_{k}", F.lit(True)), ["a", "b"], "left")
             held = held | F.coalesce(f"in_{k}", F.lit(False))
-        name = self._write(merged.select("a", "b", "owner", "last", "nulls", held.alias("held")))
+        name = self._write(merged.select("a", "b", "n", "owner", "last", "nulls", held.alias("held")))
         self.levels[0].append(name)
         level = 0
         while len(self.levels[level]) >= 2:
@@ -81,22 +85,38 @@ class RunStore:
 
 
 def order_number(ident: Column, kind: T.DataType) -> Column:
-    """A number that never falls when ids rise; texts count by their first seven bytes."""
+    """What orders the ids: texts themselves, otherwise a number that never falls when ids rise."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.conv(F.rpad(F.hex(F.substring(ident.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+        return ident
     if isinstance(kind, T.IntegralType):
         return ident.cast("long")
     return (F.unix_micros(ident.cast("timestamp")) if isinstance(kind, (T.DateType, T.TimestampType)) else ident).cast("double")
 
 
 def batch_bounds(rows: DataFrame, batches: int) -> list:
-    """Upper ends of about equal ranges of ``place``, from quantiles: a few numbers for each batch."""
+    """Upper ends of about equal ranges of ``place``: quantiles of numbers, or of the texts with the smallest hashes, a bounded sample. They only
+    say where batches end."""
     if batches < 2:
         return []
-    cuts = rows.agg(F.percentile_approx("place", F.array(*[F.lit(i / batches) for i in range(1, batches)]), F.lit(max(1000, 10 * batches))).alias("cuts")).first()["cuts"]
+    shares = [i / batches for i in range(1, batches)]
+    if isinstance(rows.schema["place"].dataType, (T.StringType, T.BinaryType)):
+        some = rows.filter("place is not null").orderBy(F.xxhash64("place")).limit(max(SAMPLED, 10 * batches)).select("place").collect()
+        ids = sorted(r["place"] for r in some)
+        return sorted({ids[min(len(ids) - 1, int(q * len(ids)))] for q in shares}) if ids else []
+    cuts = rows.agg(F.percentile_approx("place", F.array(*map(F.lit, shares)), F.lit(max(1000, 10 * batches))).alias("cuts")).first()["cuts"]
     return sorted(set(cuts or []))
 
 
+def beside(own: DataFrame, repeated: DataFrame, hot_lines: int = HOT_LINES) -> DataFrame:
+    """The lines ``own`` with what is known of their hashes. Hot hashes, which would each be one task's in the bucket join, go to all tasks
+    and their lines stay where they are; they are few, as each has ``hot_lines`` lines of the batch."""
+    hot = repeated.filter(F.col("n") >= hot_lines)
+    if not hot.limit(1).count():
+        return own.join(repeated.drop("n"), ["a", "b"])
+    cold = own.join(F.broadcast(hot.select("a", "b")), ["a", "b"], "left_anti").join(repeated.filter(F.col("n") < hot_lines).drop("n"), ["a", "b"])
+    return own.join(F.broadcast(hot.drop("n")), ["a", "b"]).unionByName(cold)
+
+
 def lost_lines(docs: DataFrame, min_key: int = MIN_KEY, batches: int | None = None) -> DataFrame:
     """(doc, t, positions): the line numbers (from 0) that each document loses. ``docs``: (doc, t, place, text)."""
     spark = docs.sparkSession
@@ -113,8 +133,8 @@ def lost_lines(docs: DataFrame, min_key: int = MIN_KEY, batches: int | None = No
     try:
         for i in range(len(bounds) + 1):
             own = keys.filter(F.col("batch") == i).drop("batch")
-            repeated = store.add(own.select("a", "b", "doc")).filter("held or owner < last or (owner is not null and nulls)").select("a", "b", "owner", "held")
-            found = own.join(repeated, ["a", "b"]).filter("held or doc > owner or (owner is not null and doc is null)").groupBy("doc", "t").agg(F.collect_set("pos").alias("positions"))
+            repeated = store.add(own.select("a", "b", "doc")).filter("held or owner < last or (owner is not null and nulls)").select("a", "b", "n", "owner", "held")
+            found = beside(own, repeated).filter("held or doc > owner or (owner is not null and doc is null)").groupBy("doc", "t").agg(F.collect_set("pos").alias("positions"))
             found = stored(found, "lost")
             lost = found if lost is None else lost.unionByName(found)
     finally:
