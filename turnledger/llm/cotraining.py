@@ -4,7 +4,7 @@ One view reads the content (hashed words), the other never does: it has only met
 Each view's classifier labels the unlabelled rows it is surest of, and the other view learns from them in the next round; both
 are then calibrated on labelled rows neither of them saw, and their log-odds, less the one prior that both hold, add up to the score. Labelled rows are a bounded sample;
 all other documents are the unlabelled side. Each round scores all of them on Spark, takes the surest by the histogram of their
-log-odds, and learns from sums of gradient and Hessian, so only models and sums reach the driver.
+log-odds, and learns from sums of gradient and Hessian; few tasks add these up, so only models and a bounded number of sums reach the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from turnledger.session import stored
 LABELLED = 6_000
 #: Rounds, the part of the unlabelled rows that a view labels in each, and Newton steps over all rows in each.
 ROUNDS, PART, STEPS = 4, 0.05, 3
+#: Tasks that add up the sums of all others; so many rows reach the driver.
+SUMMING = 16
 #: Bins of log-odds from -30 to 30, and the calibrated log-odds from which a row can be labelled (19 to 1).
 BINS, SURE = 6_000, 2.94
 CONTENT, META = 256, 72
@@ -100,30 +103,55 @@ def replay(rules: list[tuple], views: list[np.ndarray]) -> tuple[np.ndarray, lis
     return free, marks
 
 
+def packed(arrays: list[np.ndarray]) -> list[bytes]:
+    """Hessians (the only square arrays) only steer the steps: upper half, single precision."""
+    return [(a[np.triu_indices(len(a))].astype(np.float32) if a.ndim == 2 else a).tobytes() for a in arrays]
+
+
+def loosened(data: list[bytes], sides: list[int]) -> list[np.ndarray]:
+    out = []
+    for part, side in zip(data, sides):
+        if side:
+            half = np.zeros((side, side))
+            half[np.triu_indices(side)] = np.frombuffer(bytes(part), dtype=np.float32)
+            out.append(half + np.triu(half, 1).T)
+        else:
+            out.append(np.frombuffer(bytes(part), dtype=np.float64))
+    return out
+
+
+def added(a: list[np.ndarray] | None, b: list[np.ndarray]) -> list[np.ndarray]:
+    return b if a is None else [p + q for p, q in zip(a, b)]
+
+
 def total(pool: DataFrame, work: Callable[[list[np.ndarray]], list[np.ndarray]]) -> list[np.ndarray] | None:
-    """Sums of the arrays that ``work`` makes of each batch of the pool; one small row for each partition reaches the driver."""
+    """Sums of the arrays that ``work`` makes of each batch of the pool. A task's sums are one row; ``SUMMING`` tasks add the rows of all, in
+    order, so that reruns agree, and only their rows reach the driver."""
+    kinds = "part int, arrays array<binary>, sides array<int>"
+
+    def row(part: int, out: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed(out)], pa.list_(pa.binary())), pa.array([[len(a) if a.ndim == 2 else 0 for a in out]], pa.list_(pa.int32()))], names=["part", "arrays", "sides"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         for b in batches:
             if b.num_rows:
-                new = work(unpacked(b))
-                out = new if out is None else [p + q for p, q in zip(out, new)]
+                out = added(out, work(unpacked(b)))
+        if out is not None:
+            yield row(TaskContext.get().partitionId(), out)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for b in batches:
+            for data, sides in zip(b.column("arrays").to_pylist(), b.column("sides").to_pylist()):
+                out = added(out, loosened(data, sides))
         if out is not None:
-            # Hessians (the only square arrays) only steer the steps: upper half, single precision
-            yield pa.RecordBatch.from_arrays([pa.array([[(a[np.triu_indices(len(a))].astype(np.float32) if a.ndim == 2 else a).tobytes() for a in out]], pa.list_(pa.binary())), pa.array([[len(a) if a.ndim == 2 else 0 for a in out]], pa.list_(pa.int32()))], names=["arrays", "sides"])
+            yield row(TaskContext.get().partitionId(), out)
 
+    rows = pool.mapInArrow(run, kinds).repartition(SUMMING, "part").sortWithinPartitions("part").mapInArrow(add, kinds)
     out = None
-    for r in pool.mapInArrow(run, "arrays array<binary>, sides array<int>").collect():
-        new = []
-        for data, side in zip(r["arrays"], r["sides"]):
-            if side:
-                half = np.zeros((side, side))
-                half[np.triu_indices(side)] = np.frombuffer(bytes(data), dtype=np.float32)
-                new.append(half + np.triu(half, 1).T)
-            else:
-                new.append(np.frombuffer(bytes(data), dtype=np.float64))
-        out = new if out is None else [p + q for p, q in zip(out, new)]
+    for r in sorted(rows.collect(), key=lambda r: r["part"]):  # at most SUMMING rows
+        out = added(out, loosened(r["arrays"], r["sides"]))
     return out
 
 
