@@ -374,6 +374,17 @@ def test_whole_secret_scan_equals_brute_force(spark):
     assert rows(secrets.find_secrets(docs).select("doc_id", "base_spans", "spans", "n_guess")) == sorted(want, key=str)
 
 
+def test_a_dictionary_is_full_where_many_words_are_equally_frequent(spark):
+    letters = "abcdefghij"
+    words = sorted(f"w{a}{b}" for a in letters for b in letters)
+    docs = spark.createDataFrame([(k, " ".join(words) + (" common often" if k < 3 else " common")) for k in range(5)], "doc_id long, text string")
+    assert secrets.corpus_words(docs, most=40) == sorted([*words, "common"])[:40]
+    assert secrets.corpus_words(docs, most=40, least_docs=2) == sorted([*words, "common"])[:40]
+    assert secrets.corpus_words(docs, most=101) == sorted([*words, "common"])
+    assert secrets.corpus_words(docs, most=200, least_docs=3) == [*sorted([*words, "common"]), "often"]
+    assert secrets.corpus_words(docs, most=50, least_docs=6) == []
+
+
 @pytest.mark.parametrize("unit", ["=", "_", " ", "\n", "a", "a!", "token:", "token=\"", "word ", "'", "日本", "{", "a_"])
 def test_a_megabyte_of_one_thing(unit):
     """Every per-row step takes a text of a million characters within seconds."""

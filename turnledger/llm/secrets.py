@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.llm.text import id_text, release
+from turnledger.operators.runs import numbered
 from turnledger.session import stored
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -68,14 +69,19 @@ def ranks(words: list[str] = []) -> dict[str, int]:  # noqa: B006
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY, least_docs: int = LEAST_DOCS) -> list[str]:
-    """The words (3 to ``LONGEST_WORD`` letters a-z) that most documents hold, in order: all words of at least ``least_docs`` documents, or
-    of the least number of documents that gives ``most`` words or fewer. Counts cover all documents and are added up before the
-    shuffle; that number follows from how many words have each count, so only the words kept, a bounded list, reach the driver."""
+    """The ``most`` words (3 to ``LONGEST_WORD`` letters a-z) that most documents hold, ``least_docs`` at least, in order; of words that equally many
+    documents hold the first by letters. Counts cover all documents and are added up before the shuffle; how many words have each count says
+    which counts are in whole, and only of the one after them a part is taken, by range partitions. That list, of bounded length, reaches the driver."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(f"(?<![a-z])([a-z]{{3,{LONGEST_WORD}}})(?![a-z])"), F.lit(1)))
     held = stored(docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs), "words")
     upto = F.sum("words").over(Window.orderBy(F.desc("n")))  # one row for each count that occurs
-    least = held.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto).filter(F.col("upto") <= most).agg(F.min("n").alias("n")).first()["n"]
+    counts = held.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto)
+    whole = counts.filter(F.col("upto") <= most).agg(F.min("n").alias("least"), F.max("upto").alias("words")).first()
+    least, room = whole["least"], most - (whole["words"] or 0)
     kept = held.filter(F.col("n") >= least).collect() if least is not None else []
+    split = counts.filter(F.col("upto") > most).agg(F.max("n")).first()[0] if room > 0 else None
+    if split is not None:
+        kept += numbered(held.filter(F.col("n") == split), "word").filter(F.col("place") < room).collect()
     return [r["word"] for r in sorted(kept, key=lambda r: (-r["n"], r["word"]))]
 
 
