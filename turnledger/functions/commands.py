@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnledger.session import stored
 
 #: What the leading segment of a command begins with, by class.
-DUMP = r"^(cat|head|tail|less|more|bat)\b|^sed\s+(-n\s+)?['\"]?[0-9,]+p|python3?\s+-c\s+.*open\("
+FILE_DUMP, SED_DUMP, PYTHON_DUMP = r"^(cat|head|tail|less|more|bat)\b", r"^sed\s+(-n\s+)?['\"]?[0-9,]+p", r"python3?\s+-c\s+.*open\("
 TEST = r"^(pytest|python3?\s+-m\s+pytest|npm\s+(run\s+)?test|npx\s+jest|jest|vitest|go\s+test|cargo\s+test|ctest|gradle\w*\s+test|mvn\s+test|rspec|phpunit|tox)\b"
 BUILD = r"^(make|cmake|ninja|cargo\s+build|npm\s+run\s+build|npx\s+tsc|tsc|gcc|g\+\+|clang|xcodebuild|gradle|mvn|pio\b|platformio|idf\.py|arduino-cli|swift\s+build|python3?\s+setup\.py)\b"
 SEARCH, NET, TRIVIAL = r"^(grep|rg|ripgrep|ag|find|fd|ls|tree|wc|du|file|stat)\b", r"^(curl|wget|http|ping|ssh|scp|rsync)\b", r"^(cd|echo|export|set|source|\.)\b"
@@ -26,7 +26,7 @@ COMPLEX = r"`|\$\(|<\(|<<|\bfor\b|\bwhile\b|\bdo\b|\bdone\b|\bxargs\b|\beval\b"
 
 
 def segment_class(s: Column) -> Column:
-    return F.when(s.rlike(DUMP), "shell_file_dump").when(s.rlike(TEST), "shell_test").when(s.rlike(BUILD), "shell_build").when(s.rlike(r"^git\b"), "shell_git").when(s.rlike(SEARCH), "shell_search").when(s.rlike(NET), "shell_net").otherwise("shell_other")
+    return F.when(s.rlike(FILE_DUMP) | s.rlike(SED_DUMP) | s.rlike(PYTHON_DUMP), "shell_file_dump").when(s.rlike(TEST), "shell_test").when(s.rlike(BUILD), "shell_build").when(s.rlike(r"^git\b"), "shell_git").when(s.rlike(SEARCH), "shell_search").when(s.rlike(NET), "shell_net").otherwise("shell_other")
 
 
 def bash_class(command: Column) -> Column:

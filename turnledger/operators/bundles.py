@@ -17,7 +17,7 @@ DECAY, SOFT_SHARE, LINE_TOKENS, LEAST_SIGNATURE, SKELETON, SLICE, SHOWN = 0.6, 0
 FUNCTION = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)\s*\("
 ARROW = r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>"
 CLASS = r"^\s*(?:export\s+)?(?:default\s+)?class\s+([A-Za-z_$][\w$]*)(?:\s+extends\s+([A-Za-z_$][\w$.]*))?"
-IMPORT, REQUIRE = r"import\s+.*?\s+from\s+['\"]([^'\"]+)['\"]", r"require\(\s*['\"]([^'\"]+)['\"]\s*\)"
+IMPORT = r"""(?:import\s+.*?\s+from\s+['"]([^'"]+)['"]|require\(\s*['"]([^'"]+)['"]\s*\))"""
 FRAME = r'File "([^"]+)", line (\d+)'
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{2,}"
 
@@ -35,7 +35,7 @@ def extract_edges(sources: DataFrame) -> DataFrame:
     edge = lambda src, dst, kind, sure: F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), F.lit(sure).alias("confidence"))
     name = F.when(F.col("line").rlike(FUNCTION), F.regexp_extract("line", FUNCTION, 1)).when(F.col("line").rlike(ARROW), F.regexp_extract("line", ARROW, 1)).when(F.col("line").rlike(CLASS), F.regexp_extract("line", CLASS, 1))
     own = F.concat_ws(".", "module", name)
-    source = F.when(F.col("line").rlike(IMPORT), F.regexp_extract("line", IMPORT, 1)).when(F.col("line").rlike(REQUIRE), F.regexp_extract("line", REQUIRE, 1))
+    source = F.when(F.col("line").rlike(IMPORT), F.concat(*[F.coalesce(F.regexp_extract("line", IMPORT, k), F.lit("")) for k in (1, 2)]))
     base = F.nullif(F.regexp_extract("line", CLASS, 2), F.lit(""))
     every = F.array(F.when(name.isNotNull(), edge(F.col("module"), own, "CONTAINS", 0.7)), F.when(source.isNotNull(), edge(F.col("module"), source, "IMPORTS", 0.7)), F.when(base.isNotNull(), edge(own, base, "IMPLEMENTS", 0.55)))
     return r.select(F.explode(F.array_compact(every)).alias("e")).select("e.*").distinct()
@@ -110,23 +110,23 @@ def select_bundle(candidates: DataFrame, levels: DataFrame, budget: int) -> Data
     """(root, node, level, spent): for each root its own implementation, then steps of detail of its candidates by value for cost while
     the running cost fits. Siblings of a branch count less by their rank in it; a step never precedes the cheaper ones of its symbol, so
     a larger budget holds all that a smaller one does. Roots that alone exceed the budget have no bundle."""
-    # a symbol's ladder travels as one short array, so candidates are dealt by root once and all ranks are taken there
-    ladders = levels.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("cost", "level", "value"))).alias("ladder"), F.max("cost").alias("root_cost"))
-    ladders = stored(ladders, "ladders")
-    least = ladders.agg(F.min(F.col("ladder")[0]["cost"])).first()[0] or 1
+    # what a step adds and the worst value for cost up to it do not depend on the root, so each symbol's ladder is worked out once
+    ladder = Window.partitionBy("id").orderBy("cost")
+    steps = levels.withColumns({"step_cost": F.col("cost") - F.coalesce(F.lag("cost").over(ladder), F.lit(0)), "step_value": F.col("value") - F.coalesce(F.lag("value").over(ladder), F.lit(0.0)), "no": F.row_number().over(ladder)})
+    steps = steps.withColumn("worst", F.min(F.struct((F.col("step_value") / F.col("step_cost")).alias("ratio"), F.col("step_cost").alias("cost"), F.col("step_value").alias("value"))).over(ladder))
+    steps = stored(steps.select(F.col("id").alias("node"), "level", "cost", "step_cost", "no", F.col("worst.cost").alias("worst_cost"), F.col("worst.value").alias("worst_value")), "steps")
     candidates = stored(candidates.select("root", "node", "branch", "utility"), "candidates")
-    roots = candidates.select("root").distinct().join(ladders, F.col("root") == F.col("id")).filter(F.col("root_cost") <= budget).select("root", "root_cost")
+    whole = steps.groupBy(F.col("node").alias("root")).agg(F.max("cost").alias("root_cost"))
+    roots = candidates.select("root").distinct().join(whole, "root").filter(F.col("root_cost") <= budget).select("root", "root_cost")
+    first = steps.filter("no = 1").select("node", F.col("worst_cost").alias("first_cost"), F.col("worst_value").alias("first_value"))
+    least = first.agg(F.min("first_cost")).first()[0] or 1
+    gain = lambda value, cost: F.round(F.col("worth") * F.col(value) / F.col(cost), 12)
     rank = F.row_number().over(Window.partitionBy("root", "branch").orderBy(F.desc("utility"), "node"))
-    c = candidates.join(roots, "root").join(ladders.select(F.col("id").alias("node"), "ladder"), "node", "left").repartition("root")
-    c = c.withColumn("worth", F.col("utility") * F.pow(F.lit(DECAY), rank - 1)).filter("ladder is not null")
-    before = lambda i, field, none: F.when(i > 0, F.col("ladder")[F.greatest(i - 1, F.lit(0))][field]).otherwise(F.lit(none))
-    steps = F.transform("ladder", lambda s, i: F.struct(s["cost"].alias("cost"), s["level"].alias("level"), (s["cost"] - before(i, "cost", 0)).alias("step_cost"), (F.col("worth") * (s["value"] - before(i, "value", 0.0))).alias("step_value")))
-    c = c.select("root", "node", "root_cost", steps.alias("steps"))
-    gain = lambda i: F.round(F.array_min(F.transform(F.slice("steps", F.lit(1), i + 1), lambda s: s["step_value"] / s["step_cost"])), 12)
-    c = c.withColumn("steps", F.transform("steps", lambda s, i: F.struct(s["cost"].alias("cost"), s["level"].alias("level"), s["step_cost"].alias("step_cost"), gain(i).alias("gain"))))
+    c = candidates.join(roots, "root").join(first, "node", "left").repartition("root").withColumn("worth", F.col("utility") * F.pow(F.lit(DECAY), rank - 1)).filter("first_cost is not null")
     # gains fall along a ladder and every first step costs at least ``least``: symbols that rank beyond what the budget holds of first steps cannot fit
-    first = F.row_number().over(Window.partitionBy("root").orderBy(F.desc(F.col("steps")[0]["gain"]), "node"))
-    c = c.withColumn("first", first).filter(F.col("first") <= F.floor((budget - F.col("root_cost")) / least) + 1).select("root", "node", "root_cost", F.inline("steps"))
+    place = F.row_number().over(Window.partitionBy("root").orderBy(F.desc(gain("first_value", "first_cost")), "node"))
+    c = c.withColumn("place", place).filter(F.col("place") <= F.floor((budget - F.col("root_cost")) / least) + 1).select("root", "node", "root_cost", "worth")
+    c = c.join(steps, "node").withColumn("gain", gain("worst_value", "worst_cost"))
     order = Window.partitionBy("root").orderBy(F.desc("gain"), "node", "cost").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("spent", F.col("root_cost") + F.sum("step_cost").over(order)).filter(F.col("spent") <= budget)
     chosen = c.groupBy("root", "node").agg(F.max_by("level", "cost").alias("level"), F.max("spent").alias("spent"))

@@ -43,7 +43,7 @@ def reduce_logs(outputs: DataFrame, tail: int = 15, pattern: str = LOG) -> DataF
     """Important lines first, then the last ones; a line's text appears once."""
     w = Window.partitionBy("id").orderBy(F.desc("pos"))
     r = lines(outputs).withColumns({"hit": F.col("line").rlike(pattern), "back": F.row_number().over(w)}).filter(F.col("hit") | (F.col("back") <= tail))
-    r = r.withColumn("rank", F.when(F.col("hit"), F.col("pos")).otherwise(F.col("pos") + 1_000_000_000))
+    r = r.withColumn("rank", F.struct((~F.col("hit")).alias("later"), "pos"))
     return joined(r.groupBy("id", "line").agg(F.min("rank").alias("rank")))
 
 

@@ -13,7 +13,11 @@ from turnledger.operators import compaction, reduction
 FAILED = r"(?i)(FAILED|ERROR\b|FAIL\b|✗|✘|AssertionError|Traceback|^E\s|Exception|panic:|--- FAIL)"
 TALLY = r"(?i)(\d+\s+(failed|passed|error|skipped)|=+.*=+|Tests:|Ran \d+)"
 STRUCTURAL, NUMBERED = r"^\s*(?:from\s+\S+\s+import|import\s+\S|@|(?:async\s+)?def\s+\w|class\s+\w)|^[A-Z_][A-Z0-9_]*\s*(?::[^=]+)?=", r"^\s*\d+[→\t]"
-NO_TALLY = "(tests passed; no summary line found)"
+#: The wording of what is shown.
+NO_TALLY, HANDLE = "(tests passed; no summary line found)", "[+ full output: "
+HEADLINE, IN_FILES, DIAGNOSTICS, BY_FILE, MORE_FILES = " matches in ", " file(s)", " diagnostic(s)", "matches by file: ", " more file(s)"
+MORE, ACROSS, FULL, NO_MORE = " more match(es) across ", " file(s) — full: ", "\n... ", "... 0 more match(es) across 0 file(s) — full: "
+SKELETON, LINES, GAP, CUT = "file skeleton: ", " lines", "… ", " more lines (full file recoverable) …"
 #: Files named in a roll-up.
 NAMED_FILES = 12
 
@@ -23,7 +27,7 @@ def tokens(text: Column) -> Column:
 
 
 def handle_line(handle: Column) -> Column:
-    return F.concat(F.lit("[+ full output: "), handle, F.lit("]"))
+    return F.concat(F.lit(HANDLE), handle, F.lit("]"))
 
 
 def text_of(c: Column) -> Column:
@@ -37,7 +41,7 @@ def roll_up(matches: DataFrame) -> DataFrame:
     g = g.withColumns({"rank": F.row_number().over(w), "files": F.count("*").over(Window.partitionBy("id"))}).filter(F.col("rank") <= NAMED_FILES)
     named = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path", "n"))), lambda x: F.concat(x["path"], F.lit("×"), text_of(x["n"]))), ", ")
     r = g.groupBy("id").agg(named.alias("named"), F.max("files").alias("files"))
-    return r.select("id", "files", F.concat(F.lit("matches by file: "), "named", F.when(F.col("files") > NAMED_FILES, F.concat(F.lit(", +"), text_of(F.col("files") - NAMED_FILES), F.lit(" more file(s)"))).otherwise("")).alias("rollup"))
+    return r.select("id", "files", F.concat(F.lit(BY_FILE), "named", F.when(F.col("files") > NAMED_FILES, F.concat(F.lit(", +"), text_of(F.col("files") - NAMED_FILES), F.lit(MORE_FILES))).otherwise("")).alias("rollup"))
 
 
 def search_summary(outputs: DataFrame, budget: int = 256, diagnostic: str = reduction.DIAGNOSTIC) -> DataFrame:
@@ -48,16 +52,16 @@ def search_summary(outputs: DataFrame, budget: int = 256, diagnostic: str = redu
     head = rows.groupBy("id").agg(F.count(F.when(~F.col("diagnostic"), 1)).alias("matches"), F.count(F.when(F.col("diagnostic"), 1)).alias("diagnostics"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("diagnostic"), F.struct("pos", "line")))), lambda x: x["line"]), "\n").alias("said"))
     raw = outputs.select("id", F.concat(F.lit("result://"), C.content_hash(F.col("text"))).alias("handle"))
     head = head.join(roll_up(found), "id", "left").join(raw, "id")
-    title = F.concat(text_of(F.col("matches")), F.lit(" matches in "), text_of(F.coalesce("files", F.lit(0))), F.lit(" file(s)"), F.when(F.col("diagnostics") > 0, F.concat(F.lit("; "), text_of(F.col("diagnostics")), F.lit(" diagnostic(s)"))).otherwise(""))
+    title = F.concat(text_of(F.col("matches")), F.lit(HEADLINE), text_of(F.coalesce("files", F.lit(0))), F.lit(IN_FILES), F.when(F.col("diagnostics") > 0, F.concat(F.lit("; "), text_of(F.col("diagnostics")), F.lit(DIAGNOSTICS))).otherwise(""))
     top = F.when(F.col("diagnostics") > 0, F.concat(title, F.lit("\n"), "said")).otherwise(title)
-    reserved = tokens(top) + tokens(handle_line(F.col("handle"))) + F.when(F.col("matches") == 0, 0).otherwise(tokens(F.col("rollup")) + tokens(F.concat(F.lit("... 0 more match(es) across 0 file(s) — full: "), "handle")))
+    reserved = tokens(top) + tokens(handle_line(F.col("handle"))) + F.when(F.col("matches") == 0, 0).otherwise(tokens(F.col("rollup")) + tokens(F.concat(F.lit(NO_MORE), "handle")))
     head = head.withColumn("top", top).withColumn("room", F.greatest(F.lit(0), F.lit(budget) - reserved))
     running = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     m = found.withColumn("spent", F.sum(tokens(F.col("line")) + 1).over(running)).join(head.select("id", "room"), "id").withColumn("stays", F.col("spent") <= F.col("room"))
     body = m.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("stays"), F.struct("pos", "line")))), lambda x: x["line"]), "\n").alias("body"), F.count(F.when(F.col("stays"), 1)).alias("kept"), F.countDistinct(F.when(~F.col("stays"), F.col("path"))).alias("cut_files"))
     r = head.join(body, "id", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
     cut = F.col("matches") - F.col("kept")
-    footer = F.when(cut > 0, F.concat("rollup", F.lit("\n... "), text_of(cut), F.lit(" more match(es) across "), text_of(F.col("cut_files")), F.lit(" file(s) — full: "), "handle"))
+    footer = F.when(cut > 0, F.concat("rollup", F.lit(FULL), text_of(cut), F.lit(MORE), text_of(F.col("cut_files")), F.lit(ACROSS), "handle"))
     return r.select("id", F.concat_ws("\n", C.redact(F.concat_ws("\n", "top", F.when(F.col("kept") > 0, F.col("body")), footer)), handle_line(F.col("handle"))).alias("text"), "matches", "kept")
 
 
@@ -66,7 +70,7 @@ def test_summary(outputs: DataFrame, last: int = 3) -> DataFrame:
     rows = compaction.lines(outputs).withColumns({"failed": F.col("line").rlike(FAILED), "tally": F.col("line").rlike(TALLY)}).filter("failed or tally")
     back = F.row_number().over(Window.partitionBy("id", "tally").orderBy(F.desc("pos")))
     rows = rows.withColumn("late", F.col("tally") & (back <= last)).filter("failed or late")
-    rank = F.when(F.col("failed"), F.col("pos")).otherwise(F.col("pos") + 1_000_000_000)
+    rank = F.struct((~F.col("failed")).alias("later"), "pos")
     small = compaction.joined(rows.groupBy("id", "line").agg(F.min(rank).alias("rank"))).select("id", "reduced")
     every = outputs.select("id").join(small, "id", "left").withColumn("reduced", F.coalesce("reduced", F.lit(NO_TALLY)))
     return compaction.wrapped(every, outputs).select("id", "text")
@@ -86,10 +90,10 @@ def file_skeleton(outputs: DataFrame, budget: int = 512, head: int = 6) -> DataF
     rows = rows.withColumn("gap", F.when(skipped > 0, F.concat(F.lit("… "), text_of(skipped), F.lit(" lines …")))).withColumn("cost", tokens(F.col("line")) + 1)
     charged = F.coalesce(F.sum(F.col("cost") + F.coalesce(tokens(F.col("gap")) + 1, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     raw = whole.select("id", F.concat(F.lit("result://"), C.content_hash(F.col("text"))).alias("handle"))
-    title = F.concat(F.lit("file skeleton: "), text_of(F.col("n")), F.lit(" lines"))
+    title = F.concat(F.lit(SKELETON), text_of(F.col("n")), F.lit(LINES))
     rows = rows.join(raw, "id").withColumn("over", F.when(tokens(title) + tokens(handle_line(F.col("handle"))) + charged + F.col("cost") > budget, F.col("pos")))
     rows = rows.withColumn("cut", F.min("over").over(n))
     shown = F.when(F.col("cut").isNull() | (F.col("pos") < F.col("cut")), F.struct("pos", F.concat_ws("\n", "gap", "line").alias("line")))
     g = rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["line"]), "\n").alias("body"), F.count(shown).alias("kept"), F.max(F.when(shown.isNotNull(), F.col("pos"))).alias("last"), F.max("n").alias("n"), F.max("cut").alias("cut"), F.max("handle").alias("handle"))
-    end = F.when(F.col("cut").isNotNull(), F.concat(F.lit("… "), text_of(F.col("n") - F.col("cut")), F.lit(" more lines (full file recoverable) …"))).when(F.col("last") < F.col("n") - 1, F.concat(F.lit("… "), text_of(F.col("n") - 1 - F.col("last")), F.lit(" lines …")))
+    end = F.when(F.col("cut").isNotNull(), F.concat(F.lit("… "), text_of(F.col("n") - F.col("cut")), F.lit(CUT))).when(F.col("last") < F.col("n") - 1, F.concat(F.lit("… "), text_of(F.col("n") - 1 - F.col("last")), F.lit(" lines …")))
     return g.select("id", F.concat_ws("\n", C.redact(F.concat_ws("\n", title, F.when(F.col("kept") > 0, F.col("body")), end)), handle_line(F.col("handle"))).alias("text"), "kept")
