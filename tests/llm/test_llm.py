@@ -495,6 +495,67 @@ def test_whole_toxicity_query_equals_brute_force(spark):
     assert sorted(((r["doc_id"], r["held_out"], round(r["score"], 9), r["predicted"]) for r in got), key=str) == sorted(want, key=str)
 
 
+def brute_lexicon(rows):
+    """Terms and stems with their weights from (text, toxic) rows, by counting."""
+    pos, neg = {}, {}
+    for text, y in rows:
+        for w in set(re.findall(r"[^\W\d_]+", text.lower())):
+            side = pos if y else neg
+            side[w] = side.get(w, 0) + 1
+    weight = lambda p, n: np.log((p + 0.5) / (n + 0.5))
+    every = {w: (pos.get(w, 0), neg.get(w, 0)) for w in {*pos, *neg}}
+    terms = {w: weight(p, n) for w, (p, n) in every.items() if len(w) >= 3 and p >= 4 and p >= 12 * n}
+    stems = {}
+    for w, (p, n) in every.items():
+        for k in range(4, min(7, len(w) - 1) + 1 if len(w) >= 5 else 0):
+            a, b, c = stems.get(w[:k], (0, 0, 0))
+            stems[w[:k]] = (a + p, b + n, c + (p >= 1))
+    return terms, {t: weight(p, n) for t, (p, n, c) in stems.items() if c >= 4 and p >= 10 and p >= 25 * n}
+
+
+def test_toxicity_is_learned_as_brute_force_does(spark):
+    """Which rows teach, the lexicon of each half and of all, and the steps of the logistic model, against plain loops."""
+    ship_package(spark)
+    random = np.random.default_rng(8)
+    plain, foul = "the report was fine today and river stone".split(), ["idiot", "stupid", "scumbag", *[f"lowlif{c}" for c in "abcdefgh"]]
+
+    def text(y):
+        words = [str(random.choice(foul)) if y and random.random() < 0.3 else str(random.choice(plain)) for _ in range(random.integers(4, 25))]
+        return " ".join(words)
+
+    labelled = [(i, int(random.random() < 0.4)) for i in range(500)]
+    docs = [(i, text(y)) for i, y in labelled] + [(1000, "a copy of idiot idiot"), (1001, "a copy of idiot idiot"), (1002, None), (1003, "no label")]
+    labels = labelled + [(1000, 1), (1001, 1), (1002, 0), (None, 1), (3, 7), (4, None), (5, 1), (5, 0)]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    truth = {}
+    for i, y in labels:
+        if i is not None and y in (0, 1) and crc32(str(i).encode()) % 3 != 1:
+            truth[i] = max(y, truth.get(i, 0))
+    first = {}
+    for i, t in docs:
+        if i in truth:
+            key = (t or "", truth[i])
+            first[key] = min(i, first.get(key, i))
+    half = {r["i"]: r["half"] for r in spark.createDataFrame([(i,) for i in first.values()], "i long").selectExpr("i", "pmod(xxhash64(i, 5), 2) as half").collect()}
+    terms, stems = brute_lexicon(first)
+    assert model.terms == pytest.approx(terms) and model.stems == pytest.approx(stems) and "idiot" in terms and "lowl" in stems
+    scorer = toxicity.Scorer(*brute_lexicon([k for k, i in first.items() if half[i] == 0]))
+    rows = sorted((i, scorer.features(t), y) for (t, y), i in first.items() if half[i] == 1)
+    x, y = np.array([f for _, f, _ in rows]), [t for *_, t in rows]
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    w = np.zeros(toxicity.FEATURES + 1)
+    for _ in range(60):
+        g, h = 0.05 * w, 0.05 * np.eye(len(w))
+        for f, t in zip(x, y):
+            z = np.append((f - mean) / scale, 1.0)
+            p = 1 / (1 + np.exp(-min(30.0, max(-30.0, float(z @ w)))))
+            g, h = g + (p - t) * z, h + max(p * (1 - p), 1e-6) * np.outer(z, z)
+        w = w - np.linalg.solve(h, g)
+    for got, want in zip(model.weights, (w, mean, scale)):
+        assert got == pytest.approx(want, rel=1e-3, abs=1e-4)
+
+
 def test_all_unlabelled_rows_teach(spark):
     ship_package(spark)
     good, bad = "alpha beta gamma delta", "one two three four"

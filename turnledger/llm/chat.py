@@ -61,7 +61,8 @@ def format_turns(conversations: DataFrame, vocabulary: str, roles: tuple[str, ..
 
     Turns are ordered by turn, role and text, null turns first, so ties have one defined order; repeated rows are turns of
     their own. A null text or role is empty; a null conv_id is a conversation like another. Turns are encoded before the
-    shuffle, and a conversation is streamed afterwards, never held, however long it is. Other columns are ignored.
+    shuffle, and a conversation is streamed afterwards, never held, however long it is; a turn is held whole. An empty table gives an
+    empty result. Other columns are ignored.
     """
     encoded = encode_turns(turns(conversations, **columns), vocabulary, roles)
     ordered = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -86,7 +87,11 @@ def format_turns(conversations: DataFrame, vocabulary: str, roles: tuple[str, ..
 
 def read_back(formatted: DataFrame, vocabulary: str) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) from ``format_turns``'s rows alone: ids are
-    decoded, cut at the reserved ids and unescaped. Hashes run along the stream, so a conversation is never held."""
+    decoded, cut at the reserved ids and unescaped. Hashes run along the stream, so a conversation is never held.
+
+    Empty texts and roles add nothing but their line ends; repeated turns count each; a turn is held whole, however long; rows of a null
+    conv_id are one conversation; an empty table gives an empty result.
+    """
     control = {i: s for s, i in RESERVED.items()}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -266,7 +266,11 @@ def stored_views(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED, views: DataFrame | None = None) -> list[tuple] | None:
     """Two calibrated models from at most about ``labelled`` labelled rows and all other rows; None without both labels.
-    ``views`` are the stored views of ``docs``, where the caller has them."""
+    ``views`` are the stored views of ``docs``, where the caller has them.
+
+    Labels other than 0 and 1 and null ids teach nothing; of conflicting labels of one id the greater counts; rows that share a labelled id all
+    have its label. Null and empty texts are viewed as empty, long texts whole; an empty table gives None.
+    """
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("y").alias("y"))
     known = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 62)) < int(min(1.0, labelled / max(own.count(), 1)) * (1 << 62)))

@@ -17,7 +17,8 @@ BLOCK = 1024
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, length) of each row; a null or empty text has length 0."""
+    """(doc_id, length) of each row; a null or empty text has length 0. Long texts are encoded whole, repeated rows each for itself; an empty
+    table gives an empty result, and other columns, whatever their names, are ignored."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_encoder(vocabulary).encode_ordinary

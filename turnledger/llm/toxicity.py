@@ -263,7 +263,8 @@ def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """Learns from labelled rows that are not held out, at most about ``fit_rows`` of them. Without both labels among them,
     the model scores every text 0. Labels other than 0 and 1, and null ids, teach nothing; copies of a text count once for each
-    label (under their smallest id), so that chance words in them do not look like evidence. The sample is stored once, and the
+    label (under their smallest id), so that chance words in them do not look like evidence. Of conflicting labels of one id the greater counts;
+    null texts are empty, long ones are taken whole; an empty table gives a model that scores 0. The sample is stored once, and the
     same rows always give the same model."""
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
