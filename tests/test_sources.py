@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from turnledger import session
 from turnledger.operators import journal, runs
 from turnledger.sources import files, transcripts
 from turnledger.streaming import events as live
@@ -132,3 +133,11 @@ def test_dedupe_by_producer_key(spark, tmp_path):
     rows = spark.createDataFrame([("h", "s", "e1", 1), ("h", "s", "e1", 2), ("h", "t", "e1", 3), ("h", None, "e1", 4), ("h", None, "e1", 5)], "source_system string, stream string, source_event_key string, n long").withColumn("ts", F.timestamp_seconds(F.col("n") + 1_700_000_000))
     found = [r["n"] for r in streamed(spark, tmp_path, rows, lambda s: live.dedupe(s, "source_system", "stream", "source_event_key"))]
     assert len(found) == 4 and {3, 4, 5} < set(found)
+
+
+def test_stored_tables_are_removed_when_asked(spark):
+    kept = session.stored(spark.range(5), "kept")
+    assert kept.count() == 5 and session.remove_stored(spark) >= 1
+    with pytest.raises(Exception, match="(?i)not.exist|no such file|does not exist"):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+    assert session.stored(spark.range(3), "next").count() == 3  # later tables are not affected

@@ -37,10 +37,12 @@ def cache_islands(requests: DataFrame, breaks: DataFrame) -> DataFrame:
     return r.groupBy("session", "island").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("requests"), F.sum("cache_write").alias("written"))
 
 
-def model_switches(requests: DataFrame) -> DataFrame:
+def model_switches(requests: DataFrame, large: int = 100_000) -> DataFrame:
+    """Switches from the request before, by models: how many, what was established, and how many had ``large`` tokens. Where requests fork,
+    ``lineage.switches`` measures them against what each one continues."""
     w = Window.partitionBy("session").orderBy("turn")
     r = requests.withColumn("p_model", F.lag("model").over(w)).withColumn("moved", F.lag(F.col("cache_read") + F.col("cache_write")).over(w)).filter("p_model <> model")
-    return r.groupBy(F.col("p_model").alias("from_model"), F.col("model").alias("to_model")).agg(F.count("*").alias("switches"), F.sum("moved").alias("migrated"), F.sum((F.col("moved") > 50000).cast("bigint")).alias("large"))
+    return r.groupBy(F.col("p_model").alias("from_model"), F.col("model").alias("to_model")).agg(F.count("*").alias("switches"), F.sum("moved").alias("migrated"), F.sum((F.col("moved") >= large).cast("bigint")).alias("large"))
 
 
 def match_price(models: DataFrame, prices: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ add("breaks_by_cause", lambda s, d: ledger.breaks_by_cause(breaks(s, d)), f"with
 add("cache_islands", lambda s, d: ledger.cache_islands(V.requests(s, d), breaks(s, d)), f"""with {BREAKS}, i as (select r.*, {big("sum(case when b.id is not null then 1 else 0 end) over (partition by r.session order by r.turn)")} as island from requests r left join breaks b on r.session = b.session and r.id = b.id)
     select session, island, min(turn) as first_turn, max(turn) as last_turn, count(*) as requests, {big("sum(cache_write)")} as written from i group by session, island""")
 add("model_switches", lambda s, d: ledger.model_switches(V.requests(s, d)), f"""with {W["requests"]}, p as (select *, lag(model) over w as p_model, lag(cache_read + cache_write) over w as moved from requests window w as (partition by session order by turn))
-    select p_model as from_model, model as to_model, count(*) as switches, {big("sum(moved)")} as migrated, {big("sum(case when moved > 50000 then 1 else 0 end)")} as large from p where p_model <> model group by p_model, model""")
+    select p_model as from_model, model as to_model, count(*) as switches, {big("sum(moved)")} as migrated, {big("sum(case when moved >= 100000 then 1 else 0 end)")} as large from p where p_model <> model group by p_model, model""")
 add("gap_histogram", lambda s, d: ledger.gap_histogram(V.requests(s, d), C.gap_bucket), f"""with {W["requests"]}, g as (select (epoch_us(ts) - epoch_us(lag(ts) over (partition by session order by turn))) / 6e7 as gap from requests)
     select case when gap < 5 then '<5m' when gap < 60 then '5-60m' when gap < 720 then '1-12h' else '>=12h' end as bucket, count(*) as n from g where gap is not null group by 1""")
 add("price_match", lambda s, d: ledger.match_price(V.requests(s, d), s.createDataFrame(PRICES, "ord int, match string, input_price double")), f"""with {W["requests"]}, p(ord, match, input_price) as (values {", ".join(f"({o}, '{m}', {x})" for o, m, x in PRICES)}), m as (select distinct model from requests)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Most rows and bytes of an Arrow batch, where the session allows more.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 _shipped: set[str] = set()
+#: Folders that this process has asked for in shared folders, for ``remove_stored``.
+_folders: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -52,7 +54,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/turnledger-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_folder(spark)}/turnledger-{uuid.uuid4().hex}"
+    _folders.add(folder)
+    return f"{folder}/{name}"
+
+
+def remove_stored(spark: SparkSession) -> int:
+    """Removes the intermediate tables that this process has stored so far, and says how many. Call it when results are written: tables that
+    still rest on them cannot be read afterwards."""
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = list(_folders)
+    for folder in gone:
+        path(folder).getFileSystem(conf).delete(path(folder), True)
+        _folders.discard(folder)
+    return len(gone)
 
 
 def use_state_store(spark: SparkSession) -> None:
