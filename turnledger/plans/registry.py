@@ -316,9 +316,9 @@ add("continuation", lambda s, d: reduction.continuation(V.event_rows(s, d).selec
 
 def every() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
     """These queries and those of the other modules, which build on this one."""
-    from turnledger.plans import calls, code, lineages, policies, replay, resolving, retention, stored_files, totals
+    from turnledger.plans import calls, code, lineages, policies, replay, resolving, retention, stored_files, streamed, totals
 
-    return Q | calls.Q | replay.Q | code.Q | totals.Q | resolving.Q | lineages.Q | retention.Q | stored_files.Q | policies.Q
+    return Q | calls.Q | replay.Q | code.Q | totals.Q | resolving.Q | lineages.Q | retention.Q | stored_files.Q | policies.Q | streamed.Q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -99,3 +99,38 @@ def written_sources(s: SparkSession, d: str) -> DataFrame:
 
 
 add("read_source_files", written_sources, f"select lang, count(*) as texts, {big('sum(length(text))')} as chars from documents where lang <> 'fr' and text <> '' group by 1")
+
+
+def discovered(s: SparkSession, d: str) -> DataFrame:
+    """Texts in folders by language as transcripts of projects; the content is not read."""
+    path = shared_path(s, "projects")
+    V.table(s, d, "documents").select("lang", F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " ").alias("value")).write.partitionBy("lang").text(path)
+    return files.discover(s, path, names="*.txt").groupBy("project", "kind").agg(F.sum("size").alias("bytes"))
+
+
+add("discover", discovered, f"select 'lang=' || lang as project, 'session' as kind, {big("sum(octet_length(encode(replace(coalesce(text, ''), chr(10), ' '))) + 1)")} as bytes from documents group by all")
+
+
+def written_prices(s: SparkSession, d: str) -> DataFrame:
+    """Nations as an ordered price list with a default."""
+    path = shared_path(s, "prices")
+    price = F.struct(F.col("n_name").alias("match"), (F.col("n_nationkey") * 1.5).alias("input"), F.lit(2.0).alias("output"), (F.col("n_regionkey") == 0).alias("verified"))
+    listed = V.table(s, d, "nation").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", price.alias("p")))), lambda x: x["p"]).alias("models"), F.max("n_nationkey").alias("n"))
+    listed.select(F.to_json(F.struct("models", F.struct(F.col("n").cast("double").alias("input"), F.lit(0.5).alias("cache_write_5m")).alias("default"))).alias("value")).coalesce(1).write.text(path)
+    return files.load_prices(s, path).select("ord", "match", "input_price", "output_price", "cache_write_5m", "verified")
+
+
+add("load_prices", written_prices, """select cast(n_nationkey as int) as ord, n_name as match, n_nationkey * 1.5::double as input_price, 2.0::double as output_price, cast(null as double) as cache_write_5m, n_regionkey = 0 as verified from nation
+    union all select -1, '', max(n_nationkey)::double, null, 0.5::double, false from nation""")
+
+
+def written_specs(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers as task files, one in each folder."""
+    path = shared_path(s, "tasks")
+    k = F.col("s_suppkey").cast("string")
+    spec = F.concat(F.lit("task_id: t"), k, F.lit("\ncategory: c"), F.col("s_nationkey").cast("string"), F.lit("\n# Title\n## Prompt\n\n  Fix "), F.col("s_name"), F.lit(".\nThen stop.\n\n"))
+    V.table(s, d, "supplier").select("s_suppkey", spec.alias("value")).write.partitionBy("s_suppkey").text(path)
+    return files.read_task_specs(s, path).select("task_id", "category", "problem", "run_order")
+
+
+add("read_task_specs", written_specs, "select 't' || s_suppkey as task_id, 'c' || s_nationkey as category, 'Fix ' || s_name || '.' || chr(10) || 'Then stop.' as problem, cast(0 as int) as run_order from supplier")

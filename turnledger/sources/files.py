@@ -18,10 +18,10 @@ EVENT = (
 PRICE = "struct<match:string,input:double,output:double,cache_read:double,cache_write_5m:double,cache_write_1h:double,verified:boolean>"
 
 
-def discover(spark: SparkSession, root: str, since: str | None = None, most: int | None = None) -> DataFrame:
-    """(path, project, kind, size) of the transcripts under ``root``, largest first: kind session, or subagent for files named agent-*. Only
+def discover(spark: SparkSession, root: str, since: str | None = None, most: int | None = None, names: str = "*.jsonl") -> DataFrame:
+    """(path, project, kind, size) of the transcripts (files so named) under ``root``, largest first: kind session, or subagent for files named agent-*. Only
     those changed since a time, and only the ``most`` largest, where asked for. No content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names)
     files = (files.option("modifiedAfter", since) if since else files).load(root).select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
     below = F.regexp_extract("path", f"{root.rstrip('/').rsplit('/', 1)[-1]}/([^/]+)/", 1)

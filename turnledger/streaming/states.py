@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from turnledger.session import use_state_store
+from turnledger.session import shared_path, use_state_store
 
 
 class StepsAndEpochs(StatefulProcessor):
@@ -123,6 +124,17 @@ def journal_sink(path: str, schema: str, key: str = "event_id") -> Callable[[Dat
     return write
 
 
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there now and gives what it wrote, with the number of the batch (batch): each batch is a folder of its own
+    in the shared folder, which a repeated batch overwrites. In mode update, a key's row of the latest batch is the valid one."""
+    spark = stream.sparkSession
+    at = shared_path(spark, "drained")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/batch=-1")
+    query = stream.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{at}/batch={n}")).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", shared_path(spark, "checkpoint")).start()
+    query.awaitTermination()
+    return spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(at)
+
+
 def journal_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The good rows of a journal folder, and the raw bad deliveries (value)."""
     return rows.filter("bad is null").drop("bad"), rows.filter("bad is not null").select(F.col("bad").alias("value"))
