@@ -107,7 +107,8 @@ def coordinates(signature: Column) -> Column:
 
 
 def posts(classes: DataFrame, matches: int) -> DataFrame:
-    """(key, nid, central): each class under the rarest of its shared coordinate pairs."""
+    """(key, nid, central): each class under the rarest of its shared coordinate pairs. Pairs and their counts are written before they meet, so
+    that both sides of the join are plain shuffles and a hot pair can be split."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         high = np.arange(COORDINATES, dtype=np.int64) << 32
@@ -116,8 +117,8 @@ def posts(classes: DataFrame, matches: int) -> DataFrame:
                 sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("nid").to_numpy(), COORDINATES)), pa.array((sig.astype(np.int64) | high).ravel())], names=["nid", "key"])
 
-    every = classes.select("nid", "signature").mapInArrow(pairs, "nid long, key long")
-    shared = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    every = stored(classes.select("nid", "signature").mapInArrow(pairs, "nid long, key long"), "pairs")
+    shared = stored(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     ranked = every.join(shared, "key").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("pairs"))
     room = COORDINATES - matches + 1 - (COORDINATES - F.size("pairs"))
     ranked = ranked.filter(room > 0).select("nid", F.aggregate("pairs", F.lit(0.0), lambda s, p: s + F.log1p(p["n"].cast("double"))).alias("central"), F.slice("pairs", F.lit(1), room).alias("pairs"))
@@ -372,7 +373,8 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, matches:
     Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct shingles of ``size`` words (a
     shorter text is one shingle). Sets are linked from ``percent`` hundredths of similarity; component_id is the smallest
     doc_id reachable. Texts without words, and nulls, are linked with nothing and stay. Rows that share a doc_id are rows of
-    their own; a null id never is a component's id unless all its rows have none. Other columns are ignored.
+    their own; a null id never is a component's id unless all its rows have none. Long texts are taken whole, an empty table gives an empty
+    result, and other columns are ignored.
     """
     found = found_components(id_text(docs, id_col, text_col), size, percent, matches)
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
