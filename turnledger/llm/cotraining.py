@@ -125,8 +125,8 @@ def added(a: list[np.ndarray] | None, b: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def total(pool: DataFrame, work: Callable[[list[np.ndarray]], list[np.ndarray]]) -> list[np.ndarray] | None:
-    """Sums of the arrays that ``work`` makes of each batch of the pool. A task's sums are one row; ``SUMMING`` tasks add the rows of all, in
-    order, so that reruns agree, and only their rows reach the driver."""
+    """Sums of the arrays that ``work`` makes of each batch of the pool. A task's sums are one row; ``SUMMING`` tasks add the rows of all, and only
+    their rows reach the driver. Sums of reruns agree but for the last bits of rounding."""
     kinds = "part int, arrays array<binary>, sides array<int>"
 
     def row(part: int, out: list[np.ndarray]) -> pa.RecordBatch:
@@ -148,7 +148,7 @@ def total(pool: DataFrame, work: Callable[[list[np.ndarray]], list[np.ndarray]])
         if out is not None:
             yield row(TaskContext.get().partitionId(), out)
 
-    rows = pool.mapInArrow(run, kinds).repartition(SUMMING, "part").sortWithinPartitions("part").mapInArrow(add, kinds)
+    rows = pool.mapInArrow(run, kinds).repartition(SUMMING, "part").mapInArrow(add, kinds)
     out = None
     for r in sorted(rows.collect(), key=lambda r: r["part"]):  # at most SUMMING rows
         out = added(out, loosened(r["arrays"], r["sides"]))
