@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnledger.functions import columns as C
 from turnledger.operators import graph
+from turnledger.operators.runs import numbered
 from turnledger.session import stored
 
 #: How certain kinds of matches and edges count, and the value of each level of detail.
@@ -101,7 +102,11 @@ def dependency_candidates(roots: DataFrame, edges: DataFrame) -> DataFrame:
     usable = stored(usable, "usable")
     first = roots.join(usable, F.col("root") == F.col("src")).filter("dst <> root").select("root", F.col("dst").alias("node"), F.lit(1).alias("distance"), F.col("dst").alias("branch"), F.col("worth").alias("utility"))
     first = stored(first, "first_steps")
-    second = first.select("root", "branch").join(usable, F.col("branch") == F.col("src")).filter("dst <> root").select("root", F.col("dst").alias("node"), F.lit(2).alias("distance"), "branch", (F.col("worth") * DECAY).alias("utility"))
+    # edges are numbered from the best on, so that the best way to a node is the least of plain numbers, which are added up before they are dealt out
+    ways = numbered(usable.select("src", "dst", (F.col("worth") * DECAY).alias("utility")).withColumn("less", -F.col("utility")), "less", "src", "dst")
+    ways = stored(ways.select("src", "dst", "utility", "place"), "ways")
+    reached = first.select("root", F.col("branch").alias("src")).join(ways.select("src", "dst", "place"), "src").filter("dst <> root").groupBy("root", "dst").agg(F.min("place").alias("place"))
+    second = reached.join(ways.select("place", "src", "utility"), "place").select("root", F.col("dst").alias("node"), F.lit(2).alias("distance"), F.col("src").alias("branch"), "utility")
     best = first.unionByName(second).groupBy("root", "node").agg(F.min_by(F.struct("distance", "branch", "utility"), F.struct(-F.col("utility"), F.col("distance"), F.col("branch"))).alias("b"))
     return best.select("root", "node", "b.distance", "b.branch", "b.utility")
 
