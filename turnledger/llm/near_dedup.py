@@ -107,8 +107,8 @@ def coordinates(signature: Column) -> Column:
 
 
 def posts(classes: DataFrame, matches: int) -> DataFrame:
-    """(key, nid, central): each class under the rarest of its shared coordinate pairs. Pairs and their counts are written before they meet, so
-    that both sides of the join are plain shuffles and a hot pair can be split."""
+    """(key, nid, central): each class under the rarest of its shared coordinate pairs. The counts are written before they meet the pairs, so that
+    both sides of the join are plain shuffles and a hot pair can be split."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         high = np.arange(COORDINATES, dtype=np.int64) << 32
@@ -117,7 +117,7 @@ def posts(classes: DataFrame, matches: int) -> DataFrame:
                 sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("nid").to_numpy(), COORDINATES)), pa.array((sig.astype(np.int64) | high).ravel())], names=["nid", "key"])
 
-    every = stored(classes.select("nid", "signature").mapInArrow(pairs, "nid long, key long"), "pairs")
+    every = classes.select("nid", "signature").mapInArrow(pairs, "nid long, key long")
     shared = stored(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     ranked = every.join(shared, "key").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("pairs"))
     room = COORDINATES - matches + 1 - (COORDINATES - F.size("pairs"))
