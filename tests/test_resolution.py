@@ -2,7 +2,7 @@
 
 import pytest
 
-from turnledger.operators import resolution
+from turnledger.operators import bundles, resolution
 
 SYMBOLS = [
     (1, "pay.Service", "class", "pay", "src/pay.py", 1, 40, "charge validate"), (2, "pay.Service.process", "method", "pay", "src/pay.py", 5, 12, "validate(order) shared_log"), (3, "pay.Service.validate", "method", "pay", "src/pay.py", 14, 20, ""),
@@ -56,3 +56,35 @@ def test_layers_of_a_pool_are_nested(spark, symbols):
     local = {3: (3, "same_class"), 9: (3, "same_class"), 7: (4, "identifier"), 1: (5, "same_file")}
     assert pools["local"] == pools["structural"] | local
     assert pools["task"] == pools["local"] | {5: (4, "co_change")}
+
+
+def many_symbols(spark):
+    rows = spark.range(600).selectExpr("id", "concat('m', id % 3, '.', if(id % 2 = 0, 'C.', ''), 'f', id % 40) as qualified", "if(id % 2 = 0, 'method', 'function') as kind", "concat('m', id % 3) as module", "concat('p', id % 4) as path", "concat('see f', id % 40, ' f', id * 7 % 40) as text", "(1 + id % 9) * 5 as cost")
+    edges = spark.range(600).selectExpr("id as src", "id * 13 % 50 as dst", "if(id % 5 = 0, 'TESTED_BY', 'CALLS') as type")
+    return rows, edges, spark.createDataFrame([("p0", "p1"), ("p2", "p3")], "path string, other string")
+
+
+def test_tasks_with_the_same_anchors_share_one_pool(spark, monkeypatch):
+    anchors = spark.range(200).selectExpr("id as task", "explode(if(id % 10 = 0, array(4L, 7L, 4L), array(4L))) as anchor")
+    seen = []
+    own = resolution.related
+    monkeypatch.setattr(resolution, "related", lambda pairs, a: seen.append(a.select("task").distinct().count()) or own(pairs, a))
+    out = resolution.pool_from_sources(anchors, *many_symbols(spark)).collect()
+    assert seen == [2]  # not 200
+    pools = {}
+    for r in out:
+        pools.setdefault(r["task"], set()).add((r["id"], r["rank"], r["relation"]))
+    assert len(pools) == 200 and all(pools[t] == pools[10 if t % 10 == 0 else 1] for t in pools) and pools[10] != pools[1]
+    assert {4, 7}.isdisjoint(i for i, *_ in pools[10]) and 4 not in {i for i, *_ in pools[1]}
+
+
+def test_recall_within_budgets_needs_no_whole_pool(spark):
+    symbols, edges, changed = many_symbols(spark)
+    anchors = spark.range(60).selectExpr("id as task", "explode(array(id % 12 * 17, id % 4)) as anchor")
+    needed = spark.range(900).selectExpr("id % 70 as task", "id * 31 % 650 as id")  # tasks without anchors and ids of no symbol, too
+    budgets = (12, 60, 200, 2000)
+    whole = resolution.pool_from_sources(anchors, symbols, edges, changed).join(symbols.select("id", "cost"), "id")
+    want = bundles.task_recall(needed, whole, budgets)
+    got = resolution.pool_recall(needed, anchors, symbols, edges, changed, budgets)
+    rows = lambda df: sorted(map(tuple, df.select("task", "budget", "needed", "reachable", "included").collect()))
+    assert rows(got) == rows(want) and sum(r[4] for r in rows(got)) > 50
