@@ -125,12 +125,12 @@ add("load_prices", written_prices, """select cast(n_nationkey as int) as ord, n_
 
 
 def written_specs(s: SparkSession, d: str) -> DataFrame:
-    """Suppliers as task files, one in each folder."""
+    """Suppliers as task files, many in a file."""
     path = shared_path(s, "tasks")
     k = F.col("s_suppkey").cast("string")
     spec = F.concat(F.lit("task_id: t"), k, F.lit("\ncategory: c"), F.col("s_nationkey").cast("string"), F.lit("\n# Title\n## Prompt\n\n  Fix "), F.col("s_name"), F.lit(".\nThen stop.\n\n"))
-    V.table(s, d, "supplier").select("s_suppkey", spec.alias("value")).write.partitionBy("s_suppkey").text(path)
-    return files.read_task_specs(s, path).select("task_id", "category", "problem", "run_order")
+    files.write_task_specs(V.table(s, d, "supplier").select(spec.alias("value")), path)
+    return files.read_task_specs(s, path, bundled=True).select("task_id", "category", "problem", "run_order")
 
 
 add("read_task_specs", written_specs, "select 't' || s_suppkey as task_id, 'c' || s_nationkey as category, 'Fix ' || s_name || '.' || chr(10) || 'Then stop.' as problem, cast(0 as int) as run_order from supplier")
