@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnledger.operators import labels, ledger, retirement, usage
+from turnledger.plans import streamed
+from turnledger.sources import files
+from turnledger.streaming import states
 
 N = 120_000  # rows of one session: seconds in one pass, many minutes where each row looks at all that follow
 
@@ -42,3 +45,22 @@ def test_later_edits_and_users_of_a_long_session(spark, objects):
     assert [tuple(r) for r in timed(labels.classify_reads(e).groupBy("edit_seq").agg(F.count("*")))] == [(N - 1, N - 1)]
     turns = objects.select(F.lit(1).alias("conv_id"), "turn", F.when(F.col("turn") == N - 1, "user").otherwise("assistant").alias("role"))
     assert {tuple(r) for r in timed(usage.next_user_turn(turns).groupBy("next_user").agg(F.count("*")))} == {(N - 1, N - 1), (None, 1)}
+
+
+def test_parts_that_arrive_are_many_files_and_come_in_order(spark):
+    stream, later = streamed.arriving(spark.range(0, 3000, 1, 4).selectExpr("id", "id % 4 as p"), "id")
+    out = states.drained(stream, later=later)
+    out = out.withColumn("file", F.input_file_name())
+    got = {r["batch"]: (r["n"], r["low"], r["files"]) for r in out.groupBy("batch").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.countDistinct("file").alias("files")).collect()}
+    assert {b: v[:2] for b, v in got.items()} == {0: (1000, 0), 1: (1000, 1000), 2: (1000, 2000)}
+    assert all(v[2] > 1 for v in got.values())  # not one file from one task
+
+
+def test_many_task_files_are_few_files(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("concat('task_id: t', id, '\\n## Prompt\\n\\nFix ', id, '\\nall.\\n\\n') as value")
+    files.write_task_specs(rows, str(tmp_path / "t"))
+    got = files.read_task_specs(spark, str(tmp_path / "t"), bundled=True).select("task_id", "problem").collect()
+    assert {tuple(r) for r in got} == {(f"t{k}", f"Fix {k}\nall.") for k in range(3000)} and len(got) == 3000
+    assert len(list((tmp_path / "t").rglob("part-*.txt"))) < 30
+    with pytest.raises(Exception, match="the mark between task files"):
+        files.write_task_specs(rows.limit(1).selectExpr("concat(value, char(30)) as value"), str(tmp_path / "u"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnledger.plans import calls, retention
-from turnledger.session import shared_path
+from turnledger.session import shared_path, stored
 from turnledger.sources import driver_views as V
 from turnledger.streaming import events as live
 from turnledger.streaming import states
@@ -20,19 +22,22 @@ def add(name: str, query, sql: str) -> None:
     Q[name] = (query, sql)
 
 
-def arriving(rows: DataFrame, by: str) -> DataFrame:
-    """A stream of the rows, one part after the other by a number."""
+def arriving(rows: DataFrame, by: str) -> tuple[DataFrame, list[Callable[[], None]]]:
+    """A stream over a folder that has the first part of the rows by a number, and what brings the other parts, one after the other. A part is
+    as many files as its rows have partitions, so a part must have been taken before the next one comes."""
     s, path = rows.sparkSession, shared_path(rows.sparkSession, "arriving")
+    rows = stored(rows, "rows")
     low, high = rows.agg(F.min(by), F.max(by)).first()
-    for k in range(PARTS):
-        part = F.least(F.lit(PARTS - 1), F.floor((F.col(by) - F.lit(low or 0)) * PARTS / F.lit(max(1, (high or 0) - (low or 0)))))
-        rows.filter(part == k).coalesce(1).write.mode("append").parquet(path)
-    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    part = F.least(F.lit(PARTS - 1), F.floor((F.col(by) - F.lit(low or 0)) * PARTS / F.lit(max(1, (high or 0) - (low or 0)))))
+    come = [lambda k=k: rows.filter(part == k).write.mode("append").parquet(path) for k in range(PARTS)]
+    come[0]()
+    return s.readStream.schema(rows.schema).parquet(path), come[1:]
 
 
 def steps(s: SparkSession, d: str) -> DataFrame:
     e = V.table(s, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("session"), (F.col("event_type") == "signup").alias("reset"), (F.col("event_type") != "error").alias("moves"))
-    return states.drained(states.step_epoch_state(arriving(e, "seq"))).select("seq", "epoch", "step")
+    stream, later = arriving(e, "seq")
+    return states.drained(states.step_epoch_state(stream), later=later).select("seq", "epoch", "step")
 
 
 add("streamed_steps", steps, calls.Q["step_epochs"][1])
@@ -41,7 +46,8 @@ add("streamed_steps", steps, calls.Q["step_epochs"][1])
 def ledger(s: SparkSession, d: str) -> DataFrame:
     """Overlapping windows in update mode: what the last batch of a window says."""
     requests = V.requests(s, d).withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need it
-    found = states.drained(live.live_ledger(arriving(requests, "id"), "6 hours", "400 days", "2 hours"), "update")
+    stream, later = arriving(requests, "id")
+    found = states.drained(live.live_ledger(stream, "6 hours", "400 days", "2 hours"), "update", later)
     last = found.withColumn("k", F.row_number().over(Window.partitionBy("start", "model").orderBy(F.desc("batch")))).filter("k = 1")
     return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "model", "requests", "occupancy")
 
@@ -55,9 +61,9 @@ def journal(s: SparkSession, d: str) -> DataFrame:
     e = V.table(s, d, "events")
     whole = F.to_json(F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event_id"), F.col("event_type").alias("kind"), F.col("user_id").alias("session")))
     raw = e.select("event_id", F.when(F.col("event_id") % 17 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("value"))
-    stream = arriving(raw, "event_id").select("value")
+    stream, later = arriving(raw, "event_id")
     sink = states.journal_sink(path, "event_id string, kind string, session long")
-    stream.writeStream.foreachBatch(sink).trigger(availableNow=True).option("checkpointLocation", shared_path(s, "checkpoint")).start().awaitTermination()
+    states.take_all(stream.select("value").writeStream.foreachBatch(sink), later)
     good, bad = states.journal_rows(s.read.parquet(path))
     return good.groupBy("kind").agg(F.count("*").alias("deliveries"), F.countDistinct("event_id").alias("events")).unionByName(bad.agg(F.lit("bad").alias("kind"), F.count("*").alias("deliveries"), F.countDistinct("value").alias("events")))
 
@@ -70,7 +76,8 @@ def contents(s: SparkSession, d: str) -> DataFrame:
     """Documents as accesses to handles, a third of them stores; who asks is told whether the content is still there."""
     i = F.col("doc_id")
     a = V.table(s, d, "documents").select(F.concat_ws("-", "lang", (F.col("n_chars") % 9).cast("string")).alias("handle"), F.timestamp_seconds(1_700_000_000 + i * 1000).alias("ts"), (i % 3 != 0).alias("asks"), i.alias("at_id"))
-    found = states.drained(states.live_contents(arriving(a, "at_id").drop("at_id"), TTL, "1 second"))
+    stream, later = arriving(a, "at_id")
+    found = states.drained(states.live_contents(stream.drop("at_id"), TTL, "1 second"), later=later)
     asked = found.filter("status in ('found', 'expired', 'unknown')")
     return asked.groupBy("handle").agg(F.count("*").alias("asked"), F.sum((F.col("status") == "found").cast("bigint")).alias("found"))
 

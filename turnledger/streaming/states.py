@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from turnledger.session import shared_path, use_state_store
 
@@ -124,14 +124,22 @@ def journal_sink(path: str, schema: str, key: str = "event_id") -> Callable[[Dat
     return write
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now and gives what it wrote, with the number of the batch (batch): each batch is a folder of its own
-    in the shared folder, which a repeated batch overwrites. In mode update, a key's row of the latest batch is the valid one."""
+def take_all(writer: DataStreamWriter, later: Sequence[Callable[[], None]] = (), spark: SparkSession | None = None) -> None:
+    """Runs a query over all that is there now, then goes on with it after each of the deliveries that come ``later``."""
+    writer = writer.trigger(availableNow=True).option("checkpointLocation", shared_path(spark or SparkSession.active(), "checkpoint"))
+    writer.start().awaitTermination()
+    for come in later:
+        come()
+        writer.start().awaitTermination()
+
+
+def drained(stream: DataFrame, mode: str = "append", later: Sequence[Callable[[], None]] = ()) -> DataFrame:
+    """Runs a stream over all that is there now, and over what comes ``later``, and gives what it wrote, with the number of the batch (batch): each
+    batch is a folder of its own in the shared folder, which a repeated batch overwrites. In mode update, a key's row of the latest batch is the valid one."""
     spark = stream.sparkSession
     at = shared_path(spark, "drained")
     spark.createDataFrame([], stream.schema).write.parquet(f"{at}/batch=-1")
-    query = stream.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{at}/batch={n}")).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", shared_path(spark, "checkpoint")).start()
-    query.awaitTermination()
+    take_all(stream.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{at}/batch={n}")).outputMode(mode), later, spark)
     return spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(at)
 
 
