@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from turnledger.operators import labels, ledger, retirement, usage
+from turnledger.operators import bundles, labels, ledger, retirement, usage
 from turnledger.plans import streamed
 from turnledger.sources import files
 from turnledger.streaming import states
@@ -64,3 +64,10 @@ def test_many_task_files_are_few_files(spark, tmp_path):
     assert len(list((tmp_path / "t").rglob("part-*.txt"))) < 30
     with pytest.raises(Exception, match="the mark between task files"):
         files.write_task_specs(rows.limit(1).selectExpr("concat(value, char(30)) as value"), str(tmp_path / "u"))
+
+
+def test_second_steps_are_not_dealt_out_again(spark):
+    edges = spark.range(4000).selectExpr("id % 800 as src", "(id * 7 + id % 13) % 40 as dst", "'CALLS' as type", "'exact' as match", "0.5 + id % 9 / 20.0D as confidence")
+    out = bundles.dependency_candidates(spark.range(800).selectExpr("id as root"), edges)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # first steps by root, and nothing after them
+    assert out.count() == out.select("root", "node").distinct().count() > 800 and out.filter("root = node").count() == 0
