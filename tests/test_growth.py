@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from turnledger.operators import bundles, labels, ledger, retirement, usage
+from turnledger.operators import bundles, labels, ledger, resolution, retirement, usage
 from turnledger.plans import streamed
 from turnledger.sources import files
 from turnledger.streaming import states
@@ -71,3 +71,13 @@ def test_second_steps_are_not_dealt_out_again(spark):
     out = bundles.dependency_candidates(spark.range(800).selectExpr("id as root"), edges)
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # first steps by root, and nothing after them
     assert out.count() == out.select("root", "node").distinct().count() > 800 and out.filter("root = node").count() == 0
+
+
+def test_anchors_where_a_file_has_many_symbols_on_the_same_lines(spark):
+    symbols = spark.range(400_000).selectExpr("id", "concat('m.f', id) as qualified", "'function' as kind", "'m' as module", "'src/a.py' as path", "id % 3 as start_line", "id % 3 + 60 as end_line")
+    asked = spark.range(180).selectExpr("id", "'' as text", "cast(null as string) as trace_path", "cast(null as bigint) as trace_line", "array('a.py', 'src/a.py', '/x/src/a.py')[id % 3] as path", "id div 3 as line", "cast(null as string) as symbol_name")
+    start = time.monotonic()
+    got = {r["id"]: (r["symbol"], r["anchor"]) for r in resolution.resolve_anchors(asked, symbols).collect()}  # 70 million meetings of lines and symbols, three sets of lines
+    assert time.monotonic() - start < 70  # tables are written on the way, so all of it counts
+    assert {k: v[1] for k, v in got.items()} == dict.fromkeys(range(180), "path_line") and len(got) == 180
+    assert {(k // 3, v[0]) for k, v in got.items()} == {(line, 100_000 + (min(line, 2) - 100_000) % 3) for line in range(60)}  # of the longest names the least id
