@@ -1,11 +1,13 @@
 """What must not grow faster than its input."""
 
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from turnledger.operators import bundles, labels, ledger, resolution, retirement, usage
+from turnledger import session
+from turnledger.operators import bundles, graph, labels, ledger, resolution, retirement, usage
 from turnledger.plans import streamed
 from turnledger.sources import files
 from turnledger.streaming import states
@@ -81,3 +83,44 @@ def test_anchors_where_a_file_has_many_symbols_on_the_same_lines(spark):
     assert time.monotonic() - start < 70  # tables are written on the way, so all of it counts
     assert {k: v[1] for k, v in got.items()} == dict.fromkeys(range(180), "path_line") and len(got) == 180
     assert {(k // 3, v[0]) for k, v in got.items()} == {(line, 100_000 + (min(line, 2) - 100_000) % 3) for line in range(60)}  # of the longest names the least id
+
+
+def test_coedited_pairs_are_walked_not_all_that_a_symbol_reaches(spark, monkeypatch):
+    sizes = []
+
+    def counted(df, name, *more, **named):
+        out = session.stored(df, name, *more, **named)
+        sizes.append(out.count())
+        return out
+
+    for module in (bundles, graph):
+        monkeypatch.setattr(module, "stored", counted, raising=False)
+    edges = spark.range(1, 1001).selectExpr("id as src", "0L as dst", "'CALLS' as type").unionByName(spark.range(1000, 2000).selectExpr("0L as src", "id as dst", "'CALLS' as type"))
+    edited = spark.range(1, 1001).selectExpr("id div 2 as task", "id as symbol")
+    paths = spark.range(2000).selectExpr("id as symbol", "concat('p', id div 4) as path")
+    got = {r["relation"]: r["pairs"] for r in bundles.coedit_relations(edited, edges, paths).collect()}
+    assert got == {"same_file": 998}  # (2, 3), (4, 5) and so on; none depends on its neighbour
+    assert max(sizes) < 10_000  # a million pairs of a symbol and what it reaches
+
+
+def test_relations_of_coedited_pairs_against_plain_loops(spark):
+    draw = random.Random(3)
+    edited = [(draw.randrange(12), draw.randrange(30)) for _ in range(90)] + [(1, 2), (1, 2), (None, 3), (2, None)]
+    edges = [(draw.randrange(30), draw.randrange(25), draw.choice(("CALLS", "IMPORTS", "TESTED_BY", "OTHER"))) for _ in range(60)] + [(4, 4, "CALLS"), (5, 5, "TESTED_BY")]
+    paths = {k: None if k % 9 == 0 else f"p{k % 4}" for k in range(28)}
+    tables = [spark.createDataFrame(edited, "task long, symbol long"), spark.createDataFrame(edges, "src long, dst long, type string"), spark.createDataFrame(list(paths.items()), "symbol long, path string")]
+    walk = {(a, b) for a, b, t in edges if t in bundles.WEIGHTS}
+    tests = {p for a, b, t in edges if t == "TESTED_BY" for p in ((a, b), (b, a))}
+    for hops in (1, 2, 3):
+        reach = far = walk
+        for _ in range(hops - 1):
+            far = {(a, d) for a, b in far for c, d in walk if b == c}
+            reach = reach | far
+        want = {}
+        for task in {t for t, _ in edited} - {None}:
+            own = {x for t, x in edited if t == task and x is not None}
+            for a, b in ((a, b) for a in own for b in own if a != b):
+                same = paths.get(a) is not None and paths.get(a) == paths.get(b)
+                r = "callee" if (a, b) in reach else "caller" if (b, a) in reach else "test" if (a, b) in tests else "same_file" if same else "none"
+                want[r] = want.get(r, 0) + 1
+        assert {r["relation"]: r["pairs"] for r in bundles.coedit_relations(*tables, hops).collect()} == want and len(want) == 5
