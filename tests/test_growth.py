@@ -124,3 +124,23 @@ def test_relations_of_coedited_pairs_against_plain_loops(spark):
                 r = "callee" if (a, b) in reach else "caller" if (b, a) in reach else "test" if (a, b) in tests else "same_file" if same else "none"
                 want[r] = want.get(r, 0) + 1
         assert {r["relation"]: r["pairs"] for r in bundles.coedit_relations(*tables, hops).collect()} == want and len(want) == 5
+
+
+def test_pairs_of_baskets_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    draw = random.Random(5)
+    held = [(k, draw.randrange(40)) for k in range(300) for _ in range(draw.randrange(9))] + [(999, i) for i in range(41)] + [(None, 1), (None, 2), (3, None)]
+    rows = spark.createDataFrame(held, "basket long, item long")
+    want = {}
+    for k in range(300):
+        own = sorted({i for b, i in held if b == k and i is not None})
+        for p in ((a, b) for a in own for b in own if a != b):
+            want[p] = want.get(p, 0) + 1
+    pairs = sum(want.values()) // 2
+    for most, parts in ((pairs + 1, 1), (100, 1 + pairs // 100)):
+        monkeypatch.setattr(graph, "PAIRS", most)
+        out, n = graph.counted_together(rows, 40)
+        assert n == parts and out.rdd.getNumPartitions() == parts  # not joined again because they are small on disk
+        assert {(r["item"], r["other"]): r["together"] for r in out.collect()} == {p: c for p, c in want.items() if p[0] < p[1]}
+        got = {(r["item"], r["rank"]): (r["other"], r["together"]) for r in graph.cochange_neighbours(rows, 40, 3).collect()}
+        first = {a: sorted((-c, o) for (x, o), c in want.items() if x == a)[:3] for a in {p[0] for p in want}}
+        assert got == {(a, k + 1): (o, -c) for a, best in first.items() for k, (c, o) in enumerate(best)}
