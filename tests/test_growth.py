@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnledger import session
-from turnledger.operators import bundles, graph, labels, ledger, resolution, retirement, usage
+from turnledger.operators import bundles, graph, labels, ledger, recall, reduction, resolution, retirement, usage
 from turnledger.plans import streamed
 from turnledger.sources import files
 from turnledger.streaming import states
@@ -144,3 +144,13 @@ def test_pairs_of_baskets_are_dealt_to_as_many_tasks_as_they_need(spark, monkeyp
         got = {(r["item"], r["rank"]): (r["other"], r["together"]) for r in graph.cochange_neighbours(rows, 40, 3).collect()}
         first = {a: sorted((-c, o) for (x, o), c in want.items() if x == a)[:3] for a in {p[0] for p in want}}
         assert got == {(a, k + 1): (o, -c) for a, best in first.items() for k, (c, o) in enumerate(best)}
+
+
+def test_lines_of_searches_meet_scores_and_touches_in_few_shuffles(spark):
+    outputs = spark.createDataFrame([(1, "a: x\nb: yy\n\ntoken\nc: zzzz"), (2, None), (None, "a: x")], "id long, text string")
+    touches = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (1, "c"), (1, None), (None, "a"), (1, "token"), (2, "a")], "id long, path string")
+    scores = spark.createDataFrame([("b", 1.0), ("a", 0.5)], "path string, score double")
+    found = recall.ranking_recall(outputs, touches, scores.hint("merge"), 3, "token")  # six characters go to the diagnostic, six are left
+    assert {tuple(r) for r in found.collect()} == {(1, "a", 1, 0, 0, None, "demoted"), (1, "b", 0, 1, None, 0, "promoted"), (1, "c", 0, 0, None, None, "missed")}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 3  # lines and scores by path, then all by search
