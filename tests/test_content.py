@@ -1,11 +1,14 @@
 """Kept contents, recovery, decisions on reductions and relief of retirement, against plain loops."""
 
 import hashlib
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from turnledger.operators import content, retirement
+from turnledger.functions import columns as C
+from turnledger.operators import content, retirement, summaries
 
 NOW, DAY = 1_000_000, 86_400
 
@@ -84,3 +87,47 @@ def test_relief_equals_a_loop_over_turns(spark, tail):
             assert r["peak_resident"] == max(resident) and r["peak_relief_percent"] == round(100 * max(relieved) / max(resident), 2) and r["mean_relief"] == pytest.approx(sum(relieved) / last, abs=1e-4)
         else:
             assert r["mean_relief"] is None
+
+
+def plain_summary(text, budget, handle):
+    """The search summary of one output, said in plain Python."""
+    lines = [x for x in text.split("\n") if x.strip(" ")]
+    said, found = [x for x in lines if x.startswith("grep: ")], [x for x in lines if not x.startswith("grep: ")]
+    files = Counter(x.split(":")[0] for x in found)
+    first = {p: k for k, p in reversed(list(enumerate(x.split(":")[0] for x in found)))}
+    best = sorted(files, key=lambda p: (-files[p], first[p]))
+    rollup = "matches by file: " + ", ".join(f"{p}×{files[p]}" for p in best[:12]) + (f", +{len(best) - 12} more file(s)" if len(best) > 12 else "")
+    top = "\n".join([f"{len(found)} matches in {len(files)} file(s)" + (f"; {len(said)} diagnostic(s)" if said else ""), *said])
+    tail = f"[+ full output: {handle}]"
+    room, spent, kept = max(0, budget - len(top) // 4 - len(tail) // 4 - (len(rollup) // 4 + len(f"... 0 more match(es) across 0 file(s) — full: {handle}") // 4 if found else 0)), 0, 0
+    for x in found:
+        spent += len(x) // 4 + 1
+        kept += spent <= room
+    rest = found[kept:]
+    footer = [rollup, f"... {len(rest)} more match(es) across {len({x.split(':')[0] for x in rest})} file(s) — full: {handle}"] if rest else []
+    return "\n".join([top, *found[:kept], *footer, tail]), len(found), kept
+
+
+def test_search_summary_of_odd_outputs(spark):
+    rng = random.Random(17)
+    texts = {1: "", 2: None, 3: " \n\n  ", 4: "\t", 5: "grep: no", 6: "a.py:1: x\n", 7: "\n\nplain", 8: "grep: x\na.py:1: y\ngrep: z", 9: ":1: no name", 10: "\n".join(f"é{k % 14}.py:{k}: ×" for k in range(30)), 11: "\n".join(f"grep: {k} is long enough" for k in range(60)) + "\na.py:1: y"}
+    texts |= {k: "\n".join(rng.choice(("", " ", "grep: x", *(f"f{rng.randrange(20)}.py:{j}: hit {'y' * rng.randrange(40)}" for _ in range(5)))) for j in range(rng.randrange(60))) for k in range(20, 120)}
+    rows = spark.createDataFrame([*texts.items(), (None, "a.py:1: x")], "id long, text string")
+    for budget in (40, 160, 256):
+        got = {r["id"]: (r["text"], r["matches"], r["kept"]) for r in summaries.search_summary(rows, budget, "^grep: ").collect()}
+        want = {k: plain_summary(t, budget, "result://" + hashlib.sha1(t.encode()).hexdigest()[:16]) for k, t in texts.items() if t and t.replace("\n", "").strip(" ")}
+        assert got == want
+
+
+def test_redaction_is_that_of_the_bare_patterns(spark):
+    keys = ["AKIA" + "B" * 16, "ghp_" + "a" * 20, "ghu_" + "b1" * 12, "sk-" + "c" * 20, "xoxa-" + "d" * 10, "xoxs-" + "e-" * 8, "AIza" + "f" * 35, "eyJ" + ".".join(["g" * 8] * 3), "Bearer  " + "h" * 16, "BEARER\n" + "i" * 20, "-----BEGIN RSA PRIVATE KEY-----\nx\n-----END RSA PRIVATE KEY-----", "API_KEY: j", "my_token = k"]
+    near = ["AKIA", "gh_" + "a" * 20, "sk-short", "xoxq-" + "d" * 10, "aiza" + "f" * 35, "bearer of news", "BEGIN PRIVATE KEY-----", "token", "", None]
+    texts = keys + near + [f"é {a}\n{b} ×" for a in keys for b in keys + near[:-1]]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    bare = F.col("text")
+    for label, pattern in C.SECRETS:
+        bare = F.regexp_replace(bare, pattern, f"[REDACTED:{label}]")
+    bare = F.regexp_replace(bare, C.SECRET_VALUE, f"$1$2[REDACTED:{C.SECRET_LABEL}]")
+    got = rows.select("text", C.redact(F.col("text")).alias("got"), bare.alias("bare")).collect()
+    assert [r["got"] for r in got] == [r["bare"] for r in got]
+    assert all(r["got"] != r["text"] for r in got[: len(keys)]) and all(r["got"] == r["text"] for r in got[len(keys) : len(keys) + len(near)])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnledger import session
-from turnledger.operators import bundles, graph, labels, ledger, recall, reduction, resolution, retirement, usage
+from turnledger.operators import bundles, graph, labels, ledger, recall, reduction, resolution, retirement, summaries, usage
 from turnledger.plans import streamed
 from turnledger.sources import files
 from turnledger.streaming import states
@@ -154,3 +154,20 @@ def test_lines_of_searches_meet_scores_and_touches_in_few_shuffles(spark):
     assert {tuple(r) for r in found.collect()} == {(1, "a", 1, 0, 0, None, "demoted"), (1, "b", 0, 1, None, 0, "promoted"), (1, "c", 0, 0, None, None, "missed")}
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning") <= 3  # lines and scores by path, then all by search
+
+
+def test_search_summaries_are_made_within_their_row(spark):
+    outputs = spark.range(200).selectExpr("id", "concat_ws('\n', transform(sequence(0, id % 40), k -> concat('f', k % 17, '.py:', k, ': hit'))) as text")
+    out = summaries.search_summary(outputs)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Range") == 1  # outputs are read once, and no line is moved
+    assert out.filter("matches = id % 40 + 1").count() == 200
+
+
+def test_search_summary_of_a_long_output(spark):
+    lines = "transform(sequence(0, 119999), k -> concat('src/f', k % 40000, '.py:', k, ': ', if(k % 1000 = 7, 'grep: x', 'hit')))"
+    row = timed(summaries.search_summary(spark.sql(f"select 1L as id, concat_ws('\n', {lines}) as text")))[0]
+    assert row["matches"] == N and row["kept"] > 0
+    assert f"... {N - row['kept']} more match(es) across 40000 file(s)" in row["text"] and row["text"].startswith(f"{N} matches in 40000 file(s)\nsrc/f0.py:0: hit\n")
+    assert "matches by file: src/f0.py×3, src/f1.py×3, " in row["text"] and ", +39988 more file(s)" in row["text"]
