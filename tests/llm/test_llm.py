@@ -172,6 +172,20 @@ def test_word_encoder_equals_library():
         assert e.encode([t])[0] == e._whole(t)
 
 
+def test_word_encoder_asks_each_part_once():
+    """The library is asked once for each part within the cache's bound, whatever punctuation follows it; beyond it ids stay right."""
+    e = tokens.WordEncoder(queries.vocabulary("word_bpe_49k.json"))
+    asked, plain = [], e._part
+    e._part = lambda part: asked.append(part) or plain(part)
+    e.forget()
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(90_000)]
+    first, *others = e.encode([" ".join(names), *[" ".join(n + sign for n in names) for sign in ".,"]])
+    assert len(asked) == len(set(asked)) == 90_002 and all(len(o) == len(first) + 4 * 90_000 for o in others)
+    e.parts.most = 3000
+    texts = [r[0] or "" for r in duckdb.sql(f"select text from '{SF}/documents.parquet' order by doc_id").fetchall()]
+    assert e.encode(texts) == [e._whole(t) for t in texts] and len(e.parts) < 100
+
+
 def brute_near(texts, size, percent):
     sets = []
     for _, t in texts:

@@ -51,13 +51,14 @@ def byte_encoder(path: str) -> ByteEncoder:
 class WordEncoder:
     """The ids that the tokenizer file gives, as little-endian 32-bit bytes.
 
-    The vocabulary's splitter never joins across white space, so texts in Latin letters are cut into words here and each word's
-    ids come from a cache, or from the library's model on first sight. All other texts (other scripts, control characters,
-    special tokens) are encoded whole by the library.
+    The vocabulary's splitter works on each text alone, so texts in Latin letters are cut into its parts here and each part's
+    ids come from a cache, or from the library's model on first sight. Words with their punctuation are not kept beside their
+    parts: they would fill the cache, and parts would be asked again. All other texts (other scripts, control characters, special
+    tokens) are encoded whole by the library.
     """
 
     OTHER = re.compile(r"[^\t-\r -~¡-įı-ſ]")
-    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^\t-\r a-zªµºß-öø-ſ0-9²³¹¼-¾]+")
+    PARTS = re.compile(r"[a-zªµºß-öø-ſ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼-¾]|[^\t-\r a-zªµºß-öø-ſ0-9²³¹¼-¾]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,21 +71,18 @@ class WordEncoder:
 
     def forget(self) -> None:
         """Drops the kept ids; tasks call it when they end."""
-        self.parts, self.chunks = Learned(self._part, 16 << 20), Learned(self._chunk, 48 << 20)
+        self.parts = Learned(self._part, 64 << 20)
 
     def _part(self, part: str) -> bytes:
         letters = part if part.isalpha() and part.isascii() else self.letters.pre_tokenize_str(part)[0][0]
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.parts.__getitem__, self.PARTS.findall(chunk)))
-
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.chunks.__getitem__
-        return [self._whole(t) if "<|" in t or self.OTHER.search(t) else b"".join(map(get, t.lower().split())) for t in texts]
+        get, cut = self.parts.__getitem__, self.PARTS.findall
+        return [self._whole(t) if "<|" in t or self.OTHER.search(t) else b"".join(map(get, cut(t.lower()))) for t in texts]
 
 
 @lru_cache(maxsize=2)
