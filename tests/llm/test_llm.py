@@ -8,9 +8,11 @@ from zlib import crc32
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from turnledger import session
 from turnledger.llm import chat, cotraining, decontaminate, exact_dedup, lengths, line_dedup, near_dedup, packing, queries, secrets, tokens, toxicity
 from turnledger.session import ship_package
 
@@ -264,6 +266,16 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(table, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_a_task_holds_one_shard_of_the_stored_suffix_arrays(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(decontaminate, "stored", lambda *a, **k: tables.append(session.stored(*a, **k)) or tables[-1])
+    docs = spark.range(0, 4, 1, 1).selectExpr("id as doc_id", "concat(repeat(concat(repeat('x', 99), ' '), 30000), 'a b c d', id) as text")  # 3 MB each: a shard of its own
+    bench = spark.createDataFrame([(1, "a b c d2")], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.matches(docs, bench).filter("n_hit > 0").collect()] == [2]
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in tables[0].inputFiles()]
+    assert sum(f.num_rows for f in files) == 4 == sum(f.num_row_groups for f in files)  # sizes in bytes are looked at after a hundred rows only
+
+
 def brute_matches(text, items, window):
     """Maximal verbatim matches (item, start, start in the item, words)."""
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))

@@ -30,8 +30,8 @@ from turnledger.session import BATCH_ROWS, stored
 WINDOW = 10
 #: Bytes of benchmark text in one block, and of documents in one shard (one longer document is a shard of its own).
 BLOCK_BYTES, SHARD_BYTES = 8_000_000, 4_000_000
-#: Bytes of a row group of the stored arrays: readers hold a whole one, and a row is a shard.
-ROW_GROUP = 8 << 20
+#: Rows in a row group of the stored arrays: writers and readers hold a whole one, and a row is a shard.
+GROUP_ROWS = 1
 #: Bytes of a word, A-Z lower-cased: 0-9, a-z and everything beyond ASCII; all others become spaces.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -385,7 +385,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col:
     rows are searched each for itself; very long texts are a shard of their own; other columns are ignored. Without a benchmark
     no document is hit; an empty table gives an empty result.
     """
-    shards, parts = stored(suffix_arrays(docs, id_col, text_col), "suffix_arrays", block_bytes=ROW_GROUP), None
+    shards, parts = stored(suffix_arrays(docs, id_col, text_col), "suffix_arrays", group_rows=GROUP_ROWS), None
     for items in blocks(benchmark, window, item_col, item_text_col, block_bytes):
         part = stored(found_in(shards, items), "matches")
         parts = part if parts is None else parts.unionByName(part)
