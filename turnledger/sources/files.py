@@ -73,8 +73,7 @@ def write_task_specs(specs: DataFrame, path: str) -> None:
 def read_task_specs(spark: SparkSession, path: str, heading: str = "## Prompt", bundled: bool = False) -> DataFrame:
     """(run_order, task_id, category, base_commit, repo_id, budget, spec_sha256, problem) of task files: header fields by name, and what
     follows the heading's line. ``bundled``: files hold many of them, as ``write_task_specs`` writes them."""
-    reader = spark.read.option("lineSep", NEXT_SPEC) if bundled else spark.read.option("wholetext", "true")
-    text = reader.text(path).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("t"))
+    text = spark.read.text(path, wholetext=not bundled, lineSep=NEXT_SPEC if bundled else None).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("t"))
     field = lambda n: F.trim(F.regexp_extract("t", rf"(?m)^{n}:\s*(.+)$", 1))
     problem = F.btrim(F.regexp_extract("t", rf"(?s)\n{heading}[^\n]*\n(.*)$", 1), F.lit(" \t\r\n"))
     return text.select(F.coalesce(F.regexp_extract("name", r"run-(\d+)", 1).try_cast("int"), F.lit(0)).alias("run_order"), field("task_id").alias("task_id"), field("category").alias("category"), field("base_commit_sha").alias("base_commit"), field("repo_id").alias("repo_id"), field("turn_or_walltime_budget").alias("budget"), F.sha2("t", 256).alias("spec_sha256"), problem.alias("problem"))
