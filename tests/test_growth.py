@@ -75,6 +75,26 @@ def test_second_steps_are_not_dealt_out_again(spark):
     assert out.count() == out.select("root", "node").distinct().count() > 800 and out.filter("root = node").count() == 0
 
 
+def test_candidates_of_bundles_are_neither_kept_nor_dealt_out_again(spark, monkeypatch):
+    sizes = []
+
+    def counted(df, name, *more, **named):
+        out = session.stored(df, name, *more, **named)
+        sizes.append(out.count())
+        return out
+
+    edges = spark.range(4000).selectExpr("id % 800 as src", "(id * 7 + id % 13) % 40 as dst", "'CALLS' as type", "'exact' as match", "0.5 + id % 9 / 20.0D as confidence")
+    levels = spark.range(799).selectExpr("id", "'signature' as level", "8 + id % 3 as cost", "1.0D as value").unionByName(spark.range(700).selectExpr("id", "'implementation' as level", "20 + id % 50 as cost", "3.0D as value"))
+    candidates = bundles.dependency_candidates(spark.range(800).selectExpr("id as root"), edges)
+    monkeypatch.setattr(bundles, "stored", counted)
+    out = bundles.select_bundle(candidates, levels, 66)
+    assert candidates.count() > 2 * max(sizes)
+    moved = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 2 and all("hashpartitioning(root" in line for line in moved)  # first steps and the costs of roots, both by root
+    own = {r["root"] for r in out.filter("root = node and level = 'implementation'").collect()}
+    assert own == {k for k in range(799) if k >= 700 or 20 + k % 50 <= 66} and out.count() > len(own)
+
+
 def test_anchors_where_a_file_has_many_symbols_on_the_same_lines(spark):
     symbols = spark.range(400_000).selectExpr("id", "concat('m.f', id) as qualified", "'function' as kind", "'m' as module", "'src/a.py' as path", "id % 3 as start_line", "id % 3 + 60 as end_line")
     asked = spark.range(180).selectExpr("id", "'' as text", "cast(null as string) as trace_path", "cast(null as bigint) as trace_line", "array('a.py', 'src/a.py', '/x/src/a.py')[id % 3] as path", "id div 3 as line", "cast(null as string) as symbol_name")
