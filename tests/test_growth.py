@@ -75,6 +75,18 @@ def test_second_steps_are_not_dealt_out_again(spark):
     assert out.count() == out.select("root", "node").distinct().count() > 800 and out.filter("root = node").count() == 0
 
 
+def test_second_steps_too_many_to_send_everywhere_are_walked_in_parts(spark, monkeypatch):
+    edges = spark.range(4000).selectExpr("cast(id % 800 as string) as src", "cast((id * 7 + id % 13) % 40 as string) as dst", "'CALLS' as type", "'exact' as match", "0.5 + id % 3 / 20.0D as confidence")
+    roots = spark.range(800).selectExpr("cast(id as string) as root")
+    want = {tuple(r) for r in bundles.dependency_candidates(roots, edges).collect()}
+    monkeypatch.setattr(bundles, "FEW_STEPS", 0)
+    monkeypatch.setattr(bundles, "WALKED", 2000)
+    out = bundles.dependency_candidates(roots, edges)
+    assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+    above = out._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+    assert above.count("Exchange") == 1 and "REPARTITION_BY_NUM" in above  # first steps and edges meet in their part, and nothing moves after that
+
+
 def test_candidates_of_bundles_are_neither_kept_nor_dealt_out_again(spark, monkeypatch):
     sizes = []
 
