@@ -88,3 +88,28 @@ def test_recall_within_budgets_needs_no_whole_pool(spark):
     got = resolution.pool_recall(needed, anchors, symbols, edges, changed, budgets)
     rows = lambda df: sorted(map(tuple, df.select("task", "budget", "needed", "reachable", "included").collect()))
     assert rows(got) == rows(want) and sum(r[4] for r in rows(got)) > 50
+
+
+def test_where_the_closest_relation_leaves_no_room_the_others_are_not_asked(spark, monkeypatch):
+    symbols, edges, changed = many_symbols(spark)
+    anchors = spark.range(60).selectExpr("id as task", "id * 17 % 600 as anchor")
+    needed = spark.range(900).selectExpr("id % 60 as task", "id * 31 % 600 as id")
+    offered = []
+    own = bundles.folded
+    monkeypatch.setattr(bundles, "folded", lambda pool, *more: offered.append(pool.count()) or own(pool, *more))
+    far = spark.range(600).selectExpr("id as src", "'CALLS' as type", "explode(sequence(0, 60)) as k").selectExpr("src", "(src + 1 + k) % 600 as dst", "type")
+    got = resolution.pool_recall(needed, anchors, symbols, far, changed, (5, 100)).collect()
+    assert offered[0] > 0 and offered[1] == 0  # each task has symbols of every cost two steps away, which take all of its room
+    whole = resolution.pool_from_sources(anchors, symbols, far, changed).join(symbols.select("id", "cost"), "id")
+    assert sorted(map(tuple, got)) == sorted(map(tuple, bundles.task_recall(needed, whole, (5, 100)).collect())) and sum(r["included"] for r in got) > 0
+
+
+def test_relations_of_one_rank_go_by_symbol(spark):
+    symbols = spark.createDataFrame([(1, "m.a", "function", "p", "see word", 5), (2, "m.word", "function", "q", "", 5), (3, "m.b", "function", "r", "", 5)], "id long, qualified string, kind string, path string, text string, cost int")
+    changed = spark.createDataFrame([("p", "r")], "path string, other string")
+    none = spark.createDataFrame([], "src long, dst long, type string")
+    anchors, needed = spark.createDataFrame([(7, 1)], "task long, anchor long"), spark.createDataFrame([(7, 2), (7, 3)], "task long, id long")
+    got = resolution.pool_recall(needed, anchors, symbols, none, changed, (5, 10)).collect()
+    assert sorted((r["budget"], r["reachable"], r["included"]) for r in got) == [(5, 2, 1), (10, 2, 2)]
+    got = resolution.pool_recall(needed.filter("id = 2"), anchors, symbols, none, changed, (5,)).collect()
+    assert [r["included"] for r in got] == [1]  # named in the text and changed together have one rank, and 2 comes before 3
